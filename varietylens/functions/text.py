@@ -72,12 +72,12 @@ def script_token_filter(c, letter_class: str = ARABIC_LETTERS,
 
 
 def noise_removal(c, noise_words: list[str]) -> Column:
-    """Remove parentheses and the given noise words (whole words)."""
-    out = F.regexp_replace(_c(c), r"[()]", "")
-    if noise_words:
-        alt = "|".join(noise_words)
-        out = F.regexp_replace(out, rf"\b({alt})\b", "")
-    return whitespace_norm(out)
+    """Remove every occurrence of the noise strings (plain substrings, as
+    the reference does) and the parentheses."""
+    out = _c(c)
+    for w in noise_words:
+        out = F.replace(out, F.lit(w), F.lit(""))
+    return F.regexp_replace(out, r"[()]", "")
 
 
 def transliterate(c, src: str, dst: str) -> Column:

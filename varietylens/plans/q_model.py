@@ -34,7 +34,7 @@ _FITS: dict = {}
 def sentences(spark: SparkSession, sf_dir: str, level: str = "city") -> DataFrame:
     key = ("sent", id(spark), sf_dir, level)
     if key not in _FITS:
-        _FITS[key] = model.materialize(corpus.sentences(spark, sf_dir, level))
+        _FITS[key] = model.materialize(corpus.sentences(spark, sf_dir, level), keep_partitioning=True)
     return _FITS[key]
 
 
@@ -176,7 +176,8 @@ def q_predict_proba(spark, sf_dir):
 
 
 @register("metrics_flat", _model_sql(
-    O.levels_ctes_tail("SELECT split, gold, pred FROM gp WHERE split = 'test'", "region")))
+    O.levels_ctes_tail("SELECT split, string_split(gold, '-')[3] AS gold, "
+                       "string_split(pred, '-')[3] AS pred FROM gp WHERE split = 'test'", "region")))
 def q_metrics_flat(spark, sf_dir):
     """Flat metrics at one level (region) on the test split."""
     fm = fitted(spark, sf_dir, FULL)

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,8 +70,28 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage of a fitted table with a reliable checkpoint (written to the
-    shared checkpoint directory, so it survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, keep_partitioning: bool = False) -> DataFrame:
+    """Cut lineage of a fitted/intermediate table; the copy lives in the
+    shared checkpoint directory, so it survives executor loss.
+
+    Default: write Parquet and read it back (one job; the optimizer then
+    knows the real size, so small model tables are broadcast and big ones
+    are not). ``keep_partitioning``: reliable RDD checkpoint, which keeps the
+    hash partitioning of the frame (persisted first so the checkpoint write
+    does not recompute the plan)."""
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    if keep_partitioning:
+        from pyspark import StorageLevel
+        cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = cached.checkpoint(eager=True)
+        cached.unpersist()
+        return out
+    global _SEQ
+    _SEQ += 1
+    path = f"{base.rstrip('/')}/vl-{uuid.uuid4().hex}-{_SEQ}"
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
+
+
+_SEQ = 0
