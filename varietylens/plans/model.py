@@ -88,8 +88,8 @@ def feature_table(fitted: FittedModel, df: DataFrame, keys: list[str]) -> DataFr
     parts = tfidf_features(fitted, prepped, keys)
     if fitted.lms:
         from ..operators.lm import lm_feature_block
-        parts.append(lm_feature_block(fitted.lms, fitted.lm_labels, df, keys,
-                                      fitted.spec.text_col, fitted.spec.lm_order))
+        parts.append(lm_feature_block(fitted.lms, fitted.lm_labels, prepped, keys, TEXT,
+                                      fitted.spec.lm_order))
     for name, sub in fitted.stacked:
         parts.append(proba_block(sub, df, keys, name))
     x = parts[0]
@@ -124,8 +124,8 @@ def fit(spec: ModelSpec, train: DataFrame, keys: list[str],
         n_features += known_rows(vocab)
     if spec.lm_order > 0:
         from ..operators.lm import fit_lms
-        src = lm_train if lm_train is not None else train
-        fitted.lms, fitted.lm_labels = fit_lms(src, spec.text_col, spec.label_col,
+        src = prepped if lm_train is None else _prep(lm_train, spec)
+        fitted.lms, fitted.lm_labels = fit_lms(src, TEXT, spec.label_col,
                                                spec.lm_order, spec.materialize)
         n_features += 2 * len(fitted.lm_labels)
     for _, sub in fitted.stacked:

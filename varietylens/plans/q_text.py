@@ -103,7 +103,7 @@ tags AS (SELECT doc_id, line_no, '<seg id="' || doc_id || '_' || line_no || '_x_
 ids AS (SELECT doc_id, line_no,
                regexp_replace(regexp_replace(regexp_extract(tag, 'id="([^"]*)"', 1), '[^0-9_]', '', 'g'),
                               '_+$', '') AS v FROM tags)
-SELECT doc_id, line_no, lpad(v, greatest(length(v), 3), '0') AS seg_id FROM ids""")
+SELECT doc_id, line_no, lpad(v, CAST(greatest(length(v), 3) AS INTEGER), '0') AS seg_id FROM ids""")
 def q_attr_extract(spark, sf_dir):
     """Quoted attribute from a tag line, digits/underscores kept, trailing
     underscores dropped, left-padded to 3 without truncation."""
@@ -199,13 +199,13 @@ def q_speaker_carry_strict(spark, sf_dir):
 WITH {TRANSCRIPT_SQL},
 nx AS (SELECT conv_id, line_no, text,
               lead(text) OVER (PARTITION BY conv_id ORDER BY line_no) AS next_text FROM tr)
-SELECT conv_id, line_no, replace(next_text, 'B: ', '') AS next_text FROM nx
-WHERE text LIKE '%B:%' AND next_text LIKE '%B:%'""")
+SELECT conv_id, line_no, next_text FROM nx
+WHERE text LIKE '%: %' AND next_text LIKE '%: %'""")
 def q_lead_marker(spark, sf_dir):
     """Emit the next line when both it and the current line carry the
-    marker (consecutive single-line assistant/system turns)."""
+    marker (``: ``; consecutive single-line turns)."""
     lines = transcript_lines(spark, sf_dir)
-    return W.lead_marker(lines, ["conv_id"], "line_no", "text", "B:", strip="B: ").select(
+    return W.lead_marker(lines, ["conv_id"], "line_no", "text", ": ").select(
         "conv_id", "line_no", "next_text")
 
 
