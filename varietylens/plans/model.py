@@ -107,22 +107,32 @@ def proba_block(sub: FittedModel, df: DataFrame, keys: list[str], name: str) ->
 
 
 def fit(spec: ModelSpec, train: DataFrame, keys: list[str],
-        stacked: list | None = None, lm_train: DataFrame | None = None) -> FittedModel:
+        stacked: list | None = None, lm_train: DataFrame | None = None,
+        reuse: FittedModel | None = None) -> FittedModel:
     """Fit vocabularies (and LMs) then NB on ``train`` (which carries
     ``spec.label_col``). ``stacked`` = [(block name, fitted sub-model)]
-    whose probabilities become features."""
+    whose probabilities become features. ``reuse``: a model fitted on the
+    same rows with the same spec whose vocabularies / LMs are taken as is
+    (the ablation fits only the NB per configuration)."""
     fitted = FittedModel(spec=spec, keys=keys, stacked=list(stacked or []))
     prepped = _prep(train.select(*keys, spec.text_col, spec.label_col), spec)
-    n_docs = train.count()
     n_features = 0
-    for b in _blocks(spec):
-        vocab = fit_idf(block_tf(b, spec, prepped, keys), n_docs)
-        if spec.materialize:
-            vocab = materialize(vocab)
-        with_rows(vocab, vocab.count())
-        fitted.vocabs[b] = vocab
-        n_features += known_rows(vocab)
-    if spec.lm_order > 0:
+    if reuse is not None:
+        fitted.vocabs = dict(reuse.vocabs)
+        n_features += sum(known_rows(v) for v in fitted.vocabs.values())
+    else:
+        n_docs = train.count()
+        for b in _blocks(spec):
+            vocab = fit_idf(block_tf(b, spec, prepped, keys), n_docs)
+            if spec.materialize:
+                vocab = materialize(vocab)
+            with_rows(vocab, vocab.count())
+            fitted.vocabs[b] = vocab
+            n_features += known_rows(vocab)
+    if reuse is not None and reuse.lms:
+        fitted.lms, fitted.lm_labels = reuse.lms, reuse.lm_labels
+        n_features += 2 * len(fitted.lm_labels)
+    elif spec.lm_order > 0:
         from ..operators.lm import fit_lms
         src = prepped if lm_train is None else _prep(lm_train, spec)
         fitted.lms, fitted.lm_labels = fit_lms(src, TEXT, spec.label_col,

@@ -101,51 +101,55 @@ x_{b}_ap AS ({norm(f"tf_{b}_app")})"""
 
 
 def nb_ctes(x_train: str, train_docs: str, x_apply: str, apply_docs: str,
-            n_features: str, keys: str = "doc_id, line_no") -> str:
-    """CTEs ``cls`` (label, n_c, S_c, b, k) and ``margins`` (keys, label,
-    margin) for the apply documents. x_* have (keys[, label], feature,
-    value); *_docs have (keys[, label])."""
+            n_features: str, keys: str = "doc_id, line_no", p: str = "") -> str:
+    """CTEs ``{p}cls`` (label, n_c, S_c, b, k), ``{p}margins`` / ``{p}post``
+    (keys, label, margin / p) and ``{p}pred`` (keys, pred) for the apply
+    documents. x_* have (keys[, label], feature, value); *_docs have
+    (keys[, label]). ``p`` prefixes every CTE name."""
+    ks = [k.strip() for k in keys.split(",")]
+
+    def q(alias):
+        return ", ".join(f"{alias}.{k}" for k in ks)
+    dd_on = " AND ".join(f"dd.{k} = a.{k}" for k in ks)
     return f"""
-S AS (SELECT label, feature, sum(value) AS S FROM ({x_train}) GROUP BY label, feature HAVING sum(value) > 0),
-Tf AS (SELECT feature, sum(S) AS T_f FROM S GROUP BY feature),
-Sc AS (SELECT label, sum(S) AS S_c FROM S GROUP BY label),
-ncls AS (SELECT label, count(*) AS n_c FROM ({train_docs}) GROUP BY label),
-tot AS (SELECT (SELECT sum(n_c) FROM ncls) AS n, (SELECT sum(S_c) FROM Sc) AS T, ({n_features}) AS F),
-cls AS (
+{p}S AS (SELECT label, feature, sum(value) AS S FROM ({x_train}) GROUP BY label, feature HAVING sum(value) > 0),
+{p}Tf AS (SELECT feature, sum(S) AS T_f FROM {p}S GROUP BY feature),
+{p}Sc AS (SELECT label, sum(S) AS S_c FROM {p}S GROUP BY label),
+{p}ncls AS (SELECT label, count(*) AS n_c FROM ({train_docs}) GROUP BY label),
+{p}tot AS (SELECT (SELECT sum(n_c) FROM {p}ncls) AS n, (SELECT sum(S_c) FROM {p}Sc) AS T, ({n_features}) AS F),
+{p}cls AS (
   SELECT c.label, c.n_c, coalesce(s.S_c, 0) AS S_c,
          ln(c.n_c / (t.n - c.n_c)) AS b,
          ln(t.T - coalesce(s.S_c, 0) + t.F) - ln(coalesce(s.S_c, 0) + t.F) AS k
-  FROM ncls c LEFT JOIN Sc s USING (label), tot t),
-delta AS (
-  SELECT S.label, S.feature, ln(S.S + 1) - ln(Tf.T_f - S.S + 1) + ln(Tf.T_f + 1) AS d
-  FROM S JOIN Tf USING (feature)),
-xa AS (SELECT {keys}, feature, value FROM ({x_apply})),
-dx AS (SELECT {keys}, sum(value) AS X FROM xa GROUP BY ALL),
-dz AS (SELECT xa.{keys.replace(', ', ', xa.')}, sum(xa.value * ln(Tf.T_f + 1)) AS Z
-       FROM xa JOIN Tf USING (feature) GROUP BY ALL),
-dd AS (SELECT xa.{keys.replace(', ', ', xa.')}, delta.label, sum(xa.value * delta.d) AS D
-       FROM xa JOIN delta USING (feature) GROUP BY ALL),
-adocs AS (SELECT DISTINCT {keys} FROM ({apply_docs})),
-margins AS (
-  SELECT a.{keys.replace(', ', ', a.')}, c.label,
+  FROM {p}ncls c LEFT JOIN {p}Sc s USING (label), {p}tot t),
+{p}delta AS (
+  SELECT s.label, s.feature, ln(s.S + 1) - ln(tf.T_f - s.S + 1) + ln(tf.T_f + 1) AS d
+  FROM {p}S s JOIN {p}Tf tf USING (feature)),
+{p}xa AS (SELECT {keys}, feature, value FROM ({x_apply})),
+{p}dx AS (SELECT {keys}, sum(value) AS X FROM {p}xa GROUP BY ALL),
+{p}dz AS (SELECT {q("xa")}, sum(xa.value * ln(tf.T_f + 1)) AS Z
+       FROM {p}xa xa JOIN {p}Tf tf USING (feature) GROUP BY ALL),
+{p}dd AS (SELECT {q("xa")}, de.label, sum(xa.value * de.d) AS D
+       FROM {p}xa xa JOIN {p}delta de USING (feature) GROUP BY ALL),
+{p}adocs AS (SELECT DISTINCT {keys} FROM ({apply_docs})),
+{p}margins AS (
+  SELECT {q("a")}, c.label,
          c.b + c.k * coalesce(dx.X, 0) - coalesce(dz.Z, 0) + coalesce(dd.D, 0) AS margin
-  FROM adocs a CROSS JOIN cls c
-  LEFT JOIN dx USING ({keys})
-  LEFT JOIN dz USING ({keys})
-  LEFT JOIN dd ON dd.{keys.split(', ')[0]} = a.{keys.split(', ')[0]}
-              {''.join(f" AND dd.{k} = a.{k}" for k in keys.split(', ')[1:])}
-              AND dd.label = c.label),
-nclass AS (SELECT count(*) AS K FROM cls),
-post AS (SELECT *, 1.0 / (1.0 + exp(-margin)) AS p FROM margins),
-pred AS (
+  FROM {p}adocs a CROSS JOIN {p}cls c
+  LEFT JOIN {p}dx dx USING ({keys})
+  LEFT JOIN {p}dz dz USING ({keys})
+  LEFT JOIN {p}dd dd ON {dd_on} AND dd.label = c.label),
+{p}nclass AS (SELECT count(*) AS K FROM {p}cls),
+{p}post AS (SELECT *, 1.0 / (1.0 + exp(-margin)) AS p FROM {p}margins),
+{p}pred AS (
   SELECT {keys}, label AS pred FROM (
-    SELECT post.*, row_number() OVER (PARTITION BY {keys} ORDER BY p DESC, label DESC) AS rn
-    FROM post) WHERE rn = 1 AND (SELECT K FROM nclass) > 2
+    SELECT po.*, row_number() OVER (PARTITION BY {keys} ORDER BY p DESC, label DESC) AS rn
+    FROM {p}post po) WHERE rn = 1 AND (SELECT K FROM {p}nclass) > 2
   UNION ALL
   SELECT {keys},
-         CASE WHEN max(CASE WHEN label = (SELECT max(label) FROM cls) THEN p END) > 0.5
-              THEN (SELECT max(label) FROM cls) ELSE (SELECT min(label) FROM cls) END AS pred
-  FROM post WHERE (SELECT K FROM nclass) = 2 GROUP BY ALL)"""
+         CASE WHEN max(CASE WHEN label = (SELECT max(label) FROM {p}cls) THEN p END) > 0.5
+              THEN (SELECT max(label) FROM {p}cls) ELSE (SELECT min(label) FROM {p}cls) END AS pred
+  FROM {p}post WHERE (SELECT K FROM {p}nclass) = 2 GROUP BY ALL)"""
 
 
 def levels_ctes(gp: str, level: str = "city", by: str = "split", p: str = "") -> str:
@@ -201,29 +205,103 @@ def levels_ctes_tail(gp: str, level: str, by: str = "split") -> str:
     return "," + levels_ctes(gp, level, by, "m2_") + "\nSELECT * FROM m2_metrics"
 
 
-def eval_levels_sql(level: str = "city", word: bool = True, char: bool = True,
-                    profile: str = "agg") -> str:
-    """Whole fit + evaluate: TF-IDF blocks, NB, predictions, metrics."""
+def proba_ctes(p: str, keys: str = "doc_id, line_no") -> str:
+    """CTE ``{p}proba`` (keys, label, proba): posteriors normalised to sum
+    1; with two classes [1 - p, p] of the single estimator."""
+    ks = [k.strip() for k in keys.split(",")]
+    on = " AND ".join(f"p1.{k} = po.{k}" for k in ks)
+    return f"""
+{p}p1 AS (SELECT {keys}, p FROM {p}post WHERE label = (SELECT max(label) FROM {p}cls)),
+{p}proba AS (
+  SELECT {", ".join("po." + k for k in ks)}, po.label,
+    CASE WHEN (SELECT K FROM {p}nclass) = 2
+         THEN (CASE WHEN po.label = (SELECT max(label) FROM {p}cls) THEN p1.p ELSE 1 - p1.p END)
+              / ((1 - p1.p) + p1.p)
+         ELSE po.p / sum(po.p) OVER (PARTITION BY {", ".join("po." + k for k in ks)}) END AS proba
+  FROM {p}post po LEFT JOIN {p}p1 p1 ON {on})"""
+
+
+def submodel_ctes(p: str, train_rel: str, apply_rel: str, feature_prefix: str,
+                  word: bool = True, char: bool = True) -> str:
+    """A fitted sub-model (own TF-IDF + NB) applied to ``apply_rel``;
+    emits CTE ``{p}block`` (doc_id, line_no, feature, value) of class
+    probabilities named ``feature_prefix:label``. Relations have (doc_id,
+    line_no, [label,] t)."""
+    parts = [f"{p}tr AS (SELECT * FROM {train_rel})", f"{p}ap AS (SELECT * FROM {apply_rel})",
+             f"{p}ntr AS (SELECT count(*) AS n FROM {p}tr)"]
+    bl = []
+    if word:
+        parts.append(tfidf_ctes(f"{p}w", word_terms_sql(f"{p}tr"), word_terms_sql(f"{p}ap"),
+                                f"SELECT n FROM {p}ntr").strip())
+        bl.append(f"{p}w")
+    if char:
+        parts.append(tfidf_ctes(f"{p}c", char_terms_sql(f"{p}tr"), char_terms_sql(f"{p}ap"),
+                                f"SELECT n FROM {p}ntr").strip())
+        bl.append(f"{p}c")
+    xtr = " UNION ALL ".join(f"SELECT * FROM x_{b}_tr" for b in bl)
+    xap = " UNION ALL ".join(f"SELECT * FROM x_{b}_ap" for b in bl)
+    nf = " + ".join(f"(SELECT count(*) FROM vocab_{b})" for b in bl)
+    parts.append(f"{p}xtr AS (SELECT x.*, t.label FROM ({xtr}) x JOIN {p}tr t USING (doc_id, line_no))")
+    parts.append(f"{p}xap AS ({xap})")
+    parts.append(nb_ctes(f"SELECT * FROM {p}xtr", f"SELECT doc_id, line_no, label FROM {p}tr",
+                         f"SELECT * FROM {p}xap", f"SELECT doc_id, line_no FROM {p}ap", nf,
+                         p=p).strip())
+    parts.append(proba_ctes(p).strip())
+    parts.append(f"{p}block AS (SELECT doc_id, line_no, '{feature_prefix}:' || label AS feature, proba AS value "
+                 f"FROM {p}proba)")
+    return ",\n".join(parts)
+
+
+def model_sql(level: str = "city", word: bool = True, char: bool = True, profile: str = "agg",
+              train_where: str = "split = 'train'", apply_where: str = "split <> 'train'",
+              extra: bool = False, layers: tuple = ()) -> str:
+    """Whole fit + apply as CTEs up to ``pred``/``post`` and ``gp`` (split,
+    gold, pred); callers append the final CTEs / SELECT."""
     blocks = []
     if word:
         blocks.append(tfidf_ctes("w", word_terms_sql("tr"), word_terms_sql("ap"), "SELECT n FROM ntr"))
     if char:
         blocks.append(tfidf_ctes("c", char_terms_sql("tr"), char_terms_sql("ap"), "SELECT n FROM ntr"))
     bl = [b for b, on in (("w", word), ("c", char)) if on]
-    xtr = " UNION ALL ".join(f"SELECT * FROM x_{b}_tr" for b in bl)
-    xap = " UNION ALL ".join(f"SELECT * FROM x_{b}_ap" for b in bl)
-    nf = " + ".join(f"(SELECT count(*) FROM vocab_{b})" for b in bl)
+    xtr = [f"SELECT * FROM x_{b}_tr" for b in bl]
+    xap = [f"SELECT * FROM x_{b}_ap" for b in bl]
+    nf = [f"(SELECT count(*) FROM vocab_{b})" for b in bl]
+    subs = []
+    allrel = "(SELECT doc_id, line_no, t FROM tr UNION ALL SELECT doc_id, line_no, t FROM ap)"
+    if extra:
+        subs.append(submodel_ctes(
+            "e_", "(SELECT conv_id AS doc_id, turn AS line_no, role AS label, "
+                  f"{profile_sql('text', profile)} AS t FROM conversations WHERE text IS NOT NULL)",
+            allrel, "x"))
+        xtr.append("SELECT b.* FROM e_block b SEMI JOIN tr USING (doc_id, line_no)")
+        xap.append("SELECT b.* FROM e_block b SEMI JOIN ap USING (doc_id, line_no)")
+        nf.append("(SELECT count(*) FROM e_cls)")
+    for i, lv in enumerate(layers):
+        p = f"l{i}_"
+        subs.append(submodel_ctes(
+            p, f"(SELECT doc_id, line_no, {label_expr(lv)} AS label, t FROM lab WHERE {train_where})",
+            allrel, f"L{i}"))
+        xtr.append(f"SELECT b.* FROM {p}block b SEMI JOIN tr USING (doc_id, line_no)")
+        xap.append(f"SELECT b.* FROM {p}block b SEMI JOIN ap USING (doc_id, line_no)")
+        nf.append(f"(SELECT count(*) FROM {p}cls)")
+    sub_sql = ("," + ",".join(subs)) if subs else ""
     return f"""
 WITH {corpus_ctes()},
 lab AS (SELECT *, {label_expr(level)} AS label, {profile_sql('original_sentence', profile)} AS t FROM sent),
-tr AS (SELECT doc_id, line_no, label, t FROM lab WHERE split = 'train'),
-ap AS (SELECT doc_id, line_no, split, label, t FROM lab WHERE split <> 'train'),
+tr AS (SELECT doc_id, line_no, label, t FROM lab WHERE {train_where}),
+ap AS (SELECT doc_id, line_no, split, label, t FROM lab WHERE {apply_where}),
 ntr AS (SELECT count(*) AS n FROM tr),
-{",".join(blocks)},
-xtr AS (SELECT x.*, tr.label FROM ({xtr}) x JOIN tr USING (doc_id, line_no)),
-xap AS ({xap}),
+{",".join(blocks)}{sub_sql},
+xtr AS (SELECT x.*, tr.label FROM ({" UNION ALL ".join(xtr)}) x JOIN tr USING (doc_id, line_no)),
+xap AS ({" UNION ALL ".join(xap)}),
 {nb_ctes("SELECT * FROM xtr", "SELECT doc_id, line_no, label FROM tr", "SELECT * FROM xap",
-         "SELECT doc_id, line_no FROM ap", nf)},
+         "SELECT doc_id, line_no FROM ap", " + ".join(nf))},
 gp AS (SELECT ap.split, ap.label AS gold, pred.pred FROM ap JOIN pred USING (doc_id, line_no)),
-{levels_ctes("SELECT * FROM gp", level, "split")}
-SELECT * FROM metrics"""
+"""
+
+
+def eval_levels_sql(level: str = "city", word: bool = True, char: bool = True,
+                    profile: str = "agg", **kw) -> str:
+    """Whole fit + evaluate: TF-IDF blocks, NB, predictions, metrics."""
+    return (model_sql(level, word, char, profile, **kw)
+            + levels_ctes("SELECT * FROM gp", level, "split").strip() + "\nSELECT * FROM metrics")
