@@ -53,12 +53,15 @@ def _grams_col(order: int) -> Column:
     """(n, gram, end) structs of every n-gram ending at token positions
     2..M of the bounded array ``_t`` (1-based), n = 1..min(N, end)."""
     t = F.col("_t")
+
+    def gram(e, n):
+        # tokens e-n+1 .. e (1-based) joined by SEP; direct element access
+        return F.concat_ws(SEP, *[F.when(n > k, t[e - 1 - k]) for k in range(order - 1, -1, -1)])
     return F.flatten(F.transform(
         F.sequence(F.lit(2), F.size(t)),
         lambda e: F.transform(
             F.sequence(F.lit(1), F.least(F.lit(order), e)),
-            lambda n: F.struct(n.alias("n"), F.array_join(F.slice(t, e - n + 1, n), SEP).alias("gram"),
-                               e.alias("end")))))
+            lambda n: F.struct(n.alias("n"), gram(e, n).alias("gram"), e.alias("end")))))
 
 
 def bounded(toks: Column) -> Column:

@@ -17,9 +17,10 @@ binary estimator is sigmoid(margin); class probabilities are those
 posteriors divided by their sum (two classes: one estimator, [1-p, p]).
 
 Physical shape: one join of the document features with the per-feature
-model row (feature -> ln(T+1) and the sparse deltas), one aggregation by
-(document, class index), and a per-document map of at most K+1 entries.
-Class-level parameters (K values each) are held as literal arrays.
+model row (feature -> ln(T+1) and a dense K-vector of deltas, 0 where the
+class never saw the feature), then one aggregation per document with a
+weighted vector sum (map-side combined). Class-level parameters (K values
+each) are held as literal arrays.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 
 MAX_CLASSES = 100_000
 
@@ -43,7 +46,7 @@ class NBModel:
     k: list[float]              # k[c]
     n_docs: list[int]           # n_c
     n_features: int             # F
-    feat: DataFrame             # feature, lnT1, deltas array<struct<i:int,d:double>>
+    feat: DataFrame             # feature, lnT1, dvec (dense class vector of deltas)
     stats: DataFrame            # label, feature, S (S > 0 only)
 
     def labels_col(self) -> Column:
@@ -74,14 +77,20 @@ def nb_fit(x: DataFrame, docs: DataFrame, label_col: str, n_features: int,
         log_prior.append(math.log(nc / (n - nc)) if n - nc > 0 else float("inf"))
         k.append(math.log(T - r["S_c"] + n_features) - math.log(r["S_c"] + n_features))
     lab_arr = F.array(*[F.lit(v) for v in labels])
+    K = len(labels)
     T_f = F.sum("S").over(Window.partitionBy("feature"))
-    feat = (S.withColumn("T_f", T_f)
-             .withColumn("delta", F.ln(F.col("S") + 1) - F.ln(F.col("T_f") - F.col("S") + 1)
-                         + F.ln(F.col("T_f") + 1))
-             .withColumn("i", (F.array_position(lab_arr, F.col(label_col)) - 1).cast("int"))
-             .groupBy("feature")
-             .agg(F.ln(F.first("T_f") + 1).alias("lnT1"),
-                  F.collect_list(F.struct(F.col("i"), F.col("delta").alias("d"))).alias("deltas")))
+    per = (S.withColumn("T_f", T_f)
+            .withColumn("delta", F.ln(F.col("S") + 1) - F.ln(F.col("T_f") - F.col("S") + 1)
+                        + F.ln(F.col("T_f") + 1))
+            .withColumn("i", (F.array_position(lab_arr, F.col(label_col)) - 1).cast("int"))
+            .groupBy("feature")
+            .agg(F.ln(F.first("T_f") + 1).alias("lnT1"),
+                 F.map_from_entries(F.collect_list(F.struct("i", "delta"))).alias("_m")))
+    # dense class vector per feature (0 where the class never saw it): the
+    # apply step is then one weighted vector sum per document
+    dense = F.transform(F.sequence(F.lit(0), F.lit(K - 1)),
+                        lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
+    feat = per.select("feature", "lnT1", array_to_vector(dense).alias("dvec"))
     if materialize_tables:
         feat = materialize(feat)
     return NBModel(labels, log_prior, k, [r["n_c"] for r in cls], n_features, feat, S)
@@ -89,26 +98,27 @@ def nb_fit(x: DataFrame, docs: DataFrame, label_col: str, n_features: int,
 
 def nb_margins(x: DataFrame, docs: DataFrame, keys: list[str], model: NBModel) -> DataFrame:
     """(keys, margins array<double>) for every row of ``docs``; x holds the
-    (normalised) feature values of those documents."""
+    (normalised) feature values of those documents.
+
+    One join of x with the per-feature model row, then per document:
+    X = sum x, Z = sum x ln(T+1), D = sum x * dvec (a weighted vector sum,
+    combined map-side) -- no (document, class) row explosion."""
     K = len(model.labels)
     X = x.groupBy(*keys).agg(F.sum("value").alias("_X"))
-    j = (x.join(model.feat, on="feature", how="inner")
-          .select(*keys, "value",
-                  F.explode(F.concat(F.array(F.struct(F.lit(-1).alias("i"),
-                                                      F.col("lnT1").alias("d"))),
-                                     F.col("deltas"))).alias("e")))
-    sums = (j.groupBy(*keys, F.col("e.i").alias("i"))
-              .agg(F.sum(F.col("value") * F.col("e.d")).alias("s"))
-              .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "s"))).alias("_m")))
+    j = x.join(model.feat, on="feature", how="inner")
+    sums = (j.groupBy(*keys)
+             .agg(F.sum(F.col("value") * F.col("lnT1")).alias("_Z"),
+                  Summarizer.sum(F.col("dvec"), F.col("value")).alias("_D")))
     b = F.array(*[F.lit(float(v)) for v in model.log_prior])
     k = F.array(*[F.lit(float(v)) for v in model.k])
     d = (docs.select(*keys).join(X, on=keys, how="left").join(sums, on=keys, how="left")
-             .withColumn("_X", F.coalesce(F.col("_X"), F.lit(0.0))))
-    z = F.coalesce(F.try_element_at(F.col("_m"), F.lit(-1)), F.lit(0.0))
+             .withColumn("_X", F.coalesce(F.col("_X"), F.lit(0.0)))
+             .withColumn("_Z", F.coalesce(F.col("_Z"), F.lit(0.0)))
+             .withColumn("_Da", F.when(F.col("_D").isNotNull(), vector_to_array(F.col("_D")))
+                                  .otherwise(F.array(*[F.lit(0.0)] * K))))
     margins = F.transform(
         F.sequence(F.lit(0), F.lit(K - 1)),
-        lambda i: b[i] + k[i] * F.col("_X") - z
-        + F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
+        lambda i: b[i] + k[i] * F.col("_X") - F.col("_Z") + F.col("_Da")[i])
     return d.select(*keys, margins.alias("margins"))
 
 

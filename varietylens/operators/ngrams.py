@@ -22,10 +22,13 @@ def _grams(arr: Column, n: int, sep: str) -> Column:
     empty in Spark, hence the guard)."""
     if n == 1:
         return arr
+
+    def gram(i):  # i is 0-based; direct element access, no slice objects
+        items = [arr[i + k] for k in range(n)]
+        return F.concat(*items) if sep == "" else F.concat_ws(sep, *items)
     return F.when(
         F.size(arr) >= n,
-        F.transform(F.sequence(F.lit(1), F.size(arr) - n + 1),
-                    lambda i: F.array_join(F.slice(arr, i, n), sep)),
+        F.transform(F.sequence(F.lit(0), F.size(arr) - n), gram),
     ).otherwise(F.array().cast("array<string>"))
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,16 +83,23 @@ def tfidf_features(fitted: FittedModel, prepped: DataFrame, keys: list[str]) ->
     return out
 
 
-def feature_table(fitted: FittedModel, df: DataFrame, keys: list[str]) -> DataFrame:
-    """All feature blocks of ``df`` rows, in fitted vocabulary only."""
-    prepped = _prep(df, fitted.spec)
-    parts = tfidf_features(fitted, prepped, keys)
+def extra_blocks(fitted: FittedModel, df: DataFrame, prepped: DataFrame,
+                 keys: list[str]) -> list[DataFrame]:
+    """LM block and stacked probability blocks."""
+    parts = []
     if fitted.lms:
         from ..operators.lm import lm_feature_block
         parts.append(lm_feature_block(fitted.lms, fitted.lm_labels, prepped, keys, TEXT,
                                       fitted.spec.lm_order))
     for name, sub in fitted.stacked:
         parts.append(proba_block(sub, df, keys, name))
+    return parts
+
+
+def feature_table(fitted: FittedModel, df: DataFrame, keys: list[str]) -> DataFrame:
+    """All feature blocks of ``df`` rows, in fitted vocabulary only."""
+    prepped = _prep(df, fitted.spec)
+    parts = tfidf_features(fitted, prepped, keys) + extra_blocks(fitted, df, prepped, keys)
     x = parts[0]
     for p in parts[1:]:
         x = x.unionByName(p)
@@ -115,15 +123,20 @@ def fit(spec: ModelSpec, train: DataFrame, keys: list[str],
     same rows with the same spec whose vocabularies / LMs are taken as is
     (the ablation fits only the NB per configuration)."""
     fitted = FittedModel(spec=spec, keys=keys, stacked=list(stacked or []))
-    prepped = _prep(train.select(*keys, spec.text_col, spec.label_col), spec)
+    tkeys = [*keys, spec.label_col]
+    prepped = _prep(train.select(*tkeys, spec.text_col), spec)
     n_features = 0
+    # term counts of the training rows are computed once and reused by the
+    # vocabulary fit and the training feature values
+    tfs = {b: block_tf(b, spec, prepped, tkeys).persist(StorageLevel.MEMORY_AND_DISK)
+           for b in _blocks(spec)}
     if reuse is not None:
         fitted.vocabs = dict(reuse.vocabs)
         n_features += sum(known_rows(v) for v in fitted.vocabs.values())
     else:
         n_docs = train.count()
         for b in _blocks(spec):
-            vocab = fit_idf(block_tf(b, spec, prepped, keys), n_docs)
+            vocab = fit_idf(tfs[b], n_docs)
             if spec.materialize:
                 vocab = materialize(vocab)
             with_rows(vocab, vocab.count())
@@ -140,10 +153,15 @@ def fit(spec: ModelSpec, train: DataFrame, keys: list[str],
         n_features += 2 * len(fitted.lm_labels)
     for _, sub in fitted.stacked:
         n_features += len(sub.labels)
-    tkeys = [*keys, spec.label_col]
-    x = feature_table(fitted, train.select(*tkeys, spec.text_col), tkeys)
+    parts = [tfidf_values(tfs[b], fitted.vocabs[b], tkeys, b) for b in _blocks(spec)]
+    parts += extra_blocks(fitted, train.select(*tkeys, spec.text_col), prepped, tkeys)
+    x = parts[0]
+    for p in parts[1:]:
+        x = x.unionByName(p)
     docs = train.select(*keys, spec.label_col)
     fitted.nb = nbo.nb_fit(x, docs, spec.label_col, n_features, spec.materialize)
+    for tf in tfs.values():
+        tf.unpersist()
     return fitted
 
 

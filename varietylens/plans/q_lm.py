@@ -98,34 +98,29 @@ ap AS (SELECT doc_id, line_no, split, label, t FROM lab WHERE split <> 'train'),
 
 def score_ctes(unit: str, order: int = ORDER, src: str = "ap") -> str:
     """Per (keys, label) log10 sentence score under each label's LM, by the
-    ARPA back-off rule, for the rows of ``src``."""
+    ARPA back-off rule, for the rows of ``src`` (equi-joins only)."""
     N = order
     return f"""
 sq AS (SELECT doc_id, line_no, ['<s>'] || {_unit_toks_sql(unit)} || ['</s>'] AS tk FROM {src}),
-sp AS (SELECT doc_id, line_no, tk, unnest(generate_series(2, len(tk))) AS e FROM sq),
+sp AS (SELECT doc_id, line_no, tk, unnest(generate_series(1, len(tk))) AS e FROM sq),
+sg AS (SELECT doc_id, line_no, e, n, array_to_string(tk[e - n + 1 : e], ' ') AS gram
+       FROM (SELECT doc_id, line_no, tk, e, unnest(generate_series(1, least({N}, e))) AS n FROM sp)),
 labs AS (SELECT DISTINCT label FROM unk WHERE unit = '{unit}'),
-spl AS (SELECT sp.*, labs.label FROM sp, labs),
-found AS (
-  SELECT s.doc_id, s.line_no, s.e, s.label,
-         max(p.n) AS m
-  FROM spl s JOIN probs p ON p.unit = '{unit}' AND p.label = s.label
-   AND p.n <= least({N}, s.e) AND p.gram = array_to_string(s.tk[s.e - p.n + 1 : s.e], ' ')
-  GROUP BY ALL),
-pos AS (
-  SELECT s.doc_id, s.line_no, s.e, s.label, s.tk, coalesce(f.m, 0) AS m
-  FROM spl s LEFT JOIN found f USING (doc_id, line_no, e, label)),
+found AS (SELECT sg.doc_id, sg.line_no, sg.e, p.label, max(sg.n) AS m
+          FROM sg JOIN probs p ON p.unit = '{unit}' AND p.gram = sg.gram WHERE sg.e >= 2 GROUP BY ALL),
+pos AS (SELECT sp.doc_id, sp.line_no, sp.e, labs.label, coalesce(f.m, 0) AS m
+        FROM sp CROSS JOIN labs LEFT JOIN found f USING (doc_id, line_no, e, label)
+        WHERE sp.e >= 2),
 pscore AS (
-  SELECT pos.doc_id, pos.line_no, pos.e, pos.label,
-         coalesce(p.logp, u.logp_unk) AS lp
+  SELECT pos.doc_id, pos.line_no, pos.e, pos.label, coalesce(p.logp, u.logp_unk) AS lp
   FROM pos JOIN unk u ON u.unit = '{unit}' AND u.label = pos.label
-  LEFT JOIN probs p ON p.unit = '{unit}' AND p.label = pos.label AND pos.m > 0 AND p.n = pos.m
-   AND p.gram = array_to_string(pos.tk[pos.e - pos.m + 1 : pos.e], ' ')),
+  LEFT JOIN sg g ON g.doc_id = pos.doc_id AND g.line_no = pos.line_no AND g.e = pos.e AND g.n = pos.m
+  LEFT JOIN probs p ON p.unit = '{unit}' AND p.label = pos.label AND p.gram = g.gram),
 bctx AS (
   SELECT pos.doc_id, pos.line_no, pos.e, pos.label, sum(b.logb) AS lb
-  FROM pos CROSS JOIN generate_series(1, {N - 1}) g(j)
-  JOIN backoffs b ON b.unit = '{unit}' AND b.label = pos.label
-   AND b.gram = array_to_string(pos.tk[pos.e - g.j : pos.e - 1], ' ')
-  WHERE g.j >= greatest(pos.m, 1) AND g.j <= least({N - 1}, pos.e - 1)
+  FROM pos JOIN sg c ON c.doc_id = pos.doc_id AND c.line_no = pos.line_no AND c.e = pos.e - 1
+   AND c.n >= greatest(pos.m, 1) AND c.n <= least({N - 1}, pos.e - 1)
+  JOIN backoffs b ON b.unit = '{unit}' AND b.label = pos.label AND b.gram = c.gram
   GROUP BY ALL),
 scores AS (
   SELECT ps.doc_id, ps.line_no, ps.label, sum(ps.lp + coalesce(bc.lb, 0)) AS score
