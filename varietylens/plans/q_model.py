@@ -34,7 +34,9 @@ _FITS: dict = {}
 def sentences(spark: SparkSession, sf_dir: str, level: str = "city") -> DataFrame:
     key = ("sent", id(spark), sf_dir, level)
     if key not in _FITS:
-        _FITS[key] = model.materialize(corpus.sentences(spark, sf_dir, level), keep_partitioning=True)
+        from ..session import materialize_bucketed
+        _FITS[key] = materialize_bucketed(corpus.sentences(spark, sf_dir, level), "doc_id",
+                                          corpus.shuffle_partitions(spark))
     return _FITS[key]
 
 
