@@ -76,3 +76,16 @@ def test_speaker_carry(spark):
     got = [(r["speaker"], r["text"]) for r in
            speaker_carry(lines, "file", "line_no", "text", block=2).orderBy("line_no").collect()]
     assert got == [("A", "hello"), ("B", " hi"), ("B", "more"), ("A", " back")]
+
+
+def test_two_level_running_sums_and_lead(spark):
+    from varietylens.operators.windows import lead_marker, running_sums
+    rows = [(f, i, "m: x" if (i * 7 + f) % 5 < 3 else "plain") for f in range(2) for i in range(0, 300, 2)]
+    df = spark.createDataFrame(rows, "f long, i long, t string")
+    vals = {"s": F.col("t").startswith("m").cast("int")}
+    a = running_sums(df, ["f"], "i", vals, block=None)
+    b = running_sums(df, ["f"], "i", vals, block=16)
+    assert sorted(a.collect()) == sorted(b.collect())
+    la = lead_marker(df, ["f"], "i", "t", ": ", block=None)
+    lb = lead_marker(df, ["f"], "i", "t", ": ", block=16)
+    assert sorted(la.collect()) == sorted(lb.collect()) and la.count() > 0

@@ -352,3 +352,81 @@ SELECT conv_id, turn, CAST(text AS VARCHAR) AS text FROM conversations WHERE tex
 def q_preclean(spark, sf_dir):
     from ..operators.clean import preclean
     return preclean(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), ["text"])
+
+
+# -- remaining projection / routing / patch operators ------------------------------
+@register("cell_patch", """
+WITH patch AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'NEGATIVE' END AS c_mktsegment FROM customer
+               WHERE c_acctbal < 0)
+SELECT c.c_custkey, coalesce(p.c_mktsegment, c.c_mktsegment) AS c_mktsegment, c.c_nationkey
+FROM customer c LEFT JOIN patch p USING (c_custkey)""")
+def q_cell_patch(spark, sf_dir):
+    """Dirty metadata fixed by a patch table keyed by id (left join +
+    coalesce of the patched cells)."""
+    from ..operators.corrections import cell_patch
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey", "c_acctbal")
+    patch = c.where(F.col("c_acctbal") < 0).select("c_custkey", F.lit("NEGATIVE").alias("c_mktsegment"))
+    return cell_patch(c.drop("c_acctbal"), patch, "c_custkey")
+
+
+@register("exclude_labels", f"""{SENT}
+SELECT doc_id, line_no, {O.label_expr('city')} AS label FROM sent
+WHERE dialect_city_id NOT IN ('src0', 'src1') AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""")
+def q_exclude_labels(spark, sf_dir):
+    """Labels excluded from a layer (literal list) and a list of excluded
+    files (anti join on the id list)."""
+    from ..functions.labels import compose_label
+    from ..operators.clean import exclude_values
+    s = q_model.sentences(spark, sf_dir)
+    s = exclude_values(s, "dialect_city_id", ["src0", "src1"])
+    bad = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    return anti_join(s, bad, "doc_id").select("doc_id", "line_no", compose_label("city").alias("label"))
+
+
+@register("route_rows", f"""{SENT}
+SELECT CASE WHEN dialect_country_id IN ('en', 'de') THEN 'north' ELSE 'south' END AS route,
+       dialect_region_id, CAST(count(*) AS BIGINT) AS n_sentences
+FROM sent GROUP BY ALL""")
+def q_route_rows(spark, sf_dir):
+    """Rows routed by a field value to two labelled outputs (one folder per
+    route), read back."""
+    s = q_model.sentences(spark, sf_dir)
+    routed = s.withColumn("route", F.when(F.col("dialect_country_id").isin("en", "de"), "north")
+                                    .otherwise("south"))
+    path = scratch(spark, "routes")
+    routed.select("route", "dialect_region_id", "original_sentence").write.partitionBy("route").parquet(path)
+    back = spark.read.parquet(path)
+    return back.groupBy(F.col("route").cast("string").alias("route"), "dialect_region_id").agg(
+        F.count(F.lit(1)).cast("long").alias("n_sentences"))
+
+
+@register("id_line_clean", """
+SELECT page_id,
+       regexp_replace(regexp_replace(url, '^[^/]*/', ''), '\\n$', '') AS rest,
+       replace(split_part(regexp_replace(url, '^https?://', ''), '/', 1), '-', '_') AS host_key,
+       substr(split_part(regexp_replace(url, '^https?://', ''), '/', 1), 3,
+              greatest(length(split_part(regexp_replace(url, '^https?://', ''), '/', 1)) - 6, 0)) AS audit
+FROM pages""")
+def q_id_line_clean(spark, sf_dir):
+    """Id-line normalisation: prefix up to the first '/' and a trailing
+    newline removed; '-' -> '_'; slice [2:-4] of a code."""
+    p = table(spark, sf_dir, "pages")
+    host = F.split_part(F.regexp_replace("url", "^https?://", ""), F.lit("/"), F.lit(1))
+    rest = F.regexp_replace(F.regexp_replace("url", "^[^/]*/", ""), "\\n$", "")
+    audit = F.substring(host, 3, F.greatest(F.length(host) - 6, F.lit(0)))
+    return p.select("page_id", rest.alias("rest"), F.replace(host, F.lit("-"), F.lit("_")).alias("host_key"),
+                    audit.alias("audit"))
+
+
+@register("predictions_sink", q_model._model_sql("""
+SELECT ap.label AS gold, pred.pred FROM ap JOIN pred USING (doc_id, line_no)"""))
+def q_predictions_sink(spark, sf_dir):
+    """Evaluation predictions written as a ``gold, pred`` TSV and read back."""
+    fm = q_model.fitted(spark, sf_dir, q_model.FULL)
+    from . import model
+    s = q_model.sentences(spark, sf_dir).where("split <> 'train'")
+    gp = s.select(*q_model.KEYS, F.col("label").alias("gold")).join(model.predict(fm, s, q_model.KEYS),
+                                                                    q_model.KEYS)
+    path = scratch(spark, "pred")
+    sinks.write_predictions(gp, path)
+    return readers.read_delimited(spark, path, "gold STRING, pred STRING")

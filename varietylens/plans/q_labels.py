@@ -246,3 +246,20 @@ SELECT DISTINCT dialect_country_id, dialect_region_id FROM sent""")
 def q_hierarchy_pairs(spark, sf_dir):
     return (q_model.sentences(spark, sf_dir)
             .select("dialect_country_id", "dialect_region_id").distinct())
+
+
+# Corpus-specific gazetteer variant: one country maps to another region
+# (as a folder-level lookup would), passed in as a different table.
+GAZ_VARIANT_SQL = GAZ_SQL.replace("ELSE ['n' || n.n_nationkey, lower(r.r_name)] END AS parts",
+                                  "WHEN 3 THEN ['n3', 'gulf'] ELSE ['n' || n.n_nationkey, lower(r.r_name)] END AS parts")
+
+
+@register("standardize_country_variant",
+          standardize_sql(["country"]).replace(GAZ_SQL, GAZ_VARIANT_SQL))
+def q_standardize_country_variant(spark, sf_dir):
+    """Country standardisation with a corpus-specific gazetteer variant."""
+    df = raw_labels(spark, sf_dir)
+    gaz = fixture_gazetteer(spark, sf_dir)
+    variant = gaz.withColumn("parts", F.when((F.col("level") == "country") & (F.col("raw") == "nation_3"),
+                                             F.array(F.lit("n3"), F.lit("gulf"))).otherwise(F.col("parts")))
+    return standardize(df, "id", variant, ["country"]).select("id", *LABEL_COLS)

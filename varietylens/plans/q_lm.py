@@ -230,3 +230,22 @@ def q_eval_lm(spark, sf_dir):
     fm = q_model.fitted(spark, sf_dir, LM_SPEC)
     s = q_model.sentences(spark, sf_dir).where("split <> 'train'")
     return q_model.round_metrics(model.evaluate(fm, s, KEYS))
+
+
+@register("lm_features_word", _lm_sql("," + score_ctes("word")[1:] + """,
+ex AS (SELECT doc_id, line_no, label, exp(score) AS e FROM scores),
+nr AS (SELECT doc_id, line_no, sqrt(sum(e * e)) AS nrm FROM ex GROUP BY ALL)
+SELECT ex.doc_id, ex.line_no, 'lw:' || ex.label AS feature,
+       round(CASE WHEN nr.nrm > 0 THEN ex.e / nr.nrm ELSE ex.e END, 6) AS value
+FROM ex JOIN nr USING (doc_id, line_no)"""))
+def q_lm_features_word(spark, sf_dir):
+    """LM feature block of the word unit: exp of the log10 sentence scores,
+    L2-normalised over labels (underflow gives an all-zero row)."""
+    m = lm_model(spark, sf_dir, ORDER)
+    s = q_model.sentences(spark, sf_dir).where("split <> 'train'")
+    prepped = model._prep(s, q_model.FULL)
+    sc = L.score(m, prepped, KEYS, "word", L.unit_tokens(F.col(model.TEXT), "word"))
+    lab = F.array(*[F.lit(x) for x in m.labels])
+    v = sc.select(*KEYS, F.posexplode(L.normalize_exp(F.col("scores"))).alias("_i", "value"))
+    return v.select(*KEYS, F.concat(F.lit("lw:"), lab[F.col("_i")]).alias("feature"),
+                    F.round("value", 6).alias("value"))

@@ -206,3 +206,32 @@ def q_eval_levels(spark, sf_dir):
     fm = fitted(spark, sf_dir, FULL)
     s = sentences(spark, sf_dir).where("split <> 'train'")
     return round_metrics(model.evaluate(fm, s, KEYS))
+
+
+@register("text_profiles", f"""
+WITH {O.corpus_ctes()}
+SELECT doc_id, line_no, original_sentence AS raw, {O.profile_sql('original_sentence', 'tok')} AS tok,
+       {O.profile_sql('original_sentence', 'agg')} AS agg FROM sent""")
+def q_text_profiles(spark, sf_dir):
+    """The three text normalisations: raw, tokenised, marks stripped +
+    tokenised."""
+    s = sentences(spark, sf_dir)
+    c = F.col("original_sentence")
+    return s.select(*KEYS, c.alias("raw"), corpus.profile_text(c, "tok").alias("tok"),
+                    corpus.profile_text(c, "agg").alias("agg"))
+
+
+@register("feature_blocks", _model_sql("""
+SELECT feature_block, CAST(count(*) AS BIGINT) AS n_values, CAST(count(DISTINCT feature) AS BIGINT) AS n_features,
+       round(sum(value * value), 6) AS sum_sq
+FROM (SELECT split_part(feature, ':', 1) AS feature_block, feature, value FROM xap) GROUP BY ALL"""))
+def q_feature_blocks(spark, sf_dir):
+    """Feature blocks united by row (word ``w:`` and char ``c:`` TF-IDF of
+    the dev/test sentences): per block, values, distinct features and the
+    sum of squares (= number of rows with features, by the L2 norm)."""
+    fm = fitted(spark, sf_dir, FULL)
+    s = sentences(spark, sf_dir).where("split <> 'train'")
+    x = model.feature_table(fm, s, KEYS)
+    return (x.groupBy(F.split_part("feature", F.lit(":"), F.lit(1)).alias("feature_block"))
+             .agg(F.count(F.lit(1)).alias("n_values"), F.countDistinct("feature").alias("n_features"),
+                  F.round(F.sum(F.col("value") * F.col("value")), 6).alias("sum_sq")))

@@ -205,7 +205,7 @@ def q_lead_marker(spark, sf_dir):
     """Emit the next line when both it and the current line carry the
     marker (``: ``; consecutive single-line turns)."""
     lines = transcript_lines(spark, sf_dir)
-    return W.lead_marker(lines, ["conv_id"], "line_no", "text", ": ").select(
+    return W.lead_marker(lines, ["conv_id"], "line_no", "text", ": ", block=4 * TURN_SHIFT).select(
         "conv_id", "line_no", "next_text")
 
 
@@ -268,7 +268,8 @@ def q_islands(spark, sf_dir):
     between <P> and </P> belong to a group."""
     st = sgml_stream(spark, sf_dir)
     t = F.col("text")
-    g = W.islands(st, ["src"], "ord", t.startswith("<DOC "), t == "<P>", t == "</P>")
+    g = W.islands(st, ["src"], "ord", t.startswith("<DOC "), t == "<P>", t == "</P>",
+                  block=64 * TURN_SHIFT * 4)
     return (g.where(F.col("inside") & (t != "<P>"))
              .groupBy("src", "group_no")
              .agg(F.count(F.lit(1)).alias("n_lines"), F.sum(F.length("text")).cast("long").alias("n_chars")))
