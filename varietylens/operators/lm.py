@@ -18,8 +18,10 @@ plus log10 b of each longer context present (ARPA back-off); <unk> for an
 unknown word.
 
 Tables: ``probs`` (unit, label, n, gram, logp) and ``backoffs`` (unit,
-label, gram, logb), both log10. For scoring they are pivoted wide by label
-(gram -> array over sorted labels), so scoring is one join whatever K is.
+label, gram, logb), both log10. For scoring they are folded into one
+additive contribution vector per gram over the sorted labels (see
+``contribution_table``), so scoring is one join and one vector sum per
+sentence whatever K is.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import CHAR_SPACE
 from ..session import materialize
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 
 BOS, EOS, UNK = "<s>", "</s>", "<unk>"
 SEP = " "
@@ -127,7 +131,7 @@ class LMModel:
     probs: DataFrame         # unit, label, n, gram, logp
     backoffs: DataFrame      # unit, label, gram, logb
     unk: DataFrame           # unit, label, logp_unk
-    wide: DataFrame          # unit, gram, n, P array<double>, B array<double>
+    wide: DataFrame          # unit, gram, C vector over labels (additive contributions)
     unk_wide: dict           # unit -> list[float] log10 p(<unk>) per label
 
 
@@ -189,82 +193,69 @@ def fit_lm(sents: DataFrame, order: int, materialize_tables: bool = True) -> LMM
     unk_wide = {}
     for r in unk_rows:
         unk_wide.setdefault(r["unit"], [float("-inf")] * len(labels))[pos[r["label"]]] = r["logp_unk"]
-    lab_arr = F.array(*[F.lit(x) for x in labels])
-    K = len(labels)
-    ent = (probs.select("unit", "gram", "label", "logp", F.lit(None).cast("double").alias("logb"))
-                .unionByName(backoffs.select("unit", "gram", "label", F.lit(None).cast("double").alias("logp"),
-                                             "logb")))
-    ent = ent.withColumn("i", (F.array_position(lab_arr, F.col("label")) - 1).cast("int"))
-    w = (ent.groupBy("unit", "gram")
-            .agg(F.map_from_entries(F.collect_list(F.when(F.col("logp").isNotNull(),
-                                                          F.struct("i", "logp")))).alias("_mp"),
-                 F.map_from_entries(F.collect_list(F.when(F.col("logb").isNotNull(),
-                                                          F.struct("i", "logb")))).alias("_mb")))
-    idx = F.sequence(F.lit(0), F.lit(K - 1))
-    wide = w.select("unit", "gram",
-                    F.transform(idx, lambda i: F.try_element_at(F.col("_mp"), i)).alias("P"),
-                    F.transform(idx, lambda i: F.try_element_at(F.col("_mb"), i)).alias("B"))
+    wide = contribution_table(probs, backoffs, unk, labels)
     if materialize_tables:
         wide = materialize(wide)
     return LMModel(order, labels, probs, backoffs, unk, wide, unk_wide)
 
 
+def contribution_table(probs: DataFrame, backoffs: DataFrame, unk: DataFrame,
+                       labels: list[str]) -> DataFrame:
+    """(unit, gram, C vector over labels) such that the log10 score of a
+    sentence under label j is  n_positions * log10 p_j(<unk>) + sum over
+    every n-gram occurrence g of C_j(g)  (with the context "<s>").
+
+    Derivation: at a position with matched grams g_1..g_m (suffix-closed),
+    log p(g_m) = log p(<unk>) + sum_l [log p(g_l) - log p(g_(l-1))] and the
+    back-offs of contexts m..L equal all contexts 1..L minus the prefixes of
+    g_2..g_m. Hence C(g) = [g in P] (log p(g) - log p(suffix g) - log b(prefix g))
+    + [g is a context] log b(g), with log p(suffix of a unigram) = log p(<unk>)
+    and log b(prefix of a unigram) = 0; absent terms are 0."""
+    lab_arr = F.array(*[F.lit(x) for x in labels])
+    K = len(labels)
+    suf = probs.select("unit", "label", F.col("gram").alias("_suf"), F.col("logp").alias("_lps"))
+    pre = backoffs.select("unit", "label", F.col("gram").alias("_pre"), F.col("logb").alias("_lbp"))
+    a = (probs.withColumn("_suf", suffix_of("gram")).withColumn("_pre", prefix_of("gram"))
+              .join(suf, on=["unit", "label", "_suf"], how="left")
+              .join(pre, on=["unit", "label", "_pre"], how="left")
+              .join(F.broadcast(unk), on=["unit", "label"], how="inner")
+              .select("unit", "label", "gram",
+                      (F.col("logp") - F.when(F.col("n") == 1, F.col("logp_unk")).otherwise(F.col("_lps"))
+                       - F.coalesce(F.col("_lbp"), F.lit(0.0))).alias("c")))
+    c = a.unionByName(backoffs.select("unit", "label", "gram", F.col("logb").alias("c")))
+    c = (c.groupBy("unit", "gram", "label").agg(F.sum("c").alias("c"))
+          .withColumn("i", (F.array_position(lab_arr, F.col("label")) - 1).cast("int")))
+    w = c.groupBy("unit", "gram").agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("_m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(K - 1)),
+                        lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
+    return w.select("unit", "gram", array_to_vector(dense).alias("C"))
+
+
 def score(model: LMModel, df: DataFrame, keys: list[str], unit: str, toks: Column) -> DataFrame:
     """(keys, scores array<double>): log10 probability of each row's token
-    sequence under every label's LM (sorted label order).
-
-    Plan: n-grams of each row are exploded with their end position, joined
-    once with the wide model (shuffle by n-gram, skew split by AQE), each
-    match emits a probability role at its own position and a back-off role
-    at the next position, the roles of one position are combined by the
-    back-off recursion, and positions are summed per row."""
+    sequence (with <s>, </s>) under every label's LM, in sorted label order.
+
+    Plan: the row's n-grams (orders 1..N, plus the context "<s>") are
+    counted per row (no shuffle: grouped with the row keys), joined once
+    with the per-gram contribution vectors (shuffle by n-gram; AQE splits
+    hot grams), and summed per row with a count-weighted vector sum that is
+    combined map-side. Work is linear in the n-gram occurrences whatever
+    the number of labels; no per-position gathering."""
     N, K = model.order, len(model.labels)
     unk = model.unk_wide[unit]
     s = df.select(*keys, toks.alias("_toks")).withColumn("_t", bounded(F.col("_toks")))
     npos = s.select(*keys, (F.size("_t") - 1).alias("_npos"))
-    grams = s.select(*keys, F.explode(_grams_col(N)).alias("g")).select(
-        *keys, F.col("g.n").alias("n"), F.col("g.gram").alias("gram"), F.col("g.end").alias("end"))
-    # the context "<s>" (end position 1) is needed for back-offs only
-    starts = s.select(*keys, F.lit(1).alias("n"), F.lit(BOS).alias("gram"), F.lit(1).alias("end"))
-    grams = grams.unionByName(starts)
+    grams = s.select(*keys, F.explode(F.concat(F.array(F.lit(BOS)),
+                                               F.transform(_grams_col(N), lambda g: g["gram"]))).alias("gram"))
+    cnt = grams.groupBy(*keys, "gram").agg(F.count(F.lit(1)).cast("double").alias("_w"))
     wide = model.wide.where(F.col("unit") == unit).drop("unit")
-    m = grams.join(wide, on="gram", how="inner")
-    present = lambda a: F.exists(a, lambda x: x.isNotNull())
-    roles = m.where((F.col("gram") != BOS) & present(F.col("P"))).select(
-        *keys, F.col("end").alias("pos"), F.col("n").alias("len"), F.lit(0).alias("role"),
-        F.col("P").alias("arr"))
-    roles = roles.unionByName(
-        m.where(present(F.col("B"))).select(
-            *keys, (F.col("end") + 1).alias("pos"), (F.col("n") + 1).alias("len"),
-            F.lit(1).alias("role"), F.col("B").alias("arr")))
-    per = (roles.groupBy(*keys, "pos")
-                .agg(F.map_from_entries(F.collect_list(
-                    F.struct((F.col("role") * 100 + F.col("len")).alias("k"), F.col("arr")))).alias("_m")))
-    # recursion over lengths 1..N: s_l = P_l if present else (B_l or 0) + s_(l-1)
+    summed = (cnt.join(wide, on="gram", how="inner")
+                 .groupBy(*keys).agg(Summarizer.sum(F.col("C"), F.col("_w")).alias("_v")))
     unk_arr = F.array(*[F.lit(float(v)) for v in unk])
     zero = F.array(*[F.lit(0.0)] * K)
-
-    def step(acc, l):
-        p = F.coalesce(F.try_element_at(F.col("_m"), l), F.array(*[F.lit(None).cast("double")] * K))
-        b = F.coalesce(F.try_element_at(F.col("_m"), l + 100), F.array(*[F.lit(None).cast("double")] * K))
-        return F.zip_with(F.arrays_zip(p, b), acc,
-                          lambda pb, a: F.coalesce(pb["0"], F.coalesce(pb["1"], F.lit(0.0)) + a))
-
-    # positions beyond the row's context length only meet absent entries,
-    # which leave the accumulator unchanged, so a fixed N-step fold is exact
-    pos_score = per.select(*keys, "pos", F.aggregate(F.sequence(F.lit(1), F.lit(N)), unk_arr, step).alias("s"))
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-    summed = (pos_score.groupBy(*keys)
-                       .agg(Summarizer.sum(array_to_vector("s")).alias("_v"),
-                            F.count(F.lit(1)).alias("_seen")))
-    out = (npos.join(summed, on=keys, how="left")
-               .select(*keys,
-                       F.zip_with(
-                           F.coalesce(vector_to_array("_v"), zero), unk_arr,
-                           lambda v, u: v + (F.col("_npos") - F.coalesce(F.col("_seen"), F.lit(0))) * u
-                       ).alias("scores")))
-    return out
+    vec = F.when(F.col("_v").isNotNull(), vector_to_array(F.col("_v"))).otherwise(zero)
+    return (npos.join(summed, on=keys, how="left")
+                .select(*keys, F.zip_with(vec, unk_arr, lambda v, u: v + F.col("_npos") * u).alias("scores")))
 
 
 def normalize_exp(scores: Column) -> Column:

@@ -150,11 +150,12 @@ def _posteriors(model: NBModel) -> Column:
     return F.transform(post, lambda v: v / tot)
 
 
-def nb_proba(margins: DataFrame, keys: list[str], model: NBModel) -> DataFrame:
+def nb_proba(margins: DataFrame, keys: list[str], model: NBModel,
+             label_out: str = "label") -> DataFrame:
     """Long (keys, label, proba): posteriors normalised to sum 1."""
     labels = model.labels_col()
     return (margins.select(*keys, F.posexplode(_posteriors(model)).alias("_i", "proba"))
-                   .select(*keys, labels[F.col("_i")].alias("label"), "proba"))
+                   .select(*keys, labels[F.col("_i")].alias(label_out), "proba"))
 
 
 def nb_top(margins: DataFrame, keys: list[str], model: NBModel) -> DataFrame:

@@ -109,8 +109,8 @@ def feature_table(fitted: FittedModel, df: DataFrame, keys: list[str]) -> DataFr
 def proba_block(sub: FittedModel, df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """Class probabilities of a fitted sub-model as features ``name:label``."""
     m = margins(sub, df, keys)
-    p = nbo.nb_proba(m, keys, sub.nb)
-    return p.select(*keys, F.concat(F.lit(name + ":"), F.col("label")).alias("feature"),
+    p = nbo.nb_proba(m, keys, sub.nb, label_out="_cls")
+    return p.select(*keys, F.concat(F.lit(name + ":"), F.col("_cls")).alias("feature"),
                     F.col("proba").alias("value"))
 
 
