@@ -114,3 +114,19 @@ def test_scoring_matches_brute_force(spark):
     got = {r["id"]: r["scores"][m.labels.index("x")] for r in sc.collect()}
     for i, s in enumerate(tests):
         assert abs(got[i] - brute_score(p, bo, V, s, N)) < 1e-9, (s, got[i])
+
+
+def test_char_unit_scoring_matches_brute_force(spark):
+    N = 3
+    texts = ["ab ba", "abc", "b a c", "aab"]
+    chars = [" ".join(t.replace(" ", "X")) for t in texts]      # the char stream
+    rows = [("char", "x", list(t.replace(" ", "X"))) for t in texts]
+    m = L.fit_lm(spark.createDataFrame(rows, "unit string, label string, toks array<string>"), N,
+                 materialize_tables=False)
+    p, bo, V = brute_kn(chars, N)
+    tests = ["ab", "ca b", "zz a"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(tests)], "id long, t string")
+    sc = L.score(m, df, ["id"], "char", L.unit_tokens(F.col("t"), "char"))
+    got = {r["id"]: r["scores"][0] for r in sc.collect()}
+    for i, s in enumerate(tests):
+        assert abs(got[i] - brute_score(p, bo, V, " ".join(s.replace(" ", "X")), N)) < 1e-9

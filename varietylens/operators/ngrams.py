@@ -75,3 +75,57 @@ def term_counts(df: DataFrame, keys: list[str], terms: Column, term_col: str = "
     partitioned by its leading key needs no shuffle here."""
     return (df.select(*keys, F.explode(terms).alias(term_col))
               .groupBy(*keys, term_col).agg(F.count(F.lit(1)).alias(count_col)))
+
+
+# Character n-grams as exact integer codes: each code point + 1 takes 21
+# bits, so an n-gram of up to 3 characters is one long (no collisions, and
+# lengths are distinguishable because every component is >= 1). Counting
+# on longs avoids building a string per occurrence; the string of each
+# counted term is decoded once after the aggregation.
+CP_BITS = 21
+CP_MASK = (1 << CP_BITS) - 1
+
+
+def char_codes(c) -> Column:
+    """Code point + 1 of every character unit (whitespace runs collapsed)."""
+    return F.transform(char_units(c), lambda ch: F.ascii(ch).cast("long") + 1)
+
+
+def code_grams_of(arr_col: str, lo: int, hi: int) -> Column:
+    """Integer codes of the n-grams lo..hi (hi <= 3) of a code array."""
+    if hi > 3:
+        raise ValueError("integer-coded char n-grams support n <= 3")
+    arr = F.col(arr_col)
+
+    def code(n):
+        def at(i):
+            out = arr[i]
+            for k in range(1, n):
+                out = out * F.lit(1 << CP_BITS) + arr[i + k]
+            return out
+        if n == 1:
+            return arr
+        return F.when(F.size(arr) >= n, F.transform(F.sequence(F.lit(0), F.size(arr) - n), at)) \
+                .otherwise(F.array().cast("array<long>"))
+    return F.flatten(F.array(*[code(n) for n in range(lo, hi + 1)]))
+
+
+def decode_char_gram(code: Column) -> Column:
+    """Integer code -> the n-gram string."""
+    def ch(shift):
+        cp = F.shiftright(code, shift).bitwiseAND(F.lit(CP_MASK)) - 1
+        return F.decode(F.unhex(F.lpad(F.hex(cp), 8, "0")), "UTF-32")
+    three = F.concat(ch(2 * CP_BITS), ch(CP_BITS), ch(0))
+    two = F.concat(ch(CP_BITS), ch(0))
+    return (F.when(code >= F.lit(1 << (2 * CP_BITS)), three)
+             .when(code >= F.lit(1 << CP_BITS), two)
+             .otherwise(ch(0)))
+
+
+def char_term_counts(df: DataFrame, keys: list[str], text_col: str, lo: int, hi: int) -> DataFrame:
+    """(keys, term, tf) of character n-grams lo..hi, counted on integer
+    codes and decoded after the aggregation."""
+    codes = df.select(*keys, char_codes(text_col).alias("_cp"))
+    counted = (codes.select(*keys, F.explode(code_grams_of("_cp", lo, hi)).alias("_code"))
+                    .groupBy(*keys, "_code").agg(F.count(F.lit(1)).alias("tf")))
+    return counted.select(*keys, decode_char_gram(F.col("_code")).alias("term"), "tf")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from ..operators import nb as nbo
 from ..operators.evaluate import levels_eval
 from ..operators.joins import known_rows, with_rows
-from ..operators.ngrams import char_units, grams_of, term_counts, word_units
+from ..operators.ngrams import char_term_counts, char_units, grams_of, term_counts, word_units
 from ..operators.tfidf import fit_idf, tfidf_values
 from ..session import materialize
 from .corpus import profile_text
@@ -65,10 +65,12 @@ def _prep(df: DataFrame, spec: ModelSpec) -> DataFrame:
 def block_tf(block: str, spec: ModelSpec, prepped: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, term, tf) of one TF-IDF block."""
     if block == "w":
-        units, (lo, hi), sep = word_units(TEXT), spec.word, " "
-    else:
-        units, (lo, hi), sep = char_units(TEXT), spec.char, ""
-    return term_counts(prepped.withColumn("_u", units), keys, grams_of("_u", lo, hi, sep))
+        lo, hi = spec.word
+        return term_counts(prepped.withColumn("_u", word_units(TEXT)), keys, grams_of("_u", lo, hi, " "))
+    lo, hi = spec.char
+    if hi <= 3:
+        return char_term_counts(prepped, keys, TEXT, lo, hi)
+    return term_counts(prepped.withColumn("_u", char_units(TEXT)), keys, grams_of("_u", lo, hi, ""))
 
 
 def _blocks(spec: ModelSpec) -> list[str]:
