@@ -151,12 +151,16 @@ def estimate(sents: DataFrame, order: int, materialize_tables: bool = True) -> t
                  F.sum(F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2"))
                         .when(F.col("a") >= 3, F.col("d3")).otherwise(0.0)).alias("dmass")))
     ctx = ctx.withColumn("b", F.col("dmass") / F.col("den"))
+    if materialize_tables:
+        ctx = materialize(ctx)          # read by u, the unigram base and the back-offs
     u = (a.join(ctx.select("unit", "label", "n", "h", "den", "b"), on=["unit", "label", "n", "h"])
           .withColumn("u", (F.col("a") - F.col("D")) / F.col("den"))
           .select("unit", "label", "n", "gram", "u", "b"))
+    if materialize_tables:
+        u = materialize(u)              # read once per order
     # unigram level: uniform base over |V| = #unigrams + 1
-    vsize = (counts.where(F.col("n") == 1).groupBy("unit", "label")
-                   .agg((F.count(F.lit(1)) + 1).alias("V")))
+    vsize = (adj.where(F.col("n") == 1).groupBy("unit", "label")
+                .agg((F.count(F.lit(1)) + 1).alias("V")))
     b0 = ctx.where(F.col("n") == 1).select("unit", "label", F.col("b").alias("b0"))
     base = vsize.join(b0, on=["unit", "label"])
     p = (u.where(F.col("n") == 1).join(F.broadcast(base), on=["unit", "label"])
