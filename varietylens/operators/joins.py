@@ -56,11 +56,12 @@ def anti_join(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 def label_encode(df: DataFrame, label_col: str, out_col: str = "label_id") -> DataFrame:
     """Label -> dense integer id in sorted label order (0-based). The label
-    vocabulary is aggregated (distinct labels, bounded by the label set),
-    ranked, and joined back."""
+    vocabulary is aggregated first (distinct labels: the label set, not the
+    rows), ranked in one small window, and joined back (broadcast only under
+    the row bound)."""
     vocab = (df.select(label_col).where(F.col(label_col).isNotNull()).distinct()
                .withColumn(out_col, F.dense_rank().over(Window.orderBy(label_col)) - 1))
-    return df.join(F.broadcast(vocab), on=label_col, how="left")
+    return df.join(sized_broadcast(vocab), on=label_col, how="left")
 
 
 def first_match_join(df: DataFrame, side: DataFrame, key: str, order_col: str) -> DataFrame:

@@ -94,10 +94,32 @@ def extra_blocks(fitted: FittedModel, df: DataFrame, prepped: DataFrame,
         parts.append(lm_feature_block(fitted.lms, fitted.lm_labels, prepped, keys, TEXT,
                                       fitted.spec.lm_order))
     for name, sub in fitted.stacked:
-        parts.append(proba_block(sub, df, keys, name))
+        if isinstance(sub, PrecomputedBlock):
+            parts.append(df.select(*keys).join(sub.table, on=sub.keys, how="inner")
+                           .select(*keys, "feature", "value"))
+        else:
+            parts.append(proba_block(sub, df, keys, name))
     return parts
 
 
+@dataclass
+class PrecomputedBlock:
+    """A stacked model's probability block computed once for every row it
+    will be asked about (materialised), reused by several main-model fits."""
+    table: DataFrame          # keys, feature, value
+    keys: list
+    n_labels: int
+
+    @property
+    def labels(self) -> list:
+        return [None] * self.n_labels
+
+
+def precompute_block(sub: FittedModel, rows: DataFrame, keys: list[str], name: str) -> PrecomputedBlock:
+    tbl = materialize(proba_block(sub, rows, keys, name))
+    return PrecomputedBlock(tbl, list(keys), len(sub.labels))
+
+
 def feature_table(fitted: FittedModel, df: DataFrame, keys: list[str]) -> DataFrame:
     """All feature blocks of ``df`` rows, in fitted vocabulary only."""
     prepped = _prep(df, fitted.spec)
