@@ -130,3 +130,20 @@ def test_char_unit_scoring_matches_brute_force(spark):
     got = {r["id"]: r["scores"][0] for r in sc.collect()}
     for i, s in enumerate(tests):
         assert abs(got[i] - brute_score(p, bo, V, " ".join(s.replace(" ", "X")), N)) < 1e-9
+
+
+def test_sparse_contributions_match_brute_force(spark, monkeypatch):
+    """Grams seen by fewer labels than the dense threshold take the sparse
+    (row) path; scores must not change."""
+    monkeypatch.setattr(L, "DENSE_SHARE", 1)      # threshold = K: partial grams go sparse
+    N = 3
+    m = L.fit_lm(_sents(spark), N, materialize_tables=False)
+    dense, sparse = m.contributions()
+    assert sparse.count() > 0 and dense.count() > 0
+    p, bo, V = brute_kn(CORPUS, N)
+    tests = ["a b c", "c c c a", "a z b"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(tests)], "id long, t string")
+    sc = L.score(m, df, ["id"], "word", L.unit_tokens(F.col("t"), "word"))
+    got = {r["id"]: r["scores"][m.labels.index("x")] for r in sc.collect()}
+    for i, s in enumerate(tests):
+        assert abs(got[i] - brute_score(p, bo, V, s, N)) < 1e-9

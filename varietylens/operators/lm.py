@@ -29,7 +29,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CHAR_SPACE
@@ -44,6 +44,7 @@ SEP = " "
 FALLBACK = (0.5, 1.0, 1.5)
 UNITS = ("word", "char")
 MAX_MODELS = 200_000                  # (unit, label) pairs held as literal arrays
+DENSE_SHARE = 8                       # a gram seen by >= K/8 labels is stored dense
 
 
 def unit_tokens(text: Column, unit: str) -> Column:
@@ -133,8 +134,20 @@ class LMModel:
     probs: DataFrame         # unit, label, n, gram, logp
     backoffs: DataFrame      # unit, label, gram, logb
     unk: DataFrame           # unit, label, logp_unk
-    wide: DataFrame          # unit, gram, C vector over labels (additive contributions)
     unk_wide: dict           # unit -> list[float] log10 p(<unk>) per label
+    materialize_tables: bool = True
+    _contrib: tuple | None = None
+
+    def contributions(self) -> tuple:
+        """(dense, sparse) additive contribution tables, built on first use:
+        dense (unit, gram, C vector) for n-grams seen by many labels, sparse
+        (unit, gram, i, c) rows for the others."""
+        if self._contrib is None:
+            dense, sparse = contribution_tables(self.probs, self.backoffs, self.unk, self.labels)
+            if self.materialize_tables:
+                dense, sparse = materialize(dense), materialize(sparse)
+            self._contrib = (dense, sparse)
+        return self._contrib
 
 
 def estimate(sents: DataFrame, order: int, materialize_tables: bool = True) -> tuple:
@@ -192,7 +205,7 @@ def fit_lm(sents: DataFrame, order: int, materialize_tables: bool = True) -> LMM
     """sents: (unit, label, toks)."""
     probs, backoffs, unk, _ = estimate(sents, order, materialize_tables)
     if materialize_tables:
-        probs, backoffs, unk = materialize(probs), materialize(backoffs), materialize(unk)
+        unk = materialize(unk)
     if unk.count() > MAX_MODELS:
         raise ValueError("too many (unit, label) models for one LM table")
     unk_rows = unk.collect()          # units x labels rows (bounded above)
@@ -201,14 +214,11 @@ def fit_lm(sents: DataFrame, order: int, materialize_tables: bool = True) -> LMM
     unk_wide = {}
     for r in unk_rows:
         unk_wide.setdefault(r["unit"], [float("-inf")] * len(labels))[pos[r["label"]]] = r["logp_unk"]
-    wide = contribution_table(probs, backoffs, unk, labels)
-    if materialize_tables:
-        wide = materialize(wide)
-    return LMModel(order, labels, probs, backoffs, unk, wide, unk_wide)
+    return LMModel(order, labels, probs, backoffs, unk, unk_wide, materialize_tables)
 
 
-def contribution_table(probs: DataFrame, backoffs: DataFrame, unk: DataFrame,
-                       labels: list[str]) -> DataFrame:
+def contribution_tables(probs: DataFrame, backoffs: DataFrame, unk: DataFrame,
+                        labels: list[str]) -> tuple:
     """(unit, gram, C vector over labels) such that the log10 score of a
     sentence under label j is  n_positions * log10 p_j(<unk>) + sum over
     every n-gram occurrence g of C_j(g)  (with the context "<s>").
@@ -233,10 +243,18 @@ def contribution_table(probs: DataFrame, backoffs: DataFrame, unk: DataFrame,
     c = a.unionByName(backoffs.select("unit", "label", "gram", F.col("logb").alias("c")))
     c = (c.groupBy("unit", "gram", "label").agg(F.sum("c").alias("c"))
           .withColumn("i", (F.array_position(lab_arr, F.col("label")) - 1).cast("int")))
-    w = c.groupBy("unit", "gram").agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("_m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(K - 1)),
-                        lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
-    return w.select("unit", "gram", array_to_vector(dense).alias("C"))
+    # grams seen by many labels are stored as one dense vector, the rest as
+    # (gram, label index, value) rows: neither side grows with K x vocabulary
+    nlab = F.count(F.lit(1)).over(Window.partitionBy("unit", "gram"))
+    c = c.withColumn("_nlab", nlab)
+    thresh = max(1, K // DENSE_SHARE)
+    w = (c.where(F.col("_nlab") >= thresh).groupBy("unit", "gram")
+          .agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("_m")))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(K - 1)),
+                      lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
+    dense = w.select("unit", "gram", array_to_vector(vec).alias("C"))
+    sparse = c.where(F.col("_nlab") < thresh).select("unit", "gram", "i", "c")
+    return dense, sparse
 
 
 def score(model: LMModel, df: DataFrame, keys: list[str], unit: str, toks: Column) -> DataFrame:
@@ -256,14 +274,23 @@ def score(model: LMModel, df: DataFrame, keys: list[str], unit: str, toks: Colum
     grams = s.select(*keys, F.explode(F.concat(F.array(F.lit(BOS)),
                                                F.transform(_grams_col(N), lambda g: g["gram"]))).alias("gram"))
     cnt = grams.groupBy(*keys, "gram").agg(F.count(F.lit(1)).cast("double").alias("_w"))
-    wide = model.wide.where(F.col("unit") == unit).drop("unit")
-    summed = (cnt.join(wide, on="gram", how="inner")
-                 .groupBy(*keys).agg(Summarizer.sum(F.col("C"), F.col("_w")).alias("_v")))
+    dense, sparse = model.contributions()
+    dense = dense.where(F.col("unit") == unit).drop("unit")
+    sparse = sparse.where(F.col("unit") == unit).drop("unit")
+    dsum = (cnt.join(dense, on="gram", how="inner")
+               .groupBy(*keys).agg(Summarizer.sum(F.col("C"), F.col("_w")).alias("_v")))
+    ssum = (cnt.join(sparse, on="gram", how="inner")
+               .groupBy(*keys, "i").agg(F.sum(F.col("_w") * F.col("c")).alias("_s"))
+               .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "_s"))).alias("_sm")))
     unk_arr = F.array(*[F.lit(float(v)) for v in unk])
     zero = F.array(*[F.lit(0.0)] * K)
     vec = F.when(F.col("_v").isNotNull(), vector_to_array(F.col("_v"))).otherwise(zero)
-    return (npos.join(summed, on=keys, how="left")
-                .select(*keys, F.zip_with(vec, unk_arr, lambda v, u: v + F.col("_npos") * u).alias("scores")))
+    out = (npos.join(dsum, on=keys, how="left").join(ssum, on=keys, how="left")
+               .withColumn("_dv", vec))
+    total = F.transform(F.sequence(F.lit(0), F.lit(K - 1)),
+                        lambda i: F.col("_dv")[i] + F.col("_npos") * unk_arr[i]
+                        + F.coalesce(F.try_element_at(F.col("_sm"), i), F.lit(0.0)))
+    return out.select(*keys, total.alias("scores"))
 
 
 def normalize_exp(scores: Column) -> Column:
