@@ -49,3 +49,23 @@ def test_two_class_prediction_rule(spark):
     mg = nbo.nb_margins(x.drop("label"), docs, ["doc"], m)
     pred = {r["doc"]: r["pred"] for r in nbo.nb_predict(mg, ["doc"], m).collect()}
     assert pred == {0: "a", 1: "b", 2: "a"}
+
+
+def test_sparse_features_path(spark, monkeypatch):
+    """Features seen by fewer classes than the dense threshold are kept as
+    (feature, class) rows; margins must not change."""
+    monkeypatch.setattr(nbo, "DENSE_SHARE", 1)
+    rng = np.random.default_rng(1)
+    n, F_, classes = 30, 10, ["a", "b", "c"]
+    X = rng.poisson(0.5, size=(n, F_)).astype(float)
+    y = np.array([classes[i % 3] for i in range(n)])
+    X[y != "a", 0] = 0.0                       # feature 0 only ever seen by class a
+    rows = [(i, str(y[i]), f"f{j}", float(X[i, j])) for i in range(n) for j in range(F_) if X[i, j] > 0]
+    x = spark.createDataFrame(rows, "doc long, label string, feature string, value double")
+    docs = spark.createDataFrame([(i, str(y[i])) for i in range(n)], "doc long, label string")
+    m = nbo.nb_fit(x, docs, "label", F_, materialize_tables=False)
+    assert m.sparse.count() > 0
+    got = {r["doc"]: r["margins"] for r in nbo.nb_margins(x.drop("label"), docs, ["doc"], m).collect()}
+    want = numpy_ovr_nb(X, y, classes)
+    for i in range(n):
+        assert np.allclose(got[i], want[i], rtol=1e-12, atol=1e-9)

@@ -52,13 +52,14 @@ def unit_tokens(text: Column, unit: str) -> Column:
     the text with spaces shown as ``X``."""
     if unit == "word":
         return F.filter(F.split(text, r"\s+"), lambda t: t != "")
-    chars = F.split(F.replace(text, F.lit(" "), F.lit(CHAR_SPACE)), "")
-    return F.filter(chars, lambda c: c.rlike(r"^\S$"))
+    # spaces shown as X, any other whitespace dropped (one regex per line)
+    stream = F.regexp_replace(F.replace(text, F.lit(" "), F.lit(CHAR_SPACE)), r"\s", "")
+    return F.filter(F.split(stream, ""), lambda c: c != "")
 
 
 def _grams_col(order: int) -> Column:
-    """(n, gram, end) structs of every n-gram ending at token positions
-    2..M of the bounded array ``_t`` (1-based), n = 1..min(N, end)."""
+    """(n, gram) structs of every n-gram ending at token positions 2..M of
+    the bounded array ``_t`` (1-based), n = 1..min(N, end)."""
     t = F.col("_t")
 
     def gram(e, n):
@@ -68,7 +69,7 @@ def _grams_col(order: int) -> Column:
         F.sequence(F.lit(2), F.size(t)),
         lambda e: F.transform(
             F.sequence(F.lit(1), F.least(F.lit(order), e)),
-            lambda n: F.struct(n.alias("n"), gram(e, n).alias("gram"), e.alias("end")))))
+            lambda n: F.struct(n.alias("n"), gram(e, n).alias("gram")))))
 
 
 def bounded(toks: Column) -> Column:

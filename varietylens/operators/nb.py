@@ -37,6 +37,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 
 MAX_CLASSES = 100_000
+DENSE_SHARE = 8          # a feature seen by >= K/8 classes is stored as a dense vector
 
 
 @dataclass
@@ -46,8 +47,10 @@ class NBModel:
     k: list[float]              # k[c]
     n_docs: list[int]           # n_c
     n_features: int             # F
-    feat: DataFrame             # feature, lnT1, dvec (dense class vector of deltas)
+    feat: DataFrame             # feature, lnT1
     stats: DataFrame            # label, feature, S (S > 0 only)
+    dense: DataFrame = None     # feature, dvec (class vector of deltas) for common features
+    sparse: DataFrame = None    # feature, i, d for features seen by few classes
 
     def labels_col(self) -> Column:
         return F.array(*[F.lit(x) for x in self.labels])
@@ -78,47 +81,59 @@ def nb_fit(x: DataFrame, docs: DataFrame, label_col: str, n_features: int,
         k.append(math.log(T - r["S_c"] + n_features) - math.log(r["S_c"] + n_features))
     lab_arr = F.array(*[F.lit(v) for v in labels])
     K = len(labels)
-    T_f = F.sum("S").over(Window.partitionBy("feature"))
-    per = (S.withColumn("T_f", T_f)
+    wf = Window.partitionBy("feature")
+    per = (S.withColumn("T_f", F.sum("S").over(wf))
+            .withColumn("_nlab", F.count(F.lit(1)).over(wf))
             .withColumn("delta", F.ln(F.col("S") + 1) - F.ln(F.col("T_f") - F.col("S") + 1)
                         + F.ln(F.col("T_f") + 1))
-            .withColumn("i", (F.array_position(lab_arr, F.col(label_col)) - 1).cast("int"))
-            .groupBy("feature")
-            .agg(F.ln(F.first("T_f") + 1).alias("lnT1"),
-                 F.map_from_entries(F.collect_list(F.struct("i", "delta"))).alias("_m")))
-    # dense class vector per feature (0 where the class never saw it): the
-    # apply step is then one weighted vector sum per document
-    dense = F.transform(F.sequence(F.lit(0), F.lit(K - 1)),
-                        lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
-    feat = per.select("feature", "lnT1", array_to_vector(dense).alias("dvec"))
+            .withColumn("i", (F.array_position(lab_arr, F.col(label_col)) - 1).cast("int")))
     if materialize_tables:
-        feat = materialize(feat)
-    return NBModel(labels, log_prior, k, [r["n_c"] for r in cls], n_features, feat, S)
+        per = materialize(per)
+    feat = per.groupBy("feature").agg(F.ln(F.first("T_f") + 1).alias("lnT1"))
+    # a feature seen by many classes keeps one dense class vector (0 where a
+    # class never saw it); the others keep (feature, class, delta) rows, so
+    # the model never holds classes x vocabulary
+    thresh = max(1, K // DENSE_SHARE)
+    dm = (per.where(F.col("_nlab") >= thresh).groupBy("feature")
+             .agg(F.map_from_entries(F.collect_list(F.struct("i", "delta"))).alias("_m")))
+    vec = F.transform(F.sequence(F.lit(0), F.lit(K - 1)),
+                      lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
+    dense = dm.select("feature", array_to_vector(vec).alias("dvec"))
+    sparse = per.where(F.col("_nlab") < thresh).select("feature", "i", F.col("delta").alias("d"))
+    if materialize_tables:
+        feat, dense, sparse = materialize(feat), materialize(dense), materialize(sparse)
+    return NBModel(labels, log_prior, k, [r["n_c"] for r in cls], n_features, feat, S, dense, sparse)
 
 
 def nb_margins(x: DataFrame, docs: DataFrame, keys: list[str], model: NBModel) -> DataFrame:
     """(keys, margins array<double>) for every row of ``docs``; x holds the
     (normalised) feature values of those documents.
 
-    One join of x with the per-feature model row, then per document:
-    X = sum x, Z = sum x ln(T+1), D = sum x * dvec (a weighted vector sum,
-    combined map-side) -- no (document, class) row explosion."""
+    Per document: X = sum x, Z = sum x ln(T+1) (join with the feature
+    table), D = sum x * dvec over dense features (a weighted vector sum,
+    combined map-side) plus sum x * delta over sparse (feature, class) rows
+    -- no (document, class) row explosion for common features."""
     K = len(model.labels)
     X = x.groupBy(*keys).agg(F.sum("value").alias("_X"))
-    j = x.join(model.feat, on="feature", how="inner")
-    sums = (j.groupBy(*keys)
-             .agg(F.sum(F.col("value") * F.col("lnT1")).alias("_Z"),
-                  Summarizer.sum(F.col("dvec"), F.col("value")).alias("_D")))
+    Z = (x.join(model.feat, on="feature", how="inner")
+          .groupBy(*keys).agg(F.sum(F.col("value") * F.col("lnT1")).alias("_Z")))
+    Dd = (x.join(model.dense, on="feature", how="inner")
+           .groupBy(*keys).agg(Summarizer.sum(F.col("dvec"), F.col("value")).alias("_D")))
+    Ds = (x.join(model.sparse, on="feature", how="inner")
+           .groupBy(*keys, "i").agg(F.sum(F.col("value") * F.col("d")).alias("_s"))
+           .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "_s"))).alias("_sm")))
     b = F.array(*[F.lit(float(v)) for v in model.log_prior])
     k = F.array(*[F.lit(float(v)) for v in model.k])
-    d = (docs.select(*keys).join(X, on=keys, how="left").join(sums, on=keys, how="left")
+    d = (docs.select(*keys).join(X, on=keys, how="left").join(Z, on=keys, how="left")
+             .join(Dd, on=keys, how="left").join(Ds, on=keys, how="left")
              .withColumn("_X", F.coalesce(F.col("_X"), F.lit(0.0)))
              .withColumn("_Z", F.coalesce(F.col("_Z"), F.lit(0.0)))
              .withColumn("_Da", F.when(F.col("_D").isNotNull(), vector_to_array(F.col("_D")))
                                   .otherwise(F.array(*[F.lit(0.0)] * K))))
     margins = F.transform(
         F.sequence(F.lit(0), F.lit(K - 1)),
-        lambda i: b[i] + k[i] * F.col("_X") - F.col("_Z") + F.col("_Da")[i])
+        lambda i: b[i] + k[i] * F.col("_X") - F.col("_Z") + F.col("_Da")[i]
+        + F.coalesce(F.try_element_at(F.col("_sm"), i), F.lit(0.0)))
     return d.select(*keys, margins.alias("margins"))
 
 

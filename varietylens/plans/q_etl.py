@@ -430,3 +430,18 @@ def q_predictions_sink(spark, sf_dir):
     path = scratch(spark, "pred")
     sinks.write_predictions(gp, path)
     return readers.read_delimited(spark, path, "gold STRING, pred STRING")
+
+
+@register("scan_delimited", """
+SELECT c_custkey, c_name, c_acctbal FROM customer""")
+def q_scan_delimited(spark, sf_dir):
+    """Delimited scan with an explicit schema: a TSV folder holding the good
+    rows and malformed lines (wrong field count / type) reads back as the
+    good rows only (DROPMALFORMED)."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    path = scratch(spark, "delim")
+    c.write.option("sep", "\t").csv(path + "/good")
+    bad = c.select(F.concat_ws("\t", F.col("c_name"), F.lit("not-a-number"), F.lit("x")).alias("value"))
+    bad.unionByName(c.select(F.col("c_name").alias("value"))).write.text(path + "/bad")
+    return readers.read_delimited(spark, path + "/*", "c_custkey LONG, c_name STRING, c_acctbal DOUBLE",
+                                  header=False)

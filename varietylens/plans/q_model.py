@@ -235,3 +235,15 @@ def q_feature_blocks(spark, sf_dir):
     return (x.groupBy(F.split_part("feature", F.lit(":"), F.lit(1)).alias("feature_block"))
              .agg(F.count(F.lit(1)).alias("n_values"), F.countDistinct("feature").alias("n_features"),
                   F.round(F.sum(F.col("value") * F.col("value")), 6).alias("sum_sq")))
+
+
+@register("metrics_levels", _model_sql(
+    O.levels_ctes_tail("SELECT split, gold, pred FROM gp WHERE split = 'test'", "city")))
+def q_metrics_levels(spark, sf_dir):
+    """Metrics at city, country and region on the test split (the same rows
+    relabelled by dropping the leading label part)."""
+    fm = fitted(spark, sf_dir, FULL)
+    s = sentences(spark, sf_dir).where("split = 'test'")
+    p = model.predict(fm, s, KEYS)
+    gp = s.select(*KEYS, "split", F.col("label").alias("gold")).join(p, KEYS)
+    return round_metrics(levels_eval(gp, "city", extra_by=["split"]))
