@@ -31,13 +31,18 @@ def exact_rank(df: DataFrame, id_col: str, seed: int = 999,
     g = list(group_cols)
     keyed = (df.withColumn("_h", order_key(id_col, seed))
                .withColumn("_b", F.substring("_h", 1, bucket_hex)))
-    # (group, bucket) sizes: at most 16**bucket_hex rows per group
+    # (group, bucket) sizes: at most 16**bucket_hex rows per group, so the
+    # prefix sums below run over a bounded table (a constant group when the
+    # frame has no grouping columns), and the broadcast has a proven bound
     sizes = keyed.groupBy(*g, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    wcum = Window.partitionBy(*g).orderBy("_b").rowsBetween(
+    gg = g or ["_g"]
+    if not g:
+        sizes = sizes.withColumn("_g", F.lit(0))
+    wcum = Window.partitionBy(*gg).orderBy("_b").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     offsets = (sizes
                .withColumn("_off", F.sum("_cnt").over(wcum) - F.col("_cnt"))
-               .withColumn("_n", F.sum("_cnt").over(Window.partitionBy(*g)))
+               .withColumn("_n", F.sum("_cnt").over(Window.partitionBy(*gg)))
                .select(*g, "_b", "_off", "_n"))
     w = Window.partitionBy(*g, "_b").orderBy("_h", id_col)
     return (keyed.join(F.broadcast(offsets), on=[*g, "_b"], how="inner")

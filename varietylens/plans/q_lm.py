@@ -37,11 +37,11 @@ def lm_train_ctes(order: int, src: str = "tr") -> str:
 lms AS ({parts}),
 lme AS (SELECT unit, label, tk, unnest(generate_series(2, len(tk))) AS e FROM lms),
 lmg AS (SELECT unit, label, tk, e, unnest(generate_series(1, least({N}, e))) AS n FROM lme),
-counts AS (SELECT unit, label, n, array_to_string(tk[e - n + 1 : e], ' ') AS gram, count(*) AS c
+counts AS MATERIALIZED (SELECT unit, label, n, array_to_string(tk[e - n + 1 : e], ' ') AS gram, count(*) AS c
            FROM lmg GROUP BY ALL),
-ext AS (SELECT unit, label, n - 1 AS n, regexp_replace(gram, '^[^ ]+ ', '') AS gram, count(*) AS a_ext
+ext AS MATERIALIZED (SELECT unit, label, n - 1 AS n, regexp_replace(gram, '^[^ ]+ ', '') AS gram, count(*) AS a_ext
         FROM counts WHERE n >= 2 GROUP BY ALL),
-adj AS (SELECT c.unit, c.label, c.n, c.gram, c.c,
+adj AS MATERIALIZED (SELECT c.unit, c.label, c.n, c.gram, c.c,
                CASE WHEN c.n = {N} OR c.gram LIKE '<s> %' OR c.gram = '<s>' THEN c.c
                     ELSE coalesce(x.a_ext, 0) END AS a
         FROM counts c LEFT JOIN ext x USING (unit, label, n, gram)),
@@ -60,21 +60,21 @@ disc AS (SELECT unit, label, n,
                 CASE WHEN ok THEN r3 ELSE {L.FALLBACK[2]} END AS d3
          FROM (SELECT *, coalesce(r1 BETWEEN 0 AND 1 AND r2 BETWEEN 0 AND 2 AND r3 BETWEEN 0 AND 3
                                   AND NOT isnan(r1) AND NOT isnan(r2) AND NOT isnan(r3), false) AS ok FROM rr)),
-ad AS (SELECT a.*, CASE WHEN a.a = 1 THEN d.d1 WHEN a.a = 2 THEN d.d2 WHEN a.a >= 3 THEN d.d3 ELSE 0 END AS D,
+ad AS MATERIALIZED (SELECT a.*, CASE WHEN a.a = 1 THEN d.d1 WHEN a.a = 2 THEN d.d2 WHEN a.a >= 3 THEN d.d3 ELSE 0 END AS D,
               CASE WHEN a.n = 1 THEN '' ELSE regexp_replace(a.gram, ' [^ ]+$', '') END AS h
        FROM adj a JOIN disc d USING (unit, label, n)),
-ctx AS (SELECT unit, label, n, h, sum(a) AS den, sum(D) AS dmass, sum(D) / sum(a) AS b FROM ad GROUP BY ALL),
-uu AS (SELECT ad.unit, ad.label, ad.n, ad.gram, (ad.a - ad.D) / ctx.den AS u, ctx.b
+ctx AS MATERIALIZED (SELECT unit, label, n, h, sum(a) AS den, sum(D) AS dmass, sum(D) / sum(a) AS b FROM ad GROUP BY ALL),
+uu AS MATERIALIZED (SELECT ad.unit, ad.label, ad.n, ad.gram, (ad.a - ad.D) / ctx.den AS u, ctx.b
        FROM ad JOIN ctx USING (unit, label, n, h)),
 vs AS (SELECT unit, label, count(*) + 1 AS V FROM counts WHERE n = 1 GROUP BY ALL),
-base AS (SELECT vs.unit, vs.label, vs.V, ctx.b AS b0 FROM vs JOIN ctx ON ctx.unit = vs.unit
+base AS MATERIALIZED (SELECT vs.unit, vs.label, vs.V, ctx.b AS b0 FROM vs JOIN ctx ON ctx.unit = vs.unit
          AND ctx.label = vs.label AND ctx.n = 1),
-p1 AS (SELECT uu.unit, uu.label, uu.n, uu.gram, uu.u + base.b0 / base.V AS p
+p1 AS MATERIALIZED (SELECT uu.unit, uu.label, uu.n, uu.gram, uu.u + base.b0 / base.V AS p
        FROM uu JOIN base USING (unit, label) WHERE uu.n = 1)"""
     prev = "p1"
     for n in range(2, N + 1):
         ctes += f""",
-p{n} AS (SELECT uu.unit, uu.label, uu.n, uu.gram, uu.u + uu.b * lo.p AS p
+p{n} AS MATERIALIZED (SELECT uu.unit, uu.label, uu.n, uu.gram, uu.u + uu.b * lo.p AS p
         FROM uu JOIN {prev} lo ON lo.unit = uu.unit AND lo.label = uu.label
          AND lo.gram = regexp_replace(uu.gram, '^[^ ]+ ', '') WHERE uu.n = {n})"""
         prev = f"p{n}"
