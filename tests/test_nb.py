@@ -55,6 +55,7 @@ def test_sparse_features_path(spark, monkeypatch):
     """Features seen by fewer classes than the dense threshold are kept as
     (feature, class) rows; margins must not change."""
     monkeypatch.setattr(nbo, "DENSE_SHARE", 1)
+    monkeypatch.setattr(nbo, "DENSE_BUDGET_BYTES", 0)     # force the hybrid storage
     rng = np.random.default_rng(1)
     n, F_, classes = 30, 10, ["a", "b", "c"]
     X = rng.poisson(0.5, size=(n, F_)).astype(float)

@@ -37,7 +37,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 
 MAX_CLASSES = 100_000
-DENSE_SHARE = 8          # a feature seen by >= K/8 classes is stored as a dense vector
+DENSE_SHARE = 8          # hybrid storage: a feature seen by >= K/8 classes is dense
+DENSE_BUDGET_BYTES = 2 << 30   # all features dense while features x classes x 8 B fits
 
 
 @dataclass
@@ -89,10 +90,22 @@ def nb_fit(x: DataFrame, docs: DataFrame, label_col: str, n_features: int,
             .withColumn("i", (F.array_position(lab_arr, F.col(label_col)) - 1).cast("int")))
     if materialize_tables:
         per = materialize(per)
+    # Storage is chosen by size: when a dense class vector for every feature
+    # fits the budget, one table (feature, ln(T+1), vector) and one join at
+    # apply time; otherwise a feature seen by many classes keeps a dense
+    # vector and the others keep (feature, class, delta) rows, so the model
+    # never holds classes x vocabulary.
+    if n_features * K * 8 <= DENSE_BUDGET_BYTES:
+        dm = (per.groupBy("feature")
+                 .agg(F.ln(F.first("T_f") + 1).alias("lnT1"),
+                      F.map_from_entries(F.collect_list(F.struct("i", "delta"))).alias("_m")))
+        vec = F.transform(F.sequence(F.lit(0), F.lit(K - 1)),
+                          lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
+        feat = dm.select("feature", "lnT1", array_to_vector(vec).alias("dvec"))
+        if materialize_tables:
+            feat = materialize(feat)
+        return NBModel(labels, log_prior, k, [r["n_c"] for r in cls], n_features, feat, S, feat, None)
     feat = per.groupBy("feature").agg(F.ln(F.first("T_f") + 1).alias("lnT1"))
-    # a feature seen by many classes keeps one dense class vector (0 where a
-    # class never saw it); the others keep (feature, class, delta) rows, so
-    # the model never holds classes x vocabulary
     thresh = max(1, K // DENSE_SHARE)
     dm = (per.where(F.col("_nlab") >= thresh).groupBy("feature")
              .agg(F.map_from_entries(F.collect_list(F.struct("i", "delta"))).alias("_m")))
@@ -115,18 +128,31 @@ def nb_margins(x: DataFrame, docs: DataFrame, keys: list[str], model: NBModel) -
     -- no (document, class) row explosion for common features."""
     K = len(model.labels)
     X = x.groupBy(*keys).agg(F.sum("value").alias("_X"))
-    Z = (x.join(model.feat, on="feature", how="inner")
-          .groupBy(*keys).agg(F.sum(F.col("value") * F.col("lnT1")).alias("_Z")))
-    Dd = (x.join(model.dense, on="feature", how="inner")
-           .groupBy(*keys).agg(Summarizer.sum(F.col("dvec"), F.col("value")).alias("_D")))
-    Ds = (x.join(model.sparse, on="feature", how="inner")
-           .groupBy(*keys, "i").agg(F.sum(F.col("value") * F.col("d")).alias("_s"))
-           .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "_s"))).alias("_sm")))
+    if model.sparse is None:
+        # all-dense model: one join gives both Z and the vector sum
+        ZD = (x.join(model.feat, on="feature", how="inner")
+               .groupBy(*keys).agg(F.sum(F.col("value") * F.col("lnT1")).alias("_Z"),
+                                   Summarizer.sum(F.col("dvec"), F.col("value")).alias("_D")))
+        Z, Dd = ZD, None
+        Ds = None
+    else:
+        Z = (x.join(model.feat, on="feature", how="inner")
+              .groupBy(*keys).agg(F.sum(F.col("value") * F.col("lnT1")).alias("_Z")))
+        Dd = (x.join(model.dense, on="feature", how="inner")
+               .groupBy(*keys).agg(Summarizer.sum(F.col("dvec"), F.col("value")).alias("_D")))
+        Ds = (x.join(model.sparse, on="feature", how="inner")
+               .groupBy(*keys, "i").agg(F.sum(F.col("value") * F.col("d")).alias("_s"))
+               .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "_s"))).alias("_sm")))
     b = F.array(*[F.lit(float(v)) for v in model.log_prior])
     k = F.array(*[F.lit(float(v)) for v in model.k])
-    d = (docs.select(*keys).join(X, on=keys, how="left").join(Z, on=keys, how="left")
-             .join(Dd, on=keys, how="left").join(Ds, on=keys, how="left")
-             .withColumn("_X", F.coalesce(F.col("_X"), F.lit(0.0)))
+    d = docs.select(*keys).join(X, on=keys, how="left").join(Z, on=keys, how="left")
+    if Dd is not None:
+        d = d.join(Dd, on=keys, how="left")
+    if Ds is not None:
+        d = d.join(Ds, on=keys, how="left")
+    else:
+        d = d.withColumn("_sm", F.lit(None).cast("map<int,double>"))
+    d = (d.withColumn("_X", F.coalesce(F.col("_X"), F.lit(0.0)))
              .withColumn("_Z", F.coalesce(F.col("_Z"), F.lit(0.0)))
              .withColumn("_Da", F.when(F.col("_D").isNotNull(), vector_to_array(F.col("_D")))
                                   .otherwise(F.array(*[F.lit(0.0)] * K))))
