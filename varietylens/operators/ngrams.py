@@ -32,13 +32,6 @@ def _grams(arr: Column, n: int, sep: str) -> Column:
     ).otherwise(F.array().cast("array<string>"))
 
 
-def with_array(df: DataFrame, name: str, arr: Column) -> DataFrame:
-    """Project an array once so that n-gram lambdas read a column instead of
-    re-evaluating the split inside every lambda call (Spark does not share
-    sub-expressions across lambda invocations)."""
-    return df.withColumn(name, arr)
-
-
 def chars(c) -> Column:
     """Characters of a string (empty string -> empty array)."""
     return F.filter(F.split(_c(c), ""), lambda x: x != "")
@@ -57,7 +50,9 @@ def word_units(c) -> Column:
 
 
 def grams_of(arr_col: str, lo: int, hi: int, sep: str) -> Column:
-    """n-grams lo..hi of an already projected array column."""
+    """n-grams lo..hi of an already projected array column (project the
+    array first: Spark does not share a sub-expression across lambda calls,
+    so a split inside the lambda would be re-evaluated per position)."""
     arr = F.col(arr_col)
     return F.flatten(F.array(*[_grams(arr, n, sep) for n in range(lo, hi + 1)]))
 
