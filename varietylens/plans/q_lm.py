@@ -212,11 +212,12 @@ def q_lm_score_word(spark, sf_dir):
     return _score(spark, sf_dir, "word")
 
 
-@register("lm_score_char")
+@register("lm_score_char", _lm_sql("," + score_ctes("char")[1:]
+                                   + "\nSELECT doc_id, line_no, label, round(score, 6) AS score FROM scores"))
 def q_lm_score_char(spark, sf_dir):
-    """Char-LM sentence scores (no SQL oracle: the position x label x order
-    expansion is too slow for the oracle on whole tables; checked against
-    a brute-force scorer on a small fixture in tests)."""
+    """log10 P(char stream) under every label's char LM (order 3) for the
+    dev and test sentences (also checked against a brute-force scorer in
+    tests)."""
     return _score(spark, sf_dir, "char")
 
 
