@@ -154,6 +154,8 @@ class LMModel:
 def estimate(sents: DataFrame, order: int, materialize_tables: bool = True) -> tuple:
     """sents: (unit, label, toks). Returns (probs, backoffs, unk, discounts)."""
     counts = ngram_counts(sents, order)
+    if materialize_tables:
+        counts = materialize(counts)    # read twice: the counts and their left extensions
     adj = adjusted_counts(counts, order)
     if materialize_tables:
         adj = materialize(adj)
