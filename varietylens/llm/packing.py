@@ -19,6 +19,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +28,19 @@ from pyspark.sql import functions as F
 
 from .common import in_arrow, materialize
 
-#: A single blank between non-blanks always starts a token of the byte-level
-#: pre-tokenizer, so such texts may be encoded blank by blank.
-_JOINED = re.compile(r"^\s| \s|\s |\s$")
+#: Letters with sentence marks behind them are two tokens of the byte-level
+#: pre-tokenizer, whatever stands around them.
 _PLAIN = re.compile(r"([^\W\d_]+)([.,;:!?]+)")
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian 32-bit bytes; pieces between
-    blanks are cached (two bounded generations)."""
+    """Token ids of whole texts as little-endian 32-bit bytes.
 
-    def __init__(self, path: str, cache: int = 200_000):
+    A single blank between non-blanks always starts a token of the byte-level
+    pre-tokenizer, so such texts are encoded blank by blank, from a cache of
+    pieces (two bounded generations); texts with other blanks are encoded whole."""
+
+    def __init__(self, path: str, cache: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
@@ -46,45 +49,50 @@ class Encoder:
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # bytes of each token: one character each
         for token, i in vocab.items():
             self.width[i] = len(token)
-        self.most, self.young, self.old = cache, {}, {}
+        self.most = cache
+        self.young: dict[str, bytes | None] = {}  # None: a piece with blanks at its ends
+        self.old: dict[str, bytes | None] = {}
         self.marks: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece with a blank before it, by one call."""
-        text = "".join([" " + p for p in pieces])
-        ids = self.whole(text)
+        ids = self.whole("".join([" " + p for p in pieces]))
         ends = np.cumsum([len(p.encode()) + 1 for p in pieces])
-        at = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
-        return [part.tobytes() for part in np.split(ids, at[:-1])]
+        at = (np.searchsorted(np.cumsum(self.width[np.frombuffer(ids, "<u4")]), ends) + 1) * 4
+        return [ids[a:b] for a, b in pairwise([0, *at.tolist()])]
 
     def _learn(self, missing: set[str]) -> None:
         if len(self.young) + len(missing) > self.most:
             self.old, self.young = self.young, {}
-        new, split = set(), []
+        young, old, new, split = self.young, self.old, set(), []
         for p in missing:
-            if (known := self.old.get(p)) is not None:
-                self.young[p] = known
+            if p in old:
+                young[p] = old[p]
+            elif p.isalpha():
+                new.add(p)
+            elif not p or p[0].isspace() or p[-1].isspace():
+                young[p] = None
             elif (m := _PLAIN.fullmatch(p)) and m[1].isalpha():
                 split.append((p, m[1], m[2]))
-                if m[1] not in self.young:
+                if m[1] not in young:
                     new.add(m[1])
             else:
                 new.add(p)
         order = list(new)
         if order:
-            self.young.update(zip(order, self._encode(order), strict=True))
+            young.update(zip(order, self._encode(order), strict=True))
         for p, word, mark in split:
             if mark not in self.marks:
-                self.marks[mark] = self.whole(mark).tobytes()
-            self.young[p] = self.young[word] + self.marks[mark]
+                self.marks[mark] = self.whole(mark)
+            young[p] = young[word] + self.marks[mark]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 256):
-            cut = [None if not t or _JOINED.search(t) else t.split(" ") for t in texts[at:at + 256]]
-            need = {p for c in cut if c for p in c[1:]}
+            cut = [t.split(" ") for t in texts[at:at + 256]]
+            need = set().union(*cut)
             missing = need - self.young.keys()
             if missing:
                 self._learn(missing)
@@ -92,7 +100,12 @@ class Encoder:
                     self._learn(need - self.young.keys())
             get = self.young.__getitem__
             for c, t in zip(cut, texts[at:at + 256], strict=True):
-                yield self.whole(t).tobytes() if c is None else self.whole(c[0]).tobytes() + b"".join(map(get, c[1:]))
+                ids = list(map(get, c))
+                if None in ids:
+                    yield self.whole(t)
+                else:
+                    ids[0] = self.whole(c[0])  # no blank before it
+                    yield b"".join(ids)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -179,7 +192,7 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
     return out
 
 
-def place(rows: DataFrame, size: int = 1024, order: tuple = ("doc_id", "start"), salts: int = 256) -> DataFrame:
+def place(rows: DataFrame, size: int = 1024, order: tuple = ("doc_id", "start"), salts: int = 64) -> DataFrame:
     """``rows`` (one per piece, with a column length) with ``sequence_id`` and
     ``offset``. Columns that are not used need not be there: whoever needs the
     ids in their sequences keeps that column."""
