@@ -180,6 +180,33 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Record
         yield joined(held)
 
 
+class TokenRows:
+    """Rows of numbers of blank-separated tokens, made when first met. At most
+    ``most`` tokens are kept (more only while one text has more); then all are
+    dropped and what is frequent comes back."""
+
+    def __init__(self, width: int, make, most: int = 200_000):
+        self.make, self.most = make, most
+        self.index: dict[str, int] = {}
+        self.rows = np.zeros((most, width))
+
+    def __call__(self, tokens: list[str]) -> np.ndarray:
+        """One row per token."""
+        at = list(map(self.index.get, tokens))
+        if None in at:
+            new = set(tokens) - self.index.keys()
+            if len(self.index) + len(new) > self.most:
+                self.index.clear()
+                new = set(tokens)
+                if len(new) > len(self.rows):
+                    self.rows = np.zeros((len(new), self.rows.shape[1]))
+            for token in new:
+                i = self.index[token] = len(self.index)
+                self.rows[i] = self.make(token)
+            at = list(map(self.index.get, tokens))
+        return self.rows[at]
+
+
 # --- connected components --------------------------------------------------
 
 def components(edges: DataFrame) -> DataFrame:

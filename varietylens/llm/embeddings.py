@@ -68,10 +68,10 @@ def pick_pivots(known: DataFrame, cell_rows: int, most: int) -> dict[int, np.nda
     total = sum(s["n"] for s in sizes)
     want = {s["space"]: max(1, min(-(-s["n"] // cell_rows), most * s["n"] // total)) for s in sizes}
     spark = known.sparkSession
-    quota = spark.createDataFrame([(s["space"], want[s["space"]], s["n"]) for s in sizes], "space long, want long, n long")
+    quota = spark.createDataFrame([(s["space"], want[s["space"]], s["n"]) for s in sizes], "space long, want long, in_space long")
     # candidates by hash, a few times as many as wanted, so the rank below is over few rows
     h = F.pmod(F.xxhash64("cid"), F.lit(1 << 30))
-    near = (known.join(F.broadcast(quota), "space").where(h * F.col("n") < (F.col("want") * 4 + 64) * (1 << 30))
+    near = (known.join(F.broadcast(quota), "space").where(h * F.col("in_space") < (F.col("want") * 4 + 64) * (1 << 30))
                  .withColumn("r", F.row_number().over(Window.partitionBy("space").orderBy(h, "cid")))
                  .where(F.col("r") <= F.col("want")).select("space", "vector", "r").orderBy("space", "r").collect())
     found: dict[int, list] = {}

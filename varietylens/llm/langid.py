@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, in_arrow, materialize
+from .common import TokenRows, fresh, in_arrow, materialize
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 ORDER = 4
@@ -72,7 +72,7 @@ class Model:
         self.langs = langs
         self.words = self._table(word_rows, word_totals)
         self.grams = self._table(gram_rows, gram_totals)
-        self.cache: dict[str, tuple[int, np.ndarray]] = {}
+        self.rows: TokenRows | None = None
 
     def _table(self, rows, totals) -> dict[str, np.ndarray]:
         """rows: (key, {lang: n}); a language without the key gets half a count."""
@@ -90,25 +90,19 @@ class Model:
                 return np.mean(found, axis=0)
         return np.zeros(len(self.langs), np.float32)
 
-    def token(self, token: str) -> tuple[int, np.ndarray]:
-        """Number of words in a blank-separated token and their summed logs."""
-        hit = self.cache.get(token)
-        if hit is None:
-            words = [token] if token.isalpha() else words_of(token)
-            hit = len(words), sum(map(self.word, words), np.zeros(len(self.langs), np.float32))
-            if len(self.cache) >= 200_000:  # a bounded cache, refilled by what is frequent
-                self.cache.clear()
-            self.cache[token] = hit
-        return hit
+    def token(self, token: str) -> np.ndarray:
+        """Summed logs of the words in a blank-separated token, and their number."""
+        words = [token] if token.isalpha() else words_of(token)
+        return np.append(sum(map(self.word, words), np.zeros(len(self.langs))), len(words))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        counted = Counter((text or "").lower().split())
-        n, logs = 0, np.zeros(len(self.langs))
-        for token, times in counted.items():
-            k, row = self.token(token)
-            n += k * times
-            logs += row * times
-        if not n or not self.langs:
+        if not self.langs or not text:
+            return "und", 0.0
+        if self.rows is None:
+            self.rows = TokenRows(len(self.langs) + 1, self.token)
+        total = self.rows(text.lower().split()).sum(0)
+        logs, n = total[:-1], total[-1]
+        if not n:
             return "und", 0.0
         p = np.exp((logs - logs.max()) * min(1.0, 20 / n))  # the evidence of twenty words at most
         p /= p.sum()

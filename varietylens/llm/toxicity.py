@@ -33,7 +33,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, materialize
+from .common import TokenRows, in_arrow, materialize
 
 #: Second-person pronouns of English, German, French, Spanish,
 #: Italian and Portuguese.
@@ -93,55 +93,43 @@ def lexicon(labelled: DataFrame) -> dict[str, float]:
 
 
 class Scorer:
-    """Features of a text under a lexicon; blank-separated tokens are cached."""
+    """Features of a text under a lexicon."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.cache = lexicon, {}
-
-    def token(self, token: str) -> tuple[np.ndarray, bool, bool]:
-        """Summed features of a token; whether it is in the lexicon; whether
-        it speaks to someone."""
-        hit = self.cache.get(token)
-        if hit is None:
-            row = np.zeros(14)
-            found = _LETTERS.findall(token)
-            you = False
-            for word in found:
-                low = word.lower()
-                you = you or low in SECOND_PERSON
-                z = self.lexicon.get(low, 0.0)
-                s = max((self.lexicon.get(t, 0.0) for t in stems(low)), default=0.0)
-                for i, least in enumerate(TIERS):
-                    row[i] += z >= least
-                    row[len(TIERS) + i] += s >= least
-                row[6] += max(z, s)
-                row[7] = max(row[7], z, s)
-                row[8] += len(word) > 2 and word.isupper()
-                row[9] += len(word) == 1
-            row[10] = sum(map(str.isupper, token))
-            row[11] = bool(_INSIDE.search(token))
-            row[12] = bool(_REPEAT.search(token.lower()))
-            row[13] = len(found)
-            hit = row, row[7] >= TIERS[1], you
-            if len(self.cache) >= 200_000:  # a bounded cache, refilled by what is frequent
-                self.cache.clear()
-            self.cache[token] = hit
-        return hit
+        self.lexicon, self.rows = lexicon, TokenRows(16, self.token)
+
+    def token(self, token: str) -> np.ndarray:
+        """A token's share in the sums; last: is it in the lexicon, does it
+        speak to someone."""
+        row = np.zeros(16)
+        found = _LETTERS.findall(token)
+        for word in found:
+            low = word.lower()
+            z = self.lexicon.get(low, 0.0)
+            s = max((self.lexicon.get(t, 0.0) for t in stems(low)), default=0.0)
+            for i, least in enumerate(TIERS):
+                row[i] += z >= least
+                row[len(TIERS) + i] += s >= least
+            row[6] += max(z, s)
+            row[7] = max(row[7], z, s)
+            row[8] += len(word) > 2 and word.isupper()
+            row[9] += len(word) == 1
+            row[15] = row[15] or low in SECOND_PERSON
+        row[10] = sum(map(str.isupper, token))
+        row[11] = bool(_INSIDE.search(token))
+        row[12] = bool(_REPEAT.search(token.lower()))
+        row[13] = len(found)
+        row[14] = row[7] >= TIERS[1]
+        return row
 
     def features(self, text: str) -> np.ndarray:
         out = np.zeros(len(FEATURES))
         tokens = text.split()
         if not tokens:
             return out
-        hits = list(map(self.token, tokens))
-        total = np.zeros(14)
-        strongest = 0.0
-        for at in range(0, len(hits), 4096):
-            rows = np.array([h[0] for h in hits[at:at + 4096]])
-            total += rows.sum(0)
-            strongest = max(strongest, rows[:, 7].max())
-        you = np.array([i for i, h in enumerate(hits) if h[2]])
-        bad = np.array([i for i, h in enumerate(hits) if h[1]])
+        rows = self.rows(tokens)
+        total, strongest = rows[:, :14].sum(0), rows[:, 7].max()
+        bad, you = np.flatnonzero(rows[:, 14]), np.flatnonzero(rows[:, 15])
         aimed = 0
         if len(you) and len(bad):
             at = np.searchsorted(you, bad)
