@@ -6,7 +6,7 @@
 2. A source's target is whole passes over it plus a remaining budget. The
    budget is fitted on the source's histogram of exact document sizes: the
    same share of every size first, then single documents by largest
-   remainder, then a bounded-knapsack table over the last words.
+   remainder, then a bounded-knapsack table over the last ``table`` words.
 3. The documents of a size are chosen by a seeded hash: hash buckets are
    counted, so only the bucket in which the quota ends is ranked.
 
@@ -65,7 +65,7 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, table: int =
     total = int((sizes * counts).sum())
     if total <= budget:
         return counts.copy()
-    share = counts * (budget / total)
+    share = counts * (max(0, budget - table) / total)  # what the table can fit is left to it
     take = np.minimum(np.floor(share).astype(np.int64), counts)
     while int((take * sizes).sum()) > budget:  # rounding of huge counts
         take = np.maximum(take - 1, 0)

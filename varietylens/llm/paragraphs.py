@@ -218,7 +218,7 @@ def verified(sets: list[np.ndarray], least: float = JACCARD) -> list[tuple[int,
         both = len(np.intersect1d(*sets, assume_unique=True))
         return [(0, 1)] if both >= least * (len(sets[0]) + len(sets[1]) - both) else []
     values, counts = np.unique(np.concatenate(sets), return_counts=True)
-    lists: dict[int, list[int]] = defaultdict(list)
+    lists: dict[int, dict[int, list[int]]] = defaultdict(dict)
     parent = list(range(len(sets)))
 
     def find(i: int) -> int:
@@ -232,17 +232,25 @@ def verified(sets: list[np.ndarray], least: float = JACCARD) -> list[tuple[int,
         x = sets[i]
         at = np.searchsorted(values, x)
         rare = x[np.lexsort((x, counts[at]))][:len(x) - int(np.ceil(least * len(x))) + 1].tolist()
-        mine = set()
+        tried = set()
         for s in rare:
-            for j in lists[s]:
-                if j in mine or find(j) == find(i):
-                    continue
-                mine.add(j)
-                both = len(np.intersect1d(x, sets[j], assume_unique=True))
-                if both >= least * (len(x) + len(sets[j]) - both):
-                    parent[find(j)] = find(i)
-                    out.append((i, j))
-            lists[s].append(i)
+            groups: dict[int, list[int]] = {}  # by component: one link to it is enough
+            for root, members in lists[s].items():
+                if find(root) != find(i):
+                    for j in members:
+                        if j in tried:
+                            continue
+                        tried.add(j)
+                        both = len(np.intersect1d(x, sets[j], assume_unique=True))
+                        if both >= least * (len(x) + len(sets[j]) - both):
+                            parent[find(i)] = find(j)
+                            out.append((i, j))
+                            break
+                known = groups.setdefault(find(root), members)
+                if known is not members:
+                    known.extend(members)
+            groups.setdefault(find(i), []).append(i)
+            lists[s] = groups
     return out
 
 
