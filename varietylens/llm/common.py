@@ -194,7 +194,7 @@ class TokenRows:
         """One row per token."""
         at = list(map(self.index.get, tokens))
         if None in at:
-            new = set(tokens) - self.index.keys()
+            new = {t for t in set(tokens) if t not in self.index}
             if len(self.index) + len(new) > self.most:
                 self.index.clear()
                 new = set(tokens)

@@ -65,35 +65,39 @@ def _gram_counts(batches):
              pa.array(list(rows.values()), pa.int64())], names=["lang", "gram", "n"])
 
 
+class Table:
+    """Log frequencies in each language of a bounded set of keys."""
+
+    def __init__(self, keys: list[str], counts: np.ndarray, totals: np.ndarray):
+        self.at = {key: i for i, key in enumerate(keys)}
+        self.logs = np.log((counts + 0.5) / (totals + 1)).astype(np.float32)  # never met: half a count
+
+
 class Model:
-    """Log frequencies of words and grams in each language."""
+    """Words, grams and languages of a fitted model."""
 
-    def __init__(self, langs, word_rows, word_totals, gram_rows, gram_totals):
-        self.langs = langs
-        self.words = self._table(word_rows, word_totals)
-        self.grams = self._table(gram_rows, gram_totals)
+    def __init__(self, langs: list[str], words: Table, grams: Table):
+        self.langs, self.words, self.grams = langs, words, grams
         self.rows: TokenRows | None = None
 
-    def _table(self, rows, totals) -> dict[str, np.ndarray]:
-        """rows: (key, {lang: n}); a language without the key gets half a count."""
-        total = np.array([totals.get(x, 0) for x in self.langs], float) + 1
-        return {key: np.log((np.array([n.get(x, 0) for x in self.langs], float) + 0.5) / total).astype(np.float32)
-                for key, n in rows}
-
     def word(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
-        if known is not None:
-            return known
+        at = self.words.at.get(word)
+        if at is not None:
+            return self.words.logs[at]
         for order in range(ORDER, 0, -1):
-            found = [g for g in map(self.grams.get, grams(word, order)) if g is not None]
+            found = [i for g in grams(word, order) if (i := self.grams.at.get(g)) is not None]
             if found:
-                return np.mean(found, axis=0)
+                return self.grams.logs[found].sum(0) / len(found)
         return np.zeros(len(self.langs), np.float32)
 
     def token(self, token: str) -> np.ndarray:
         """Summed logs of the words in a blank-separated token, and their number."""
         words = [token] if token.isalpha() else words_of(token)
-        return np.append(sum(map(self.word, words), np.zeros(len(self.langs))), len(words))
+        row = np.zeros(len(self.langs) + 1)
+        for word in words:
+            row[:-1] += self.word(word)
+        row[-1] = len(words)
+        return row
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.langs or not text:
@@ -110,8 +114,8 @@ class Model:
         return self.langs[best], float(p[best])
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = 100_000,
-          max_grams: int = 100_000) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = 50_000,
+          max_grams: int = 50_000) -> Model:
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     # languages are summed inside each word, so one word is one row
@@ -123,13 +127,21 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: in
     counted = materialize(counted)
     totals = counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()
 
-    def top(table: DataFrame, key: str, most: int) -> list:
-        by = table.groupBy(key).agg(F.sum("n").alias("all"),
-                                    F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-        return [(r[key], r["by"]) for r in by.orderBy(F.desc("all"), key).limit(most).collect()]
+    names = [r["lang"] for r in langs]
+
+    def top(table: DataFrame, key: str, most: int, totals: list) -> Table:
+        """The most frequent keys, at most ``most``, with one count per language."""
+        by = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
+        rows = (table.groupBy(key).agg(F.sum("n").alias("all"), by.alias("by")).orderBy(F.desc("all"), key).limit(most)
+                     .select(key, F.array(*[F.coalesce(F.col("by")[x], F.lit(0)) for x in names]).alias("n")).toArrow())
+        counts = rows["n"].combine_chunks().flatten().to_numpy().reshape(-1, len(names))
+        n = {r["lang"]: r["n"] for r in totals}
+        return Table(rows[key].to_pylist(), counts.astype(float), np.array([n.get(x, 0) for x in names], float))
 
-    return Model([r["lang"] for r in langs], top(words, "word", max_words), {r["lang"]: r["n"] for r in langs},
-                 top(counted, "gram", max_grams), {r["lang"]: r["n"] for r in totals})
+    if not names:
+        empty = Table([], np.zeros((0, 0)), np.zeros(0))
+        return Model([], empty, empty)
+    return Model(names, top(words, "word", max_words, langs), top(counted, "gram", max_grams, totals))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -145,7 +157,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             found = [m.predict(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([f[0] for f in found], pa.string()),
-                 pa.array([f[1] for f in found], pa.float64())], names=[*batch.schema.names, pred, score])
+                 pa.array([f[1] for f in found], pa.float64())],
+                names=[*batch.schema.names, pred, score])
 
     fields = [*docs.schema.fields]
     from pyspark.sql import types as T

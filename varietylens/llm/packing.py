@@ -93,11 +93,9 @@ class Encoder:
         for at in range(0, len(texts), 256):
             cut = [t.split(" ") for t in texts[at:at + 256]]
             need = set().union(*cut)
-            missing = need - self.young.keys()
-            if missing:
-                self._learn(missing)
-                if not need <= self.young.keys():  # a generation ended
-                    self._learn(need - self.young.keys())
+            for _ in range(2):  # again if a generation ended
+                if missing := {p for p in need if p not in self.young}:
+                    self._learn(missing)
             get = self.young.__getitem__
             for c, t in zip(cut, texts[at:at + 256], strict=True):
                 ids = list(map(get, c))
