@@ -3,7 +3,7 @@ isotonic regression.
 
 Three disjoint folds of the learning rows (by a hash of the id):
 * lexicon: document frequencies of words and of word beginnings (4-6 letters)
-  in rows labelled 1 and 0, over all rows of the fold; terms whose log odds
+  in rows labelled 1 and 0 (at most MAX_LEXICON_ROWS); terms whose log odds
   stand ``z`` standard errors above zero form tiers of a lexicon;
 * trees: boosted trees on the features of the fold's labelled rows;
 * calibration: isotonic regression of the labels on the trees' probability.
@@ -45,6 +45,8 @@ TIERS = (2.5, 3.5, 5.0)
 MAX_TERMS = 50_000
 #: At most so many labelled rows (the smallest hashes of the id) fit trees and calibration each.
 MAX_FIT_ROWS = 200_000
+#: At most about so many labelled rows (by the hash of the id) teach the lexicon: two numbers each, broadcast.
+MAX_LEXICON_ROWS = 500_000
 NEAR = 4
 
 _LETTERS = regex.compile(r"\p{L}+")
@@ -168,8 +170,10 @@ def score(docs: DataFrame, labels: DataFrame, learn, fold, doc_id: str = "doc_id
                         .agg(F.max(F.col(toxic).cast("int")).alias("toxic")).where(learn)
                         .withColumn("fold", fold))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    taught = (rows.where(F.coalesce(learn & fold.isin(0, 1), F.lit(False)))
-                  .join(known.where("fold < 2"), "doc_id").select("text", "toxic"))
+    by_hash = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * 1.0 / (1 << 30)
+    teachers = known.where("fold < 2")
+    teachers = teachers.where(by_hash < MAX_LEXICON_ROWS / max(1, teachers.count())).select("doc_id", "toxic")
+    taught = rows.join(F.broadcast(teachers), "doc_id").select("text", "toxic")
     table = materialize(features(rows, lexicon(taught)))
     fit = table.join(known.where("fold >= 2"), "doc_id")
     sizes = {(r["fold"], r["toxic"]): r["n"] for r in fit.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
@@ -177,7 +181,6 @@ def score(docs: DataFrame, labels: DataFrame, learn, fold, doc_id: str = "doc_id
         share = known.agg(F.avg("toxic").alias("s")).first()["s"] or 0.0
         return table.select("doc_id", F.lit(float(share)).alias("score"))
     total = {f: sizes[f, 0] + sizes[f, 1] for f in (2, 3)}
-    by_hash = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * 1.0 / (1 << 30)
     bound = F.when(F.col("fold") == 2, MAX_FIT_ROWS / total[2]).otherwise(MAX_FIT_ROWS / total[3])
     wide = VectorAssembler(inputCols=FEATURES, outputCol="x")
     fit = materialize(wide.transform(fit.where(by_hash < bound)).select("fold", F.col("toxic").cast("double"), "x"))
