@@ -70,3 +70,18 @@ def test_sparse_features_path(spark, monkeypatch):
     want = numpy_ovr_nb(X, y, classes)
     for i in range(n):
         assert np.allclose(got[i], want[i], rtol=1e-12, atol=1e-9)
+
+
+def test_underflow_and_nan_posteriors(spark):
+    nan = float("nan")
+    rows = [(1, [-800.0, -900.0, -1000.0]), (2, [nan, 1.0, 2.0]), (3, [nan, nan, nan]), (4, [3.0, 0.0, 3.0])]
+    margins = spark.createDataFrame(rows, "doc long, margins array<double>")
+    x = spark.createDataFrame([(i, c, "f", 1.0) for i, c in enumerate("abc")], "doc long, label string, feature string, value double")
+    docs = spark.createDataFrame(list(enumerate("abc")), "doc long, label string")
+    m = nbo.nb_fit(x, docs, "label", 1, materialize_tables=False)
+    hard = {r["doc"]: r["pred"] for r in nbo.nb_predict(margins, ["doc"], m).collect()}
+    assert (hard[2], hard[3], hard[4]) == ("c", None, "c")  # the last class wins ties
+    top = {r["doc"]: r for r in nbo.nb_top(margins, ["doc"], m).collect()}
+    assert top[1]["top"] is None and top[3]["top"] is None and top[4]["top"] == "a"
+    proba = [r["proba"] for r in nbo.nb_proba(margins.where("doc = 1"), ["doc"], m).collect()]
+    assert proba == [None, None, None]

@@ -89,3 +89,10 @@ def test_two_level_running_sums_and_lead(spark):
     la = lead_marker(df, ["f"], "i", "t", ": ", block=None)
     lb = lead_marker(df, ["f"], "i", "t", ": ", block=16)
     assert sorted(la.collect()) == sorted(lb.collect()) and la.count() > 0
+
+
+def test_dedupe_with_repeated_order_keys(spark):
+    from varietylens.operators.clean import dedupe_keep_first
+    df = spark.createDataFrame([(1, "x"), (2, "x"), (2, "y"), (1, "z"), (3, None), (4, None)], "id long, t string")
+    got = [tuple(r) for r in dedupe_keep_first(df, "t", "id").collect()]
+    assert len(got) == 4 and set(got) == {(1, "x"), (2, "y"), (1, "z"), (3, None)}

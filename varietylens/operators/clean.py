@@ -23,13 +23,13 @@ def dedupe_keep_first(df: DataFrame, value_col: str, order_col: str) -> DataFram
 
     A hot value (one text copied a million times) is safe: the min is
     combined map-side before the shuffle, and only (hash, id) pairs move.
-    The survivors are then picked by a semi join on ``order_col``.
+    The survivors are then picked by a semi join on the hash and ``order_col``.
     """
     digest = F.sha2(F.col(value_col).cast("string"), 256)
-    keepers = (df.select(digest.alias("_d"), F.col(order_col))
-                 .groupBy("_d").agg(F.min(order_col).alias(order_col))
-                 .select(order_col))
-    return df.join(keepers, on=order_col, how="left_semi")
+    keepers = (df.select(digest.alias("_d"), F.col(order_col).alias("_first"))
+                 .groupBy("_d").agg(F.min("_first").alias("_first")))
+    # by digest and order key: the key alone need not be unique
+    return df.join(keepers, digest.eqNullSafe(keepers["_d"]) & (df[order_col] == keepers["_first"]), "left_semi")
 
 
 def stack_columns_distinct(df: DataFrame, cols: list[str], out_col: str = "original_sentence") -> DataFrame:

@@ -171,24 +171,31 @@ def nb_predict(margins: DataFrame, keys: list[str], model: NBModel,
                pred_col: str = "pred") -> DataFrame:
     """Hard prediction as the library does it: K > 2 -> arg-max of the
     per-class posteriors, the last class wins ties; K == 2 -> the second
-    class iff its posterior is > 0.5."""
+    class iff its posterior is > 0.5. NaN posteriors never win; a row with
+    no other posterior has no label (NULL)."""
     labels = model.labels_col()
     post = F.transform(F.col("margins"), lambda m: sigmoid(m))
     if len(model.labels) == 2:
-        pred = F.when(post[1] > 0.5, labels[1]).otherwise(labels[0])
+        pred = F.when(~F.isnan(post[1]), F.when(post[1] > 0.5, labels[1]).otherwise(labels[0]))
     else:
         rev = F.reverse(post)
-        last_pos = F.size(post) - F.array_position(rev, F.array_max(rev))
-        pred = labels[last_pos.cast("int")]
+        last_pos = F.size(post) - F.array_position(rev, _largest(rev))
+        pred = F.when(_largest(rev).isNotNull(), F.get(labels, last_pos.cast("int")))
     return margins.select(*keys, pred.alias(pred_col))
 
 
+def _largest(values: Column) -> Column:
+    """Largest number of an array, NaN and NULL left out; NULL if none is left."""
+    return F.array_max(F.filter(values, lambda v: v.isNotNull() & ~F.isnan(v)))
+
+
 def _posteriors(model: NBModel) -> Column:
+    """Posteriors normalised to sum 1; NULL where all of them underflow."""
     post = F.transform(F.col("margins"), lambda m: sigmoid(m))
     if len(model.labels) == 2:
         post = F.array(F.lit(1.0) - post[1], post[1])
     tot = F.aggregate(post, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(post, lambda v: v / tot)
+    return F.transform(post, lambda v: F.try_divide(v, tot))
 
 
 def nb_proba(margins: DataFrame, keys: list[str], model: NBModel,
@@ -201,11 +208,13 @@ def nb_proba(margins: DataFrame, keys: list[str], model: NBModel,
 
 def nb_top(margins: DataFrame, keys: list[str], model: NBModel) -> DataFrame:
     """Prediction-API arg-max over the normalised probabilities: the first
-    label in sorted order wins ties (strictly-greater scan)."""
+    label in sorted order wins ties (strictly-greater scan). Without a
+    probability that is a number there is no top label (NULL)."""
     labels = model.labels_col()
     p = _posteriors(model)
     return (margins.select(*keys, p.alias("_p"))
                    .select(*keys,
-                           labels[(F.array_position("_p", F.array_max("_p")) - 1).cast("int")].alias("top"),
-                           F.array_max("_p").alias("score"),
+                           F.when(_largest(F.col("_p")).isNotNull(), F.get(
+                               labels, (F.array_position("_p", _largest(F.col("_p"))) - 1).cast("int"))).alias("top"),
+                           _largest(F.col("_p")).alias("score"),
                            F.map_from_arrays(labels, F.col("_p")).alias("scores")))

@@ -184,14 +184,16 @@ def q_stack_columns_distinct(spark, sf_dir):
 
 @register("parallel_unpivot", """
 SELECT conv_id, 'turn_' || turn AS variety, text AS original_sentence FROM conversations
-WHERE turn < 4 AND text IS NOT NULL""")
+WHERE turn IS NOT NULL AND text IS NOT NULL""")
 def q_parallel_unpivot(spark, sf_dir):
-    """Parallel corpus wide -> long: pivot turns 0..3 into columns, then
-    unpivot back to one labelled row per (conversation, variety)."""
-    c = table(spark, sf_dir, "conversations").where(F.col("turn") < 4)
-    wide = c.groupBy("conv_id").pivot("turn", [0, 1, 2, 3]).agg(F.first("text"))
-    wide = wide.select("conv_id", *[F.col(str(i)).alias(f"turn_{i}") for i in range(4)])
-    long = wide.unpivot("conv_id", [f"turn_{i}" for i in range(4)], "variety", "original_sentence")
+    """Parallel corpus wide -> long: pivot every turn number of the data into
+    a column (one per distinct turn), then unpivot back to one labelled row
+    per (conversation, variety)."""
+    c = table(spark, sf_dir, "conversations").where(F.col("turn").isNotNull())
+    turns = [r["turn"] for r in c.select("turn").distinct().orderBy("turn").collect()]
+    wide = c.groupBy("conv_id").pivot("turn", turns).agg(F.first("text"))
+    wide = wide.select("conv_id", *[F.col(str(i)).alias(f"turn_{i}") for i in turns])
+    long = wide.unpivot("conv_id", [f"turn_{i}" for i in turns], "variety", "original_sentence")
     return long.where(F.col("original_sentence").isNotNull())
 
 

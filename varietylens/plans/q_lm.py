@@ -132,7 +132,7 @@ _LM: dict = {}
 
 
 def lm_model(spark: SparkSession, sf_dir: str, order: int = ORDER) -> L.LMModel:
-    key = (id(spark), sf_dir, order)
+    key = (spark.sparkContext.applicationId, sf_dir, order)
     if key not in _LM:
         s = q_model.sentences(spark, sf_dir).where("split = 'train'")
         prepped = model._prep(s, q_model.FULL)

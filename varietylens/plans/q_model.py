@@ -30,7 +30,7 @@ _FITS: dict = {}
 
 
 def sentences(spark: SparkSession, sf_dir: str, level: str = "city") -> DataFrame:
-    key = ("sent", id(spark), sf_dir, level)
+    key = ("sent", spark.sparkContext.applicationId, sf_dir, level)
     if key not in _FITS:
         from ..session import materialize_bucketed
         _FITS[key] = materialize_bucketed(corpus.sentences(spark, sf_dir, level), "doc_id",
@@ -39,7 +39,7 @@ def sentences(spark: SparkSession, sf_dir: str, level: str = "city") -> DataFram
 
 
 def fitted(spark: SparkSession, sf_dir: str, spec: model.ModelSpec) -> model.FittedModel:
-    key = ("fit", id(spark), sf_dir, spec)
+    key = ("fit", spark.sparkContext.applicationId, sf_dir, spec)
     if key not in _FITS:
         s = sentences(spark, sf_dir, spec.level)
         _FITS[key] = model.fit(spec, s.where("split = 'train'"), KEYS)
