@@ -254,9 +254,10 @@ def submodel_ctes(p: str, train_rel: str, apply_rel: str, feature_prefix: str,
 
 def model_sql(level: str = "city", word: bool = True, char: bool = True, profile: str = "agg",
               train_where: str = "split = 'train'", apply_where: str = "split <> 'train'",
-              extra: bool = False, layers: tuple = ()) -> str:
+              extra: bool = False, layers: tuple = (), lm_blocks: tuple = (), lm_ctes: str = "") -> str:
     """Whole fit + apply as CTEs up to ``pred``/``post`` and ``gp`` (split,
-    gold, pred); callers append the final CTEs / SELECT."""
+    gold, pred); callers append the final CTEs / SELECT. ``lm_ctes`` has the
+    CTEs of LM features: ``{p}feat`` for each prefix of ``lm_blocks``."""
     blocks = []
     if word:
         blocks.append(tfidf_ctes("w", word_terms_sql("tr"), word_terms_sql("ap"), "SELECT n FROM ntr"))
@@ -284,6 +285,12 @@ def model_sql(level: str = "city", word: bool = True, char: bool = True, profile
         xtr.append(f"SELECT b.* FROM {p}block b SEMI JOIN tr USING (doc_id, line_no)")
         xap.append(f"SELECT b.* FROM {p}block b SEMI JOIN ap USING (doc_id, line_no)")
         nf.append(f"(SELECT count(*) FROM {p}cls)")
+    if lm_ctes:
+        subs.append(lm_ctes)
+    for p in lm_blocks:
+        xtr.append(f"SELECT b.* FROM {p}feat b SEMI JOIN tr USING (doc_id, line_no)")
+        xap.append(f"SELECT b.* FROM {p}feat b SEMI JOIN ap USING (doc_id, line_no)")
+        nf.append("(SELECT count(DISTINCT label) FROM tr)")
     sub_sql = ("," + ",".join(subs)) if subs else ""
     return f"""
 WITH {corpus_ctes()},

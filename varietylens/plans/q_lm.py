@@ -26,19 +26,32 @@ def _unit_toks_sql(unit: str, text: str = "t") -> str:
             f"lambda c: regexp_full_match(c, '\\S'))")
 
 
+def _gram_cols(order: int) -> str:
+    """g1..gN: the n-grams that end at a position, by ``lag`` over the
+    sentence's tokens (null where the sentence has fewer)."""
+    def word(k):
+        return f"lag(w, {k}) OVER s" if k else "w"
+    return ", ".join(" || ' ' || ".join(word(k) for k in range(n - 1, -1, -1)) + f" AS g{n}"
+                     for n in range(1, order + 1))
+
+
 def lm_train_ctes(order: int, src: str = "tr") -> str:
     """CTEs ``probs``, ``backoffs``, ``unk``, ``disc`` from a relation
-    ``src`` with (label, t) where t is the profiled text."""
+    ``src`` with (doc_id, line_no, label, t) where t is the profiled text.
+    Tokens are exploded once, so the cost is linear in the text."""
     N = order
     parts = " UNION ALL ".join(
-        f"SELECT '{u}' AS unit, label, ['<s>'] || {_unit_toks_sql(u)} || ['</s>'] AS tk FROM {src}"
+        f"SELECT '{u}' AS unit, doc_id, line_no, label, ['<s>'] || {_unit_toks_sql(u)} || ['</s>'] AS tk FROM {src}"
         for u in L.UNITS)
+    grams = " UNION ALL ".join(
+        f"SELECT unit, label, {n} AS n, g{n} AS gram, count(*) AS c FROM lmg WHERE e >= {max(n, 2)} GROUP BY ALL"
+        for n in range(1, N + 1))
     ctes = f"""
 lms AS ({parts}),
-lme AS (SELECT unit, label, tk, unnest(generate_series(2, len(tk))) AS e FROM lms),
-lmg AS (SELECT unit, label, tk, e, unnest(generate_series(1, least({N}, e))) AS n FROM lme),
-counts AS MATERIALIZED (SELECT unit, label, n, array_to_string(tk[e - n + 1 : e], ' ') AS gram, count(*) AS c
-           FROM lmg GROUP BY ALL),
+lme AS (SELECT unit, doc_id, line_no, label, unnest(tk) AS w, unnest(generate_series(1, len(tk))) AS e FROM lms),
+lmg AS MATERIALIZED (SELECT unit, label, e, {_gram_cols(N)} FROM lme
+        WINDOW s AS (PARTITION BY unit, doc_id, line_no ORDER BY e)),
+counts AS MATERIALIZED ({grams}),
 ext AS MATERIALIZED (SELECT unit, label, n - 1 AS n, regexp_replace(gram, '^[^ ]+ ', '') AS gram, count(*) AS a_ext
         FROM counts WHERE n >= 2 GROUP BY ALL),
 adj AS MATERIALIZED (SELECT c.unit, c.label, c.n, c.gram, c.c,
@@ -96,35 +109,50 @@ ap AS (SELECT doc_id, line_no, split, label, t FROM lab WHERE split <> 'train'),
 {tail}"""
 
 
-def score_ctes(unit: str, order: int = ORDER, src: str = "ap") -> str:
-    """Per (keys, label) log10 sentence score under each label's LM, by the
-    ARPA back-off rule, for the rows of ``src`` (equi-joins only)."""
+def score_ctes(unit: str, order: int = ORDER, src: str = "ap", p: str = "") -> str:
+    """CTE ``{p}scores``: per (keys, label) log10 sentence score under each
+    label's LM, by the ARPA back-off rule, for the rows of ``src``. Every
+    distinct window (a token with the at most N - 1 before it) is scored once
+    per label."""
     N = order
+    window = "coalesce(" + ", ".join(f"g{n}" for n in range(N, 0, -1)) + ")"
+    grams = " UNION ALL ".join(
+        f"SELECT DISTINCT k, {n} AS n, g{n} AS gram, "
+        + (f"regexp_replace(g{n}, ' [^ ]+$', '')" if n > 1 else "CAST(NULL AS VARCHAR)")
+        + f" AS h FROM {p}sg WHERE g{n} IS NOT NULL" for n in range(1, N + 1))
+    return f"""
+{p}sq AS (SELECT doc_id, line_no, ['<s>'] || {_unit_toks_sql(unit)} || ['</s>'] AS tk FROM {src}),
+{p}se AS (SELECT doc_id, line_no, unnest(tk) AS w, unnest(generate_series(1, len(tk))) AS e FROM {p}sq),
+{p}sg AS MATERIALIZED (SELECT *, {window} AS k
+       FROM (SELECT doc_id, line_no, e, {_gram_cols(N)} FROM {p}se
+             WINDOW s AS (PARTITION BY doc_id, line_no ORDER BY e)) WHERE e >= 2),
+{p}wg AS MATERIALIZED ({grams}),
+{p}hit AS (SELECT wg.k, p.label, max(wg.n) AS m, arg_max(p.logp, wg.n) AS lp
+        FROM {p}wg wg JOIN probs p ON p.unit = '{unit}' AND p.n = wg.n AND p.gram = wg.gram GROUP BY ALL),
+{p}kl AS MATERIALIZED (
+  SELECT k.k, u.label, coalesce(hit.m, 0) AS m, coalesce(hit.lp, u.logp_unk) AS lp
+  FROM (SELECT DISTINCT k FROM {p}sg) k CROSS JOIN (SELECT label, logp_unk FROM unk WHERE unit = '{unit}') u
+  LEFT JOIN {p}hit hit ON hit.k = k.k AND hit.label = u.label),
+{p}cb AS (SELECT wg.k, b.label, wg.n - 1 AS len, b.logb
+       FROM {p}wg wg JOIN backoffs b ON b.unit = '{unit}' AND b.gram = wg.h),
+{p}bo AS (SELECT kl.k, kl.label, sum(cb.logb) AS lb FROM {p}kl kl JOIN {p}cb cb ON cb.k = kl.k
+       AND cb.label = kl.label AND cb.len >= greatest(kl.m, 1) GROUP BY ALL),
+{p}ks AS MATERIALIZED (SELECT kl.k, kl.label, kl.lp + coalesce(bo.lb, 0) AS s
+       FROM {p}kl kl LEFT JOIN {p}bo bo ON bo.k = kl.k AND bo.label = kl.label),
+{p}scores AS (
+  SELECT sg.doc_id, sg.line_no, ks.label, sum(ks.s) AS score
+  FROM {p}sg sg JOIN {p}ks ks USING (k) GROUP BY ALL)"""
+
+
+def feature_ctes(unit: str, p: str = "") -> str:
+    """CTE ``{p}feat`` (keys, feature, value) from ``{p}scores``: exp of the
+    scores, L2-normalised per sentence."""
     return f"""
-sq AS (SELECT doc_id, line_no, ['<s>'] || {_unit_toks_sql(unit)} || ['</s>'] AS tk FROM {src}),
-sp AS (SELECT doc_id, line_no, tk, unnest(generate_series(1, len(tk))) AS e FROM sq),
-sg AS (SELECT doc_id, line_no, e, n, array_to_string(tk[e - n + 1 : e], ' ') AS gram
-       FROM (SELECT doc_id, line_no, tk, e, unnest(generate_series(1, least({N}, e))) AS n FROM sp)),
-labs AS (SELECT DISTINCT label FROM unk WHERE unit = '{unit}'),
-found AS (SELECT sg.doc_id, sg.line_no, sg.e, p.label, max(sg.n) AS m
-          FROM sg JOIN probs p ON p.unit = '{unit}' AND p.gram = sg.gram WHERE sg.e >= 2 GROUP BY ALL),
-pos AS (SELECT sp.doc_id, sp.line_no, sp.e, labs.label, coalesce(f.m, 0) AS m
-        FROM sp CROSS JOIN labs LEFT JOIN found f USING (doc_id, line_no, e, label)
-        WHERE sp.e >= 2),
-pscore AS (
-  SELECT pos.doc_id, pos.line_no, pos.e, pos.label, coalesce(p.logp, u.logp_unk) AS lp
-  FROM pos JOIN unk u ON u.unit = '{unit}' AND u.label = pos.label
-  LEFT JOIN sg g ON g.doc_id = pos.doc_id AND g.line_no = pos.line_no AND g.e = pos.e AND g.n = pos.m
-  LEFT JOIN probs p ON p.unit = '{unit}' AND p.label = pos.label AND p.gram = g.gram),
-bctx AS (
-  SELECT pos.doc_id, pos.line_no, pos.e, pos.label, sum(b.logb) AS lb
-  FROM pos JOIN sg c ON c.doc_id = pos.doc_id AND c.line_no = pos.line_no AND c.e = pos.e - 1
-   AND c.n >= greatest(pos.m, 1) AND c.n <= least({N - 1}, pos.e - 1)
-  JOIN backoffs b ON b.unit = '{unit}' AND b.label = pos.label AND b.gram = c.gram
-  GROUP BY ALL),
-scores AS (
-  SELECT ps.doc_id, ps.line_no, ps.label, sum(ps.lp + coalesce(bc.lb, 0)) AS score
-  FROM pscore ps LEFT JOIN bctx bc USING (doc_id, line_no, e, label) GROUP BY ALL)"""
+{p}ex AS (SELECT doc_id, line_no, label, exp(score) AS e FROM {p}scores),
+{p}nr AS (SELECT doc_id, line_no, sqrt(sum(e * e)) AS nrm FROM {p}ex GROUP BY ALL),
+{p}feat AS (SELECT ex.doc_id, ex.line_no, 'l{unit[0]}:' || ex.label AS feature,
+       CASE WHEN nr.nrm > 0 THEN ex.e / nr.nrm ELSE ex.e END AS value
+FROM {p}ex ex JOIN {p}nr nr USING (doc_id, line_no))"""
 
 
 # -- Spark side ----------------------------------------------------------------------
@@ -204,7 +232,7 @@ def _score(spark, sf_dir, unit):
               .select(*KEYS, lab[F.col("_i")].alias("label"), F.round("score", 6).alias("score")))
 
 
-@register("lm_score_word", _lm_sql("," + score_ctes("word")[1:]
+@register("lm_score_word", _lm_sql("," + score_ctes("word")
                                    + "\nSELECT doc_id, line_no, label, round(score, 6) AS score FROM scores"))
 def q_lm_score_word(spark, sf_dir):
     """log10 P(sentence) under every label's word LM (order 3), with <s>
@@ -212,7 +240,7 @@ def q_lm_score_word(spark, sf_dir):
     return _score(spark, sf_dir, "word")
 
 
-@register("lm_score_char", _lm_sql("," + score_ctes("char")[1:]
+@register("lm_score_char", _lm_sql("," + score_ctes("char")
                                    + "\nSELECT doc_id, line_no, label, round(score, 6) AS score FROM scores"))
 def q_lm_score_char(spark, sf_dir):
     """log10 P(char stream) under every label's char LM (order 3) for the
@@ -224,7 +252,16 @@ def q_lm_score_char(spark, sf_dir):
 LM_SPEC = model.ModelSpec(lm_order=ORDER)
 
 
-@register("eval_lm")
+def _eval_lm_sql() -> str:
+    """The flagship model with the two LM feature blocks, in SQL: the LMs of
+    the train rows score every sentence, the features join the TF-IDF ones."""
+    head = O.model_sql(lm_blocks=("w_", "c_"), lm_ctes=",\n".join(
+        [lm_train_ctes(ORDER).strip()] + [part.strip() for u in L.UNITS for part in
+                                          (score_ctes(u, src="lab", p=u[0] + "_"), feature_ctes(u, u[0] + "_"))]))
+    return head + O.levels_ctes("SELECT * FROM gp", "city", "split").strip() + "\nSELECT * FROM metrics"
+
+
+@register("eval_lm", _eval_lm_sql())
 def q_eval_lm(spark, sf_dir):
     """Model with the LM feature block (word + char TF-IDF, word/char LM
     scores exp-L2-normalised per unit) -> NB -> metrics per level."""
@@ -233,20 +270,38 @@ def q_eval_lm(spark, sf_dir):
     return q_model.round_metrics(model.evaluate(fm, s, KEYS))
 
 
-@register("lm_features_word", _lm_sql("," + score_ctes("word")[1:] + """,
-ex AS (SELECT doc_id, line_no, label, exp(score) AS e FROM scores),
-nr AS (SELECT doc_id, line_no, sqrt(sum(e * e)) AS nrm FROM ex GROUP BY ALL)
-SELECT ex.doc_id, ex.line_no, 'lw:' || ex.label AS feature,
-       round(CASE WHEN nr.nrm > 0 THEN ex.e / nr.nrm ELSE ex.e END, 6) AS value
-FROM ex JOIN nr USING (doc_id, line_no)"""))
-def q_lm_features_word(spark, sf_dir):
-    """LM feature block of the word unit: exp of the log10 sentence scores,
-    L2-normalised over labels (underflow gives an all-zero row)."""
+def _lm_features(spark, sf_dir, unit: str) -> DataFrame:
     m = lm_model(spark, sf_dir, ORDER)
     s = q_model.sentences(spark, sf_dir).where("split <> 'train'")
     prepped = model._prep(s, q_model.FULL)
-    sc = L.score(m, prepped, KEYS, "word", L.unit_tokens(F.col(model.TEXT), "word"))
+    sc = L.score(m, prepped, KEYS, unit, L.unit_tokens(F.col(model.TEXT), unit))
     lab = F.array(*[F.lit(x) for x in m.labels])
     v = sc.select(*KEYS, F.posexplode(L.normalize_exp(F.col("scores"))).alias("_i", "value"))
-    return v.select(*KEYS, F.concat(F.lit("lw:"), lab[F.col("_i")]).alias("feature"),
+    return v.select(*KEYS, F.concat(F.lit(f"l{unit[0]}:"), lab[F.col("_i")]).alias("feature"),
                     F.round("value", 6).alias("value"))
+
+
+def _features_sql(unit: str) -> str:
+    return _lm_sql("," + score_ctes(unit) + "," + feature_ctes(unit)
+                   + "\nSELECT doc_id, line_no, feature, round(value, 6) AS value FROM feat")
+
+
+@register("lm_features_word", _features_sql("word"))
+def q_lm_features_word(spark, sf_dir):
+    """LM feature block of the word unit: exp of the log10 sentence scores,
+    L2-normalised over labels (underflow gives an all-zero row)."""
+    return _lm_features(spark, sf_dir, "word")
+
+
+@register("lm_features_char", _features_sql("char"))
+def q_lm_features_char(spark, sf_dir):
+    """LM feature block of the char unit."""
+    return _lm_features(spark, sf_dir, "char")
+
+
+@register("lm_train_order5", _lm_sql(
+    "SELECT unit, label, n, gram, round(logp, 6) AS logp FROM probs", order=5))
+def q_lm_train_order5(spark, sf_dir):
+    """The order the reference trains with."""
+    m = lm_model(spark, sf_dir, 5)
+    return m.probs.select("unit", "label", "n", "gram", F.round("logp", 6).alias("logp"))
