@@ -1,8 +1,7 @@
 """Join helpers and the equi-join operators of the corpus ETL.
 
-Broadcasts are explicit only behind a size check; otherwise the join is
-left to Catalyst and AQE (which re-plans to a broadcast at runtime when the
-measured shuffle output is small, and splits skewed partitions).
+Joins carry no hints: Catalyst and AQE broadcast by the measured bytes and
+split skewed partitions.
 """
 
 from __future__ import annotations
@@ -10,9 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Row bound under which a model/lookup table is broadcast explicitly.
-BROADCAST_MAX_ROWS = 2_000_000
-
 
 def known_rows(df: DataFrame) -> int:
     n = getattr(df, "_vl_rows", None)
@@ -31,11 +27,6 @@ def with_rows(df: DataFrame, n: int) -> DataFrame:
     return df
 
 
-def sized_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only if the frame's row count is within the bound."""
-    return F.broadcast(df) if known_rows(df) <= max_rows else df
-
-
 def lookup_with_default(df: DataFrame, side: DataFrame, key: str, value_col: str,
                         default: str = "") -> DataFrame:
     """Left lookup; a missing key yields ``default``. The side table is
@@ -57,16 +48,8 @@ def anti_join(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 def label_encode(df: DataFrame, label_col: str, out_col: str = "label_id") -> DataFrame:
     """Label -> dense integer id in sorted label order (0-based). The label
     vocabulary is aggregated first (distinct labels: the label set, not the
-    rows), ranked in one small window, and joined back (broadcast only under
-    the row bound)."""
+    rows), ranked in one small window, and joined back."""
     vocab = (df.select(label_col).where(F.col(label_col).isNotNull()).distinct()
                .withColumn(out_col, F.dense_rank().over(Window.orderBy(label_col)) - 1))
-    return df.join(sized_broadcast(vocab), on=label_col, how="left")
-
+    return df.join(vocab, on=label_col, how="left")
 
-def first_match_join(df: DataFrame, side: DataFrame, key: str, order_col: str) -> DataFrame:
-    """Inner join keeping, per key, the side row with the smallest
-    ``order_col`` (first match wins); keys without a match are dropped."""
-    w = Window.partitionBy(key).orderBy(order_col)
-    first = side.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-    return df.join(first, on=key, how="inner")

@@ -34,7 +34,6 @@ from pyspark.sql import functions as F
 
 from ..functions.text import CHAR_SPACE
 from ..session import materialize
-from .joins import sized_broadcast
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 
@@ -160,7 +159,7 @@ def estimate(sents: DataFrame, order: int, materialize_tables: bool = True) -> t
     if materialize_tables:
         adj = materialize(adj)
     disc = discounts(adj)
-    a = adj.join(sized_broadcast(disc), on=["unit", "label", "n"], how="inner")
+    a = adj.join(disc, on=["unit", "label", "n"], how="inner")
     dval = (F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2"))
              .when(F.col("a") >= 3, F.col("d3")).otherwise(F.lit(0.0)))
     a = a.withColumn("D", dval).withColumn("h", prefix_of("gram"))
@@ -181,7 +180,7 @@ def estimate(sents: DataFrame, order: int, materialize_tables: bool = True) -> t
                 .agg((F.count(F.lit(1)) + 1).alias("V")))
     b0 = ctx.where(F.col("n") == 1).select("unit", "label", F.col("b").alias("b0"))
     base = vsize.join(b0, on=["unit", "label"])
-    p = (u.where(F.col("n") == 1).join(sized_broadcast(base), on=["unit", "label"])
+    p = (u.where(F.col("n") == 1).join(base, on=["unit", "label"])
           .select("unit", "label", "n", "gram", (F.col("u") + F.col("b") / F.col("V")).alias("p")))
     if materialize_tables:
         p = materialize(p)
@@ -239,7 +238,7 @@ def contribution_tables(probs: DataFrame, backoffs: DataFrame, unk: DataFrame,
     a = (probs.withColumn("_suf", suffix_of("gram")).withColumn("_pre", prefix_of("gram"))
               .join(suf, on=["unit", "label", "_suf"], how="left")
               .join(pre, on=["unit", "label", "_pre"], how="left")
-              .join(sized_broadcast(unk), on=["unit", "label"], how="inner")
+              .join(unk, on=["unit", "label"], how="inner")
               .select("unit", "label", "gram",
                       (F.col("logp") - F.when(F.col("n") == 1, F.col("logp_unk")).otherwise(F.col("_lps"))
                        - F.coalesce(F.col("_lbp"), F.lit(0.0))).alias("c")))

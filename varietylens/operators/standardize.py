@@ -17,9 +17,9 @@ whose cell is NULL/empty, or where a lookup fails, is left unchanged):
   region    first element only; ``eg`` => country eg, region nile_basin;
             ``iraq`` => country iq, region gulf; else region := mapped
 
-Physical shape: the list cells are exploded to (row id, pos, raw), joined
-with the (size-checked, broadcast) gazetteer, re-aggregated per row id and
-joined back; no Python.
+Physical shape: a level's distinct cell strings are exploded, looked up and
+joined together again once each; the result is joined back on the string, so
+no shuffle but that join carries rows. No Python.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import split_list
-from .joins import sized_broadcast
 
 # Fixed values of the standardisation rules.
 COLS = {"city": "dialect_city_id", "province": "dialect_province_id",
@@ -50,24 +49,22 @@ def validate_gazetteer(gaz: DataFrame) -> DataFrame:
     return dup.unionByName(bad)
 
 
-def _lookup(df: DataFrame, id_col: str, col: str, gaz: DataFrame, level: str) -> DataFrame:
-    """Per row id: (all_matched, joined canonical names, parts of the first
-    element)."""
-    g = sized_broadcast(gaz.where(F.col("level") == level).select("raw", "parts"))
-    el = (df.where(F.col(col).isNotNull() & (F.col(col) != ""))
-            .select(id_col, F.posexplode(split_list(col)).alias("pos", "raw")))
-    j = el.join(g, on="raw", how="left")
-    return (j.groupBy(id_col)
-             .agg(F.bool_and(F.col("parts").isNotNull()).alias("_ok"),
-                  F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.get(F.col("parts"), 0).alias("p0")))),
-                                           lambda s: s["p0"]), ",").alias("_new"),
-                  F.min_by("parts", "pos").alias("_first")))
+def _lookup(df: DataFrame, col: str, gaz: DataFrame, level: str) -> DataFrame:
+    """Per distinct cell: (all_matched, joined canonical names, parts of the
+    first element)."""
+    g = gaz.where(F.col("level") == level).select("raw", "parts")
+    el = (df.where(F.col(col).isNotNull() & (F.col(col) != "")).select(F.col(col).alias("_cell")).distinct()
+            .select("_cell", F.posexplode(split_list("_cell")).alias("pos", "raw")))
+    return (el.join(g, on="raw", how="left").groupBy("_cell")
+              .agg(F.bool_and(F.col("parts").isNotNull()).alias("_ok"),
+                   F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.get(F.col("parts"), 0).alias("p0")))),
+                                            lambda s: s["p0"]), ",").alias("_new"),
+                   F.min_by("parts", "pos").alias("_first")))
 
 
-def standardize_level(df: DataFrame, id_col: str, gaz: DataFrame, level: str) -> DataFrame:
+def standardize_level(df: DataFrame, gaz: DataFrame, level: str) -> DataFrame:
     col = COLS[level]
-    lk = _lookup(df, id_col, col, gaz, level)
-    d = df.join(lk, on=id_col, how="left")
+    d = df.join(_lookup(df, col, gaz, level), F.col(col) == F.col("_cell"), "left")
     ok = F.coalesce(F.col("_ok"), F.lit(False))
     first = F.col("_first")
     if level in ("city", "province"):
@@ -82,13 +79,13 @@ def standardize_level(df: DataFrame, id_col: str, gaz: DataFrame, level: str) ->
               .withColumn(col, F.when(ok, new_country).otherwise(F.col(col))))
     else:
         raise ValueError(level)
-    return d.drop("_ok", "_new", "_first")
+    return d.drop("_cell", "_ok", "_new", "_first")
 
 
-def standardize_region_first(df: DataFrame, id_col: str, gaz: DataFrame) -> DataFrame:
+def standardize_region_first(df: DataFrame, gaz: DataFrame) -> DataFrame:
     """Region rule uses only the first list element."""
     col = COLS["region"]
-    g = sized_broadcast(gaz.where(F.col("level") == "region").select("raw", "parts"))
+    g = gaz.where(F.col("level") == "region").select("raw", "parts")
     first_raw = F.get(split_list(col), 0)
     d = (df.withColumn("_raw", F.when(F.col(col).isNotNull() & (F.col(col) != ""), first_raw))
            .join(g.withColumnRenamed("raw", "_raw").withColumnRenamed("parts", "_first"),
@@ -106,13 +103,14 @@ def standardize_region_first(df: DataFrame, id_col: str, gaz: DataFrame) -> Data
 
 
 def standardize(df: DataFrame, id_col: str, gaz: DataFrame, levels: list[str]) -> DataFrame:
-    """Apply the level rules in the given order."""
+    """Apply the level rules in the given order. Rows need no unique id;
+    ``id_col`` is kept for callers and not read."""
     if not levels:
         raise ValueError("levels is required")
     out = df
     for lv in levels:
         if lv == "region":
-            out = standardize_region_first(out, id_col, gaz)
+            out = standardize_region_first(out, gaz)
         else:
-            out = standardize_level(out, id_col, gaz, lv)
+            out = standardize_level(out, gaz, lv)
     return out

@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import sized_broadcast
 from .ngrams import term_counts
 
 
@@ -27,7 +26,7 @@ def fit_idf(tf: DataFrame, n_docs: int) -> DataFrame:
 def tfidf_values(tf: DataFrame, vocab: DataFrame, keys: list[str], block: str,
                  normalize: bool = True) -> DataFrame:
     """(keys, feature, value) for one block; feature = ``block:term``."""
-    v = sized_broadcast(vocab.select("term", "idf"))
+    v = vocab.select("term", "idf")
     w = (tf.join(v, on="term", how="inner")
            .withColumn("_w", F.col("tf") * F.col("idf")))
     if normalize:

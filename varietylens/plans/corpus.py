@@ -56,15 +56,29 @@ def documents_split(spark: SparkSession, sf_dir: str, train: float = 0.8,
     return docs.join(splits, on="doc_id", how="inner")
 
 
+def with_labels(lines: DataFrame) -> DataFrame:
+    """Lines of documents with the fixture's label columns."""
+    return (lines.withColumn("dialect_city_id", F.col("source"))
+                 .withColumn("dialect_province_id", F.lit(None).cast("string"))
+                 .withColumn("dialect_country_id", F.col("lang"))
+                 .withColumn("dialect_region_id", region_of(F.col("lang"))))
+
+
+def all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, line_no, original_sentence, dialect_*_id) of every document,
+    copies included: one scan, no shuffle. Fit and evaluation use
+    ``sentences``, where copies are removed and the split is drawn."""
+    docs = preclean(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), ["text"])
+    return with_labels(explode_lines(docs)).select(
+        *KEYS, "original_sentence", "dialect_city_id", "dialect_province_id", "dialect_country_id",
+        "dialect_region_id")
+
+
 def sentences(spark: SparkSession, sf_dir: str, level: str = "city",
               train: float = 0.8, dev: float = 0.1, seed: int = 999) -> DataFrame:
     """(doc_id, line_no, split, original_sentence, dialect_*_id, label)."""
     lines = explode_lines(documents_split(spark, sf_dir, train, dev, seed))
-    out = (lines.withColumn("dialect_city_id", F.col("source"))
-                .withColumn("dialect_province_id", F.lit(None).cast("string"))
-                .withColumn("dialect_country_id", F.col("lang"))
-                .withColumn("dialect_region_id", region_of(F.col("lang"))))
-    return (out.withColumn("label", compose_label(level))
+    return (with_labels(lines).withColumn("label", compose_label(level))
                .select(*KEYS, "split", "original_sentence", "dialect_city_id",
                        "dialect_province_id", "dialect_country_id", "dialect_region_id",
                        "label"))

@@ -44,6 +44,24 @@ sent AS (
   WHERE trim(l.original_sentence) <> '')"""
 
 
+def lines_ctes() -> str:
+    """CTEs ``docs`` and ``sent``: one row per non-blank line of every
+    document (copies included) with its labels."""
+    return f"""
+docs AS (SELECT doc_id, text, lang, source FROM documents WHERE text IS NOT NULL),
+lines AS (
+  SELECT doc_id, lang, source,
+         unnest(string_split(text, {NL})) AS original_sentence,
+         generate_subscripts(string_split(text, {NL}), 1) - 1 AS line_no
+  FROM docs),
+sent AS (
+  SELECT doc_id, line_no, original_sentence,
+         source AS dialect_city_id, CAST(NULL AS VARCHAR) AS dialect_province_id,
+         lang AS dialect_country_id,
+         CASE WHEN lang IN ('en', 'de') THEN 'germanic' ELSE 'romance' END AS dialect_region_id
+  FROM lines WHERE trim(original_sentence) <> '')"""
+
+
 def label_expr(level: str, prefix: str = "") -> str:
     cols = {"city": ["dialect_city_id", "dialect_country_id", "dialect_region_id"],
             "country": ["dialect_country_id", "dialect_region_id"],

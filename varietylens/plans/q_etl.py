@@ -12,16 +12,17 @@ from pyspark.sql import functions as F
 
 from ..operators import windows as W
 from ..operators.clean import dedupe_keep_first, stack_columns_distinct
-from ..operators.joins import anti_join, first_match_join, lookup_with_default
+from ..operators.joins import anti_join, lookup_with_default
 from ..operators.split import split_by_ids
 from ..session import ensure_checkpoint_dir
 from ..sources import readers, sinks
 from ..sources.tables import table
 from . import oracle_sql as O
-from . import q_model, q_text
+from . import corpus, q_model, q_text
 from .registry import register
 
-SENT = f"WITH {O.corpus_ctes()}"
+SENT = f"WITH {O.lines_ctes()}"
+SPLIT = f"WITH {O.corpus_ctes()}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -139,22 +140,29 @@ def q_lexicon(spark, sf_dir):
 
 
 @register("catalog", f"""{SENT}
-SELECT dialect_city_id AS dataset_name, count(*) AS n_sentences,
+SELECT dialect_city_id AS dataset_name, dialect_region_id AS part, count(*) AS n_sentences,
+       'lines' AS method, 'documents' AS source, 'corpus' AS kind, 'none' AS split_kind,
+       array_to_string(list_sort(list_distinct(list(coalesce(dialect_province_id, 'nan')))), ',') AS list_dialect_province_id,
        array_to_string(list_sort(list_distinct(list(dialect_country_id))), ',') AS list_dialect_country_id,
-       array_to_string(list_sort(list_distinct(list(dialect_region_id))), ',') AS list_dialect_region_id,
-       array_to_string(list_sort(list_distinct(list(split))), ',') AS list_split
-FROM sent GROUP BY dialect_city_id""")
+       array_to_string(list_sort(list_distinct(list(dialect_region_id))), ',') AS list_dialect_region_id
+FROM sent GROUP BY dialect_city_id, dialect_region_id""")
 def q_catalog(spark, sf_dir):
-    """Dataset catalogue (one row per dataset = source) with the sorted
-    distinct label lists; appended to a catalogue folder and read back."""
-    s = q_model.sentences(spark, sf_dir)
-    cat = (s.groupBy(F.col("dialect_city_id").alias("dataset_name"))
-            .agg(F.count(F.lit(1)).alias("n_sentences"),
-                 F.array_join(F.sort_array(F.collect_set("dialect_country_id")), ",").alias("list_dialect_country_id"),
-                 F.array_join(F.sort_array(F.collect_set("dialect_region_id")), ",").alias("list_dialect_region_id"),
-                 F.array_join(F.sort_array(F.collect_set("split")), ",").alias("list_split")))
+    """Dataset catalogue (one row per dataset and region) with how and from
+    what it was made and the sorted distinct label lists; each region is an
+    append of its own to one catalogue folder, which is read back."""
+    s = corpus.all_lines(spark, sf_dir)
+
+    def values(c):
+        return F.array_join(F.sort_array(F.collect_set(c)), ",")
+    cat = (s.groupBy(F.col("dialect_city_id").alias("dataset_name"), F.col("dialect_region_id").alias("part"))
+            .agg(F.count(F.lit(1)).alias("n_sentences"), F.lit("lines").alias("method"),
+                 F.lit("documents").alias("source"), F.lit("corpus").alias("kind"), F.lit("none").alias("split_kind"),
+                 values(F.coalesce("dialect_province_id", F.lit("nan"))).alias("list_dialect_province_id"),
+                 values("dialect_country_id").alias("list_dialect_country_id"),
+                 values("dialect_region_id").alias("list_dialect_region_id")))
     path = scratch(spark, "catalog")
-    sinks.append_catalog(cat, path)
+    for region in ("germanic", "romance"):
+        sinks.append_catalog(cat.where(F.col("part") == region), path)
     return spark.read.parquet(path)
 
 
@@ -163,7 +171,7 @@ SELECT doc_id, count(*) AS n_segments, string_agg(original_sentence, chr(10) ORD
 FROM sent GROUP BY doc_id""")
 def q_doc_segments(spark, sf_dir):
     """Ordered segments per document (one document's lines, bounded)."""
-    s = q_model.sentences(spark, sf_dir)
+    s = corpus.all_lines(spark, sf_dir)
     return (s.groupBy("doc_id")
              .agg(F.count(F.lit(1)).alias("n_segments"),
                   F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "original_sentence"))),
@@ -251,22 +259,22 @@ def q_xml_records(spark, sf_dir):
 
 
 @register("write_read_tsv", f"""{SENT}
-SELECT doc_id, line_no, split, original_sentence, dialect_city_id, dialect_country_id, dialect_region_id
+SELECT doc_id, line_no, original_sentence, dialect_city_id, dialect_country_id, dialect_region_id
 FROM sent""")
 def q_write_read_tsv(spark, sf_dir):
     """TSV sink with header, then the delimited scan with an explicit
     schema reads it back (round trip)."""
-    s = q_model.sentences(spark, sf_dir).select(
-        "doc_id", "line_no", "split", "original_sentence", "dialect_city_id", "dialect_country_id",
+    s = corpus.all_lines(spark, sf_dir).select(
+        "doc_id", "line_no", "original_sentence", "dialect_city_id", "dialect_country_id",
         "dialect_region_id")
     path = scratch(spark, "tsv")
     sinks.write_tsv(s, path)
-    schema = ("doc_id LONG, line_no INT, split STRING, original_sentence STRING, dialect_city_id STRING, "
+    schema = ("doc_id LONG, line_no INT, original_sentence STRING, dialect_city_id STRING, "
               "dialect_country_id STRING, dialect_region_id STRING")
     return readers.read_delimited(spark, path, schema)
 
 
-@register("train_union", f"""{SENT}
+@register("train_union", f"""{SPLIT}
 SELECT {O.label_expr('city')} AS label, count(*) AS n_sentences FROM sent WHERE split = 'train' GROUP BY ALL""")
 def q_train_union(spark, sf_dir):
     """Training-set scan: one TSV per region with columns in different
@@ -288,23 +296,25 @@ def q_train_union(spark, sf_dir):
     return u.groupBy(compose_label("city").alias("label")).agg(F.count(F.lit(1)).alias("n_sentences"))
 
 
-@register("partitioned_corpus", f"""{SENT},
+@register("partitioned_corpus", f"""{SPLIT},
 lab AS (SELECT {O.label_expr('city')} AS label, original_sentence FROM sent WHERE split = 'train')
-SELECT unit, label, count(*) AS n_lines FROM (
-  SELECT 'word' AS unit, label FROM lab UNION ALL SELECT 'char', label FROM lab) GROUP BY ALL""")
+SELECT unit, label, t AS line, count(*) AS n FROM (
+  SELECT 'word' AS unit, label, original_sentence AS t FROM lab
+  UNION ALL SELECT 'char', label, array_to_string(string_split(replace(original_sentence, ' ', 'X'), ''), ' ')
+  FROM lab) GROUP BY ALL""")
 def q_partitioned_corpus(spark, sf_dir):
-    """One text folder per (unit, label) — word and char streams of the
-    training sentences — read back with partition discovery."""
+    """One text folder per (unit, label), word and char streams of the
+    training sentences, read back with partition discovery: each line and how
+    often it is there."""
     from ..functions.text import char_stream
     s = q_model.sentences(spark, sf_dir).where("split = 'train'")
-    units = (s.select(F.lit("word").alias("unit"), "label", F.col("original_sentence").alias("t"))
-              .unionByName(s.select(F.lit("char").alias("unit"), "label",
-                                    char_stream("original_sentence").alias("t"))))
+    streams = F.create_map(F.lit("word"), F.col("original_sentence"), F.lit("char"), char_stream("original_sentence"))
     path = scratch(spark, "lmcorpus")
-    sinks.write_partitioned_corpus(units, path, ["unit", "label"], "t")
-    back = spark.read.option("basePath", path).text(path)
-    return (back.groupBy(F.col("unit").cast("string").alias("unit"), F.col("label").cast("string").alias("label"))
-                .agg(F.count(F.lit(1)).alias("n_lines")))
+    sinks.write_partitioned_corpus(s.select("label", F.explode(streams).alias("unit", "t")), path, ["unit", "label"], "t")
+    back = spark.read.option("basePath", path).option("lineSep", "\n").text(path)
+    return (back.groupBy(F.col("unit").cast("string").alias("unit"), F.col("label").cast("string").alias("label"),
+                         F.col("value").alias("line"))
+                .agg(F.count(F.lit(1)).alias("n")))
 
 
 @register("folder_union", """
@@ -320,21 +330,24 @@ def q_folder_union(spark, sf_dir):
 
 
 @register("ordered_lines", f"""{SENT}
-SELECT dialect_city_id AS source, CAST(count(*) AS BIGINT) AS n_lines,
-       CAST(sum(length(original_sentence)) AS BIGINT) AS n_chars FROM sent GROUP BY ALL""")
+SELECT doc_id, line_no, original_sentence AS text FROM sent""")
 def q_ordered_lines(spark, sf_dir):
-    """Whole-file ordered line scan over text files written per source
-    (blank lines dropped, line numbers kept)."""
-    d = q_model.sentences(spark, sf_dir).where("line_no = 0").select("doc_id")
-    docs = table(spark, sf_dir, "documents").join(d, "doc_id").select("source", "text")
+    """Whole-file ordered line scan over text files written per source, each
+    document under a header line: blank lines dropped, line numbers kept. The
+    header carried down gives every line's document and place in it."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
     path = scratch(spark, "text")
-    docs.write.partitionBy("source").text(path)
+    docs.select("source", F.concat(F.lit("#doc "), F.col("doc_id").cast("string"), F.lit("\n"), F.col("text")).alias("value")) \
+        .write.partitionBy("source").text(path)
     lines = readers.read_ordered_lines(spark, path)
-    src = F.regexp_extract("file", r"source=([^/]+)/", 1)
-    return (lines.where(F.trim("text") != "")
-                 .groupBy(src.alias("source"))
-                 .agg(F.count(F.lit(1)).cast("long").alias("n_lines"),
-                      F.sum(F.length("text")).cast("long").alias("n_chars")))
+    doc = F.nullif(F.regexp_extract("text", "^#doc ([0-9]+)$", 1), F.lit(""))
+    head = F.when(doc.isNotNull(), F.concat(doc, F.lit(":"), F.col("line_no").cast("string")))
+    out = W.carry_forward(lines, ["file"], "line_no", head, "head")
+
+    def part(i):
+        return F.split_part("head", F.lit(":"), F.lit(i)).cast("long")
+    return (out.where(doc.isNull() & (F.trim("text") != ""))
+               .select(part(1).alias("doc_id"), (F.col("line_no") - part(2) - 1).alias("line_no"), "text"))
 
 
 @register("canonical_projection", """
@@ -379,7 +392,7 @@ def q_exclude_labels(spark, sf_dir):
     files (anti join on the id list)."""
     from ..functions.labels import compose_label
     from ..operators.clean import exclude_values
-    s = q_model.sentences(spark, sf_dir)
+    s = corpus.all_lines(spark, sf_dir)
     s = exclude_values(s, "dialect_city_id", ["src0", "src1"])
     bad = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
     return anti_join(s, bad, "doc_id").select("doc_id", "line_no", compose_label("city").alias("label"))
@@ -387,19 +400,17 @@ def q_exclude_labels(spark, sf_dir):
 
 @register("route_rows", f"""{SENT}
 SELECT CASE WHEN dialect_country_id IN ('en', 'de') THEN 'north' ELSE 'south' END AS route,
-       dialect_region_id, CAST(count(*) AS BIGINT) AS n_sentences
-FROM sent GROUP BY ALL""")
+       doc_id, line_no, dialect_region_id, original_sentence
+FROM sent""")
 def q_route_rows(spark, sf_dir):
     """Rows routed by a field value to two labelled outputs (one folder per
     route), read back."""
-    s = q_model.sentences(spark, sf_dir)
-    routed = s.withColumn("route", F.when(F.col("dialect_country_id").isin("en", "de"), "north")
-                                    .otherwise("south"))
+    routed = corpus.all_lines(spark, sf_dir).withColumn(
+        "route", F.when(F.col("dialect_country_id").isin("en", "de"), "north").otherwise("south"))
     path = scratch(spark, "routes")
-    routed.select("route", "dialect_region_id", "original_sentence").write.partitionBy("route").parquet(path)
-    back = spark.read.parquet(path)
-    return back.groupBy(F.col("route").cast("string").alias("route"), "dialect_region_id").agg(
-        F.count(F.lit(1)).cast("long").alias("n_sentences"))
+    routed.select("route", "doc_id", "line_no", "dialect_region_id", "original_sentence") \
+          .write.partitionBy("route").parquet(path)
+    return spark.read.parquet(path).withColumn("route", F.col("route").cast("string"))
 
 
 @register("id_line_clean", """

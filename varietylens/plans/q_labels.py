@@ -208,7 +208,7 @@ def q_label_encode(spark, sf_dir):
 
 
 @register("hier_label_rollup", f"""
-WITH {q_model.O.corpus_ctes()}
+WITH {q_model.O.lines_ctes()}
 SELECT dialect_region_id, dialect_country_id, dialect_city_id,
        count(*) AS n_sentences,
        CAST(sum(len(string_split(original_sentence, ' '))) AS BIGINT) AS n_tokens,
@@ -217,7 +217,7 @@ FROM sent GROUP BY ROLLUP (dialect_region_id, dialect_country_id, dialect_city_i
 def q_hier_label_rollup(spark, sf_dir):
     """Corpus statistics rolled up region > country > city (partial
     aggregation before the shuffle; grouping sets expand map-side)."""
-    s = q_model.sentences(spark, sf_dir)
+    s = q_model.corpus.all_lines(spark, sf_dir)
     return (s.rollup("dialect_region_id", "dialect_country_id", "dialect_city_id")
              .agg(F.count(F.lit(1)).alias("n_sentences"),
                   F.sum(F.size(F.split("original_sentence", " ", -1))).cast("long").alias("n_tokens"),
@@ -241,10 +241,10 @@ def q_corpus_stats(spark, sf_dir):
 
 
 @register("hierarchy_pairs", f"""
-WITH {q_model.O.corpus_ctes()}
+WITH {q_model.O.lines_ctes()}
 SELECT DISTINCT dialect_country_id, dialect_region_id FROM sent""")
 def q_hierarchy_pairs(spark, sf_dir):
-    return (q_model.sentences(spark, sf_dir)
+    return (q_model.corpus.all_lines(spark, sf_dir)
             .select("dialect_country_id", "dialect_region_id").distinct())
 
 

@@ -51,18 +51,18 @@ WORD_ONLY = model.ModelSpec(char=None)
 
 
 # ---------------------------------------------------------------------------
-@register("explode_sentences", f"WITH {O.corpus_ctes()} SELECT * FROM sent")
+@register("explode_sentences", f"WITH {O.lines_ctes()} SELECT * FROM sent")
 def q_explode_sentences(spark, sf_dir):
-    return sentences(spark, sf_dir).drop("label")
+    return corpus.all_lines(spark, sf_dir)
 
 
 @register("hier_label_compose", f"""
-WITH {O.corpus_ctes()}
+WITH {O.lines_ctes()}
 SELECT {O.label_expr('city')} AS label_city, {O.label_expr('country')} AS label_country,
        {O.label_expr('region')} AS label_region, count(*) AS n_sentences
 FROM sent GROUP BY ALL""")
 def q_hier_label_compose(spark, sf_dir):
-    s = sentences(spark, sf_dir)
+    s = corpus.all_lines(spark, sf_dir)
     return (s.select(compose_label("city").alias("label_city"),
                      compose_label("country").alias("label_country"),
                      compose_label("region").alias("label_region"))
@@ -207,13 +207,13 @@ def q_eval_levels(spark, sf_dir):
 
 
 @register("text_profiles", f"""
-WITH {O.corpus_ctes()}
+WITH {O.lines_ctes()}
 SELECT doc_id, line_no, original_sentence AS raw, {O.profile_sql('original_sentence', 'tok')} AS tok,
        {O.profile_sql('original_sentence', 'agg')} AS agg FROM sent""")
 def q_text_profiles(spark, sf_dir):
     """The three text normalisations: raw, tokenised, marks stripped +
     tokenised."""
-    s = sentences(spark, sf_dir)
+    s = corpus.all_lines(spark, sf_dir)
     c = F.col("original_sentence")
     return s.select(*KEYS, c.alias("raw"), corpus.profile_text(c, "tok").alias("tok"),
                     corpus.profile_text(c, "agg").alias("agg"))

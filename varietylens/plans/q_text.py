@@ -11,14 +11,14 @@ from ..operators import windows as W
 from ..operators.clean import line_start_filter, sentinel_null, skip_preamble
 from ..sources.tables import table
 from . import oracle_sql as O
-from . import q_model
+from . import corpus
 from .registry import register
 
-SENT = f"WITH {O.corpus_ctes()}"
+SENT = f"WITH {O.lines_ctes()}"
 
 
 def _sent(spark, sf_dir) -> DataFrame:
-    return q_model.sentences(spark, sf_dir).select("doc_id", "line_no", "original_sentence")
+    return corpus.all_lines(spark, sf_dir).select("doc_id", "line_no", "original_sentence")
 
 
 # -- scalar text functions over every corpus line -----------------------------
@@ -212,29 +212,27 @@ def q_lead_marker(spark, sf_dir):
 # SGML-ish stream: per source, every document becomes <DOC docid="..">,
 # <HEADLINE>, first line, </HEADLINE>?, <P>, remaining lines, </P>.
 STREAM_SQL = f"""
-{O.corpus_ctes()[1:]},
+{O.lines_ctes()[1:]},
 st AS (
   SELECT dialect_city_id AS src, doc_id * {TURN_SHIFT} * 4 + line_no * 4 + 2 AS ord, original_sentence AS text
   FROM sent
-  UNION ALL SELECT dialect_city_id, doc_id * {TURN_SHIFT} * 4, '<DOC docid="' || doc_id || '">'
-  FROM sent WHERE line_no = 0
-  UNION ALL SELECT dialect_city_id, doc_id * {TURN_SHIFT} * 4 + 1, '<P>' FROM sent WHERE line_no = 0
-  UNION ALL SELECT dialect_city_id, doc_id * {TURN_SHIFT} * 4 + {TURN_SHIFT} * 4 - 1, '</P>'
-  FROM sent WHERE line_no = 0)"""
+  UNION ALL SELECT source, doc_id * {TURN_SHIFT} * 4, '<DOC docid="' || doc_id || '">' FROM docs
+  UNION ALL SELECT source, doc_id * {TURN_SHIFT} * 4 + 1, '<P>' FROM docs
+  UNION ALL SELECT source, doc_id * {TURN_SHIFT} * 4 + {TURN_SHIFT} * 4 - 1, '</P>' FROM docs)"""
 
 
 def sgml_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = q_model.sentences(spark, sf_dir)
+    """Tags and non-blank lines of every document by one explode of one scan."""
+    docs = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
     base = F.col("doc_id") * (TURN_SHIFT * 4)
-    body = s.select(F.col("dialect_city_id").alias("src"),
-                    (base + F.col("line_no") * 4 + 2).alias("ord"), F.col("original_sentence").alias("text"))
-    first = s.where("line_no = 0")
-    doc = first.select(F.col("dialect_city_id").alias("src"), base.alias("ord"),
-                       F.concat(F.lit('<DOC docid="'), F.col("doc_id").cast("string"), F.lit('">')).alias("text"))
-    po = first.select(F.col("dialect_city_id").alias("src"), (base + 1).alias("ord"), F.lit("<P>").alias("text"))
-    pc = first.select(F.col("dialect_city_id").alias("src"), (base + TURN_SHIFT * 4 - 1).alias("ord"),
-                      F.lit("</P>").alias("text"))
-    return body.unionByName(doc).unionByName(po).unionByName(pc)
+
+    def line(order, text):
+        return F.struct(order.cast("long").alias("ord"), text.alias("text"))
+    tags = F.array(line(base, F.concat(F.lit('<DOC docid="'), F.col("doc_id").cast("string"), F.lit('">'))),
+                   line(base + 1, F.lit("<P>")), line(base + TURN_SHIFT * 4 - 1, F.lit("</P>")))
+    body = F.transform(F.split("text", "\n", -1), lambda t, i: line(base + i * 4 + 2, t))
+    return docs.select(F.col("source").alias("src"),
+                       F.inline(F.concat(tags, F.filter(body, lambda x: F.trim(x["text"]) != ""))))
 
 
 @register("carry_doc_id", f"""

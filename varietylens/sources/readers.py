@@ -27,8 +27,9 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_ordered_lines(spark: SparkSession, path: str, drop_blank: bool = True) -> DataFrame:
     """Whole files, one row per line with its 0-based line number; blank
     lines dropped. A file is read by one task (it must be, to number its
-    lines); files are the unit of parallelism."""
-    whole = (spark.read.option("wholetext", True).text(path)
+    lines); files are the unit of parallelism. ``wholetext`` is an argument:
+    as an option, the argument's default would override it."""
+    whole = (spark.read.text(path, wholetext=True)
                   .select(F.col("_metadata.file_path").alias("file"), F.col("value")))
     lines = whole.select("file", F.posexplode(F.split("value", "\n", -1)).alias("line_no", "text"))
     return lines.where(F.col("text") != "") if drop_blank else lines
