@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -180,12 +181,36 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Record
         yield joined(held)
 
 
+def text_slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about ``most`` bytes of text (one row at least)."""
+    _, off = text_bytes(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def coded(lists: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct strings of a column of lists, the number of each string in
+    them, and where each row's strings start (one more entry than rows)."""
+    found = lists.flatten().dictionary_encode()
+    ends = np.cumsum(np.append(0, pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
+    return found.dictionary.to_pylist(), found.indices.to_numpy(), ends
+
+
+def tokens(col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Blank-separated tokens of a string column, as ``coded``; null counts as
+    empty, and every row has a token (the empty string, at its ends)."""
+    return coded(pc.utf8_split_whitespace(col.cast(pa.large_string()).fill_null("")))
+
+
 class TokenRows:
-    """Rows of numbers of blank-separated tokens, made when first met. At most
-    ``most`` tokens are kept (more only while one text has more); then all are
+    """Rows of numbers of blank-separated tokens, made (``make``: a list of
+    tokens to their rows) when first met. At most ``most`` tokens are kept (more only while one text has more); then all are
     dropped and what is frequent comes back."""
 
-    def __init__(self, width: int, make, most: int = 200_000):
+    def __init__(self, width: int, make, most: int = 500_000):
         self.make, self.most = make, most
         self.index: dict[str, int] = {}
         self.rows = np.zeros((most, width))
@@ -200,9 +225,9 @@ class TokenRows:
                 new = set(tokens)
                 if len(new) > len(self.rows):
                     self.rows = np.zeros((len(new), self.rows.shape[1]))
-            for token in new:
-                i = self.index[token] = len(self.index)
-                self.rows[i] = self.make(token)
+            order, first = list(new), len(self.index)
+            self.index.update(zip(order, range(first, first + len(order)), strict=True))
+            self.rows[first:first + len(order)] = self.make(order)
             at = list(map(self.index.get, tokens))
         return self.rows[at]
 

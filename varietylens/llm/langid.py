@@ -14,7 +14,7 @@ text if nothing was learned. Rows without text or language teach nothing.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +22,17 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenRows, fresh, in_arrow, materialize
+from .common import TokenRows, fresh, in_arrow, materialize, text_slices, tokens
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 ORDER = 4
 
 
 def words_of(token: str) -> list[str]:
-    return _WORD.findall(token)
+    if token.isalpha():
+        return [token]
+    bare = token.strip(".,;:!?")
+    return [bare] if bare.isalpha() else _WORD.findall(token)
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -40,14 +43,18 @@ def grams(word: str, n: int) -> list[str]:
 
 def _word_counts(batches):
     for batch in batches:
-        tokens: dict[str, Counter] = defaultdict(Counter)
-        for text, lang in zip(batch.column(0), batch.column(1), strict=True):
-            tokens[lang.as_py()].update(text.as_py().lower().split())
         rows: Counter = Counter()
-        for lang, counted in tokens.items():
-            for token, n in counted.items():
-                for word in [token] if token.isalpha() else words_of(token):
-                    rows[lang, word] += n
+        for part in text_slices(batch, 0, 16 << 20):
+            found, codes, ends = tokens(part.column(0))
+            lang = part.column(1).dictionary_encode()
+            key = np.repeat(lang.indices.to_numpy(), np.diff(ends)).astype(np.int64) * len(found) + codes
+            key, counts = np.unique(key, return_counts=True)
+            names = lang.dictionary.to_pylist()
+            for which, at, n in zip((key // len(found)).tolist(), (key % len(found)).tolist(), counts.tolist(),
+                                    strict=True):
+                token = found[at].lower()
+                for word in words_of(token):
+                    rows[names[which], word] += n
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in rows], pa.string()), pa.array([k[1] for k in rows], pa.string()),
              pa.array(list(rows.values()), pa.int64())], names=["lang", "word", "n"])
@@ -80,38 +87,53 @@ class Model:
         self.langs, self.words, self.grams = langs, words, grams
         self.rows: TokenRows | None = None
 
-    def word(self, word: str) -> np.ndarray:
-        at = self.words.at.get(word)
-        if at is not None:
-            return self.words.logs[at]
+    def known(self, word: str) -> list[int]:
+        """Rows of the longest grams of a word that the model knows."""
         for order in range(ORDER, 0, -1):
-            found = [i for g in grams(word, order) if (i := self.grams.at.get(g)) is not None]
-            if found:
-                return self.grams.logs[found].sum(0) / len(found)
-        return np.zeros(len(self.langs), np.float32)
-
-    def token(self, token: str) -> np.ndarray:
-        """Summed logs of the words in a blank-separated token, and their number."""
-        words = [token] if token.isalpha() else words_of(token)
-        row = np.zeros(len(self.langs) + 1)
-        for word in words:
-            row[:-1] += self.word(word)
-        row[-1] = len(words)
-        return row
+            if found := [i for g in grams(word, order) if (i := self.grams.at.get(g)) is not None]:
+                return found
+        return []
+
+    def tokens(self, made: list[str]) -> np.ndarray:
+        """Summed logs of the words in each blank-separated token, and their number."""
+        words = [words_of(token.lower()) for token in made]
+        count = np.array([len(w) for w in words], np.int64)
+        flat = [w for ws in words for w in ws]
+        at = np.array([self.words.at.get(w, -1) for w in flat], np.int64)
+        logs = np.zeros((len(flat), len(self.langs)))
+        logs[at >= 0] = self.words.logs[at[at >= 0]]
+        unseen = [(i, k) for i in np.flatnonzero(at < 0).tolist() if (k := self.known(flat[i]))]
+        if unseen:
+            many = np.array([len(k) for _, k in unseen])
+            rows = self.grams.logs[[i for _, k in unseen for i in k]]
+            logs[[i for i, _ in unseen]] = np.add.reduceat(rows, np.cumsum(many) - many, axis=0) / many[:, None]
+        out = np.zeros((len(made), len(self.langs) + 1))
+        out[:, -1] = count
+        some = count > 0
+        if some.any():
+            out[some, :-1] = np.add.reduceat(logs, (np.cumsum(count) - count)[some], axis=0)
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.langs or not text:
-            return "und", 0.0
+        langs, scores = self.predict_all(pa.array([text], pa.string()))
+        return langs[0], float(scores[0])
+
+    def predict_all(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """Language and score of each text of a string column."""
+        if not self.langs or not len(texts):
+            return ["und"] * len(texts), np.zeros(len(texts))
         if self.rows is None:
-            self.rows = TokenRows(len(self.langs) + 1, self.token)
-        total = self.rows(text.lower().split()).sum(0)
-        logs, n = total[:-1], total[-1]
-        if not n:
-            return "und", 0.0
-        p = np.exp((logs - logs.max()) * min(1.0, 20 / n))  # the evidence of twenty words at most
-        p /= p.sum()
-        best = int(np.argmax(p))  # ties: first language by name
-        return self.langs[best], float(p[best])
+            self.rows = TokenRows(len(self.langs) + 1, self.tokens)
+        found, codes, ends = tokens(texts)
+        total = np.add.reduceat(self.rows(found)[codes], ends[:-1], axis=0)
+        logs, n = total[:, :-1], total[:, -1]
+        # the evidence of twenty words at most
+        p = np.exp((logs - logs.max(1, keepdims=True)) * np.minimum(1.0, 20 / np.maximum(n, 1))[:, None])
+        p /= p.sum(1, keepdims=True)
+        best = p.argmax(1)  # ties: first language by name
+        some = n > 0
+        return ([self.langs[b] if s else "und" for b, s in zip(best.tolist(), some.tolist(), strict=True)],
+                np.where(some, p[np.arange(len(p)), best], 0.0))
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = 50_000,
@@ -154,11 +176,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches):
         m = shared.value
         for batch in batches:
-            found = [m.predict(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([f[0] for f in found], pa.string()),
-                 pa.array([f[1] for f in found], pa.float64())],
-                names=[*batch.schema.names, pred, score])
+            for part in text_slices(batch, at):
+                langs, scores = m.predict_all(part.column(at))
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
+                    names=[*part.schema.names, pred, score])
 
     fields = [*docs.schema.fields]
     from pyspark.sql import types as T

@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import (components, fresh, in_arrow, materialize, mix64, partitions, runs, text_bytes, word_hashes,
-                     word_spans)
+from .common import (components, fresh, in_arrow, materialize, mix64, partitions, runs, text_bytes, text_slices,
+                     word_hashes, word_spans)
 
 HALF, REACH, WIDTH, JACCARD = 12, 9, 5, 0.8
 BANDS, ROWS, DEAL, LEVELS = 4, 2, 4096, 3
@@ -114,22 +114,12 @@ def _paragraph_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
                        F.col(text).alias("text"))
 
 
-def _slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
-    """Parts of a batch of about ``most`` bytes of text (one row at least)."""
-    _, off = text_bytes(batch.column(column))
-    at = 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(off, off[at] + most, "right")) - 1)
-        yield batch.slice(at, end - at)
-        at = end
-
-
 def _band_rows(batches):
     """(key, par, band, many): per batch each band key and paragraph hash
     once; many: in several documents."""
     for batch in batches:
         keys, pars, docs = [], [], []
-        for part in _slices(batch, 2):
+        for part in text_slices(batch, 2):
             row, lo, hi, _, _, h = cut(*text_bytes(part.column(2)))
             exact, k = sketch(lo, hi, h)
             keys.append(k)
@@ -175,7 +165,7 @@ def _meet(batches):
 def _places(batches):
     """(par, doc, doc_id, at, end): every paragraph's hash and byte span."""
     for batch in batches:
-        for part in _slices(batch, 2):
+        for part in text_slices(batch, 2):
             buf, off = text_bytes(part.column(2))
             row, lo, hi, starts, ends, h = cut(buf, off)
             exact, _ = sketch(lo, hi, h)
@@ -361,6 +351,6 @@ def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 def _picked(batches, at: int, n: int):
     """Text and spans first, then the frame's columns and the ids."""
     for b in batches:
-        for part in _slices(b, at, 16 << 20):
+        for part in text_slices(b, at, 16 << 20):
             cols = [part.column(at), part.column(n), *part.columns[:n], part.column(n + 1)]
             yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])

@@ -25,6 +25,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -33,7 +34,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenRows, in_arrow, materialize
+from .common import TokenRows, in_arrow, materialize, text_slices, tokens
 
 #: Second-person pronouns of English, German, French, Spanish,
 #: Italian and Portuguese.
@@ -94,56 +95,75 @@ def lexicon(labelled: DataFrame) -> dict[str, float]:
     return {r["term"]: r["z"] for r in top.collect()}
 
 
+def _holds(pattern: regex.Pattern, found: list[str]) -> np.ndarray:
+    """Which tokens (without blanks) hold a pattern (without blanks): one search over all."""
+    ends = np.cumsum([len(t) + 1 for t in found])
+    out = np.zeros(len(found), bool)
+    out[np.searchsorted(ends, [m.start() for m in pattern.finditer("\n".join(found))], "right")] = True
+    return out
+
+
 class Scorer:
     """Features of a text under a lexicon."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.rows = lexicon, TokenRows(16, self.token)
-
-    def token(self, token: str) -> np.ndarray:
-        """A token's share in the sums; last: is it in the lexicon, does it
-        speak to someone."""
-        row = np.zeros(16)
-        found = _LETTERS.findall(token)
-        for word in found:
-            low = word.lower()
-            z = self.lexicon.get(low, 0.0)
-            s = max((self.lexicon.get(t, 0.0) for t in stems(low)), default=0.0)
-            for i, least in enumerate(TIERS):
-                row[i] += z >= least
-                row[len(TIERS) + i] += s >= least
-            row[6] += max(z, s)
-            row[7] = max(row[7], z, s)
-            row[8] += len(word) > 2 and word.isupper()
-            row[9] += len(word) == 1
-            row[15] = row[15] or low in SECOND_PERSON
-        row[10] = sum(map(str.isupper, token))
-        row[11] = bool(_INSIDE.search(token))
-        row[12] = bool(_REPEAT.search(token.lower()))
-        row[13] = len(found)
-        row[14] = row[7] >= TIERS[1]
-        return row
-
-    def features(self, text: str) -> np.ndarray:
-        out = np.zeros(len(FEATURES))
-        tokens = text.split()
-        if not tokens:
-            return out
-        rows = self.rows(tokens)
-        total, strongest = rows[:, :14].sum(0), rows[:, 7].max()
-        bad, you = np.flatnonzero(rows[:, 14]), np.flatnonzero(rows[:, 15])
-        aimed = 0
+        self.lexicon, self.rows = lexicon, TokenRows(16, self.tokens)
+        self.heads = {t[:4] for t in lexicon if t[-1] == "~"}  # what any beginning in the lexicon starts with
+
+    def stem(self, low: str) -> float:
+        """The largest z of a word's beginnings."""
+        return max([self.lexicon.get(t, 0.0) for t in stems(low)], default=0.0)
+
+    def tokens(self, made: list[str]) -> np.ndarray:
+        """Each token's share in the sums; last two columns: is it in the
+        lexicon, does it speak to someone."""
+        out = np.zeros((len(made), 16))
+        lows = [token.lower() for token in made]
+        words = [[t] if t.isalpha() else _LETTERS.findall(t) for t in made]
+        count = np.array([len(w) for w in words], np.int64)
+        flat = [w for ws in words for w in ws]
+        if flat:
+            low, get, heads = [w.lower() for w in flat], self.lexicon.get, self.heads
+            z, s = np.array([get(w, 0.0) for w in low]), np.array([self.stem(w) if w[:4] in heads else 0.0 for w in low])
+            shouted = [w.isupper() and len(w) > 2 for w in flat]
+            each = np.column_stack([*(z >= t for t in TIERS), *(s >= t for t in TIERS), np.maximum(z, s), shouted,
+                                    np.array(list(map(len, flat))) == 1, list(map(SECOND_PERSON.__contains__, low))])
+            some, first = count > 0, (np.cumsum(count) - count)[count > 0]
+            total = np.add.reduceat(each, first, axis=0)
+            out[some, :7], out[some, 8:10] = total[:, :7], total[:, 7:9]
+            out[some, 7] = np.maximum.reduceat(each[:, 6], first)
+            out[:, 15][some] = total[:, 9] > 0
+        out[:, 10] = [0 if t == low else sum(map(str.isupper, t)) for t, low in zip(made, lows, strict=True)]
+        out[:, 11], out[:, 12] = _holds(_INSIDE, made), _holds(_REPEAT, lows)
+        out[:, 13] = count
+        out[:, 14] = out[:, 7] >= TIERS[1]
+        return out
+
+    def features(self, texts: pa.Array) -> np.ndarray:
+        """One row of features per text of a string column."""
+        if not len(texts):
+            return np.zeros((0, len(FEATURES)))
+        texts = texts.cast(pa.large_string()).fill_null("")
+        found, codes, ends = tokens(texts)
+        rows = self.rows(found)
+        each, first = rows[:, :14][codes], ends[:-1]
+        total, strongest = np.add.reduceat(each, first, axis=0), np.maximum.reduceat(each[:, 7], first)
+        row = np.repeat(np.arange(len(first)), np.diff(ends))
+        place = np.arange(len(codes)) + row * (NEAR + 1)  # texts are more than NEAR apart
+        is_bad, is_you = rows[:, 14][codes] > 0, rows[:, 15][codes] > 0
+        bad, you = place[is_bad], place[is_you]
+        aimed = np.zeros(len(first))
         if len(you) and len(bad):
             at = np.searchsorted(you, bad)
             gap = np.minimum(np.abs(you[np.minimum(at, len(you) - 1)] - bad), np.abs(you[np.maximum(at - 1, 0)] - bad))
-            aimed = int((gap <= NEAR).sum())
-        n, chars = max(1.0, total[13]), len(text)
-        out[:6] = total[:6] / n
-        out[6:] = [total[6] / n, strongest, len(you) / n, aimed / n, total[10] / chars, total[8] / n,
-                   text.count("!") / n, text.count("?") / n,
-                   (text.count(".") + text.count(",") + text.count(";") + text.count(":")) / n,
-                   total[11] / n, total[12] / n, total[9] / n, np.log1p(total[13])]
-        return out
+            aimed = np.bincount(row[is_bad][gap <= NEAR], minlength=len(first))
+        second = np.bincount(row[is_you], minlength=len(first))
+        marks = {m: pc.count_substring(texts, m).to_numpy(zero_copy_only=False) for m in "!?.,;:"}
+        n, chars = np.maximum(1.0, total[:, 13]), np.maximum(1, pc.utf8_length(texts).to_numpy(zero_copy_only=False))
+        return np.column_stack([
+            total[:, :6] / n[:, None], total[:, 6] / n, strongest, second / n, aimed / n, total[:, 10] / chars,
+            total[:, 8] / n, marks["!"] / n, marks["?"] / n, (marks["."] + marks[","] + marks[";"] + marks[":"]) / n,
+            total[:, 11] / n, total[:, 12] / n, total[:, 9] / n, np.log1p(total[:, 13])])
 
 
 def features(docs: DataFrame, terms_of: dict[str, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,9 +173,10 @@ def features(docs: DataFrame, terms_of: dict[str, float], doc_id: str = "doc_id"
     def run(batches):
         scorer = Scorer(shared.value)
         for batch in batches:
-            rows = np.array([scorer.features(t.as_py() or "") for t in batch.column(1)]).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in rows.T)],
-                                             names=["doc_id", *FEATURES])
+            for part in text_slices(batch, 1):
+                rows = scorer.features(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)],
+                                                 names=["doc_id", *FEATURES])
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return in_arrow(rows, run, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
 
