@@ -23,10 +23,11 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_arrow, materialize
+from .common import coded, in_arrow, materialize, text_slices
 
 #: Letters with sentence marks behind them are two tokens of the byte-level
 #: pre-tokenizer, whatever stands around them.
@@ -55,7 +56,7 @@ class Encoder:
         self.marks: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
     def _encode(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece with a blank before it, by one call."""
@@ -89,21 +90,27 @@ class Encoder:
                 self.marks[mark] = self.whole(mark)
             young[p] = young[word] + self.marks[mark]
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for at in range(0, len(texts), 256):
-            cut = [t.split(" ") for t in texts[at:at + 256]]
-            need = set().union(*cut)
-            for _ in range(2):  # again if a generation ended
-                if missing := {p for p in need if p not in self.young}:
-                    self._learn(missing)
-            get = self.young.__getitem__
-            for c, t in zip(cut, texts[at:at + 256], strict=True):
-                ids = list(map(get, c))
-                if None in ids:
-                    yield self.whole(t)
-                else:
-                    ids[0] = self.whole(c[0])  # no blank before it
-                    yield b"".join(ids)
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of each text of a string column without nulls."""
+        if not len(texts):
+            return
+        found, codes, ends = coded(pc.split_pattern(texts.cast(pa.large_string()), " "))
+        for _ in range(2):  # again if a generation ended
+            if missing := {p for p in found if p not in self.young}:
+                self._learn(missing)
+        first = codes[ends[:-1]]
+        heads, head = np.unique(first, return_inverse=True)  # no blank before a text's first piece
+        ids = list(map(self.young.__getitem__, found))
+        odd = np.array([i is None for i in ids])
+        codes = codes.copy()
+        codes[ends[:-1]] = len(found) + head
+        known = pa.array([i or b"" for i in ids] + [self.whole(found[h]) for h in heads.tolist()], pa.large_binary())
+        laid = known.take(pa.array(codes))
+        _, offsets, data = laid.buffers()
+        at = np.frombuffer(offsets, np.int64, len(laid) + 1)[ends].tolist()
+        whole = (np.add.reduceat(np.append(odd, np.zeros(len(heads), bool))[codes], ends[:-1]) > 0) | odd[first]
+        for i, (lo, hi) in enumerate(pairwise(at)):
+            yield self.whole(texts[i].as_py()) if whole[i] else data[lo:hi].to_pybytes() if hi > lo else b""
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -126,11 +133,10 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, d
     def run(batches):
         own = encoder(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in text_slices(batch, 1):
                 rows = []
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for doc, ids in zip(part.column(0).to_pylist(), own.encode(texts), strict=True):
+                texts = own.encode(part.column(1).fill_null(""))
+                for doc, ids in zip(part.column(0).to_pylist(), texts, strict=True):
                     ids += tail
                     n = len(ids) // 4
                     rows += [(doc, s, min(size, n - s), n, ids[4 * s:4 * (s + size)]) for s in range(0, n, size)]
