@@ -364,3 +364,32 @@ def test_pipeline_stages(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = materialize(stage(spark, empty, SF))
     assert empty.count() == 0
+
+
+def test_token_rows_match_plain_reading():
+    """Column kernels against one text and one token at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    from varietylens.llm import packing, toxicity
+    from varietylens.llm.queries import tokenizer_path
+
+    texts = ["", None, " ", "you IDIOT, you!!", "  a  b ", "id1ot idiooot? far from all of it you", "idiot\n\nx y.z", "IDIOT"]
+    scorer = toxicity.Scorer({"idiot": 4.0, "idio~": 3.0, "far": 2.6})
+    got = scorer.features(pa.array(texts, pa.string()))
+    alone = np.concatenate([toxicity.Scorer(scorer.lexicon).features(pa.array([t], pa.string())) for t in texts])
+    assert np.array_equal(got, alone)  # neighbours in a batch have no influence
+    col = dict(zip(toxicity.FEATURES, got.T, strict=True))
+    assert not got[:3].any()
+    assert col["word_1"].tolist() == [0, 0, 0, 1 / 3, 0, 0, 1 / 4, 1]
+    assert col["second_person"][3] == 2 / 3 and col["aimed"].tolist() == [0, 0, 0, 1 / 3, 0, 0, 0, 0]
+    assert col["capitals"][3] == 5 / 16 and col["shouted"][7] == 1 and col["single"][4] == 1
+    assert col["inside"][5] > 0 and col["repeated"][5] > 0 and col["exclaimed"][3] == 2 / 3
+
+    odd = [t or "" for t in texts] + ["a  b", "\n\nx y", "<|endoftext|> hi", "don't stop.\tNow .5 5.", "tail "]
+    enc = packing.Encoder(tokenizer_path(), cache=4)  # generations end within the batch
+    assert list(enc.encode(pa.array(odd))) == [enc.whole(t) for t in odd]
+    assert list(enc.encode(pa.array(odd).slice(5))) == [enc.whole(t) for t in odd[5:]]
+    assert list(enc.encode(pa.array([], pa.string()))) == []
+    for t in ("a b c", "a b c d e", "c f g h i j", "a f"):  # known and new pieces when a generation ends
+        assert list(enc.encode(pa.array([t]))) == [enc.whole(t)]

@@ -65,9 +65,11 @@ class Encoder:
         at = (np.searchsorted(np.cumsum(self.width[np.frombuffer(ids, "<u4")]), ends) + 1) * 4
         return [ids[a:b] for a, b in pairwise([0, *at.tolist()])]
 
-    def _learn(self, missing: set[str]) -> None:
-        if len(self.young) + len(missing) > self.most:
-            self.old, self.young = self.young, {}
+    def _learn(self, need: list[str]) -> None:
+        """All of ``need`` (distinct pieces) are in ``young`` afterwards, however many there are."""
+        missing = [p for p in need if p not in self.young]
+        if missing and len(self.young) + len(missing) > self.most:
+            self.old, self.young, missing = self.young, {}, need
         young, old, new, split = self.young, self.old, set(), []
         for p in missing:
             if p in old:
@@ -95,9 +97,7 @@ class Encoder:
         if not len(texts):
             return
         found, codes, ends = coded(pc.split_pattern(texts.cast(pa.large_string()), " "))
-        for _ in range(2):  # again if a generation ended
-            if missing := {p for p in found if p not in self.young}:
-                self._learn(missing)
+        self._learn(found)
         first = codes[ends[:-1]]
         heads, head = np.unique(first, return_inverse=True)  # no blank before a text's first piece
         ids = list(map(self.young.__getitem__, found))
