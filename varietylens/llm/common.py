@@ -206,12 +206,14 @@ def tokens(col: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 class TokenRows:
-    """Rows of numbers of blank-separated tokens, made (``make``: a list of
-    tokens to their rows) when first met. At most ``most`` tokens are kept (more only while one text has more); then all are
-    dropped and what is frequent comes back."""
-
-    def __init__(self, width: int, make, most: int = 500_000):
-        self.make, self.most = make, most
+    """Rows of numbers of blank-separated tokens, made when first met (by
+    ``make``, or many at once by ``make_all``). At most ``most`` tokens are
+    kept (more only while one call has more); then all are dropped and what is
+    frequent comes back."""
+
+    def __init__(self, width: int, make=None, most: int = 500_000, make_all=None):
+        self.make_all = make_all or (lambda tokens: [make(t) for t in tokens])
+        self.most = most
         self.index: dict[str, int] = {}
         self.rows = np.zeros((most, width))
 
@@ -227,7 +229,7 @@ class TokenRows:
                     self.rows = np.zeros((len(new), self.rows.shape[1]))
             order, first = list(new), len(self.index)
             self.index.update(zip(order, range(first, first + len(order)), strict=True))
-            self.rows[first:first + len(order)] = self.make(order)
+            self.rows[first:first + len(order)] = self.make_all(order)
             at = list(map(self.index.get, tokens))
         return self.rows[at]
 

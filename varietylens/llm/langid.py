@@ -123,7 +123,7 @@ class Model:
         if not self.langs or not len(texts):
             return ["und"] * len(texts), np.zeros(len(texts))
         if self.rows is None:
-            self.rows = TokenRows(len(self.langs) + 1, self.tokens)
+            self.rows = TokenRows(len(self.langs) + 1, make_all=self.tokens)
         found, codes, ends = tokens(texts)
         total = np.add.reduceat(self.rows(found)[codes], ends[:-1], axis=0)
         logs, n = total[:, :-1], total[:, -1]

@@ -107,7 +107,7 @@ class Scorer:
     """Features of a text under a lexicon."""
 
     def __init__(self, lexicon: dict[str, float]):
-        self.lexicon, self.rows = lexicon, TokenRows(16, self.tokens)
+        self.lexicon, self.rows = lexicon, TokenRows(16, make_all=self.tokens)
         self.heads = {t[:4] for t in lexicon if t[-1] == "~"}  # what any beginning in the lexicon starts with
 
     def stem(self, low: str) -> float:
