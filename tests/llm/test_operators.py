@@ -123,6 +123,36 @@ def test_paragraphs_cut_what_repeats(spark):
     assert paragraphs.dedupe(df.limit(0)).count() == 0
 
 
+def test_planted_passages_are_cut_almost_whole(spark):
+    rng = np.random.default_rng(51)
+    text = lambda n: ["".join(c) for c in rng.choice(list("abcdefghijklmnop"), (n, 6))]
+    rows, planted = [], 60
+    for i in range(planted):  # the passage of 51 words stands in document i and in document 100 + i
+        passage = text(51)
+        for doc in (i, 100 + i):
+            w = text(120)
+            at = int(rng.integers(1, 119))
+            rows.append((doc, " ".join([*w[:at], *passage, *w[at:]])))
+    # two keepers: 30 words of the passage of 300 also stand in 201, all of it in 202
+    passage = text(60)
+    rows += [(201, " ".join([*text(40), *passage[12:42], *text(40)])), (202, " ".join([*text(40), *passage, *text(40)])),
+             (300, " ".join([*text(40), *passage, *text(40)]))]
+    got = {r["doc_id"]: r for r in paragraphs.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(not got[i]["cut_words"] for i in range(planted))
+    # a near paragraph (Jaccard 0.8) may take up to two words more at either end
+    cut = [got[100 + i]["cut_words"] for i in range(planted)]
+    assert min(cut) >= 51 and max(cut) <= 55 and all(got[100 + i]["cut_passages"] == 1 for i in range(planted)), cut
+    assert 60 <= got[300]["cut_words"] <= 64 and not set(passage) & set(got[300]["text"].split())
+
+
+def test_anchors_are_minima_of_every_window():
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 11, 12, 13, 300):
+        x = rng.integers(0, 40, n).astype(np.uint64)
+        width = min(paragraphs.SPAN, n)
+        assert paragraphs._anchors(x).tolist() == sorted({i + int(x[i:i + width].argmin()) for i in range(n - width + 1)})
+
+
 def test_verified_spans_all_links():
     rng = np.random.default_rng(2)
     base = [rng.integers(0, 10**9, 20) for _ in range(12)]

@@ -1,10 +1,12 @@
 """Substring dedup: paragraph MinHash banding.
 
 A paragraph here is a passage of ``2 * HALF`` words around a content-defined
-anchor (a word pair whose hash is the smallest within ``REACH`` words either
-way). So a passage that stands anywhere in two documents, whatever surrounds
-it and wherever lines break, gives the same paragraphs in both. Every text of
-five words has an anchor; at its ends paragraphs are shorter.
+anchor (winnowing: of every ``SPAN`` word pairs in a row the one of the
+smallest hash). So a passage that stands anywhere in two documents, whatever
+surrounds it and wherever lines break, gives the same paragraphs in both:
+``2 * HALF + SPAN - 1`` shared words hold a whole paragraph, and neighbours
+overlap, as anchors are at most ``SPAN`` words apart. Every text of five words
+has an anchor; at its ends paragraphs are shorter.
 
 1. Every paragraph gets a hash of its words and MinHash bands over its
    five-word shingles (``BANDS`` bands of ``ROWS``: a pair of Jaccard 0.8 meets
@@ -13,6 +15,10 @@ five words has an anchor; at its ends paragraphs are shorter.
    Jaccard measure (0.8 or more); classes are the connected components.
 3. Of a class found in several documents, the first document (by doc_id, null
    last, then text hash) keeps its paragraphs; they are cut out of the others.
+4. What is cut grows at both ends, word by word, while the words agree with
+   the keeper's (at most ``CONTEXT`` words: a longer agreement holds paragraphs
+   of its own). Where paragraphs of one cut have several keepers, each is tried
+   from its paragraph next to the end.
 
 Band groups with more than ``DEAL`` different paragraphs (a line that half
 the corpus contains, in ever other surroundings) are dealt again by further
@@ -25,7 +31,10 @@ fewer than five words have no paragraphs and stay as they are.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,21 +45,30 @@ from pyspark.sql import types as T
 from .common import (components, fresh, in_arrow, materialize, mix64, partitions, runs, text_bytes, text_slices,
                      word_hashes, word_spans)
 
-HALF, REACH, WIDTH, JACCARD = 12, 9, 5, 0.8
-BANDS, ROWS, DEAL, LEVELS = 4, 2, 4096, 3
+HALF, SPAN, WIDTH, JACCARD = 12, 12, 5, 0.8
+CONTEXT = 4 * HALF
+BANDS, ROWS, DEAL, LEVELS = 4, 2, 4096, 3  # BANDS: a power of two, the last bits of a key are its band
 U64 = np.uint64
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SALT = mix64(np.arange(1, 1 + BANDS * ROWS * LEVELS, dtype=U64) * U64(0xD1B54A32D192ED03)) | U64(1)
 
 
-def _slide_min(x: np.ndarray, reach: int) -> np.ndarray:
-    """Minimum within ``reach`` places either way."""
-    most = U64(0xFFFFFFFFFFFFFFFF)
-    pad = np.concatenate([np.full(reach, most), x, np.full(reach, most)])
-    width, have = 2 * reach + 1, 1
+def _anchors(x: np.ndarray) -> np.ndarray:
+    """Places of the smallest value (the first of equal ones) of every ``SPAN``
+    values in a row, or of all if there are fewer."""
+    width, have, least = min(SPAN, len(x)), 1, x
     while have * 2 <= width:
-        pad = np.minimum(pad[:-have], pad[have:])
+        least = np.minimum(least[:-have], least[have:])
         have *= 2
-    return np.minimum(pad[:len(x)], pad[width - have:width - have + len(x)])
+    if have < width:
+        least = np.minimum(least[:have - width], least[width - have:])
+    chosen = np.zeros(len(x), bool)
+    todo = np.arange(len(least))  # windows whose smallest value is not found yet
+    for step in range(width):
+        hit = x[todo + step] == least[todo]
+        chosen[todo[hit] + step] = True
+        todo = todo[~hit]
+    return np.flatnonzero(chosen)
 
 
 def cut(buf: np.ndarray, off: np.ndarray):
@@ -65,10 +83,7 @@ def cut(buf: np.ndarray, off: np.ndarray):
         if n < WIDTH:
             continue
         pair = mix64(h[a:b] * U64(3) + np.append(h[a + 1:b], U64(0)))
-        least = _slide_min(pair, REACH) == pair
-        at = np.flatnonzero(least)
-        if len(at) > 1:  # among equal hashes within reach only the first
-            at = at[np.append(True, (np.diff(at) > REACH) | (pair[at[1:]] != pair[at[:-1]]))]
+        at = _anchors(pair)
         left, right = np.maximum(at - HALF, 0), np.minimum(at + HALF, n)
         keep = right - left >= WIDTH
         rows.append(np.full(int(keep.sum()), row))
@@ -101,7 +116,7 @@ def sketch(lo: np.ndarray, hi: np.ndarray, h: np.ndarray, level: int = 0) -> tup
         for r in range(ROWS):
             salt = _SALT[(level * BANDS + band) * ROWS + r]
             keys[:, band] = mix64(keys[:, band] + mix64(own * salt).min(1))
-        keys[:, band] += U64(band)
+        keys[:, band] = keys[:, band] & ~U64(BANDS - 1) | U64(band)
     return exact, keys
 
 
@@ -115,7 +130,7 @@ def _paragraph_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _band_rows(batches):
-    """(key, par, band, many): per batch each band key and paragraph hash
+    """(key, par, doc, many): per batch each band key and paragraph hash
     once; many: in several documents."""
     for batch in batches:
         keys, pars, docs = [], [], []
@@ -134,11 +149,11 @@ def _band_rows(batches):
         many = doc[head] != doc[ends] if len(par) else np.zeros(0, bool)
         par, doc, key = par[head], doc[head], key[head]
         # documents are compared across batches for the first band only
-        doc = np.where(many, 0, doc)
+        docs = np.zeros((len(par), BANDS), np.int64)
+        docs[:, 0] = np.where(many, 0, doc)
         yield pa.RecordBatch.from_arrays(
-            [_signed(key.reshape(-1)), _signed(np.repeat(par, BANDS)),
-             pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(par))), pa.array(np.repeat(doc, BANDS)),
-             pa.array(np.repeat(many, BANDS))], names=["key", "par", "band", "doc", "many"])
+            [_signed(key.reshape(-1)), _signed(np.repeat(par, BANDS)), pa.array(docs.reshape(-1)),
+             pa.array(np.repeat(many, BANDS))], names=["key", "par", "doc", "many"])
 
 
 def _meet(batches):
@@ -146,8 +161,7 @@ def _meet(batches):
     (near), and those of the first band found in several documents."""
     for batch in runs(batches):
         key, par = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        doc, many = batch.column(3).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False)
-        band = batch.column(2).to_numpy()
+        doc, many = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
         new_key = np.append(True, key[1:] != key[:-1])
         head = new_key | np.append(True, par[1:] != par[:-1])
         at = np.flatnonzero(head)
@@ -155,7 +169,7 @@ def _meet(batches):
         group = np.cumsum(new_key[at]) - 1
         size = np.bincount(group)[group]
         near = size > 1
-        exact = repeated & (band[at] == 0)
+        exact = repeated & (key[at] & (BANDS - 1) == 0)
         some = near | exact
         yield pa.RecordBatch.from_arrays(
             [pa.array(key[at][some]), pa.array(par[at][some]), pa.array(near[some]), pa.array(exact[some]),
@@ -256,12 +270,12 @@ def _verify(batches):
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, doc_id, at, end, par, root, keep): the byte span of every
-    paragraph whose class is found in several documents; keep: whether its
-    document is the first of them. doc is the hash of (doc_id, text)."""
+    """(doc, doc_id, at, end, par, root, head, head_id, keep): the byte span of
+    every paragraph whose class is found in several documents; head: the first
+    of them; keep: whether this is it. doc is the hash of (doc_id, text)."""
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     rows = _paragraph_rows(docs, doc_id, text)
-    met = materialize(in_arrow(in_arrow(rows, _band_rows, "key long, par long, band int, doc long, many boolean")
+    met = materialize(in_arrow(in_arrow(rows, _band_rows, "key long, par long, doc long, many boolean")
                           .repartition(n, "key").sortWithinPartitions("key", "par"), _meet, "key long, par long, near boolean, exact boolean, size long"))
     wanted = met.select(F.col("par").alias("w_par")).distinct()
     places = in_arrow(rows, _places, "par long, doc long, doc_id long, at int, end int")
@@ -300,16 +314,90 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                      .where("lo <> hi").select(F.col("root").alias("s_root"), F.col("head.doc").alias("head"),
                                                F.col("head.doc_id").alias("head_id")))
     return classes.join(shared, classes["root"] == shared["s_root"]).select(
-        "doc", "doc_id", "at", "end", "par", "root", "head_id", (F.col("doc") == F.col("head")).alias("keep"))
+        "doc", "doc_id", "at", "end", "par", "root", "head", "head_id",
+        (F.col("doc") == F.col("head")).alias("keep"))
+
+
+def _ends(batches):
+    """(doc, root, par, at, end, pos, right): where each merged run of cut
+    paragraphs begins and ends, and of every keeper the paragraph next to it."""
+    for batch in batches:
+        rows = []
+        for doc, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            runs_, upto = [], -1
+            for p in places:  # sorted by their place
+                if p["at"] > upto:
+                    runs_.append([])
+                runs_[-1].append(p)
+                upto = max(upto, p["end"])
+            for run in runs_:
+                left, right = {}, {}
+                for p in run:
+                    left.setdefault(p["head"], p)
+                    if p["head"] not in right or right[p["head"]]["end"] < p["end"]:
+                        right[p["head"]] = p
+                rows += [(doc, p["root"], p["par"], p["at"], False) for p in left.values() if p["at"]]
+                rows += [(doc, p["root"], p["par"], p["end"], True) for p in right.values()]
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
+                                         names=["doc", "root", "par", "pos", "right"])
+
+
+def words_before(raw: bytes, at: int) -> Iterator[tuple[int, bytes]]:
+    """(place, word) of the words that end at ``at`` or before, nearest first."""
+    while True:
+        while at and raw[at - 1] in b" \t\n\v\f\r":
+            at -= 1
+        if not at:
+            return
+        end = at
+        while at and raw[at - 1] not in b" \t\n\v\f\r":
+            at -= 1
+        yield at, raw[at:end]
+
+
+def words_after(raw: bytes, at: int) -> Iterator[tuple[int, bytes]]:
+    """(end, word) of the words from ``at`` on."""
+    return ((m.end(), m.group()) for m in _WORD.finditer(raw, at))
+
+
+def _contexts(batches):
+    """(k_doc, k_at, k_end, before, after): up to CONTEXT words either way of
+    the keepers' paragraphs, nearest first."""
+    for batch in batches:
+        rows = []
+        for doc, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            raw = text.encode()
+            for p in places:
+                before, after = (b" ".join(w for _, w in islice(x, CONTEXT)).decode()
+                                 for x in (words_before(raw, p["k_at"]), words_after(raw, p["k_end"])))
+                rows.append((doc, p["k_at"], p["k_end"], before, after))
+        cols = list(zip(*rows, strict=True)) or [()] * 5
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
+                                         names=["k_doc", "k_at", "k_end", "before", "after"])
+
+
+def _grown(raw: bytes, pos: int, right: bool, words: str) -> tuple[int, int]:
+    """The span next to ``pos`` whose words agree with ``words``."""
+    at = pos
+    for (place, own), other in zip((words_after if right else words_before)(raw, pos), words.encode().split(),
+                                   strict=False):
+        if own != other:
+            break
+        at = place
+    return (pos, at) if right else (at, pos)
 
 
 def _without(batches):
-    """Cut the merged spans out of each text."""
+    """Cut the merged spans out of each text, grown at their ends."""
     for batch in batches:
         out, cut_words, cut_spans = [], [], []
-        for body, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            spans = sorted((s["at"], s["end"]) for s in spans or [])
+        for body, spans, ends in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             raw, at, kept, words, merged = (body or "").encode(), 0, [], 0, 0
+            spans = sorted([(s["at"], s["end"]) for s in spans or []]
+                           + [_grown(raw, e["pos"], e["right"], e["words"]) for e in ends or []])
             for lo, hi in spans:
                 merged += lo > at or not at
                 kept.append(raw[at:max(at, lo)])
@@ -322,13 +410,49 @@ def _without(batches):
         yield out, cut_words, cut_spans, batch
 
 
+def ends(found: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, pos, right, words): per end of what is cut, the keeper's words
+    beyond it; of ``repeats`` found. A keeper's place is that of the equal
+    paragraph, else of the first of the class."""
+    cuts = found.where("not keep").groupBy("doc").agg(
+        F.array_sort(F.collect_set(F.struct("at", "end", "head", "root", "par"))).alias("places"))
+    wanted = materialize(in_arrow(cuts, _ends, "doc long, root long, par long, pos int, right boolean"))
+    kept = found.where("keep").select("root", "par", F.struct("doc", "at", "end").alias("place"))
+    equal = kept.groupBy(F.col("root").alias("e_root"), F.col("par").alias("e_par")).agg(F.min("place").alias("equal"))
+    first = kept.groupBy(F.col("root").alias("f_root")).agg(F.min("place").alias("first"))
+    pars = wanted.select("root", "par").distinct()
+    pars = (pars.join(equal, (F.col("root") == F.col("e_root")) & (F.col("par") == F.col("e_par")), "left")
+                .join(first, F.col("root") == F.col("f_root"))
+                .select(F.col("root").alias("p_root"), F.col("par").alias("p_par"),
+                        F.coalesce("equal", "first").alias("place")))
+    at = materialize(wanted.join(pars, (F.col("root") == F.col("p_root")) & (F.col("par") == F.col("p_par")))
+                           .select("doc", "pos", "right", F.col("place.doc").alias("w_doc"),
+                                   F.col("place.at").alias("w_at"), F.col("place.end").alias("w_end")))
+    keepers = at.groupBy(F.col("w_doc").alias("k_doc")).agg(
+        F.collect_set(F.struct(F.col("w_at").alias("k_at"), F.col("w_end").alias("k_end"))).alias("places"))
+    texts = _paragraph_rows(docs, doc_id, text)
+    contexts = in_arrow(texts.join(keepers, texts["doc"] == keepers["k_doc"]).select("k_doc", "text", "places"),
+                        _contexts, "k_doc long, k_at int, k_end int, before string, after string") \
+        .dropDuplicates(["k_doc", "k_at", "k_end"])
+    return (at.join(contexts, (F.col("w_doc") == F.col("k_doc")) & (F.col("w_at") == F.col("k_at"))
+                    & (F.col("w_end") == F.col("k_end")))
+              .select("doc", "pos", "right", F.when(F.col("right"), F.col("after")).otherwise(F.col("before")).alias("words"))
+              .where("words <> ''"))
+
+
 def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated paragraphs cut out of ``text``, and new columns
     ``cut_words``, ``cut_passages`` and ``cut_first_ids`` (the ids of the
     documents that keep what was cut, distinct and sorted)."""
-    found = repeats(docs, doc_id, text).where("not keep")
-    spans = found.groupBy(F.col("doc").alias("r_doc")).agg(
-        F.collect_set(F.struct("at", "end")).alias("r_spans"), F.array_sort(F.collect_set("head_id")).alias("r_ids"))
+    found = materialize(repeats(docs, doc_id, text))
+    cuts = found.where("not keep").select("doc", F.struct("at", "end").alias("span"), "head_id",
+                                          F.lit(None).cast("struct<pos:int,right:boolean,words:string>").alias("grow"))
+    grow = ends(found, docs, doc_id, text).select(
+        "doc", F.lit(None).cast("struct<at:int,end:int>").alias("span"), F.lit(None).cast("long").alias("head_id"),
+        F.struct("pos", "right", "words").alias("grow"))
+    spans = cuts.unionByName(grow).groupBy(F.col("doc").alias("r_doc")).agg(
+        F.collect_set("span").alias("r_spans"), F.collect_set("grow").alias("r_ends"),
+        F.array_sort(F.collect_set("head_id")).alias("r_ids"))
     key = fresh(docs, "r_key")
     rows = docs.withColumn(key, F.xxhash64(F.col(doc_id), F.col(text)))
     rows = rows.join(spans, rows[key] == spans["r_doc"], "left")
@@ -337,20 +461,20 @@ def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     def run(batches):
         for out, words, merged, batch in _without(_picked(batches, at, len(names))):
-            cols = list(batch.columns[2:2 + len(names)])
+            cols = list(batch.columns[3:3 + len(names)])
             cols[at] = pa.array(out, cols[at].type)
             yield pa.RecordBatch.from_arrays([*cols, pa.array(words, pa.int64()), pa.array(merged, pa.int64()),
-                                              batch.column(2 + len(names))], names=[*names, *extra])
+                                              batch.column(3 + len(names))], names=[*names, *extra])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(extra[0], T.LongType()),
                            T.StructField(extra[1], T.LongType()), T.StructField(extra[2], T.ArrayType(T.LongType()))])
     ids = F.coalesce("r_ids", F.array().cast("array<bigint>"))
-    return in_arrow(rows.select(*names, F.col("r_spans"), ids.alias("r_ids")), run, schema)
+    return in_arrow(rows.select(*names, F.col("r_spans"), F.col("r_ends"), ids.alias("r_ids")), run, schema)
 
 
 def _picked(batches, at: int, n: int):
-    """Text and spans first, then the frame's columns and the ids."""
+    """Text, spans and ends first, then the frame's columns and the ids."""
     for b in batches:
         for part in text_slices(b, at, 16 << 20):
-            cols = [part.column(at), part.column(n), *part.columns[:n], part.column(n + 1)]
+            cols = [part.column(at), part.column(n), part.column(n + 1), *part.columns[:n], part.column(n + 2)]
             yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
