@@ -3,10 +3,10 @@
 Known words are scored by their log frequency in each language; a word the
 model does not know is scored by its character n-grams, longest order first:
 the first order of which the model knows any gram decides, else shorter ones
-follow. Counts cover every training row. The model keeps the ``max_words``
-most frequent words and ``max_grams`` most frequent grams (ties by text),
-which bounds what is broadcast whatever the corpus size; rarer words are
-unseen words and back off.
+follow. Counts cover every training row, and the model has every word and gram
+that was counted, whatever its language and frequency. They are tables in the
+checkpoint folder; a worker reads them once and keeps a 64-bit hash and one
+float per language of each key, and the driver keeps none.
 
 Texts that are null or have no letter are ``und`` with score 0; so is every
 text if nothing was learned. Rows without text or language teach nothing.
@@ -18,11 +18,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenRows, fresh, in_arrow, materialize, text_slices, tokens
+from .common import (TokenRows, fresh, in_arrow, materialize, open_store, text_bytes, text_slices, tokens,
+                     word_hashes)
 
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 ORDER = 4
@@ -72,12 +74,44 @@ def _gram_counts(batches):
              pa.array(list(rows.values()), pa.int64())], names=["lang", "gram", "n"])
 
 
-class Table:
-    """Log frequencies in each language of a bounded set of keys."""
+def _hashes(keys: pa.Array) -> np.ndarray:
+    buf, off = text_bytes(keys)
+    return word_hashes(buf, off[:-1], off[1:])
+
 
-    def __init__(self, keys: list[str], counts: np.ndarray, totals: np.ndarray):
-        self.at = {key: i for i, key in enumerate(keys)}
-        self.logs = np.log((counts + 0.5) / (totals + 1)).astype(np.float32)  # never met: half a count
+class Table:
+    """Log frequencies in each language of all keys (and counts) in ``files``."""
+
+    def __init__(self, files: list[str], totals: np.ndarray):
+        self.files, self.totals = files, totals
+        self.hashes: np.ndarray | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"hashes": None, "logs": None}
+
+    def load(self) -> None:
+        hashes, logs = [np.zeros(0, np.uint64)], [np.zeros((0, len(self.totals)), np.float32)]
+        for uri in self.files:
+            fs, path = open_store(uri)
+            with fs.open_input_file(path) as f:
+                for batch in pq.ParquetFile(f).iter_batches():
+                    counts = batch.column(1).flatten().to_numpy().reshape(-1, len(self.totals))
+                    hashes.append(_hashes(batch.column(0)))
+                    # never met: half a count of the language of most, so that a rare word of a large
+                    # language is no evidence for a small one
+                    logs.append(np.log(counts / self.totals + 0.5 / self.totals.max()).astype(np.float32))
+        self.hashes, first = np.unique(np.concatenate(hashes), return_index=True)
+        self.logs = np.concatenate(logs)[first]
+
+    def at(self, keys: list[str]) -> np.ndarray:
+        """Row of ``logs`` of each key, -1 if it was never counted."""
+        if self.hashes is None:
+            self.load()
+        if not len(self.hashes) or not keys:
+            return np.full(len(keys), -1)
+        own = _hashes(pa.array(keys, pa.large_string()))
+        at = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == own, at, -1)
 
 
 class Model:
@@ -87,26 +121,33 @@ class Model:
         self.langs, self.words, self.grams = langs, words, grams
         self.rows: TokenRows | None = None
 
-    def known(self, word: str) -> list[int]:
-        """Rows of the longest grams of a word that the model knows."""
+    def __getstate__(self):
+        return self.__dict__ | {"rows": None}
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Mean logs of the longest grams of each word that the model knows."""
+        logs, left = np.zeros((len(words), len(self.langs))), np.arange(len(words))
         for order in range(ORDER, 0, -1):
-            if found := [i for g in grams(word, order) if (i := self.grams.at.get(g)) is not None]:
-                return found
-        return []
+            made = [grams(words[i], order) for i in left.tolist()]
+            word = np.repeat(left, [len(g) for g in made])
+            at = self.grams.at([g for gs in made for g in gs])
+            word, at = word[at >= 0], at[at >= 0]
+            if len(word):
+                found, first, many = np.unique(word, return_index=True, return_counts=True)
+                logs[found] = np.add.reduceat(self.grams.logs[at], first, axis=0) / many[:, None]
+                left = np.setdiff1d(left, found, assume_unique=True)
+        return logs
 
     def tokens(self, made: list[str]) -> np.ndarray:
         """Summed logs of the words in each blank-separated token, and their number."""
         words = [words_of(token.lower()) for token in made]
         count = np.array([len(w) for w in words], np.int64)
         flat = [w for ws in words for w in ws]
-        at = np.array([self.words.at.get(w, -1) for w in flat], np.int64)
+        at = self.words.at(flat)
         logs = np.zeros((len(flat), len(self.langs)))
         logs[at >= 0] = self.words.logs[at[at >= 0]]
-        unseen = [(i, k) for i in np.flatnonzero(at < 0).tolist() if (k := self.known(flat[i]))]
-        if unseen:
-            many = np.array([len(k) for _, k in unseen])
-            rows = self.grams.logs[[i for _, k in unseen for i in k]]
-            logs[[i for i, _ in unseen]] = np.add.reduceat(rows, np.cumsum(many) - many, axis=0) / many[:, None]
+        if (at < 0).any():
+            logs[at < 0] = self.unseen([flat[i] for i in np.flatnonzero(at < 0).tolist()])
         out = np.zeros((len(made), len(self.langs) + 1))
         out[:, -1] = count
         some = count > 0
@@ -136,8 +177,7 @@ class Model:
                 np.where(some, p[np.arange(len(p)), best], 0.0))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: int = 50_000,
-          max_grams: int = 50_000) -> Model:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(
         F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     # languages are summed inside each word, so one word is one row
@@ -151,25 +191,23 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_words: in
 
     names = [r["lang"] for r in langs]
 
-    def top(table: DataFrame, key: str, most: int, totals: list) -> Table:
-        """The most frequent keys, at most ``most``, with one count per language."""
+    def whole(table: DataFrame, key: str, totals: list) -> Table:
+        """All keys, with one count per language."""
         by = F.map_from_entries(F.collect_list(F.struct("lang", "n")))
-        rows = (table.groupBy(key).agg(F.sum("n").alias("all"), by.alias("by")).orderBy(F.desc("all"), key).limit(most)
-                     .select(key, F.array(*[F.coalesce(F.col("by")[x], F.lit(0)) for x in names]).alias("n")).toArrow())
-        counts = rows["n"].combine_chunks().flatten().to_numpy().reshape(-1, len(names))
+        rows = materialize(table.groupBy(key).agg(by.alias("by")).select(
+            key, F.array(*[F.coalesce(F.col("by")[x], F.lit(0)) for x in names]).alias("n")))
         n = {r["lang"]: r["n"] for r in totals}
-        return Table(rows[key].to_pylist(), counts.astype(float), np.array([n.get(x, 0) for x in names], float))
+        return Table(rows.inputFiles(), np.array([n.get(x, 0) for x in names], float))
 
     if not names:
-        empty = Table([], np.zeros((0, 0)), np.zeros(0))
-        return Model([], empty, empty)
-    return Model(names, top(words, "word", max_words, langs), top(counted, "gram", max_grams, totals))
+        return Model([], Table([], np.zeros(0)), Table([], np.zeros(0)))
+    return Model(names, whole(words, "word", langs), whole(counted, "gram", totals))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``lang_score``."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # at most max_words + max_grams rows
+    shared = spark.sparkContext.broadcast(model)  # names of files, not their rows
     pred, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
     at = docs.columns.index(text)
 
