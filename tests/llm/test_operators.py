@@ -77,6 +77,19 @@ def test_budget_is_fitted_exactly():
     assert mixing.fit_budget(np.array([0, 3]), np.array([5, 0]), 7).tolist() == [5, 0]
 
 
+def test_budget_of_long_documents_is_fitted():
+    assert mixing.fit_budget([45_000, 55_000, 60_000], [1, 1, 1], 100_000).tolist() == [1, 1, 0]
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        sizes = np.unique(rng.integers(9_000, 60_000, 7))
+        reach = {0}
+        for s in sizes.tolist():
+            reach |= {r + s for r in reach}
+        budget = int(rng.integers(0, sizes.sum() + 1))
+        take = mixing.fit_budget(sizes, np.ones(len(sizes), int), budget)
+        assert (take <= 1).all() and int((take * sizes).sum()) == max(r for r in reach if r <= budget)
+
+
 def test_mix_reaches_targets(spark, docs, odd_docs):
     got = mixing.mix(docs).select("doc_id", "source", "mix_size", "mix_source_size", "mix_target", "mix_copies").toPandas()
     by = got.assign(taken=got.mix_size * got.mix_copies).groupby("source").agg(

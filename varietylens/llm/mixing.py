@@ -6,7 +6,9 @@
 2. A source's target is whole passes over it plus a remaining budget. The
    budget is fitted on the source's histogram of exact document sizes: the
    same share of every size first, then single documents by largest
-   remainder, then a bounded-knapsack table over the last ``table`` words.
+   remainder, then a bounded-knapsack table over the last words: the whole
+   budget of up to ``FEW`` documents (up to ``CELLS`` words), else ``table``
+   words or twice the longest document, whichever is more.
 3. The documents of a size are chosen by a seeded hash: hash buckets are
    counted, so only the bucket in which the quota ends is ranked.
 
@@ -25,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, materialize, ship
 
+FEW, CELLS = 64, 1 << 24
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -60,11 +63,13 @@ def source_targets(sizes: DataFrame, weights: tuple = (5, 2, 1), budget: float =
 
 def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, table: int = 8192) -> np.ndarray:
     """How many documents of each size to take (0 .. counts) so that the
-    words come as near below ``budget`` as the last ``table`` words allow."""
+    words come as near below ``budget`` as the table over the last words
+    allows."""
     sizes, counts = np.asarray(sizes, np.int64), np.asarray(counts, np.int64)
     total = int((sizes * counts).sum())
     if total <= budget:
         return counts.copy()
+    table = max(table, 2 * int(sizes[counts > 0].max()), min(budget, CELLS) if counts[sizes > 0].sum() <= FEW else 0)
     share = counts * (max(0, budget - table) / total)  # what the table can fit is left to it
     take = np.minimum(np.floor(share).astype(np.int64), counts)
     while int((take * sizes).sum()) > budget:  # rounding of huge counts
@@ -85,7 +90,7 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, table: int =
     rest = min(rest, table)
     reach = np.zeros(rest + 1, bool)
     reach[0] = True
-    by = np.full(rest + 1, -1, np.int64)
+    by = np.full(rest + 1, -1, np.int32)
     pieces: list[tuple[int, int]] = []
     for i in np.argsort(-sizes, kind="stable"):
         size, left = int(sizes[i]), int(counts[i] - take[i])
