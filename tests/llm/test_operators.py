@@ -391,7 +391,7 @@ def test_language_model_knows_every_counted_word(spark):
     word = lambda i: "".join("abcdefghijklmnop"[i >> s & 15] for s in (16, 12, 8, 4, 0))
     hot = " ".join(map(word, range(60_000)))  # twice each, the words of the other language once
     rare = list(map(word, range(60_000, 60_200)))
-    model = langid.train(spark.createDataFrame([(hot, "en"), (hot, "en"), (" ".join(rare), "de")], "text string, lang string"))
+    model = langid.train(spark.createDataFrame([(hot, "en"), (hot, "en"), (" ".join(rare + ["zzzzz"] * 119_800), "de")], "text string, lang string"))
     assert {model.predict(w)[0] for w in rare} == {"de"}
     assert {model.predict(word(i))[0] for i in range(0, 60_000, 999)} == {"en"}
     # a word never met: mean of its longest grams that were
