@@ -9,7 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, mixing, packing, paragraphs, sharding, simhash, toxicity, warc, winnowing
+from . import (alignment, embeddings, langid, mixing, onebit, packing, paragraphs, sharding, simhash, toxicity, warc, whitening,
+               winnowing)
 from .common import crc_of_id, materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,9 +27,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @register
@@ -117,3 +118,25 @@ def op10_language_id(spark, sf_dir):
     out = langid.predict(docs.select("doc_id", "text"), model)
     return out.select("doc_id", langid.held_out(crc, 4, 2).alias("held_out"), "lang_pred",
                       F.col("lang_score").alias("score"))
+
+
+@register
+def op11_token_alignment(spark, sf_dir):
+    out = alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"), digest=True)
+    return out.documents.withColumnRenamed("groups", "groups_sha256")
+
+
+@register
+def op12_onebit_search(spark, sf_dir):
+    return onebit.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@register
+def op13_whitening(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(rows, components=8)
+    out = whitening.transform(rows.select("vec_id", "embedding"), model).where("whitened is not null")
+    explained = F.array(*(F.lit(float(e / model.trace)) for e in model.eigenvalues)).cast("array<double>")
+    return out.select("vec_id", F.expr("try_cast(deviation as bigint)").alias("deviation"), F.posexplode("whitened").alias("at", "whitened")) \
+        .select("vec_id", (F.col("at") + 1).cast("int").alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation",
+                "whitened", F.get(explained, F.col("at")).alias("explained"), F.lit(model.identity_error).alias("identity_error"))
