@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import coded, in_arrow, materialize, partitions, text_slices
 from ..session import ensure_checkpoint_dir
 
-BLOCK, CALL = 16 << 20, 50_000
+BLOCK, CALL = 8 << 20, 50_000
 _PARTS = ("block long, kind int, body binary, ends binary, doc_id long, n_a long, n_b long, n_groups long, n_links long, "
           "groups string")
 _NONE = np.zeros(0, np.int64)
@@ -206,11 +206,12 @@ def align_block(pair: Pair, col: pa.Array, digest: bool):
     col = col.cast(pa.large_string()).fill_null("")
     found, words, first = coded(pc.split_pattern(col, " "))
     odd = np.array([not p or p[0].isspace() or p[-1].isspace() for p in found], bool)
-    loose = np.flatnonzero(_sums(odd[words], first) > 0)  # texts of other blanks: one piece each
+    strange = _sums(odd[words], first) > 0
+    loose = np.flatnonzero(strange)  # texts of other blanks: one piece each
     texts = [col[int(i)].as_py() for i in loose]
-    plain = np.flatnonzero(~odd)
-    number = np.cumsum(~odd) - 1
-    number[odd] = -1
+    used = np.bincount(words[~np.repeat(strange, np.diff(first))], minlength=len(found)) > 0
+    plain = np.flatnonzero(used)
+    number = np.cumsum(used) - 1
     strings = [found[i] for i in plain] + texts
     whole, split = pair.whole(texts), pair.pieces([found[i] for i in plain])
     a, b = (Tokens(np.concatenate([x.ids, y.ids]), np.append(x.at, x.at[-1] + y.at[1:])) for x, y in zip(split, whole, strict=True))
@@ -255,6 +256,7 @@ def _block_rows(a_path: str, b_path: str, digest: bool):
                 block, n, rows = (task << 32) + n, n + 1, part.num_rows
                 codes, where = np.unique(links, return_inverse=True)
                 counts = np.bincount(where, np.repeat(often, np.diff(at)), len(codes)).astype(np.int64)
+                codes, counts = codes[counts > 0], counts[counts > 0]  # a text without tokens may hold other pieces
                 cols = [[block] * (rows + 2), [0, 1] + [2] * rows,
                         [_raw(codes, "<i8"), _raw(links, "<i8"), *(_raw(x, "<u4") for x in docs[5])],
                         [_raw(counts, "<i8"), _raw(at, "<i8")] + [None] * rows,
@@ -299,7 +301,10 @@ def _document_rows(batches):
                 code, n, high = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (_NONE, _NONE, np.zeros(0, bool))
                 order, pairs = np.argsort(code), []
                 links, at = (np.frombuffer(part.column(c)[i].as_py(), "<i8") for c in (5, 6))
-                place = order[np.searchsorted(code[order], links)] if len(code) else _NONE
+                if not len(code):  # no text has tokens
+                    best = total = np.zeros(len(at) - 1, np.int64)
+                    continue
+                place = order[np.minimum(np.searchsorted(code[order], links), len(code) - 1)]
                 best, total = _sums(high[place].astype(np.int64), at), _sums(n[place], at)
             texts = part.slice(int((kind < 2).sum()))
             if texts.num_rows:
