@@ -45,16 +45,23 @@ def _distance(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ pivots.T)))
 
 
-def classes(rows: DataFrame, vec_id: str, vector: str, label: str) -> DataFrame:
-    """(space, cid, vector, n, first_id): distinct valid vectors of a space,
-    which is a label and a length."""
+def usable(vector: str, label: str) -> tuple[F.Column, F.Column]:
+    """The vector as doubles, and whether a row can link: a label, and a vector
+    without null or non-finite components that is not empty or zero."""
     v = F.transform(F.col(vector), lambda x: x.cast("double"))
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     some = F.exists(v, lambda x: x != 0)
-    ok = F.col(label).isNotNull() & F.coalesce(fine & some, F.lit(False))
+    return v, F.col(label).isNotNull() & F.coalesce(fine & some, F.lit(False))
+
+
+def classes(rows: DataFrame, vec_id: str, vector: str, label: str) -> DataFrame:
+    """(space, cid, l, vector, n, first_id): distinct valid vectors of a space,
+    which is a label and a length. Numbers (cid) hold once this is written."""
+    v, ok = usable(vector, label)
     return (rows.where(ok).select(F.col(vec_id).cast("long").alias("id"), v.alias("vector"), F.col(label).alias("l"))
-                .groupBy(F.xxhash64("l", F.size("vector")).alias("space"), F.xxhash64("l", "vector").alias("cid"), "vector")
-                .agg(F.count("*").alias("n"), F.min("id").alias("first_id")))
+                .groupBy("l", "vector").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+                .select(F.xxhash64("l", F.size("vector")).alias("space"), F.monotonically_increasing_id().alias("cid"),
+                        "l", "vector", "n", "first_id"))
 
 
 def pick_pivots(known: DataFrame, cell_rows: int, most: int) -> dict[int, np.ndarray]:
@@ -211,11 +218,12 @@ def near_duplicates(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embe
                    .select("cid", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
                            F.coalesce("root", "cid").alias("root"), "first_id"))
     heads = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    member = materialize(member.join(heads, "root").select(F.col("cid").alias("m_cid"), "n_links", "component_id"))
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    cid = F.when(F.col(label).isNotNull(), F.xxhash64(label, v))
-    ids = rows.select(F.col(vec_id).cast("long").alias("vec_id"), cid.alias("cid"))
-    out = ids.join(member, ids["cid"] == member["m_cid"], "left")
+    member = member.join(heads, "root").select("cid", "n_links", "component_id")
+    member = materialize(known.select("cid", F.col("l").alias("m_l"), F.col("vector").alias("m_v")).join(member, "cid")
+                              .withColumnRenamed("cid", "m_cid"))
+    v, ok = usable(vector, label)  # a row that cannot link has no key
+    ids = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(ok, F.col(label)).alias("l"), F.when(ok, v).alias("v"))
+    out = ids.join(member, (F.col("l") == F.col("m_l")) & (F.col("v") == F.col("m_v")), "left")
     head = F.when(F.col("m_cid").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       head.alias("component_id"), F.col("vec_id").eqNullSafe(head).alias("kept"))

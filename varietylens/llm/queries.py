@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import (alignment, embeddings, langid, mixing, onebit, packing, paragraphs, sharding, simhash, toxicity, warc, whitening,
                winnowing)
-from .common import crc_of_id, materialize
+from .common import crc_of_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,16 +98,10 @@ def op8_packing(spark, sf_dir):
 @register
 def op9_warc(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
-    read = warc.lookup(warc.write(pages), pages).select(
-        "page_id", "record_type", "refers_to", F.octet_length("payload").cast("long").alias("bytes"),
-        F.sha2("payload", 256).alias("digest"))
-    read = materialize(read)
-    full = read.where("record_type = 'response'").join(
-        read.where("refers_to is not null").select(F.col("refers_to").alias("page_id")).distinct(), "page_id") \
-        .groupBy(F.col("page_id").alias("r_id")).agg(F.max(F.struct("bytes", "digest")).alias("r"))
-    out = read.join(full, read["refers_to"] == full["r_id"], "left")
-    return out.select("page_id", F.coalesce("r.bytes", "bytes").alias("payload_bytes"),
-                      F.coalesce("r.digest", "digest").alias("payload_digest"), "record_type", "refers_to")
+    held = F.col("record_type") == "response"  # what it holds is measured; a revisit names what it refers to
+    return warc.lookup(warc.write(pages), pages).select(
+        "page_id", F.when(held, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(held, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
 
 
 @register

@@ -22,7 +22,6 @@ of their own.
 from __future__ import annotations
 
 import bisect
-import hashlib
 import json
 import struct
 import uuid
@@ -43,7 +42,8 @@ _CAPTURE = ["key", "page_id", "file", "at", "size"]
 
 
 def url_key(url: str | None) -> str:
-    """Reversed-host key: ``com,example,www)/path?query``; no blanks."""
+    """Reversed-host key: ``com,example,www)/path?query``; no blanks. URLs that
+    differ in case alone share a key."""
     try:
         parts = urlsplit(url or "")
         host, port = parts.hostname or "", parts.port
@@ -65,7 +65,7 @@ def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     body = payload if refers_to is None else b""
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{page_id}>",
              "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {quote(url or '', safe=':/?&=%#[]@!$+,;~')}",
-             f"WARC-Payload-Digest: sha256:{digest}"]
+             f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
     if refers_to is not None:
         lines += [f"WARC-Refers-To: <urn:page:{refers_to}>",
                   "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
@@ -75,7 +75,8 @@ def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
 
 
 def parse(member: bytes) -> dict:
-    """type, page_id, refers_to and payload of a record's gzip member."""
+    """type, page_id, refers_to, payload, and the digest and length of the full
+    payload (a revisit has them too) of a record's gzip member."""
     head, _, rest = zlib.decompress(member, 31).partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     payload = rest[:int(fields["Content-Length"])]
@@ -84,7 +85,8 @@ def parse(member: bytes) -> dict:
         found = fields.get(name, "<urn:page:None>")[len("<urn:page:"):-1]
         return None if found == "None" else int(found)
     return {"type": fields["WARC-Type"], "page_id": page("WARC-Record-ID"), "refers_to": page("WARC-Refers-To"),
-            "payload": payload}
+            "payload": payload, "digest": fields["WARC-Payload-Digest"].removeprefix("sha256:"),
+            "length": int(fields["X-Payload-Length"])}
 
 
 class Archive:
@@ -178,8 +180,9 @@ def _index(captures: DataFrame, folder: str) -> list[tuple[str, str, str]]:
 
 
 def lookup(archive: Archive, queries: DataFrame, page_id: str = "page_id", url: str = "url") -> DataFrame:
-    """Records of the distinct (url, page_id) asked for: page_id, record_type,
-    refers_to, payload."""
+    """Records at the keys of the (url, page_id) asked for, each once: page_id,
+    record_type, refers_to, payload, and of the full payload (which a revisit
+    does not hold) payload_digest and payload_bytes."""
     spark = queries.sparkSession
     shards, folder = archive.shards, archive.folder
     firsts, lasts = [s[0] for s in shards], [s[1] for s in shards]
@@ -195,7 +198,7 @@ def lookup(archive: Archive, queries: DataFrame, page_id: str = "page_id", url:
 
     def read(batches):
         fs, base = open_store(folder)
-        shard = index = None
+        shard = index = last = None
         directory, starts, held, lines, keys = [], [], None, [], []
         files: dict[str, pa.NativeFile] = {}
 
@@ -214,7 +217,10 @@ def lookup(archive: Archive, queries: DataFrame, page_id: str = "page_id", url:
                     size = fs.get_file_info(f"{base}/{index}").size
                     place, length = struct.unpack(_FOOT, fetch(index, size - 16, 16))
                     directory = json.loads(zlib.decompress(fetch(index, place, length)))
-                    starts = [d[0] for d in directory]
+                    starts, last = [d[0] for d in directory], None
+                if key == last:  # asked for in several spellings
+                    continue
+                last = key
                 b = max(0, bisect.bisect_left(starts, key) - 1)  # equal keys may begin in the block before
                 while b < len(starts) and starts[b] <= key:
                     if held != b:
@@ -227,14 +233,10 @@ def lookup(archive: Archive, queries: DataFrame, page_id: str = "page_id", url:
             wanted.sort()  # by file and place
             for at in range(0, len(wanted), 1000):
                 found = [parse(fetch(*w)) for w in wanted[at:at + 1000]]
-                yield _rows([(f["page_id"], f["type"], f["refers_to"], f["payload"]) for f in found],
-                            [pa.int64(), pa.string(), pa.int64(), pa.binary()],
-                            ["page_id", "record_type", "refers_to", "payload"])
+                yield _rows([(f["page_id"], f["type"], f["refers_to"], f["payload"], f["digest"], f["length"]) for f in found],
+                            [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64()],
+                            ["page_id", "record_type", "refers_to", "payload", "payload_digest", "payload_bytes"])
 
     asked = queries.select(F.col(url).alias("url"), F.col(page_id).cast("long").alias("page_id")).distinct()
     routed = in_arrow(asked, route, "shard int, key string")
-    return (in_arrow(routed.repartition(max(1, min(len(shards), partitions(spark))), "shard").sortWithinPartitions("shard", "key"), read, "page_id long, record_type string, refers_to long, payload binary"))
-
-
-def digest(payload: bytes) -> str:
-    return hashlib.sha256(payload).hexdigest()
+    return (in_arrow(routed.repartition(max(1, min(len(shards), partitions(spark))), "shard").sortWithinPartitions("shard", "key"), read, "page_id long, record_type string, refers_to long, payload binary, payload_digest string, payload_bytes long"))
