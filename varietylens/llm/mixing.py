@@ -130,7 +130,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         weights: tuple = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, seed: int = 17,
         buckets: int = 256) -> DataFrame:
     """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and
-    ``mix_copies`` (how often the mix takes the document)."""
+    ``mix_copies`` (how often the mix takes the document) as last columns; a
+    name that ``docs`` has already gets a longer one."""
     ship(docs.sparkSession)
     names = docs.columns
     src, size, h, b, rank = (fresh(docs, c) for c in ("m_source", "m_size", "m_hash", "m_bucket", "m_rank"))
@@ -158,5 +159,6 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     order = Window.partitionBy(src, size, b).orderBy(h, doc_id)
     joined = joined.withColumn(rank, F.row_number().over(order))
     copies = F.col(q["passes"]) + F.when(F.col(rank) <= F.col(q["need"]), 1).otherwise(0)
-    return joined.select(*names, F.col(size).alias("mix_size"), F.col(q["source_size"]).alias("mix_source_size"),
-                         F.col(q["target"]).alias("mix_target"), copies.alias("mix_copies"))
+    added = {"mix_size": F.col(size), "mix_source_size": F.col(q["source_size"]), "mix_target": F.col(q["target"]),
+             "mix_copies": copies}
+    return joined.select(*names, *(c.alias(fresh(docs, name)) for name, c in added.items()))

@@ -34,7 +34,8 @@ def rendezvous(key: Sequence[Column], weights: Sequence[float]) -> Column:
 
 def numbered(rows: DataFrame, shard: str, order: Sequence[str], buckets: int = 1024,
              chunk: int = 100_000) -> DataFrame:
-    """``rows`` with ``slot``: a gapless number from 0 within each shard.
+    """``rows`` with ``slot`` as last column (a longer name if there is one): a
+    gapless number from 0 within each shard; an empty table has none.
 
     Equal rows are interchangeable, so they are counted first (combined
     before the shuffle), the counts become slot ranges, and the ranges are
@@ -59,4 +60,4 @@ def numbered(rows: DataFrame, shard: str, order: Sequence[str], buckets: int = 1
                     .withColumn(n, F.least(F.col(n) - F.col(part), F.lit(chunk)))
                     .withColumn(start, F.col(base) + F.col(start) + F.col(part)))
     out = pieces.withColumn(slot, F.explode(F.sequence(F.col(start), F.col(start) + F.col(n) - 1)))
-    return out.select(*names, F.col(slot).alias("slot"))
+    return out.select(*names, F.col(slot))
