@@ -117,7 +117,7 @@ def test_search_on_odd_rows_is_exact(spark):
     rows = [(i, rng.normal(size=6).tolist()) for i in range(60)]
     rows += [(100 + i, rows[10][1]) for i in range(8)] + [(20, rows[10][1]), (None, rows[10][1]), (10, rows[10][1])]
     rows += [(200, None), (210, []), (220, [0.0] * 6), (230, [float("nan")] + [1.0] * 5), (240, [1.0, None, 1.0, 1.0, 1.0, 1.0]),
-             (250, [float("inf")] + [1.0] * 5), (260, [1e200] * 6), (270, [1e-200] * 6), (280, [1.0, 2.0]), (285, [2.0, 4.5]), (290, [3.0])]
+             (250, [float("inf")] + [1.0] * 5), (260, [1e200] * 6), (270, [1e-200, 2e-200, 5e-200, 1e-200, 0.0, 3e-200]), (280, [1.0, 2.0]), (285, [2.0, 4.5]), (290, [3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("key", F.lit(1)).withColumn("cid", F.lit(2))
     got = onebit.search(df.repartition(3), F.col("vec_id") % 10 == 0, k=5)
     assert got.columns == ["query_id", "rank", "vec_id", "score"]

@@ -34,7 +34,16 @@ def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``materialize`` wrote, once nothing reads it any more."""
+    for df in frames:
+        fs, path = open_store(df._written_to)
+        fs.delete_dir(path)
 
 
 def open_store(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -263,8 +272,9 @@ def components(edges: DataFrame) -> DataFrame:
                                                    F.least("a", "b").alias("b")).distinct())
     seen = state(now)
     while seen[0]:
-        now = materialize(small(large(now)))
+        old, now = now, materialize(small(large(now)))
         after = state(now)
+        discard(old)
         if after == seen:
             break
         seen = after

@@ -4,9 +4,8 @@ A paragraph here is a passage of ``2 * HALF`` words around a content-defined
 anchor (winnowing: of every ``SPAN`` word pairs in a row the one of the
 smallest hash). So a passage that stands anywhere in two documents, whatever
 surrounds it and wherever lines break, gives the same paragraphs in both:
-``2 * HALF + SPAN - 1`` shared words hold a whole paragraph, and neighbours
-overlap, as anchors are at most ``SPAN`` words apart. Every text of five words
-has an anchor; at its ends paragraphs are shorter.
+``2 * HALF + SPAN - 1`` shared words hold a whole paragraph. Every text of five
+words has an anchor; at its ends paragraphs are shorter.
 
 1. Every paragraph gets a hash of its words and MinHash bands over its
    five-word shingles (``BANDS`` bands of ``ROWS``: a pair of Jaccard 0.8 meets
@@ -16,17 +15,22 @@ has an anchor; at its ends paragraphs are shorter.
 3. Of a class found in several documents, the first document (by doc_id, null
    last, then text hash) keeps its paragraphs; they are cut out of the others.
 4. What is cut grows at both ends, word by word, while the words agree with
-   the keeper's (at most ``CONTEXT`` words: a longer agreement holds paragraphs
-   of its own). Where paragraphs of one cut have several keepers, each is tried
-   from its paragraph next to the end.
-
-Band groups with more than ``DEAL`` different paragraphs (a line that half
-the corpus contains, in ever other surroundings) are dealt again by further
-bands; a verifying task looks for candidates by rare shingles (prefix filter),
-never at all pairs.
+   the keeper's (at most ``CONTEXT`` words: an agreement of that length holds
+   paragraphs of its own). Where paragraphs of one cut have several keepers, each is tried
+   from its ``TRIED`` paragraphs next to the end.
+
+A band group of up to ``GROUP`` different paragraphs is verified by one task,
+which looks for candidates by rare shingles (prefix filter), never at all
+pairs. Larger groups (a line that half the corpus contains, in ever other
+surroundings) are split exactly: two sets of at most twelve shingles and
+Jaccard 0.8 differ by two shingles at most, so they agree once one or two are
+left out; what is left is the join key, and members of a key are linked to its
+smallest. No group lies in one task and no pair of a group is lost.
 
 Rows with equal doc_id and text are one document. Null, empty and texts of
-fewer than five words have no paragraphs and stay as they are.
+fewer than five words have no paragraphs and stay as they are; very long texts
+are read in full, an empty table gives an empty one. Columns of any name are
+carried along; added ones get a longer name if theirs is taken.
 """
 
 from __future__ import annotations
@@ -42,28 +46,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import (components, fresh, in_arrow, materialize, mix64, partitions, runs, text_bytes, text_slices,
+from .common import (components, discard, fresh, in_arrow, materialize, mix64, partitions, runs, text_bytes, text_slices,
                      word_hashes, word_spans)
 
-HALF, SPAN, WIDTH, JACCARD = 12, 12, 5, 0.8
-CONTEXT = 4 * HALF
-BANDS, ROWS, DEAL, LEVELS = 4, 2, 4096, 3  # BANDS: a power of two, the last bits of a key are its band
+HALF, SPAN, WIDTH, JACCARD = 8, 35, 5, 0.8
+SHINGLES = 2 * HALF - WIDTH + 1  # of a paragraph; ``left_out`` holds for 12 at Jaccard 0.8
+CONTEXT, TRIED = 2 * (SPAN + HALF), 2
+BANDS, ROWS, GROUP = 4, 2, 4096  # BANDS: a power of two, the last bits of a key are its band
 U64 = np.uint64
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_SALT = mix64(np.arange(1, 1 + BANDS * ROWS * LEVELS, dtype=U64) * U64(0xD1B54A32D192ED03)) | U64(1)
+_SALT = mix64(np.arange(1, 1 + BANDS * ROWS, dtype=U64) * U64(0xD1B54A32D192ED03)) | U64(1)
+
+
+def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
+    """``pick`` (minimum or maximum) of every ``width`` values in a row."""
+    have = 1
+    while have * 2 <= width:
+        x = pick(x[:-have], x[have:])
+        have *= 2
+    return pick(x[:have - width], x[width - have:]) if have < width else x
 
 
 def _anchors(x: np.ndarray) -> np.ndarray:
     """Places of the smallest value (the first of equal ones) of every ``SPAN``
     values in a row, or of all if there are fewer."""
-    width, have, least = min(SPAN, len(x)), 1, x
-    while have * 2 <= width:
-        least = np.minimum(least[:-have], least[have:])
-        have *= 2
-    if have < width:
-        least = np.minimum(least[:have - width], least[width - have:])
-    chosen = np.zeros(len(x), bool)
-    todo = np.arange(len(least))  # windows whose smallest value is not found yet
+    width = min(SPAN, len(x))
+    least = _sliding(x, width, np.minimum)
+    edge = np.zeros(width - 1, U64)
+    # a value is the least of a window if the largest of its windows' least is no smaller
+    found = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), width, np.maximum) == x)
+    if len(np.unique(x[found])) == len(found):
+        return found
+    chosen = np.zeros(len(x), bool)  # equal values: look for the first in each window
+    todo = np.arange(len(least))
     for step in range(width):
         hit = x[todo + step] == least[todo]
         chosen[todo[hit] + step] = True
@@ -101,25 +116,31 @@ def _shingles(h: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(lo: np.ndarray, hi: np.ndarray, h: np.ndarray, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def sketch(lo: np.ndarray, hi: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of all words, band keys) of the paragraphs lo..hi over word hashes h."""
     if not len(lo):
         return np.zeros(0, U64), np.zeros((0, BANDS), U64)
-    sh = _shingles(h)
-    count = hi - lo - WIDTH + 1
-    at = lo[:, None] + np.minimum(np.arange(2 * HALF - WIDTH + 1)[None, :], count[:, None] - 1)
-    own = sh[at]  # a short paragraph repeats its last shingle
-    ranks = np.arange(1, own.shape[1] + 1, dtype=U64)
-    exact = mix64((mix64(own) * ranks[None, :]).sum(1, dtype=U64) + count.astype(U64))
+    own, exact = _own(lo, hi, h)
     keys = np.zeros((len(lo), BANDS), U64)
     for band in range(BANDS):
         for r in range(ROWS):
-            salt = _SALT[(level * BANDS + band) * ROWS + r]
+            salt = _SALT[band * ROWS + r]
             keys[:, band] = mix64(keys[:, band] + mix64(own * salt).min(1))
         keys[:, band] = keys[:, band] & ~U64(BANDS - 1) | U64(band)
     return exact, keys
 
 
+def _own(lo: np.ndarray, hi: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of each paragraph, and the hash of all of its words."""
+    sh = _shingles(h)
+    count = hi - lo - WIDTH + 1
+    at = lo[:, None] + np.minimum(np.arange(SHINGLES)[None, :], count[:, None] - 1)
+    own = sh[at]  # a short paragraph repeats its last shingle
+    ranks = np.arange(1, own.shape[1] + 1, dtype=U64)
+    exact = mix64((mix64(own) * ranks[None, :]).sum(1, dtype=U64) + count.astype(U64))
+    return own, exact
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -157,23 +178,55 @@ def _band_rows(batches):
 
 
 def _meet(batches):
-    """Of runs of equal (key): the distinct paragraphs if there are several
-    (near), and those of the first band found in several documents."""
-    for batch in runs(batches):
+    """Rows sorted by (key, par) stream by. Put out are: (key, par) of every
+    paragraph in a key of several (near); those of the first band that stand in
+    several documents (exact); and for a key of more than GROUP paragraphs its
+    number (size, without par). A key may span any number of batches: of it,
+    only its first and latest paragraph and their number are kept."""
+    names = ["key", "par", "near", "exact", "size"]
+
+    def rows(key, par, near, exact):
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(par), pa.array(near), pa.array(exact),
+                                           pa.nulls(len(key), pa.int64())], names=names)
+
+    def large(key, size):
+        none = pa.nulls(len(key), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.nulls(len(key), pa.int64()), none, none, pa.array(size)], names=names)
+
+    held, before = None, 0  # the last paragraph: (key, par, lo, hi, many); paragraphs of its key before it
+    for batch in batches:
+        if not batch.num_rows:
+            continue
         key, par = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        doc, many = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
-        new_key = np.append(True, key[1:] != key[:-1])
-        head = new_key | np.append(True, par[1:] != par[:-1])
-        at = np.flatnonzero(head)
-        repeated = np.logical_or.reduceat(many, at) | (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at))
-        group = np.cumsum(new_key[at]) - 1
-        size = np.bincount(group)[group]
-        near = size > 1
-        exact = repeated & (key[at] & (BANDS - 1) == 0)
-        some = near | exact
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(key[at][some]), pa.array(par[at][some]), pa.array(near[some]), pa.array(exact[some]),
-             pa.array(size[some].astype(np.int64))], names=["key", "par", "near", "exact", "size"])
+        lo = hi = batch.column(2).to_numpy()
+        many = batch.column(3).to_numpy(zero_copy_only=False)
+        if held:
+            key, par, lo, hi, many = (np.append(h, x) for h, x in zip(held, (key, par, lo, hi, many), strict=True))
+        head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (par[1:] != par[:-1])))
+        key, par, many = key[head], par[head], np.logical_or.reduceat(many, head)
+        lo, hi = np.minimum.reduceat(lo, head), np.maximum.reduceat(hi, head)
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        size = np.diff(np.append(first, len(key)))
+        size[0] += before
+        number = np.repeat(size, np.diff(np.append(first, len(key))))
+        yield from _met(rows, key[:-1], par[:-1], number[:-1], lo[:-1], hi[:-1], many[:-1])
+        ended = size[:-1] > GROUP
+        if ended.any():
+            yield large(key[first[:-1]][ended], size[:-1][ended].astype(np.int64))
+        held = (key[-1], par[-1], lo[-1], hi[-1], many[-1])
+        before = int(size[-1]) - 1
+    if held:
+        yield from _met(rows, *(np.array([x]) for x in (held[0], held[1], before + 1, *held[2:])))
+        if before + 1 > GROUP:
+            yield large(np.array([held[0]]), np.array([before + 1], np.int64))
+
+
+def _met(rows, key, par, number, lo, hi, many):
+    near = number > 1
+    exact = (many | (lo != hi)) & (key & (BANDS - 1) == 0)
+    some = near | exact
+    if some.any():
+        yield rows(key[some], par[some], near[some], exact[some])
 
 
 def _places(batches):
@@ -182,7 +235,7 @@ def _places(batches):
         for part in text_slices(batch, 2):
             buf, off = text_bytes(part.column(2))
             row, lo, hi, starts, ends, h = cut(buf, off)
-            exact, _ = sketch(lo, hi, h)
+            _, exact = _own(lo, hi, h) if len(lo) else (None, np.zeros(0, U64))
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays(
                 [_signed(exact), part.column(0).take(take), part.column(1).take(take),
@@ -199,19 +252,35 @@ def _sets(col: pa.Array) -> list[np.ndarray]:
     return [np.unique(sh[a:max(a, b - WIDTH + 1)]) for a, b in zip(first[:-1], first[1:], strict=True)]
 
 
-def _redeal(level: int):
-    """Rows (key, par, body) again, by the bands of a further level."""
-    def run(batches):
-        for batch in batches:
-            buf, off = text_bytes(batch.column(2))
-            starts, ends, first = word_spans(buf, off)
-            _, keys = sketch(first[:-1], first[1:], word_hashes(buf, starts, ends), level)
-            old = batch.column(0).to_numpy().view(U64)
-            keys = mix64(keys + old[:, None] * U64(3))
-            take = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
-            yield pa.RecordBatch.from_arrays([_signed(keys.reshape(-1)), batch.column(1).take(take),
-                                              batch.column(2).take(take)], names=["key", "par", "body"])
-    return run
+def left_out(sets: list[np.ndarray]) -> list[tuple[int, int, bool]]:
+    """(key, which, whole) of sets of at most twelve shingles: two of them have
+    Jaccard 0.8 or more just if they share a key at which one of them is whole.
+
+    Such sets differ by two shingles at most. A key is what is left of a set
+    with none, one or two shingles left out; of eight or more, members with up
+    to one left out are all within 0.8 of each other (each counts as whole);
+    elsewhere only a set that is itself the key is within 0.8 of the others."""
+    out = []
+    for i, x in enumerate(sets):
+        each = mix64(x)
+        n, total = len(x), int(each.sum(dtype=U64))
+        keys = [(0, total, n, True), (1, total, n, True)]
+        one = [total - int(e) for e in each]
+        keys += [(0, k, n - 1, True) if n - 1 >= 8 else (1, k, n - 1, False) for k in one if n - 1 >= 4]
+        if n - 2 >= 8:
+            keys += [(1, k - int(e), n - 2, False) for j, k in enumerate(one) for e in each[j + 1:]]
+        out += [(k * 64 + size * 2 + kind, i, whole) for kind, k, size, whole in keys]
+    return out
+
+
+def _left_out_rows(batches):
+    """(key, par, whole) from rows (par, body)."""
+    for batch in batches:
+        found = left_out(_sets(batch.column(1)))
+        key = np.array([k % (1 << 64) for k, _, _ in found], U64)
+        take = pa.array([i for _, i, _ in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([_signed(mix64(key)), batch.column(0).take(take), pa.array([w for _, _, w in found], pa.bool_())],
+                                         names=["key", "par", "whole"])
 
 
 def verified(sets: list[np.ndarray], least: float = JACCARD) -> list[tuple[int, int]]:
@@ -270,57 +339,56 @@ def _verify(batches):
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, doc_id, at, end, par, root, head, head_id, keep): the byte span of
+    """Written: (doc, doc_id, at, end, par, root, head, head_id, keep), the byte span of
     every paragraph whose class is found in several documents; head: the first
     of them; keep: whether this is it. doc is the hash of (doc_id, text)."""
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     rows = _paragraph_rows(docs, doc_id, text)
     met = materialize(in_arrow(in_arrow(rows, _band_rows, "key long, par long, doc long, many boolean")
-                          .repartition(n, "key").sortWithinPartitions("key", "par"), _meet, "key long, par long, near boolean, exact boolean, size long"))
-    wanted = met.select(F.col("par").alias("w_par")).distinct()
+                          .repartition(n, "key").sortWithinPartitions("key", "par"), _meet,
+                               "key long, par long, near boolean, exact boolean, size long"))
+    wanted = met.where("par is not null").select(F.col("par").alias("w_par")).distinct()
     places = in_arrow(rows, _places, "par long, doc long, doc_id long, at int, end int")
     places = materialize(places.join(wanted, places["par"] == wanted["w_par"], "left_semi"))
 
     # one text of every paragraph that met different ones
     near = met.where("near").select(F.col("par").alias("n_par")).distinct()
-    first = places.groupBy("par").agg(F.min("doc").alias("doc"))
-    one = (places.join(near, places["par"] == near["n_par"], "left_semi").join(first, ["par", "doc"])
-                 .groupBy("par", "doc").agg(F.min(F.struct("at", "end")).alias("span")))
+    spot = F.min(F.struct("doc", "at", "end")).alias("spot")
+    one = places.groupBy("par").agg(spot).join(near, F.col("par") == F.col("n_par"), "left_semi") \
+        .select("par", "spot.doc", "spot.at", "spot.end")
     texts = rows.select(F.col("doc").alias("t_doc"), F.col("text").cast("binary").alias("t_text"))
-    bodies = (texts.join(one, texts["t_doc"] == one["doc"])
-                   .select(F.col("par").alias("b_par"), F.substring(
-                       "t_text", F.col("span.at") + 1, F.col("span.end") - F.col("span.at")).cast("string").alias("body"))
-                   .dropDuplicates(["b_par"]))
-    bodies = materialize(bodies)
-    pairs = met.where("near").select("key", "par", "size").join(bodies, F.col("par") == F.col("b_par")).drop("b_par")
-    edges = None
-    for level in range(1, LEVELS + 1):
-        last = level == LEVELS
-        ready = pairs if last else pairs.where(F.col("size") <= DEAL)
-        found = (in_arrow(ready.select("key", "par", "body").repartition(n, "key").sortWithinPartitions("key", "par"), _verify, "a long, b long"))
-        edges = found if edges is None else edges.union(found)
-        if last:
-            break
-        again = in_arrow(pairs.where(F.col("size") > DEAL).select("key", "par", "body"), _redeal(level), "key long, par long, body string")
-        again = materialize(again)
-        sizes = again.groupBy("key").agg(F.count("*").alias("size"))
-        pairs = again.join(sizes, "key")
-    roots = components(edges)
-    classes = places.join(roots, places["par"] == roots["node"], "left") \
-        .select("par", "doc", "doc_id", "at", "end", F.coalesce("root", "par").alias("root"))
-    classes = materialize(classes)
+    bodies = materialize(texts.join(one, texts["t_doc"] == one["doc"])
+                              .select(F.col("par").alias("b_par"), F.substring(
+                                  "t_text", F.col("at") + 1, F.col("end") - F.col("at")).cast("string").alias("body"))
+                              .dropDuplicates(["b_par"]), "zstd")
+    large = met.where("size is not null").select(F.col("key").alias("l_key"))  # one row in GROUP at most
+    groups = met.where("near").select("key", "par").join(large, F.col("key") == F.col("l_key"), "left")
+    pairs = groups.where("l_key is null").select("key", "par").join(bodies, F.col("par") == F.col("b_par")).select("key", "par", "body")
+    edges = in_arrow(pairs.repartition(n, "key").sortWithinPartitions("key"), _verify, "a long, b long")
+    hot = groups.where("l_key is not null").select("par").distinct().join(bodies, F.col("par") == F.col("b_par"))
+    keys = materialize(in_arrow(hot.select("par", "body"), _left_out_rows, "key long, par long, whole boolean"))
+    least = (keys.groupBy("key").agg(F.min(F.when(F.col("whole"), F.col("par"))).alias("b"), F.min("par").alias("lo"), F.max("par").alias("hi"))
+                 .where("b is not null and lo <> hi").select(F.col("key").alias("k_key"), "b"))
+    linked = keys.join(least, F.col("key") == F.col("k_key")).select(F.col("par").alias("a"), "b").where("a <> b")
+    roots = components(edges.union(linked))
+    discard(bodies, keys, met)
+    # of every class of several documents the first; joined back by paragraph
     head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc")).alias("head")
-    shared = (classes.groupBy("root").agg(head, F.min("doc").alias("lo"), F.max("doc").alias("hi"))
-                     .where("lo <> hi").select(F.col("root").alias("s_root"), F.col("head.doc").alias("head"),
-                                               F.col("head.doc_id").alias("head_id")))
-    return classes.join(shared, classes["root"] == shared["s_root"]).select(
+    pars = places.groupBy("par").agg(head, F.min("doc").alias("lo"), F.max("doc").alias("hi"))
+    pars = materialize(pars.join(roots, pars["par"] == roots["node"], "left").select("par", F.coalesce("root", "par").alias("root"), "head", "lo", "hi"))
+    shared = (pars.groupBy("root").agg(F.min("head").alias("head"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
+                  .select(F.col("root").alias("s_root"), F.col("head.doc").alias("head"), F.col("head.doc_id").alias("head_id")))
+    classed = pars.select(F.col("par").alias("c_par"), "root").join(shared, F.col("root") == F.col("s_root"))
+    found = materialize(places.join(classed, F.col("par") == F.col("c_par")).select(
         "doc", "doc_id", "at", "end", "par", "root", "head", "head_id",
-        (F.col("doc") == F.col("head")).alias("keep"))
+        (F.col("doc") == F.col("head")).alias("keep")))
+    discard(places, pars)
+    return found
 
 
 def _ends(batches):
-    """(doc, root, par, at, end, pos, right): where each merged run of cut
-    paragraphs begins and ends, and of every keeper the paragraph next to it."""
+    """(doc, root, par, pos, right): where the first and the last paragraphs of
+    each merged run of cut paragraphs begin and end, ``TRIED`` of every keeper."""
     for batch in batches:
         rows = []
         for doc, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -331,13 +399,12 @@ def _ends(batches):
                 runs_[-1].append(p)
                 upto = max(upto, p["end"])
             for run in runs_:
-                left, right = {}, {}
+                heads = defaultdict(list)
                 for p in run:
-                    left.setdefault(p["head"], p)
-                    if p["head"] not in right or right[p["head"]]["end"] < p["end"]:
-                        right[p["head"]] = p
-                rows += [(doc, p["root"], p["par"], p["at"], False) for p in left.values() if p["at"]]
-                rows += [(doc, p["root"], p["par"], p["end"], True) for p in right.values()]
+                    heads[p["head"]].append(p)
+                for own in heads.values():
+                    rows += [(doc, p["root"], p["par"], p["at"], False) for p in own[:TRIED] if p["at"]]
+                    rows += [(doc, p["root"], p["par"], p["end"], True) for p in sorted(own, key=lambda p: -p["end"])[:TRIED]]
         cols = list(zip(*rows, strict=True)) or [()] * 5
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
@@ -363,20 +430,17 @@ def words_after(raw: bytes, at: int) -> Iterator[tuple[int, bytes]]:
 
 
 def _contexts(batches):
-    """(k_doc, k_at, k_end, before, after): up to CONTEXT words either way of
-    the keepers' paragraphs, nearest first."""
+    """(k_doc, k_pos, k_right, words): up to CONTEXT words before or after the
+    places in the keepers' texts, nearest first."""
     for batch in batches:
         rows = []
         for doc, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = text.encode()
-            for p in places:
-                before, after = (b" ".join(w for _, w in islice(x, CONTEXT)).decode()
-                                 for x in (words_before(raw, p["k_at"]), words_after(raw, p["k_end"])))
-                rows.append((doc, p["k_at"], p["k_end"], before, after))
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
-                                         names=["k_doc", "k_at", "k_end", "before", "after"])
+            rows += [(doc, p["k_pos"], p["k_right"], b" ".join(w for _, w in islice(
+                (words_after if p["k_right"] else words_before)(raw, p["k_pos"]), CONTEXT)).decode()) for p in places]
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.bool_(), pa.string()], strict=True)],
+                                         names=["k_doc", "k_pos", "k_right", "words"])
 
 
 def _grown(raw: bytes, pos: int, right: bool, words: str) -> tuple[int, int]:
@@ -411,8 +475,8 @@ def _without(batches):
 
 
 def ends(found: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, pos, right, words): per end of what is cut, the keeper's words
-    beyond it; of ``repeats`` found. A keeper's place is that of the equal
+    """(doc, pos, right, words): where cut paragraphs begin or end, the keeper's
+    words beyond; of ``repeats`` found. A keeper's place is that of the equal
     paragraph, else of the first of the class."""
     cuts = found.where("not keep").groupBy("doc").agg(
         F.array_sort(F.collect_set(F.struct("at", "end", "head", "root", "par"))).alias("places"))
@@ -425,37 +489,37 @@ def ends(found: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str =
                 .join(first, F.col("root") == F.col("f_root"))
                 .select(F.col("root").alias("p_root"), F.col("par").alias("p_par"),
                         F.coalesce("equal", "first").alias("place")))
-    at = materialize(wanted.join(pars, (F.col("root") == F.col("p_root")) & (F.col("par") == F.col("p_par")))
-                           .select("doc", "pos", "right", F.col("place.doc").alias("w_doc"),
-                                   F.col("place.at").alias("w_at"), F.col("place.end").alias("w_end")))
+    at = (wanted.join(pars, (F.col("root") == F.col("p_root")) & (F.col("par") == F.col("p_par")))
+                .select("doc", "pos", "right", F.col("place.doc").alias("w_doc"),
+                        F.when(F.col("right"), F.col("place.end")).otherwise(F.col("place.at")).alias("w_pos")))
+    at = materialize(at)
     keepers = at.groupBy(F.col("w_doc").alias("k_doc")).agg(
-        F.collect_set(F.struct(F.col("w_at").alias("k_at"), F.col("w_end").alias("k_end"))).alias("places"))
+        F.collect_set(F.struct(F.col("w_pos").alias("k_pos"), F.col("right").alias("k_right"))).alias("places"))
     texts = _paragraph_rows(docs, doc_id, text)
     contexts = in_arrow(texts.join(keepers, texts["doc"] == keepers["k_doc"]).select("k_doc", "text", "places"),
-                        _contexts, "k_doc long, k_at int, k_end int, before string, after string") \
-        .dropDuplicates(["k_doc", "k_at", "k_end"])
-    return (at.join(contexts, (F.col("w_doc") == F.col("k_doc")) & (F.col("w_at") == F.col("k_at"))
-                    & (F.col("w_end") == F.col("k_end")))
-              .select("doc", "pos", "right", F.when(F.col("right"), F.col("after")).otherwise(F.col("before")).alias("words"))
-              .where("words <> ''"))
+                        _contexts, "k_doc long, k_pos int, k_right boolean, words string") \
+        .where("words <> ''").dropDuplicates(["k_doc", "k_pos", "k_right"])
+    return (at.join(contexts, (F.col("w_doc") == F.col("k_doc")) & (F.col("w_pos") == F.col("k_pos"))
+                    & (F.col("right") == F.col("k_right")))
+              .select("doc", "pos", "right", "words"))
 
 
 def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with repeated paragraphs cut out of ``text``, and new columns
     ``cut_words``, ``cut_passages`` and ``cut_first_ids`` (the ids of the
     documents that keep what was cut, distinct and sorted)."""
-    found = materialize(repeats(docs, doc_id, text))
+    found = repeats(docs, doc_id, text)
     cuts = found.where("not keep").select("doc", F.struct("at", "end").alias("span"), "head_id",
                                           F.lit(None).cast("struct<pos:int,right:boolean,words:string>").alias("grow"))
     grow = ends(found, docs, doc_id, text).select(
         "doc", F.lit(None).cast("struct<at:int,end:int>").alias("span"), F.lit(None).cast("long").alias("head_id"),
         F.struct("pos", "right", "words").alias("grow"))
-    spans = cuts.unionByName(grow).groupBy(F.col("doc").alias("r_doc")).agg(
-        F.collect_set("span").alias("r_spans"), F.collect_set("grow").alias("r_ends"),
-        F.array_sort(F.collect_set("head_id")).alias("r_ids"))
-    key = fresh(docs, "r_key")
+    r_doc, r_spans, r_ends, r_ids, key = (fresh(docs, c) for c in ("r_doc", "r_spans", "r_ends", "r_ids", "r_key"))
+    spans = cuts.unionByName(grow).groupBy(F.col("doc").alias(r_doc)).agg(
+        F.collect_set("span").alias(r_spans), F.collect_set("grow").alias(r_ends),
+        F.array_sort(F.collect_set("head_id")).alias(r_ids))
     rows = docs.withColumn(key, F.xxhash64(F.col(doc_id), F.col(text)))
-    rows = rows.join(spans, rows[key] == spans["r_doc"], "left")
+    rows = rows.join(spans, rows[key] == spans[r_doc], "left")
     names, at = docs.columns, docs.columns.index(text)
     extra = [fresh(docs, c) for c in ("cut_words", "cut_passages", "cut_first_ids")]
 
@@ -468,8 +532,8 @@ def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
     schema = T.StructType([*docs.schema.fields, T.StructField(extra[0], T.LongType()),
                            T.StructField(extra[1], T.LongType()), T.StructField(extra[2], T.ArrayType(T.LongType()))])
-    ids = F.coalesce("r_ids", F.array().cast("array<bigint>"))
-    return in_arrow(rows.select(*names, F.col("r_spans"), F.col("r_ends"), ids.alias("r_ids")), run, schema)
+    ids = F.coalesce(r_ids, F.array().cast("array<bigint>"))
+    return in_arrow(rows.select(*names, F.col(r_spans), F.col(r_ends), ids.alias(r_ids)), run, schema)
 
 
 def _picked(batches, at: int, n: int):
