@@ -29,11 +29,21 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Spark's own setting: an execution's shuffle files go when it ends.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """Cut lineage: write to the shared checkpoint folder, read again."""
+    """Cut lineage: write to the shared checkpoint folder, read again. What was
+    shuffled on the way is deleted, as nothing needs it once all is written."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_TIDY, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out

@@ -51,7 +51,7 @@ from .common import (components, discard, fresh, in_arrow, materialize, mix64, p
 
 HALF, SPAN, WIDTH, JACCARD = 8, 35, 5, 0.8
 SHINGLES = 2 * HALF - WIDTH + 1  # of a paragraph; ``left_out`` holds for 12 at Jaccard 0.8
-CONTEXT, TRIED = 2 * (SPAN + HALF), 2
+CONTEXT = 2 * (SPAN + HALF)
 BANDS, ROWS, GROUP = 4, 2, 4096  # BANDS: a power of two, the last bits of a key are its band
 U64 = np.uint64
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -151,8 +151,8 @@ def _paragraph_rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def _band_rows(batches):
-    """(key, par, doc, many): per batch each band key and paragraph hash
-    once; many: in several documents."""
+    """(key, par, many): per batch each band key and paragraph hash once; many:
+    in several documents of the batch."""
     for batch in batches:
         keys, pars, docs = [], [], []
         for part in text_slices(batch, 2):
@@ -162,71 +162,57 @@ def _band_rows(batches):
             pars.append(exact)
             docs.append(part.column(0).to_numpy()[row])
         par, doc = np.concatenate(pars), np.concatenate(docs)
-        key = np.concatenate(keys)
         order = np.lexsort((doc, par))
-        par, doc, key = par[order], doc[order], key[order]
-        head = np.append(True, par[1:] != par[:-1]) if len(par) else np.zeros(0, bool)
-        ends = np.append(np.flatnonzero(head)[1:], len(par)) - 1 if len(par) else np.zeros(0, int)
-        many = doc[head] != doc[ends] if len(par) else np.zeros(0, bool)
-        par, doc, key = par[head], doc[head], key[head]
-        # documents are compared across batches for the first band only
-        docs = np.zeros((len(par), BANDS), np.int64)
-        docs[:, 0] = np.where(many, 0, doc)
-        yield pa.RecordBatch.from_arrays(
-            [_signed(key.reshape(-1)), _signed(np.repeat(par, BANDS)), pa.array(docs.reshape(-1)),
-             pa.array(np.repeat(many, BANDS))], names=["key", "par", "doc", "many"])
+        par, doc = par[order], doc[order]
+        head = np.flatnonzero(np.append(True, par[1:] != par[:-1])) if len(par) else np.zeros(0, int)
+        many = doc[head] != doc[np.append(head[1:], len(par)) - 1] if len(par) else np.zeros(0, bool)
+        key = np.concatenate(keys)[order[head]]
+        yield pa.RecordBatch.from_arrays([_signed(key.reshape(-1)), _signed(np.repeat(par[head], BANDS)), pa.array(np.repeat(many, BANDS))],
+                                         names=["key", "par", "many"])
 
 
 def _meet(batches):
     """Rows sorted by (key, par) stream by. Put out are: (key, par) of every
-    paragraph in a key of several (near); those of the first band that stand in
-    several documents (exact); and for a key of more than GROUP paragraphs its
-    number (size, without par). A key may span any number of batches: of it,
-    only its first and latest paragraph and their number are kept."""
+    paragraph in a key of several (near); those of the first band that may stand
+    in several documents (exact); and for a key of more than GROUP paragraphs
+    its number (size, without par). A key may span any number of batches: of
+    it, only its latest paragraph and their number are kept."""
     names = ["key", "par", "near", "exact", "size"]
 
-    def rows(key, par, near, exact):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(par), pa.array(near), pa.array(exact),
-                                           pa.nulls(len(key), pa.int64())], names=names)
+    def rows(key, par, many, number):
+        near, exact = number > 1, many & (key & (BANDS - 1) == 0)
+        some = near | exact
+        key, par, near, exact = key[some], par[some], near[some], exact[some]
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(par), pa.array(near), pa.array(exact), pa.nulls(len(key), pa.int64())],
+                                         names=names)
 
     def large(key, size):
-        none = pa.nulls(len(key), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.nulls(len(key), pa.int64()), none, none, pa.array(size)], names=names)
+        some = size > GROUP
+        none = pa.nulls(int(some.sum()), pa.bool_())
+        yield pa.RecordBatch.from_arrays([pa.array(key[some]), pa.nulls(len(none), pa.int64()), none, none,
+                                          pa.array(size[some].astype(np.int64))], names=names)
 
-    held, before = None, 0  # the last paragraph: (key, par, lo, hi, many); paragraphs of its key before it
+    held, before = None, 0  # the last paragraph: (key, par, many); paragraphs of its key before it
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, par = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        lo = hi = batch.column(2).to_numpy()
-        many = batch.column(3).to_numpy(zero_copy_only=False)
+        key, par, many = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
         if held:
-            key, par, lo, hi, many = (np.append(h, x) for h, x in zip(held, (key, par, lo, hi, many), strict=True))
+            key, par, many = (np.append(h, x) for h, x in zip(held, (key, par, many), strict=True))
         head = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (par[1:] != par[:-1])))
-        key, par, many = key[head], par[head], np.logical_or.reduceat(many, head)
-        lo, hi = np.minimum.reduceat(lo, head), np.maximum.reduceat(hi, head)
+        many = np.logical_or.reduceat(many, head) | (np.diff(np.append(head, len(key))) > 1)  # of several batches
+        key, par = key[head], par[head]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
         size = np.diff(np.append(first, len(key)))
+        number = np.repeat(size, size)
         size[0] += before
-        number = np.repeat(size, np.diff(np.append(first, len(key))))
-        yield from _met(rows, key[:-1], par[:-1], number[:-1], lo[:-1], hi[:-1], many[:-1])
-        ended = size[:-1] > GROUP
-        if ended.any():
-            yield large(key[first[:-1]][ended], size[:-1][ended].astype(np.int64))
-        held = (key[-1], par[-1], lo[-1], hi[-1], many[-1])
-        before = int(size[-1]) - 1
+        number[:np.append(first, len(key))[1]] = size[0]
+        yield from rows(key[:-1], par[:-1], many[:-1], number[:-1])
+        yield from large(key[first[:-1]], size[:-1])
+        held, before = (key[-1], par[-1], many[-1]), int(size[-1]) - 1
     if held:
-        yield from _met(rows, *(np.array([x]) for x in (held[0], held[1], before + 1, *held[2:])))
-        if before + 1 > GROUP:
-            yield large(np.array([held[0]]), np.array([before + 1], np.int64))
-
-
-def _met(rows, key, par, number, lo, hi, many):
-    near = number > 1
-    exact = (many | (lo != hi)) & (key & (BANDS - 1) == 0)
-    some = near | exact
-    if some.any():
-        yield rows(key[some], par[some], near[some], exact[some])
+        yield from rows(*(np.array([x]) for x in (*held, before + 1)))
+        yield from large(np.array([held[0]]), np.array([before + 1]))
 
 
 def _places(batches):
@@ -339,12 +325,13 @@ def _verify(batches):
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Written: (doc, doc_id, at, end, par, root, head, head_id, keep), the byte span of
-    every paragraph whose class is found in several documents; head: the first
-    of them; keep: whether this is it. doc is the hash of (doc_id, text)."""
+    """Written: (doc, doc_id, at, end, par, root, head, head_id, keep, same), the
+    byte span of every paragraph whose class is found in several documents;
+    head: the first of them; keep: whether this is it; same: whether it has the
+    equal paragraph. doc is the hash of (doc_id, text)."""
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     rows = _paragraph_rows(docs, doc_id, text)
-    met = materialize(in_arrow(in_arrow(rows, _band_rows, "key long, par long, doc long, many boolean")
+    met = materialize(in_arrow(in_arrow(rows, _band_rows, "key long, par long, many boolean")
                           .repartition(n, "key").sortWithinPartitions("key", "par"), _meet,
                                "key long, par long, near boolean, exact boolean, size long"))
     wanted = met.where("par is not null").select(F.col("par").alias("w_par")).distinct()
@@ -378,33 +365,36 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     pars = materialize(pars.join(roots, pars["par"] == roots["node"], "left").select("par", F.coalesce("root", "par").alias("root"), "head", "lo", "hi"))
     shared = (pars.groupBy("root").agg(F.min("head").alias("head"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
                   .select(F.col("root").alias("s_root"), F.col("head.doc").alias("head"), F.col("head.doc_id").alias("head_id")))
-    classed = pars.select(F.col("par").alias("c_par"), "root").join(shared, F.col("root") == F.col("s_root"))
+    classed = pars.select(F.col("par").alias("c_par"), "root", F.col("head.doc").alias("p_head")) \
+        .join(shared, F.col("root") == F.col("s_root"))
     found = materialize(places.join(classed, F.col("par") == F.col("c_par")).select(
         "doc", "doc_id", "at", "end", "par", "root", "head", "head_id",
-        (F.col("doc") == F.col("head")).alias("keep")))
+        (F.col("doc") == F.col("head")).alias("keep"), (F.col("p_head") == F.col("head")).alias("same")))
     discard(places, pars)
     return found
 
 
 def _ends(batches):
-    """(doc, root, par, pos, right): where the first and the last paragraphs of
-    each merged run of cut paragraphs begin and end, ``TRIED`` of every keeper."""
+    """(doc, root, par, pos, right): of each merged run of cut paragraphs and
+    each of its keepers, where the first paragraph begins and the last ends; if
+    the keeper has no equal one, also where the next does of which it has."""
+    def near(places):
+        yield places[0]
+        if not places[0]["same"]:
+            yield from islice((p for p in places if p["same"]), 1)
+
     for batch in batches:
         rows = []
         for doc, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             runs_, upto = [], -1
             for p in places:  # sorted by their place
                 if p["at"] > upto:
-                    runs_.append([])
-                runs_[-1].append(p)
+                    runs_.append(defaultdict(list))
+                runs_[-1][p["head"]].append(p)
                 upto = max(upto, p["end"])
-            for run in runs_:
-                heads = defaultdict(list)
-                for p in run:
-                    heads[p["head"]].append(p)
-                for own in heads.values():
-                    rows += [(doc, p["root"], p["par"], p["at"], False) for p in own[:TRIED] if p["at"]]
-                    rows += [(doc, p["root"], p["par"], p["end"], True) for p in sorted(own, key=lambda p: -p["end"])[:TRIED]]
+            for own in (x for run in runs_ for x in run.values()):
+                rows += [(doc, p["root"], p["par"], p["at"], False) for p in near(own) if p["at"]]
+                rows += [(doc, p["root"], p["par"], p["end"], True) for p in near(sorted(own, key=lambda p: -p["end"]))]
         cols = list(zip(*rows, strict=True)) or [()] * 5
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
@@ -479,7 +469,7 @@ def ends(found: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str =
     words beyond; of ``repeats`` found. A keeper's place is that of the equal
     paragraph, else of the first of the class."""
     cuts = found.where("not keep").groupBy("doc").agg(
-        F.array_sort(F.collect_set(F.struct("at", "end", "head", "root", "par"))).alias("places"))
+        F.array_sort(F.collect_set(F.struct("at", "end", "head", "root", "par", "same"))).alias("places"))
     wanted = materialize(in_arrow(cuts, _ends, "doc long, root long, par long, pos int, right boolean"))
     kept = found.where("keep").select("root", "par", F.struct("doc", "at", "end").alias("place"))
     equal = kept.groupBy(F.col("root").alias("e_root"), F.col("par").alias("e_par")).agg(F.min("place").alias("equal"))
