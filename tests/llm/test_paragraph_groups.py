@@ -33,6 +33,29 @@ def test_left_out_shingles_join_all_and_only_close_sets():
     assert joined == close and len(close) > 50
 
 
+def test_anchors_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(4)
+    for high in (6, 50, 1 << 60):
+        sizes = rng.choice([0, 1, 2, 30, 34, 35, 36, 70, 300], 40)
+        first = np.append(0, np.cumsum(sizes))
+        x = rng.integers(1, high, first[-1]).astype(np.uint64)
+        at, row = paragraphs._all_anchors(x, first)
+        want = [(i, int(first[i] + a)) for i in range(40) if sizes[i] for a in paragraphs._anchors(x[first[i]:first[i + 1]])]
+        assert list(zip(row.tolist(), at.tolist())) == want
+
+
+def test_gap_hashes_stand_for_their_words():
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(["x", "y", *words]), " ".join([*words[:200], "other", *words[201:]])]
+    got = []
+    for batch in paragraphs._places(iter([pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([1, 2, 3]), pa.array(texts)], names=["d", "i", "t"])])):
+        got += batch.to_pylist()
+    gaps = [{(r["par"], r["gap"], texts[d - 1][r["end"]:r["upto"]].strip()) for r in got if r["doc"] == d} for d in (1, 2, 3)]
+    assert len(gaps[0] & gaps[1]) >= len(gaps[0]) - 2 and gaps[2] - gaps[0] and gaps[2] & gaps[0]
+    seen = {}
+    assert all(seen.setdefault(g, t) == t for x in gaps for _, g, t in x)
+
+
 def test_meeting_paragraphs_are_counted_across_batches(monkeypatch):
     monkeypatch.setattr(paragraphs, "GROUP", 3)
     rng = np.random.default_rng(2)

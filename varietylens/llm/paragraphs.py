@@ -46,12 +46,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import (components, discard, fresh, in_arrow, materialize, mix64, partitions, runs, text_bytes, text_slices,
+from .common import (_powers, components, discard, fresh, in_arrow, materialize, mix64, partitions, runs, text_bytes, text_slices,
                      word_hashes, word_spans)
 
 HALF, SPAN, WIDTH, JACCARD = 8, 35, 5, 0.8
 SHINGLES = 2 * HALF - WIDTH + 1  # of a paragraph; ``left_out`` holds for 12 at Jaccard 0.8
-CONTEXT = 2 * (SPAN + HALF)
+CONTEXT, MEET = 2 * (SPAN + HALF), 32  # words; bytes by which neighbouring cuts grow into each other
 BANDS, ROWS, GROUP = 4, 2, 4096  # BANDS: a power of two, the last bits of a key are its band
 U64 = np.uint64
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -86,26 +86,63 @@ def _anchors(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
+def _all_anchors(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, rows) of the anchors of many texts at once; text i has the
+    values first[i] to first[i + 1]."""
+    n, inside = np.diff(first), np.zeros(len(x) + 1, np.int8)
+    long = n >= SPAN
+    inside[first[:-1][long]] += 1
+    np.add.at(inside, first[1:][long] - SPAN + 1, -1)
+    chosen = np.zeros(len(x), bool)
+    if long.any():
+        least = _sliding(x, SPAN, np.minimum)
+        least[np.cumsum(inside[:len(least)]) == 0] = 0  # a window of two texts
+        edge = np.zeros(SPAN - 1, U64)
+        chosen = _sliding(np.concatenate([edge, least, edge]), SPAN, np.maximum) == x
+    short = np.flatnonzero((n > 0) & ~long)  # one window each
+    if len(short):
+        begin = first[:-1][n > 0]
+        least = np.zeros(len(n), U64)
+        least[n > 0] = np.minimum.reduceat(x, begin)
+        row = np.repeat(short, n[short])
+        at = np.arange(len(row)) + np.repeat(first[short] - np.append(0, np.cumsum(n[short]))[:-1], n[short])
+        chosen[at] = x[at] == least[row]
+    at = np.flatnonzero(chosen)
+    row = np.searchsorted(first, at, "right") - 1
+    order = np.lexsort((x[at], row))
+    again = np.unique(row[order][1:][(row[order][1:] == row[order][:-1]) & (x[at][order][1:] == x[at][order][:-1])])
+    if len(again):  # equal values: the first of each window
+        parts = [first[i] + _anchors(x[first[i]:first[i + 1]]) for i in again.tolist()]
+        rest = ~np.isin(row, again)
+        at = np.sort(np.concatenate([at[rest], *parts]))
+        row = np.searchsorted(first, at, "right") - 1
+    return at, row
+
+
 def cut(buf: np.ndarray, off: np.ndarray):
     """Paragraphs of the texts in (buf, off): row, first and end word; and all
     words' starts, ends and hashes."""
     starts, ends, first = word_spans(buf, off)
     h = word_hashes(buf, starts, ends)
-    rows, lo, hi = [], [], []
-    for row in range(len(off) - 1):
-        a, b = int(first[row]), int(first[row + 1])
-        n = b - a
-        if n < WIDTH:
-            continue
-        pair = mix64(h[a:b] * U64(3) + np.append(h[a + 1:b], U64(0)))
-        at = _anchors(pair)
-        left, right = np.maximum(at - HALF, 0), np.minimum(at + HALF, n)
-        keep = right - left >= WIDTH
-        rows.append(np.full(int(keep.sum()), row))
-        lo.append(a + left[keep])
-        hi.append(a + right[keep])
-    z = np.zeros(0, np.int64)
-    return (*(np.concatenate(x) if x else z for x in (rows, lo, hi)), starts, ends, h)
+    if not len(h):
+        z = np.zeros(0, np.int64)
+        return z, z, z, starts, ends, h
+    after = np.append(h[1:], U64(0))
+    after[first[1:][np.diff(first) > 0] - 1] = 0
+    at, row = _all_anchors(mix64(h * U64(3) + after), first)
+    lo, hi = np.maximum(at - HALF, first[row]), np.minimum(at + HALF, first[row + 1])
+    keep = hi - lo >= WIDTH
+    return row[keep], lo[keep], hi[keep], starts, ends, h
+
+
+def _gaps(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each paragraph the word at which the next one of its text begins (or
+    the text ends, or it ends itself if that is later), and the hash of the
+    words up to there."""
+    upto = np.maximum(np.where(np.append(row[1:] == row[:-1], False), np.append(lo[1:], 0), first[row + 1]), hi) if len(row) else hi
+    power, inverse = _powers(len(h) + 1)
+    sums = np.append(U64(0), np.cumsum(h * power[:len(h)], dtype=U64))
+    return upto, mix64((sums[upto] - sums[hi]) * inverse[hi] + (upto - hi).astype(U64))
 
 
 def _shingles(h: np.ndarray) -> np.ndarray:
@@ -216,18 +253,22 @@ def _meet(batches):
 
 
 def _places(batches):
-    """(par, doc, doc_id, at, end): every paragraph's hash and byte span."""
+    """(par, doc, doc_id, at, end, upto, gap): every paragraph's hash and byte
+    span, where the next one begins, and the hash of the words up to there."""
     for batch in batches:
         for part in text_slices(batch, 2):
             buf, off = text_bytes(part.column(2))
             row, lo, hi, starts, ends, h = cut(buf, off)
-            _, exact = _own(lo, hi, h) if len(lo) else (None, np.zeros(0, U64))
-            take = pa.array(row)
+            if not len(row):
+                continue
+            upto, gap = _gaps(row, lo, hi, np.searchsorted(starts, off), h)
+            more = (upto < len(starts)) & (upto < np.searchsorted(starts, off)[row + 1])  # another paragraph follows
+            beyond = np.where(more, np.append(starts, 0)[upto], ends[upto - 1])
+            take, base = pa.array(row), off[row]
             yield pa.RecordBatch.from_arrays(
-                [_signed(exact), part.column(0).take(take), part.column(1).take(take),
-                 pa.array((starts[lo] - off[row]).astype(np.int32) if len(lo) else np.zeros(0, np.int32)),
-                 pa.array((ends[hi - 1] - off[row]).astype(np.int32) if len(lo) else np.zeros(0, np.int32))],
-                names=["par", "doc", "doc_id", "at", "end"])
+                [_signed(_own(lo, hi, h)[1]), part.column(0).take(take), part.column(1).take(take),
+                 *(pa.array((x - base).astype(np.int32)) for x in (starts[lo], ends[hi - 1], np.maximum(beyond, ends[hi - 1]))), _signed(gap)],
+                names=["par", "doc", "doc_id", "at", "end", "upto", "gap"])
 
 
 def _sets(col: pa.Array) -> list[np.ndarray]:
@@ -325,17 +366,20 @@ def _verify(batches):
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Written: (doc, doc_id, at, end, par, root, head, head_id, keep, same), the
-    byte span of every paragraph whose class is found in several documents;
-    head: the first of them; keep: whether this is it; same: whether it has the
-    equal paragraph. doc is the hash of (doc_id, text)."""
+    """Written: (doc, doc_id, at, end, reach, par, root, head, head_id, keep,
+    same), the byte span of every paragraph whose class is found in several
+    documents; head: the first of them; keep: whether this is it; same: whether
+    it has the equal paragraph; reach: the end, or where the next paragraph
+    begins if the words up to there are the head's. doc is the hash of
+    (doc_id, text)."""
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     rows = _paragraph_rows(docs, doc_id, text)
     met = materialize(in_arrow(in_arrow(rows, _band_rows, "key long, par long, many boolean")
                           .repartition(n, "key").sortWithinPartitions("key", "par"), _meet,
                                "key long, par long, near boolean, exact boolean, size long"))
-    wanted = met.where("par is not null").select(F.col("par").alias("w_par")).distinct()
-    places = in_arrow(rows, _places, "par long, doc long, doc_id long, at int, end int")
+    # written, so that the join may split a paragraph that stands everywhere
+    wanted = materialize(met.where("par is not null").select(F.col("par").alias("w_par")).distinct())
+    places = in_arrow(rows, _places, "par long, doc long, doc_id long, at int, end int, upto int, gap long")
     places = materialize(places.join(wanted, places["par"] == wanted["w_par"], "left_semi"))
 
     # one text of every paragraph that met different ones
@@ -358,26 +402,28 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
                  .where("b is not null and lo <> hi").select(F.col("key").alias("k_key"), "b"))
     linked = keys.join(least, F.col("key") == F.col("k_key")).select(F.col("par").alias("a"), "b").where("a <> b")
     roots = components(edges.union(linked))
-    discard(bodies, keys, met)
+    discard(bodies, keys, met, wanted)
     # of every class of several documents the first; joined back by paragraph
-    head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc")).alias("head")
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc", "at", "gap")).alias("head")
     pars = places.groupBy("par").agg(head, F.min("doc").alias("lo"), F.max("doc").alias("hi"))
     pars = materialize(pars.join(roots, pars["par"] == roots["node"], "left").select("par", F.coalesce("root", "par").alias("root"), "head", "lo", "hi"))
     shared = (pars.groupBy("root").agg(F.min("head").alias("head"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
                   .select(F.col("root").alias("s_root"), F.col("head.doc").alias("head"), F.col("head.doc_id").alias("head_id")))
-    classed = pars.select(F.col("par").alias("c_par"), "root", F.col("head.doc").alias("p_head")) \
+    classed = pars.select(F.col("par").alias("c_par"), "root", F.col("head.doc").alias("p_head"), F.col("head.gap").alias("p_gap")) \
         .join(shared, F.col("root") == F.col("s_root"))
+    same = F.col("p_head") == F.col("head")
     found = materialize(places.join(classed, F.col("par") == F.col("c_par")).select(
-        "doc", "doc_id", "at", "end", "par", "root", "head", "head_id",
-        (F.col("doc") == F.col("head")).alias("keep"), (F.col("p_head") == F.col("head")).alias("same")))
+        "doc", "doc_id", "at", "end", F.when(same & (F.col("gap") == F.col("p_gap")), F.col("upto")).otherwise(F.col("end")).alias("reach"),
+        "par", "root", "head", "head_id", (F.col("doc") == F.col("head")).alias("keep"), same.alias("same")))
     discard(places, pars)
     return found
 
 
 def _ends(batches):
-    """(doc, root, par, pos, right): of each merged run of cut paragraphs and
-    each of its keepers, where the first paragraph begins and the last ends; if
-    the keeper has no equal one, also where the next does of which it has."""
+    """(doc, root, par, pos, right, most): of each merged run of cut paragraphs
+    and each of its keepers, where the first paragraph begins and the last ends;
+    if the keeper has no equal one, also where the next does of which it has.
+    most: bytes up to the keeper's next run and a little more, or null."""
     def near(places):
         yield places[0]
         if not places[0]["same"]:
@@ -386,19 +432,26 @@ def _ends(batches):
     for batch in batches:
         rows = []
         for doc, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            runs_, upto = [], -1
+            runs_, bounds, upto = [], [], -1
             for p in places:  # sorted by their place
                 if p["at"] > upto:
                     runs_.append(defaultdict(list))
+                    bounds.append([p["at"], 0])
                 runs_[-1][p["head"]].append(p)
-                upto = max(upto, p["end"])
-            for own in (x for run in runs_ for x in run.values()):
-                rows += [(doc, p["root"], p["par"], p["at"], False) for p in near(own) if p["at"]]
-                rows += [(doc, p["root"], p["par"], p["end"], True) for p in near(sorted(own, key=lambda p: -p["end"]))]
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()]
+                upto = bounds[-1][1] = max(upto, p["reach"])
+            for i, run in enumerate(runs_):
+                for head, own in run.items():
+                    # a neighbour of the same keeper grows on by itself
+                    left = bounds[i - 1][1] - MEET if i and head in runs_[i - 1] else None
+                    right = bounds[i + 1][0] + MEET if i + 1 < len(runs_) and head in runs_[i + 1] else None
+                    rows += [(doc, p["root"], p["par"], p["at"], False, None if left is None else p["at"] - left)
+                             for p in near(own) if p["at"]]
+                    rows += [(doc, p["root"], p["par"], p["end"], True, None if right is None else right - p["end"])
+                             for p in near(sorted(own, key=lambda p: -p["end"]))]
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
-                                         names=["doc", "root", "par", "pos", "right"])
+                                         names=["doc", "root", "par", "pos", "right", "most"])
 
 
 def words_before(raw: bytes, at: int) -> Iterator[tuple[int, bytes]]:
@@ -420,14 +473,20 @@ def words_after(raw: bytes, at: int) -> Iterator[tuple[int, bytes]]:
 
 
 def _contexts(batches):
-    """(k_doc, k_pos, k_right, words): up to CONTEXT words before or after the
-    places in the keepers' texts, nearest first."""
+    """(k_doc, k_pos, k_right, words): up to CONTEXT words (of about k_most
+    bytes) before or after the places in the keepers' texts, nearest first."""
     for batch in batches:
         rows = []
         for doc, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             raw = text.encode()
-            rows += [(doc, p["k_pos"], p["k_right"], b" ".join(w for _, w in islice(
-                (words_after if p["k_right"] else words_before)(raw, p["k_pos"]), CONTEXT)).decode()) for p in places]
+            for p in places:
+                words, left = [], p["k_most"]
+                for _, w in islice((words_after if p["k_right"] else words_before)(raw, p["k_pos"]), CONTEXT):
+                    words.append(w)
+                    left -= len(w) + 1
+                    if left < 0:
+                        break
+                rows.append((doc, p["k_pos"], p["k_right"], b" ".join(words).decode()))
         cols = list(zip(*rows, strict=True)) or [()] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.int32(), pa.bool_(), pa.string()], strict=True)],
                                          names=["k_doc", "k_pos", "k_right", "words"])
@@ -469,8 +528,8 @@ def ends(found: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str =
     words beyond; of ``repeats`` found. A keeper's place is that of the equal
     paragraph, else of the first of the class."""
     cuts = found.where("not keep").groupBy("doc").agg(
-        F.array_sort(F.collect_set(F.struct("at", "end", "head", "root", "par", "same"))).alias("places"))
-    wanted = materialize(in_arrow(cuts, _ends, "doc long, root long, par long, pos int, right boolean"))
+        F.array_sort(F.collect_set(F.struct("at", "end", "reach", "head", "root", "par", "same"))).alias("places"))
+    wanted = materialize(in_arrow(cuts, _ends, "doc long, root long, par long, pos int, right boolean, most int"))
     kept = found.where("keep").select("root", "par", F.struct("doc", "at", "end").alias("place"))
     equal = kept.groupBy(F.col("root").alias("e_root"), F.col("par").alias("e_par")).agg(F.min("place").alias("equal"))
     first = kept.groupBy(F.col("root").alias("f_root")).agg(F.min("place").alias("first"))
@@ -479,19 +538,20 @@ def ends(found: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str =
                 .join(first, F.col("root") == F.col("f_root"))
                 .select(F.col("root").alias("p_root"), F.col("par").alias("p_par"),
                         F.coalesce("equal", "first").alias("place")))
+    most = F.coalesce("most", F.lit((1 << 31) - 1))
     at = (wanted.join(pars, (F.col("root") == F.col("p_root")) & (F.col("par") == F.col("p_par")))
-                .select("doc", "pos", "right", F.col("place.doc").alias("w_doc"),
+                .select("doc", "pos", "right", most.alias("most"), F.col("place.doc").alias("w_doc"),
                         F.when(F.col("right"), F.col("place.end")).otherwise(F.col("place.at")).alias("w_pos")))
     at = materialize(at)
-    keepers = at.groupBy(F.col("w_doc").alias("k_doc")).agg(
-        F.collect_set(F.struct(F.col("w_pos").alias("k_pos"), F.col("right").alias("k_right"))).alias("places"))
+    keepers = (at.groupBy("w_doc", F.col("w_pos").alias("k_pos"), F.col("right").alias("k_right")).agg(F.max("most").alias("k_most"))
+                 .groupBy(F.col("w_doc").alias("k_doc")).agg(F.collect_list(F.struct("k_pos", "k_right", "k_most")).alias("places")))
     texts = _paragraph_rows(docs, doc_id, text)
     contexts = in_arrow(texts.join(keepers, texts["doc"] == keepers["k_doc"]).select("k_doc", "text", "places"),
                         _contexts, "k_doc long, k_pos int, k_right boolean, words string") \
         .where("words <> ''").dropDuplicates(["k_doc", "k_pos", "k_right"])
     return (at.join(contexts, (F.col("w_doc") == F.col("k_doc")) & (F.col("w_pos") == F.col("k_pos"))
                     & (F.col("right") == F.col("k_right")))
-              .select("doc", "pos", "right", "words"))
+              .select("doc", "pos", "right", F.substring("words", F.lit(1), F.col("most")).alias("words")))
 
 
 def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -499,7 +559,7 @@ def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     ``cut_words``, ``cut_passages`` and ``cut_first_ids`` (the ids of the
     documents that keep what was cut, distinct and sorted)."""
     found = repeats(docs, doc_id, text)
-    cuts = found.where("not keep").select("doc", F.struct("at", "end").alias("span"), "head_id",
+    cuts = found.where("not keep").select("doc", F.struct("at", F.col("reach").alias("end")).alias("span"), "head_id",
                                           F.lit(None).cast("struct<pos:int,right:boolean,words:string>").alias("grow"))
     grow = ends(found, docs, doc_id, text).select(
         "doc", F.lit(None).cast("struct<at:int,end:int>").alias("span"), F.lit(None).cast("long").alias("head_id"),
