@@ -44,6 +44,31 @@ def test_anchors_of_many_texts_are_those_of_each():
         assert list(zip(row.tolist(), at.tolist())) == want
 
 
+def test_verifying_by_pairs_and_groups_is_exact():
+    rng = np.random.default_rng(5)
+    rows = []
+    for key in range(60):
+        base = [f"{rng.integers(0, 1 << 30):x}" for _ in range(16)]
+        for _ in range(2 if key % 3 else rng.integers(1, 7)):
+            w = base.copy()
+            for _ in range(rng.integers(0, 2)):
+                w[rng.choice([0, 1, 14, 15])] = f"{rng.integers(0, 1 << 30):x}"
+            rows.append((key, len(rows), " ".join(w[:rng.integers(3, 17)] if rng.random() < 0.2 else w)))
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["key", "par", "body"])
+    got = [(r["a"], r["b"]) for b in paragraphs._verify(iter([batch])) for r in b.to_pylist()]
+    sets = paragraphs._sets(batch.column(2))
+    close = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if rows[i][0] == rows[j][0]
+             and len(sets[i]) and len(sets[j]) and jaccard(sets[i], sets[j]) >= 0.8]
+
+    def classes(pairs):
+        lab = list(range(len(rows)))
+        for _ in rows:
+            for i, j in pairs:
+                lab[i] = lab[j] = min(lab[i], lab[j])
+        return lab
+    assert set(map(frozenset, got)) <= set(map(frozenset, close)) and classes(got) == classes(close) and len(close) > 20
+
+
 def test_gap_hashes_stand_for_their_words():
     words = [f"w{i}" for i in range(400)]
     texts = [" ".join(words), " ".join(["x", "y", *words]), " ".join([*words[:200], "other", *words[201:]])]

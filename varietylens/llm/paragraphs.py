@@ -38,7 +38,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -271,12 +271,25 @@ def _places(batches):
                 names=["par", "doc", "doc_id", "at", "end", "upto", "gap"])
 
 
-def _sets(col: pa.Array) -> list[np.ndarray]:
-    """Distinct shingle hashes of each paragraph's text."""
+def _flat_sets(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of the texts, sorted within each, and where each
+    text's begin."""
     buf, off = text_bytes(col)
     starts, ends, first = word_spans(buf, off)
     sh = _shingles(word_hashes(buf, starts, ends))
-    return [np.unique(sh[a:max(a, b - WIDTH + 1)]) for a, b in zip(first[:-1], first[1:], strict=True)]
+    count = np.maximum(np.diff(first) - WIDTH + 1, 0)
+    row = np.repeat(np.arange(len(count)), count)
+    sh = sh[np.arange(len(row)) + np.repeat(first[:-1] - np.append(0, np.cumsum(count))[:-1], count)]
+    order = np.lexsort((sh, row))
+    sh, row = sh[order], row[order]
+    new = np.append(True, (sh[1:] != sh[:-1]) | (row[1:] != row[:-1]))[:len(sh)]
+    return sh[new], np.append(0, np.cumsum(np.bincount(row[new], minlength=len(count))))
+
+
+def _sets(col: pa.Array) -> list[np.ndarray]:
+    """Distinct shingle hashes of each paragraph's text."""
+    flat, at = _flat_sets(col)
+    return [flat[a:b] for a, b in pairwise(at.tolist())]
 
 
 def left_out(sets: list[np.ndarray]) -> list[tuple[int, int, bool]]:
@@ -354,15 +367,29 @@ def verified(sets: list[np.ndarray], least: float = JACCARD) -> list[tuple[int,
     return out
 
 
+def _close_pairs(flat: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of the sets first[i] and first[i] + 1, whether they reach JACCARD."""
+    size = at[first + 2] - at[first]
+    pair = np.repeat(np.arange(len(first)), size)
+    both = flat[np.arange(len(pair)) + np.repeat(at[first] - np.append(0, np.cumsum(size))[:-1], size)]
+    order = np.lexsort((both, pair))
+    both = both[order]  # pairs stay where they are
+    shared = np.bincount(pair[1:][(both[1:] == both[:-1]) & (pair[1:] == pair[:-1])], minlength=len(first))
+    return (size > 0) & (shared >= JACCARD * (size - shared))
+
+
 def _verify(batches):
     for batch in runs(batches):
         key, par = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        sets = _sets(batch.column(2))
-        edges = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
-        pairs = [(lo + i, lo + j) for lo, hi in zip(np.append(0, edges[:-1]), edges, strict=True) if hi - lo > 1
-                 for i, j in verified(sets[lo:hi])]
+        flat, at = _flat_sets(batch.column(2))
+        edges = np.append(0, np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)))
+        two = edges[:-1][np.diff(edges) == 2]
+        two = two[_close_pairs(flat, at, two)] if len(two) else two
+        more = np.flatnonzero(np.diff(edges) > 2)
+        pairs = [(lo + i, lo + j) for lo, hi in zip(edges[more].tolist(), edges[more + 1].tolist(), strict=True)
+                 for i, j in verified([flat[at[r]:at[r + 1]] for r in range(lo, hi)])]
         left, right = (np.array(x, np.int64) for x in (zip(*pairs, strict=True) if pairs else ([], [])))
-        yield pa.RecordBatch.from_arrays([pa.array(par[left]), pa.array(par[right])], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(par[np.append(two, left)]), pa.array(par[np.append(two + 1, right)])], names=["a", "b"])
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
