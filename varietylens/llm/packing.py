@@ -6,18 +6,22 @@
    driver: lengths longest first, each into the packs with most room left,
    updating counts of packing patterns, never single pieces.
 3. Patterns become slots: for a length, ranks from .. to sit in consecutive
-   sequences at one offset. Pieces are ranked within their length and joined
-   to the slots by rank.
-
-Null and empty texts are one piece holding the end id. Repeated rows are
-documents of their own. Ranks are counted per (length, salt), so no group
-holds all pieces of a length.
+   sequences at one offset. Pieces are ranked within their length, and a rank
+   finds its slot by bisection.
+
+Null and empty texts are one piece holding the end id. Repeated rows and null
+ids are documents of their own; very long texts are cut like any other; an
+empty table has no pieces. Ranks are counted per (length, salt), with a salt
+for every ``GROUP`` pieces of a length, so no group grows with the input.
+Columns of any name are carried along; added ones get a longer name if theirs
+is taken.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import zlib
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -26,8 +30,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import coded, fresh, in_arrow, materialize, text_slices
 
-from .common import coded, in_arrow, materialize, text_slices
+#: Pieces of a length that are ranked together.
+GROUP = 200_000
 
 #: Letters with sentence marks behind them are two tokens of the byte-level
 #: pre-tokenizer, whatever stands around them.
@@ -124,11 +132,14 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, doc_id: str = "doc_id",
-           text: str = "text") -> DataFrame:
+           text: str = "text", digest: bool = False) -> DataFrame:
     """(doc_id, start, length, doc_tokens, ids) per piece; ids are the bytes
-    of little-endian unsigned 32-bit integers. Written to the shared folder."""
+    of little-endian unsigned 32-bit integers, or with ``digest`` their CRC-32
+    takes their place (ids_crc32). Written to the shared folder."""
     tail = np.array([end_id], "<u4").tobytes()
-    names = ["doc_id", "start", "length", "doc_tokens", "ids"]
+    last, kind = ("ids_crc32", pa.int64()) if digest else ("ids", pa.binary())
+    names = ["doc_id", "start", "length", "doc_tokens", last]
+    seen = zlib.crc32 if digest else bytes
 
     def run(batches):
         own = encoder(tokenizer)
@@ -137,15 +148,16 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = 1024, end_id: int = 0, d
                 rows = []
                 texts = own.encode(part.column(1).fill_null(""))
                 for doc, ids in zip(part.column(0).to_pylist(), texts, strict=True):
-                    ids += tail
+                    ids = memoryview(ids + tail)
                     n = len(ids) // 4
-                    rows += [(doc, s, min(size, n - s), n, ids[4 * s:4 * (s + size)]) for s in range(0, n, size)]
+                    rows += [(doc, s, min(size, n - s), n, seen(ids[4 * s:4 * (s + size)])) for s in range(0, n, size)]
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], names=names)
+                    [*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], kind)], names=names)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return materialize(in_arrow(rows, run, "doc_id long, start long, length long, doc_tokens long, ids binary"), compression="zstd")
+    kinds = f"doc_id long, start long, length long, doc_tokens long, {last} {'long' if digest else 'binary'}"
+    return materialize(in_arrow(rows, run, kinds), compression="zstd")
 
 
 def pack_histogram(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], int]]:
@@ -196,23 +208,43 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
     return out
 
 
-def place(rows: DataFrame, size: int = 1024, order: tuple = ("doc_id", "start"), salts: int = 64) -> DataFrame:
+def place(rows: DataFrame, size: int = 1024, order: tuple = ("doc_id", "start"), group: int = GROUP) -> DataFrame:
     """``rows`` (one per piece, with a column length) with ``sequence_id`` and
-    ``offset``. Columns that are not used need not be there: whoever needs the
-    ids in their sequences keeps that column."""
-    spark = rows.sparkSession
-    salted = rows.withColumn("p_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
-    # at most size x salts rows
-    counted = materialize(salted.groupBy("length", "p_salt").agg(F.count("*").alias("p_n")))
-    counts = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("p_n").alias("n")).collect()}
-    before = F.sum("p_n").over(Window.partitionBy("length").orderBy("p_salt")) - F.col("p_n")
-    offsets = counted.select("length", "p_salt", before.alias("p_before"))
-    table = spark.createDataFrame(slots(pack_histogram(counts, size)),
-                                  "s_length long, s_from long, s_to long, s_first long, s_offset long")
-    number = F.row_number().over(Window.partitionBy("length", "p_salt").orderBy(*order)) - 1
-    ranked = (salted.withColumn("p_rank", number).join(F.broadcast(offsets), ["length", "p_salt"])
-                    .withColumn("p_rank", F.col("p_rank") + F.col("p_before")))
-    return (ranked.join(F.broadcast(table), (F.col("length") == F.col("s_length"))
-                        & (F.col("p_rank") >= F.col("s_from")) & (F.col("p_rank") < F.col("s_to")))
-                  .select(*rows.columns, (F.col("s_first") + F.col("p_rank") - F.col("s_from")).alias("sequence_id"),
-                          F.col("s_offset").alias("offset")))
+    ``offset`` as last columns. Columns that are not used need not be there:
+    whoever needs the ids in their sequences keeps that column."""
+    spark, names = rows.sparkSession, rows.columns
+    salt, rank, before, salts, n = (fresh(rows, c) for c in ("p_salt", "p_rank", "p_before", "p_salts", "p_n"))
+    added = [fresh(rows, c) for c in ("sequence_id", "offset")]
+    # a row per length, so at most ``size`` rows
+    counts = {r["length"]: r["count"] for r in rows.groupBy("length").count().collect()}
+    plan = slots(pack_histogram(counts, size))
+    many = spark.createDataFrame([(k, -(-c // group)) for k, c in counts.items()], f"length long, {salts} long")
+    salted = rows.join(F.broadcast(many), "length").withColumn(salt, F.pmod(F.xxhash64(*order), F.col(salts)))
+    number = F.row_number().over(Window.partitionBy("length", salt).orderBy(*order)) - 1
+    if any(c > group for c in counts.values()):  # a row for every ``group`` pieces
+        counted = salted.groupBy("length", salt).agg(F.count("*").alias(n))
+        offsets = materialize(counted.select("length", salt, (F.sum(n).over(
+            Window.partitionBy("length").orderBy(salt)) - F.col(n)).alias(before)))
+        ranked = salted.withColumn(rank, number).join(offsets, ["length", salt]).withColumn(rank, F.col(rank) + F.col(before))
+    else:
+        ranked = salted.withColumn(rank, number.cast("long"))
+    # the slots are patterns of lengths: some for each length, whatever the number of pieces
+    table = np.array(sorted(plan), np.int64).reshape(-1, 5)
+    table = spark.sparkContext.broadcast(table)
+    at = names.index("length")
+
+    def run(batches):
+        length, first, _, sequence, offset = table.value.T
+        begins = np.searchsorted(length, np.arange(size + 2))
+        for batch in batches:
+            own, r = batch.column(at).to_numpy(), batch.column(len(names)).to_numpy()
+            slot = np.zeros(len(own), np.int64)
+            for k in np.unique(own).tolist():
+                rows_of = np.flatnonzero(own == k)
+                lo, hi = begins[k], begins[k + 1]
+                slot[rows_of] = lo + np.searchsorted(first[lo:hi], r[rows_of], "right") - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence[slot] + r - first[slot]), pa.array(offset[slot])],
+                                             names=[*names, *added])
+
+    schema = T.StructType([*rows.schema.fields, *(T.StructField(c, T.LongType()) for c in added)])
+    return in_arrow(ranked.select(*names, F.col(rank).cast("long")), run, schema)

@@ -89,9 +89,8 @@ def op7_simhash(spark, sf_dir):
 
 @register
 def op8_packing(spark, sf_dir):
-    cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(), size=1024, end_id=0)
-    keys = cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packing.place(keys, size=1024, order=("doc_id", "start", "ids_crc32")).select(
+    cut = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(), size=1024, end_id=0, digest=True)
+    return packing.place(cut, size=1024, order=("doc_id", "start", "ids_crc32")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
