@@ -6,9 +6,10 @@
 2. A source's target is whole passes over it plus a remaining budget. The
    budget is fitted on the source's histogram of exact document sizes: the
    same share of every size first, then single documents by largest
-   remainder, then a bounded-knapsack table over the last words: the whole
-   budget of up to ``FEW`` documents (up to ``CELLS`` words), else ``table``
-   words or twice the longest document, whichever is more.
+   remainder, then a bounded-knapsack table over the last words: ``REACH`` times
+   the longest document (``table`` words at least), for every source alike. It
+   finds the best sum of what is left; what is missed is less than the shortest
+   document left.
 3. The documents of a size are chosen by a seeded hash: hash buckets are
    counted, so only the bucket in which the quota ends is ranked.
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, materialize, ship
 
-FEW, CELLS = 64, 1 << 24
+REACH = 8
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -69,7 +70,7 @@ def fit_budget(sizes: np.ndarray, counts: np.ndarray, budget: int, table: int =
     total = int((sizes * counts).sum())
     if total <= budget:
         return counts.copy()
-    table = max(table, 2 * int(sizes[counts > 0].max()), min(budget, CELLS) if counts[sizes > 0].sum() <= FEW else 0)
+    table = max(table, REACH * int(sizes[counts > 0].max()))
     share = counts * (max(0, budget - table) / total)  # what the table can fit is left to it
     take = np.minimum(np.floor(share).astype(np.int64), counts)
     while int((take * sizes).sum()) > budget:  # rounding of huge counts
