@@ -50,16 +50,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 1024 tokens with their sequence and offset."""
-    cut = packing.pieces(docs, tokenizer_path(), size=1024, end_id=0)
-    keys = cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
-    return packing.place(keys, size=1024, order=("doc_id", "start", "ids_crc32"))
+    cut = packing.pieces(docs, tokenizer_path(), size=1024, end_id=0, digest=True)
+    return packing.place(cut.select("doc_id", "start", "length", "ids_crc32", "doc_tokens"), size=1024,
+                         order=("doc_id", "start", "ids_crc32"))
 
 
 STAGES = [("language_id", language_id), ("simhash", simhash_dedup), ("substring_dedup", substring_dedup),
           ("mixing", mix_sources), ("packing", pack)]
 
 #: No stage is a SQL query (learned model, XXH64, MinHash, knapsack, tokenizer);
-#: the stages are tested against brute-force versions.
+#: tests/llm compares each with a plain version on a small table.
 ORACLE_SQL = None
 
 
