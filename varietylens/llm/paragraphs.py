@@ -42,6 +42,7 @@ from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,47 +136,43 @@ def cut(buf: np.ndarray, off: np.ndarray):
     return row[keep], lo[keep], hi[keep], starts, ends, h
 
 
-def _gaps(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _gaps(row: np.ndarray, lo: np.ndarray, hi: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Of each paragraph the word at which the next one of its text begins (or
-    the text ends, or it ends itself if that is later), and the hash of the
-    words up to there."""
-    upto = np.maximum(np.where(np.append(row[1:] == row[:-1], False), np.append(lo[1:], 0), first[row + 1]), hi) if len(row) else hi
-    power, inverse = _powers(len(h) + 1)
-    sums = np.append(U64(0), np.cumsum(h * power[:len(h)], dtype=U64))
-    return upto, mix64((sums[upto] - sums[hi]) * inverse[hi] + (upto - hi).astype(U64))
+    the text ends, or it ends itself if that is later)."""
+    return np.maximum(np.where(np.append(row[1:] == row[:-1], False), np.append(lo[1:], 0), first[row + 1]), hi)
 
 
 def _shingles(h: np.ndarray) -> np.ndarray:
     """Hash of the WIDTH words from each word on."""
     out = np.zeros(max(0, len(h) - WIDTH + 1), U64)
     for i in range(WIDTH):
-        out = mix64(out + h[i:i + len(out)] * _SALT[i])
-    return out
+        out += h[i:i + len(out)] * _SALT[i]
+    return mix64(out)
+
+
+def _word_sums(h: np.ndarray) -> np.ndarray:
+    return np.append(U64(0), np.cumsum(h * _powers(len(h) + 1)[0][:len(h)], dtype=U64))
+
+
+def _words_hash(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Hash of the words from lo to hi, from running sums over their hashes."""
+    return mix64((sums[hi] - sums[lo]) * _powers(len(sums))[1][lo] + (hi - lo).astype(U64))
 
 
 def sketch(lo: np.ndarray, hi: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of all words, band keys) of the paragraphs lo..hi over word hashes h."""
     if not len(lo):
         return np.zeros(0, U64), np.zeros((0, BANDS), U64)
-    own, exact = _own(lo, hi, h)
+    count = hi - lo - WIDTH + 1
+    # a short paragraph repeats its last shingle
+    own = _shingles(h)[lo[:, None] + np.minimum(np.arange(SHINGLES)[None, :], count[:, None] - 1)]
     keys = np.zeros((len(lo), BANDS), U64)
     for band in range(BANDS):
         for r in range(ROWS):
             salt = _SALT[band * ROWS + r]
             keys[:, band] = mix64(keys[:, band] + mix64(own * salt).min(1))
         keys[:, band] = keys[:, band] & ~U64(BANDS - 1) | U64(band)
-    return exact, keys
-
-
-def _own(lo: np.ndarray, hi: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles of each paragraph, and the hash of all of its words."""
-    sh = _shingles(h)
-    count = hi - lo - WIDTH + 1
-    at = lo[:, None] + np.minimum(np.arange(SHINGLES)[None, :], count[:, None] - 1)
-    own = sh[at]  # a short paragraph repeats its last shingle
-    ranks = np.arange(1, own.shape[1] + 1, dtype=U64)
-    exact = mix64((mix64(own) * ranks[None, :]).sum(1, dtype=U64) + count.astype(U64))
-    return own, exact
+    return _words_hash(_word_sums(h), lo, hi), keys
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -256,18 +253,20 @@ def _places(batches):
     """(par, doc, doc_id, at, end, upto, gap): every paragraph's hash and byte
     span, where the next one begins, and the hash of the words up to there."""
     for batch in batches:
-        for part in text_slices(batch, 2):
+        _, once = np.unique(batch.column(0).to_numpy(), return_index=True)  # repeated rows are one document
+        for part in text_slices(batch if len(once) == batch.num_rows else batch.take(pa.array(np.sort(once))), 2):
             buf, off = text_bytes(part.column(2))
             row, lo, hi, starts, ends, h = cut(buf, off)
             if not len(row):
                 continue
-            upto, gap = _gaps(row, lo, hi, np.searchsorted(starts, off), h)
-            more = (upto < len(starts)) & (upto < np.searchsorted(starts, off)[row + 1])  # another paragraph follows
-            beyond = np.where(more, np.append(starts, 0)[upto], ends[upto - 1])
+            first, sums = np.searchsorted(starts, off), _word_sums(h)
+            upto = _gaps(row, lo, hi, first)
+            beyond = np.where(upto < first[row + 1], np.append(starts, 0)[upto], ends[upto - 1])  # next paragraph, or the text's end
             take, base = pa.array(row), off[row]
             yield pa.RecordBatch.from_arrays(
-                [_signed(_own(lo, hi, h)[1]), part.column(0).take(take), part.column(1).take(take),
-                 *(pa.array((x - base).astype(np.int32)) for x in (starts[lo], ends[hi - 1], np.maximum(beyond, ends[hi - 1]))), _signed(gap)],
+                [_signed(_words_hash(sums, lo, hi)), part.column(0).take(take), part.column(1).take(take),
+                 *(pa.array((x - base).astype(np.int32)) for x in (starts[lo], ends[hi - 1], np.maximum(beyond, ends[hi - 1]))),
+                 _signed(_words_hash(sums, hi, upto))],
                 names=["par", "doc", "doc_id", "at", "end", "upto", "gap"])
 
 
@@ -446,38 +445,44 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     return found
 
 
-def _ends(batches):
-    """(doc, root, par, pos, right, most): of each merged run of cut paragraphs
-    and each of its keepers, where the first paragraph begins and the last ends;
-    if the keeper has no equal one, also where the next does of which it has.
-    most: bytes up to the keeper's next run and a little more, or null."""
-    def near(places):
-        yield places[0]
-        if not places[0]["same"]:
-            yield from islice((p for p in places if p["same"]), 1)
+def _firsts(order: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Of rows in this order (by group), the first of each group."""
+    g = group[order]
+    return order[np.append(True, g[1:] != g[:-1])[:len(g)]]
 
-    for batch in batches:
-        rows = []
-        for doc, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            runs_, bounds, upto = [], [], -1
-            for p in places:  # sorted by their place
-                if p["at"] > upto:
-                    runs_.append(defaultdict(list))
-                    bounds.append([p["at"], 0])
-                runs_[-1][p["head"]].append(p)
-                upto = bounds[-1][1] = max(upto, p["reach"])
-            for i, run in enumerate(runs_):
-                for head, own in run.items():
-                    # a neighbour of the same keeper grows on by itself
-                    left = bounds[i - 1][1] - MEET if i and head in runs_[i - 1] else None
-                    right = bounds[i + 1][0] + MEET if i + 1 < len(runs_) and head in runs_[i + 1] else None
-                    rows += [(doc, p["root"], p["par"], p["at"], False, None if left is None else p["at"] - left)
-                             for p in near(own) if p["at"]]
-                    rows += [(doc, p["root"], p["par"], p["end"], True, None if right is None else right - p["end"])
-                             for p in near(sorted(own, key=lambda p: -p["end"]))]
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
+
+def _ends(batches):
+    """From rows (doc, at, end, reach, head, root, par, same) of cut paragraphs
+    in order of doc and at: (doc, root, par, pos, right, most). Of each merged
+    run and each of its keepers, where the first paragraph begins and the last
+    ends; if the keeper has no equal one, also where the next does of which it
+    has. most: bytes up to the keeper's next run and a little more, or null."""
+    for batch in runs(batches):
+        doc, at, end, reach, head, root, par, same = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        number = np.cumsum(np.append(False, doc[1:] != doc[:-1])).astype(np.int64) << 32
+        upto = np.maximum.accumulate(number + reach)  # a later document has larger values
+        run = np.cumsum(np.append(True, (number + at)[1:] > upto[:-1])) - 1
+        begins = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+        run_from, run_to, run_doc = at[begins], upto[np.append(begins[1:], len(run)) - 1] & 0xFFFFFFFF, number[begins]
+        heads, keeper = np.unique(head, return_inverse=True)
+        group = run * len(heads) + keeper
+        known = np.unique(group)
+        out = []
+        for right, place in ((False, at), (True, -end.astype(np.int64))):
+            order = np.lexsort((place, group))
+            first = _firsts(order, group)
+            equal = _firsts(order[same[order]], group)
+            first = np.append(first, equal[np.isin(group[equal], group[first[~same[first]]])])
+            other = run[first] + (1 if right else -1)  # a neighbour of the same keeper grows on by itself
+            there = (other >= 0) & (other < len(begins)) & np.isin(other * len(heads) + keeper[first], known)
+            other = np.clip(other, 0, len(begins) - 1)
+            there &= run_doc[other] == number[first]
+            pos = (end if right else at)[first]
+            most = (run_from[other] - pos if right else pos - run_to[other]) + MEET
+            some = pos > 0
+            out.append([x[some] for x in (doc[first], root[first], par[first], pos, np.full(len(first), right), most, there)])
+        doc, root, par, pos, right, most, there = (np.concatenate(x) for x in zip(*out, strict=True))
+        yield pa.RecordBatch.from_arrays([*map(pa.array, (doc, root, par, pos, right)), pa.array(most.astype(np.int32), mask=~there)],
                                          names=["doc", "root", "par", "pos", "right", "most"])
 
 
@@ -530,32 +535,33 @@ def _grown(raw: bytes, pos: int, right: bool, words: str) -> tuple[int, int]:
     return (pos, at) if right else (at, pos)
 
 
-def _without(batches):
-    """Cut the merged spans out of each text, grown at their ends."""
-    for batch in batches:
-        out, cut_words, cut_spans = [], [], []
-        for body, spans, ends in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            raw, at, kept, words, merged = (body or "").encode(), 0, [], 0, 0
-            spans = sorted([(s["at"], s["end"]) for s in spans or []]
-                           + [_grown(raw, e["pos"], e["right"], e["words"]) for e in ends or []])
-            for lo, hi in spans:
-                merged += lo > at or not at
-                kept.append(raw[at:max(at, lo)])
-                words += len(raw[max(at, lo):max(at, hi)].split())
-                at = max(at, hi)
-            kept.append(raw[at:])
-            out.append(body if not spans else b"".join(kept).decode())
-            cut_words.append(words)
-            cut_spans.append(merged if spans else 0)
-        yield out, cut_words, cut_spans, batch
+def _without(texts: pa.Array, spans: pa.Array, ends: pa.Array) -> tuple[pa.Array, list[int], list[int]]:
+    """Texts without their merged spans, grown at their ends; the words and the
+    passages cut out of each. Rows without spans stay as they are."""
+    hit = pc.greater(pc.fill_null(pc.list_value_length(spans), 0), 0)
+    some = np.flatnonzero(hit.to_numpy(zero_copy_only=False))
+    out, cut_words, cut_spans = [], np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    at_rows = pa.array(some)
+    for i, body, own, grow in zip(some.tolist(), *(c.take(at_rows).to_pylist() for c in (texts, spans, ends)), strict=True):
+        raw, at, kept, words, merged = body.encode(), 0, [], 0, 0
+        for lo, hi in sorted([(x["at"], x["end"]) for x in own]
+                             + [_grown(raw, e["pos"], e["right"], e["words"]) for e in grow or []]):
+            merged += lo > at or not at
+            kept.append(raw[at:max(at, lo)])
+            words += len(raw[max(at, lo):max(at, hi)].split())
+            at = max(at, hi)
+        kept.append(raw[at:])
+        out.append(b"".join(kept).decode())
+        cut_words[i], cut_spans[i] = words, merged
+    return (pc.replace_with_mask(texts, hit, pa.array(out, texts.type)) if len(some) else texts), cut_words, cut_spans
 
 
 def ends(found: DataFrame, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, pos, right, words): where cut paragraphs begin or end, the keeper's
     words beyond; of ``repeats`` found. A keeper's place is that of the equal
     paragraph, else of the first of the class."""
-    cuts = found.where("not keep").groupBy("doc").agg(
-        F.array_sort(F.collect_set(F.struct("at", "end", "reach", "head", "root", "par", "same"))).alias("places"))
+    cuts = found.where("not keep").select("doc", "at", "end", "reach", "head", "root", "par", "same")
+    cuts = cuts.repartition(partitions(docs.sparkSession), "doc").sortWithinPartitions("doc", "at")
     wanted = materialize(in_arrow(cuts, _ends, "doc long, root long, par long, pos int, right boolean, most int"))
     kept = found.where("keep").select("root", "par", F.struct("doc", "at", "end").alias("place"))
     equal = kept.groupBy(F.col("root").alias("e_root"), F.col("par").alias("e_par")).agg(F.min("place").alias("equal"))
@@ -601,21 +607,15 @@ def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     extra = [fresh(docs, c) for c in ("cut_words", "cut_passages", "cut_first_ids")]
 
     def run(batches):
-        for out, words, merged, batch in _without(_picked(batches, at, len(names))):
-            cols = list(batch.columns[3:3 + len(names)])
-            cols[at] = pa.array(out, cols[at].type)
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(words, pa.int64()), pa.array(merged, pa.int64()),
-                                              batch.column(3 + len(names))], names=[*names, *extra])
+        for batch in batches:
+            for part in text_slices(batch, at, 16 << 20):
+                cols = list(part.columns[:len(names)])
+                cols[at], words, merged = _without(cols[at], *part.columns[len(names):len(names) + 2])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(words), pa.array(merged), part.column(len(names) + 2)],
+                                                 names=[*names, *extra])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(extra[0], T.LongType()),
                            T.StructField(extra[1], T.LongType()), T.StructField(extra[2], T.ArrayType(T.LongType()))])
     ids = F.coalesce(r_ids, F.array().cast("array<bigint>"))
     return in_arrow(rows.select(*names, F.col(r_spans), F.col(r_ends), ids.alias(r_ids)), run, schema)
 
-
-def _picked(batches, at: int, n: int):
-    """Text, spans and ends first, then the frame's columns and the ids."""
-    for b in batches:
-        for part in text_slices(b, at, 16 << 20):
-            cols = [part.column(at), part.column(n), part.column(n + 1), *part.columns[:n], part.column(n + 2)]
-            yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
