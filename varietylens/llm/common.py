@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import io
 import uuid
 import zipfile
@@ -81,10 +82,25 @@ def ship(spark: SparkSession) -> None:
     sc._varietylens_shipped = True
 
 
+def give_back() -> None:
+    """Hand memory that is free again back to the machine: a Python worker
+    lives on for the tasks of other operators, and keeps it otherwise."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def in_arrow(df: DataFrame, run, schema) -> DataFrame:
     """``df.mapInArrow`` with this package at hand on every executor."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(task, schema)
 
 
 def fresh(df: DataFrame, name: str) -> str:
