@@ -118,14 +118,15 @@ def nb_fit(x: DataFrame, docs: DataFrame, label_col: str, n_features: int,
     return NBModel(labels, log_prior, k, [r["n_c"] for r in cls], n_features, feat, S, dense, sparse)
 
 
-def nb_margins(x: DataFrame, docs: DataFrame, keys: list[str], model: NBModel) -> DataFrame:
-    """(keys, margins array<double>) for every row of ``docs``; x holds the
+def nb_sums(x: DataFrame, docs: DataFrame, keys: list[str], model: NBModel) -> DataFrame:
+    """(keys, _X, _Z, _D array<double>) for every row of ``docs``; x holds the
     (normalised) feature values of those documents.
 
     Per document: X = sum x, Z = sum x ln(T+1) (join with the feature
     table), D = sum x * dvec over dense features (a weighted vector sum,
     combined map-side) plus sum x * delta over sparse (feature, class) rows
-    -- no (document, class) row explosion for common features."""
+    -- no (document, class) row explosion for common features. All three are
+    sums over features: those of two feature blocks add up."""
     K = len(model.labels)
     X = x.groupBy(*keys).agg(F.sum("value").alias("_X"))
     if model.sparse is None:
@@ -143,8 +144,6 @@ def nb_margins(x: DataFrame, docs: DataFrame, keys: list[str], model: NBModel) -
         Ds = (x.join(model.sparse, on="feature", how="inner")
                .groupBy(*keys, "i").agg(F.sum(F.col("value") * F.col("d")).alias("_s"))
                .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "_s"))).alias("_sm")))
-    b = F.array(*[F.lit(float(v)) for v in model.log_prior])
-    k = F.array(*[F.lit(float(v)) for v in model.k])
     d = docs.select(*keys).join(X, on=keys, how="left").join(Z, on=keys, how="left")
     if Dd is not None:
         d = d.join(Dd, on=keys, how="left")
@@ -152,15 +151,50 @@ def nb_margins(x: DataFrame, docs: DataFrame, keys: list[str], model: NBModel) -
         d = d.join(Ds, on=keys, how="left")
     else:
         d = d.withColumn("_sm", F.lit(None).cast("map<int,double>"))
-    d = (d.withColumn("_X", F.coalesce(F.col("_X"), F.lit(0.0)))
-             .withColumn("_Z", F.coalesce(F.col("_Z"), F.lit(0.0)))
-             .withColumn("_Da", F.when(F.col("_D").isNotNull(), vector_to_array(F.col("_D")))
-                                  .otherwise(F.array(*[F.lit(0.0)] * K))))
-    margins = F.transform(
-        F.sequence(F.lit(0), F.lit(K - 1)),
-        lambda i: b[i] + k[i] * F.col("_X") - F.col("_Z") + F.col("_Da")[i]
-        + F.coalesce(F.try_element_at(F.col("_sm"), i), F.lit(0.0)))
-    return d.select(*keys, margins.alias("margins"))
+    d = d.withColumn("_Da", F.when(F.col("_D").isNotNull(), vector_to_array(F.col("_D")))
+                             .otherwise(F.array(*[F.lit(0.0)] * K)))
+    D = F.transform(F.sequence(F.lit(0), F.lit(K - 1)),
+                    lambda i: F.col("_Da")[i] + F.coalesce(F.try_element_at(F.col("_sm"), i), F.lit(0.0)))
+    return d.select(*keys, F.coalesce(F.col("_X"), F.lit(0.0)).alias("_X"), F.coalesce(F.col("_Z"), F.lit(0.0)).alias("_Z"),
+                    D.alias("_D"))
+
+
+def _margins(log_prior: list[float], k: list[float], X: Column, Z: Column, D) -> Column:
+    """Margins from the sums of a document; D gives that of class i."""
+    b = F.array(*[F.lit(float(v)) for v in log_prior])
+    k = F.array(*[F.lit(float(v)) for v in k])
+    return F.transform(F.sequence(F.lit(0), F.lit(len(log_prior) - 1)), lambda i: b[i] + k[i] * X - Z + D(i))
+
+
+def nb_margins(x: DataFrame, docs: DataFrame, keys: list[str], model: NBModel) -> DataFrame:
+    """(keys, margins array<double>) for every row of ``docs``."""
+    d = nb_sums(x, docs, keys, model)
+    return d.select(*keys, _margins(model.log_prior, model.k, F.col("_X"), F.col("_Z"), lambda i: F.col("_D")[i]).alias("margins"))
+
+
+def class_sums(model: NBModel) -> list[float]:
+    """S_c: the summed feature values of each class, in label order."""
+    label = model.stats.columns[0]
+    got = {r[label]: r["S_c"] for r in model.stats.groupBy(label).agg(F.sum("S").alias("S_c")).collect()}
+    return [float(got.get(c, 0.0)) for c in model.labels]
+
+
+def subset_margins(sums: DataFrame, keys: list[str], models: dict[str, NBModel], subsets: dict[str, list[str]]) -> DataFrame:
+    """(keys, subset, margins): margins of the models fitted on each subset of
+    feature blocks, from the blocks' sums over the same rows (``X_<block>``,
+    ``Z_<block>``, ``D_<block>``). A block's deltas do not depend on the other
+    blocks, so the sums add up; only k[c] has to be formed for each subset."""
+    S = {name: class_sums(m) for name, m in models.items()}
+    first = next(iter(models.values()))
+    out = []
+    for name, blocks in subsets.items():
+        S_c = [sum(S[b][i] for b in blocks) for i in range(len(first.labels))]
+        T, n = sum(S_c), sum(models[b].n_features for b in blocks)
+        k = [math.log(T - s + n) - math.log(s + n) for s in S_c]
+        X, Z = (sum((F.col(f"{v}_{b}") for b in blocks), F.lit(0.0)) for v in "XZ")
+        m = _margins(first.log_prior, k, X, Z, lambda i, blocks=blocks: sum((F.col(f"D_{b}")[i] for b in blocks), F.lit(0.0)))
+        out.append(F.struct(F.lit(name).alias("subset"), m.alias("margins")))
+    return sums.select(*keys, F.explode(F.array(*out)).alias("_s")).select(*keys, "_s.subset", "_s.margins")
 
 
 def sigmoid(c: Column) -> Column:
