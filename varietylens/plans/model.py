@@ -37,6 +37,7 @@ class ModelSpec:
     word: tuple | None = (1, 1)
     char: tuple | None = (1, 3)
     lm_order: int = 0                 # 0: no LM feature block
+    lm_exclude: tuple = ()            # labels without an LM of their own
     profile: str = "agg"              # text profile for fit and apply
     text_col: str = "original_sentence"
     label_col: str = "label"
@@ -172,6 +173,7 @@ def fit(spec: ModelSpec, train: DataFrame, keys: list[str],
     elif spec.lm_order > 0:
         from ..operators.lm import fit_lms
         src = prepped if lm_train is None else _prep(lm_train, spec)
+        src = src.where(~F.col(spec.label_col).isin(list(spec.lm_exclude))) if spec.lm_exclude else src
         fitted.lms, fitted.lm_labels = fit_lms(src, TEXT, spec.label_col,
                                                spec.lm_order, spec.materialize)
         n_features += 2 * len(fitted.lm_labels)

@@ -240,11 +240,12 @@ def proba_ctes(p: str, keys: str = "doc_id, line_no") -> str:
 
 
 def submodel_ctes(p: str, train_rel: str, apply_rel: str, feature_prefix: str,
-                  word: bool = True, char: bool = True) -> str:
+                  word: bool = True, char: bool = True, lm: str = "", lm_feats: tuple = ()) -> str:
     """A fitted sub-model (own TF-IDF + NB) applied to ``apply_rel``;
     emits CTE ``{p}block`` (doc_id, line_no, feature, value) of class
     probabilities named ``feature_prefix:label``. Relations have (doc_id,
-    line_no, [label,] t)."""
+    line_no, [label,] t). ``lm`` has CTEs over ``{p}tr`` and ``{p}ap`` that make
+    the relations ``lm_feats``, its LM features."""
     parts = [f"{p}tr AS (SELECT * FROM {train_rel})", f"{p}ap AS (SELECT * FROM {apply_rel})",
              f"{p}ntr AS (SELECT count(*) AS n FROM {p}tr)"]
     bl = []
@@ -256,9 +257,13 @@ def submodel_ctes(p: str, train_rel: str, apply_rel: str, feature_prefix: str,
         parts.append(tfidf_ctes(f"{p}c", char_terms_sql(f"{p}tr"), char_terms_sql(f"{p}ap"),
                                 f"SELECT n FROM {p}ntr").strip())
         bl.append(f"{p}c")
-    xtr = " UNION ALL ".join(f"SELECT * FROM x_{b}_tr" for b in bl)
-    xap = " UNION ALL ".join(f"SELECT * FROM x_{b}_ap" for b in bl)
-    nf = " + ".join(f"(SELECT count(*) FROM vocab_{b})" for b in bl)
+    if lm:
+        parts.append(lm.strip())
+    xtr = " UNION ALL ".join([f"SELECT * FROM x_{b}_tr" for b in bl]
+                             + [f"SELECT f.* FROM {f} f SEMI JOIN {p}tr USING (doc_id, line_no)" for f in lm_feats])
+    xap = " UNION ALL ".join([f"SELECT * FROM x_{b}_ap" for b in bl]
+                             + [f"SELECT f.* FROM {f} f SEMI JOIN {p}ap USING (doc_id, line_no)" for f in lm_feats])
+    nf = " + ".join([f"(SELECT count(*) FROM vocab_{b})" for b in bl] + [f"(SELECT count(DISTINCT feature) FROM {f})" for f in lm_feats])
     parts.append(f"{p}xtr AS (SELECT x.*, t.label FROM ({xtr}) x JOIN {p}tr t USING (doc_id, line_no))")
     parts.append(f"{p}xap AS ({xap})")
     parts.append(nb_ctes(f"SELECT * FROM {p}xtr", f"SELECT doc_id, line_no, label FROM {p}tr",
@@ -272,10 +277,13 @@ def submodel_ctes(p: str, train_rel: str, apply_rel: str, feature_prefix: str,
 
 def model_sql(level: str = "city", word: bool = True, char: bool = True, profile: str = "agg",
               train_where: str = "split = 'train'", apply_where: str = "split <> 'train'",
-              extra: bool = False, layers: tuple = (), lm_blocks: tuple = (), lm_ctes: str = "") -> str:
+              extra: bool = False, layers: tuple = (), lm_blocks: tuple = (), lm_ctes: str = "",
+              blocks_ctes: str = "", more_blocks: tuple = ()) -> str:
     """Whole fit + apply as CTEs up to ``pred``/``post`` and ``gp`` (split,
     gold, pred); callers append the final CTEs / SELECT. ``lm_ctes`` has the
-    CTEs of LM features: ``{p}feat`` for each prefix of ``lm_blocks``."""
+    CTEs of LM features: ``{p}feat`` for each prefix of ``lm_blocks``;
+    ``blocks_ctes`` those of further feature relations: ``more_blocks`` has
+    (relation of the train rows, of the apply rows, number of features)."""
     blocks = []
     if word:
         blocks.append(tfidf_ctes("w", word_terms_sql("tr"), word_terms_sql("ap"), "SELECT n FROM ntr"))
@@ -309,6 +317,12 @@ def model_sql(level: str = "city", word: bool = True, char: bool = True, profile
         xtr.append(f"SELECT b.* FROM {p}feat b SEMI JOIN tr USING (doc_id, line_no)")
         xap.append(f"SELECT b.* FROM {p}feat b SEMI JOIN ap USING (doc_id, line_no)")
         nf.append("(SELECT count(DISTINCT label) FROM tr)")
+    if blocks_ctes:
+        subs.append(blocks_ctes)
+    for tr_rel, ap_rel, n in more_blocks:
+        xtr.append(f"SELECT b.* FROM {tr_rel} b SEMI JOIN tr USING (doc_id, line_no)")
+        xap.append(f"SELECT b.* FROM {ap_rel} b SEMI JOIN ap USING (doc_id, line_no)")
+        nf.append(f"({n})")
     sub_sql = ("," + ",".join(subs)) if subs else ""
     return f"""
 WITH {corpus_ctes()},
