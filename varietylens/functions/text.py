@@ -95,3 +95,21 @@ def padded_seg_id(c) -> Column:
     underscores, left-pad to three characters (never truncate)."""
     kept = F.regexp_replace(F.regexp_replace(_c(c), r"[^0-9_]", ""), r"_+$", "")
     return F.lpad(kept, F.greatest(F.length(kept), F.lit(3)), "0")
+
+
+# Fixed value: how packed score lists write a missing score.
+NIL = "<NIL>"
+
+
+def number_or_nil(c) -> Column:
+    """A number written as text; NIL is 0, what is no number is NULL."""
+    return F.when(F.trim(_c(c)) == NIL, F.lit(0.0)).otherwise(F.trim(_c(c)).try_cast("double"))
+
+
+def packed_best(packed, header: str, prefix: str = "") -> Column:
+    """struct(name, score) of the highest of comma-separated scores; ``header``
+    names them (after ``prefix``), the first name wins ties."""
+    names = F.array(*[F.lit(n.strip()) for n in header.removeprefix(prefix).split(",")])
+    scores = F.transform(F.split(_c(packed), ",", -1), number_or_nil)
+    best = F.array_max(scores)
+    return F.struct(F.get(names, (F.array_position(scores, best) - 1).cast("int")).alias("name"), best.alias("score"))

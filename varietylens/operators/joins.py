@@ -36,9 +36,21 @@ def lookup_with_default(df: DataFrame, side: DataFrame, key: str, value_col: str
               .withColumn(value_col, F.coalesce(F.col(value_col), F.lit(default))))
 
 
-def lookup_misses(df: DataFrame, side: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is missing from the side table (anti join)."""
-    return df.join(side.select(key).distinct(), on=key, how="left_anti")
+def lookup_recorded(df: DataFrame, side: DataFrame, key: str, value_col: str, path: str,
+                    default: str = "") -> tuple[DataFrame, DataFrame, dict]:
+    """(found, missed, counts): as ``lookup_with_default``, written once below
+    ``path`` to a folder of the rows that had a value and one of those that got
+    the default; counts (rows, missed) are taken while it is written. A value
+    that is null counts as missing."""
+    from pyspark.sql import Observation
+    seen = Observation()
+    one = side.groupBy(key).agg(F.min(value_col).alias(value_col))
+    out = df.join(one, on=key, how="left").withColumn("missed", F.col(value_col).isNull())
+    out = out.withColumn(value_col, F.coalesce(F.col(value_col), F.lit(default)))
+    out = out.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if("missed").alias("missed"))
+    out.write.partitionBy("missed").parquet(path)
+    back = df.sparkSession.read.schema(out.schema).parquet(path)
+    return back.where("not missed").drop("missed"), back.where("missed").drop("missed"), seen.get
 
 
 def anti_join(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:

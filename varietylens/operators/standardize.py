@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.labels import split_list
+from ..session import materialize
 
 # Fixed values of the standardisation rules.
 COLS = {"city": "dialect_city_id", "province": "dialect_province_id",
@@ -104,13 +105,19 @@ def standardize_region_first(df: DataFrame, gaz: DataFrame) -> DataFrame:
 
 def standardize(df: DataFrame, id_col: str, gaz: DataFrame, levels: list[str]) -> DataFrame:
     """Apply the level rules in the given order. Rows need no unique id;
-    ``id_col`` is kept for callers and not read."""
+    ``id_col`` is kept for callers and not read.
+
+    The rules read the four label columns alone, so they run on the distinct
+    combinations, written after each level, and are joined back once: the rows
+    are scanned twice, however many levels there are."""
     if not levels:
         raise ValueError("levels is required")
-    out = df
+    cols = list(COLS.values())
+    was = {c: f"_was_{c}" for c in cols}
+    out = materialize(df.select(*cols).distinct())
+    out = out.select(*cols, *[F.col(c).alias(was[c]) for c in cols])
     for lv in levels:
-        if lv == "region":
-            out = standardize_region_first(out, gaz)
-        else:
-            out = standardize_level(out, gaz, lv)
-    return out
+        out = materialize(standardize_region_first(out, gaz) if lv == "region" else standardize_level(out, gaz, lv))
+    new = out.select(*[F.col(c).alias(f"_new_{c}") for c in cols], *was.values())
+    same = [df[c].eqNullSafe(new[was[c]]) for c in cols]
+    return df.join(new, same).select(*[new[f"_new_{c}"].alias(c) if c in was else df[c] for c in df.columns])

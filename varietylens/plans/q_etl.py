@@ -194,14 +194,14 @@ def q_stack_columns_distinct(spark, sf_dir):
 SELECT conv_id, 'turn_' || turn AS variety, text AS original_sentence FROM conversations
 WHERE turn IS NOT NULL AND text IS NOT NULL""")
 def q_parallel_unpivot(spark, sf_dir):
-    """Parallel corpus wide -> long: pivot every turn number of the data into
-    a column (one per distinct turn), then unpivot back to one labelled row
-    per (conversation, variety)."""
+    """Parallel corpus wide -> long: a conversation's turns as one wide row (a
+    map from variety to text, so no variety is known to the driver), then one
+    labelled row per (conversation, variety)."""
     c = table(spark, sf_dir, "conversations").where(F.col("turn").isNotNull())
-    turns = [r["turn"] for r in c.select("turn").distinct().orderBy("turn").collect()]
-    wide = c.groupBy("conv_id").pivot("turn", turns).agg(F.first("text"))
-    wide = wide.select("conv_id", *[F.col(str(i)).alias(f"turn_{i}") for i in turns])
-    long = wide.unpivot("conv_id", [f"turn_{i}" for i in turns], "variety", "original_sentence")
+    one = c.groupBy("conv_id", "turn").agg(F.first("text").alias("text"))
+    wide = one.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct(
+        F.concat(F.lit("turn_"), F.col("turn").cast("string")).alias("variety"), "text"))).alias("row"))
+    long = wide.select("conv_id", F.explode("row").alias("variety", "original_sentence"))
     return long.where(F.col("original_sentence").isNotNull())
 
 

@@ -29,7 +29,7 @@ def register(name: str, sql: str | None = None):
 def load_all() -> None:
     """Import every module that registers queries."""
     from . import q_model  # noqa: F401
-    for mod in ("q_labels", "q_text", "q_etl", "q_lm", "q_stack", "q_layers"):
+    for mod in ("q_labels", "q_text", "q_etl", "q_lm", "q_stack", "q_layers", "q_files"):
         try:
             __import__(f"{__package__}.{mod}")
         except ModuleNotFoundError as e:  # modules land incrementally

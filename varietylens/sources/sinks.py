@@ -17,9 +17,12 @@ def append_catalog(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def write_partitioned_corpus(df: DataFrame, path: str, by: list[str], text_col: str) -> None:
-    """One folder per (unit, label): plain text, one sentence per line."""
-    df.select(*by, F.col(text_col).alias("value")).write.mode("overwrite").partitionBy(*by).text(path)
+def write_partitioned_corpus(df: DataFrame, path: str, by: list[str], text_col: str, rows_per_file: int = 10_000_000) -> None:
+    """One folder per (unit, label): plain text, one sentence per line. Rows
+    are rebalanced by ``by``: small labels share a task and have one file, a
+    large one is split by its bytes; no file has more than ``rows_per_file``."""
+    rows = df.select(*by, F.col(text_col).alias("value")).hint("rebalance", *[F.col(c) for c in by])
+    rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy(*by).text(path)
 
 
 def write_predictions(df: DataFrame, path: str) -> None:
