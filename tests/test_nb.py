@@ -51,11 +51,8 @@ def test_two_class_prediction_rule(spark):
     assert pred == {0: "a", 1: "b", 2: "a"}
 
 
-def test_sparse_features_path(spark, monkeypatch):
-    """Features seen by fewer classes than the dense threshold are kept as
-    (feature, class) rows; margins must not change."""
-    monkeypatch.setattr(nbo, "DENSE_SHARE", 1)
-    monkeypatch.setattr(nbo, "DENSE_BUDGET_BYTES", 0)     # force the hybrid storage
+def test_features_of_few_classes(spark):
+    """A feature's model row holds the classes that have it and no other."""
     rng = np.random.default_rng(1)
     n, F_, classes = 30, 10, ["a", "b", "c"]
     X = rng.poisson(0.5, size=(n, F_)).astype(float)
@@ -65,7 +62,7 @@ def test_sparse_features_path(spark, monkeypatch):
     x = spark.createDataFrame(rows, "doc long, label string, feature string, value double")
     docs = spark.createDataFrame([(i, str(y[i])) for i in range(n)], "doc long, label string")
     m = nbo.nb_fit(x, docs, "label", F_, materialize_tables=False)
-    assert m.sparse.count() > 0
+    assert m.feat.where("feature = 'f0'").first()["idx"] == [0, 3]
     got = {r["doc"]: r["margins"] for r in nbo.nb_margins(x.drop("label"), docs, ["doc"], m).collect()}
     want = numpy_ovr_nb(X, y, classes)
     for i in range(n):

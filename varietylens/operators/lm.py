@@ -18,10 +18,9 @@ plus log10 b of each longer context present (ARPA back-off); <unk> for an
 unknown word.
 
 Tables: ``probs`` (unit, label, n, gram, logp) and ``backoffs`` (unit,
-label, gram, logb), both log10. For scoring they are folded into one
-additive contribution vector per gram over the sorted labels (see
-``contribution_table``), so scoring is one join and one vector sum per
-sentence whatever K is.
+label, gram, logb), both log10. For scoring they are folded into one sparse
+row of additive contributions per gram (see ``contribution_table``), so a
+sentence's score is a sum over its grams.
 """
 
 from __future__ import annotations
@@ -29,13 +28,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import CHAR_SPACE
 from ..session import materialize
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from .additive import block_sums
 
 BOS, EOS, UNK = "<s>", "</s>", "<unk>"
 SEP = " "
@@ -43,7 +41,6 @@ SEP = " "
 FALLBACK = (0.5, 1.0, 1.5)
 UNITS = ("word", "char")
 MAX_MODELS = 200_000                  # (unit, label) pairs held as literal arrays
-DENSE_SHARE = 8                       # a gram seen by >= K/8 labels is stored dense
 
 
 def unit_tokens(text: Column, unit: str) -> Column:
@@ -136,17 +133,13 @@ class LMModel:
     unk: DataFrame           # unit, label, logp_unk
     unk_wide: dict           # unit -> list[float] log10 p(<unk>) per label
     materialize_tables: bool = True
-    _contrib: tuple | None = None
+    _contrib: DataFrame | None = None
 
-    def contributions(self) -> tuple:
-        """(dense, sparse) additive contribution tables, built on first use:
-        dense (unit, gram, C vector) for n-grams seen by many labels, sparse
-        (unit, gram, i, c) rows for the others."""
+    def contributions(self) -> DataFrame:
+        """Additive contribution table (unit, feature, idx, val), built on first use."""
         if self._contrib is None:
-            dense, sparse = contribution_tables(self.probs, self.backoffs, self.unk, self.labels)
-            if self.materialize_tables:
-                dense, sparse = materialize(dense), materialize(sparse)
-            self._contrib = (dense, sparse)
+            table = contribution_table(self.probs, self.backoffs, self.unk, self.labels)
+            self._contrib = materialize(table) if self.materialize_tables else table
         return self._contrib
 
 
@@ -219,9 +212,10 @@ def fit_lm(sents: DataFrame, order: int, materialize_tables: bool = True) -> LMM
     return LMModel(order, labels, probs, backoffs, unk, unk_wide, materialize_tables)
 
 
-def contribution_tables(probs: DataFrame, backoffs: DataFrame, unk: DataFrame,
-                        labels: list[str]) -> tuple:
-    """(unit, gram, C vector over labels) such that the log10 score of a
+def contribution_table(probs: DataFrame, backoffs: DataFrame, unk: DataFrame,
+                       labels: list[str]) -> DataFrame:
+    """(unit, feature, idx, val): the n-gram's contribution C_j for each label
+    j that has it (positions in ``labels``), such that the log10 score of a
     sentence under label j is  n_positions * log10 p_j(<unk>) + sum over
     every n-gram occurrence g of C_j(g)  (with the context "<s>").
 
@@ -232,7 +226,6 @@ def contribution_tables(probs: DataFrame, backoffs: DataFrame, unk: DataFrame,
     + [g is a context] log b(g), with log p(suffix of a unigram) = log p(<unk>)
     and log b(prefix of a unigram) = 0; absent terms are 0."""
     lab_arr = F.array(*[F.lit(x) for x in labels])
-    K = len(labels)
     suf = probs.select("unit", "label", F.col("gram").alias("_suf"), F.col("logp").alias("_lps"))
     pre = backoffs.select("unit", "label", F.col("gram").alias("_pre"), F.col("logb").alias("_lbp"))
     a = (probs.withColumn("_suf", suffix_of("gram")).withColumn("_pre", prefix_of("gram"))
@@ -245,54 +238,26 @@ def contribution_tables(probs: DataFrame, backoffs: DataFrame, unk: DataFrame,
     c = a.unionByName(backoffs.select("unit", "label", "gram", F.col("logb").alias("c")))
     c = (c.groupBy("unit", "gram", "label").agg(F.sum("c").alias("c"))
           .withColumn("i", (F.array_position(lab_arr, F.col("label")) - 1).cast("int")))
-    # grams seen by many labels are stored as one dense vector, the rest as
-    # (gram, label index, value) rows: neither side grows with K x vocabulary
-    nlab = F.count(F.lit(1)).over(Window.partitionBy("unit", "gram"))
-    c = c.withColumn("_nlab", nlab)
-    thresh = max(1, K // DENSE_SHARE)
-    w = (c.where(F.col("_nlab") >= thresh).groupBy("unit", "gram")
-          .agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("_m")))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(K - 1)),
-                      lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
-    dense = w.select("unit", "gram", array_to_vector(vec).alias("C"))
-    sparse = c.where(F.col("_nlab") < thresh).select("unit", "gram", "i", "c")
-    return dense, sparse
+    return (c.groupBy("unit", F.col("gram").alias("feature"))
+             .agg(F.collect_list(F.struct("i", "c")).alias("_e"))
+             .select("unit", "feature", F.col("_e.i").alias("idx"), F.col("_e.c").alias("val")))
 
 
 def score(model: LMModel, df: DataFrame, keys: list[str], unit: str, toks: Column) -> DataFrame:
     """(keys, scores array<double>): log10 probability of each row's token
     sequence (with <s>, </s>) under every label's LM, in sorted label order.
 
-    Plan: the row's n-grams (orders 1..N, plus the context "<s>") are
-    counted per row (no shuffle: grouped with the row keys), joined once
-    with the per-gram contribution vectors (shuffle by n-gram; AQE splits
-    hot grams), and summed per row with a count-weighted vector sum that is
-    combined map-side. Work is linear in the n-gram occurrences whatever
-    the number of labels; no per-position gathering."""
-    N, K = model.order, len(model.labels)
-    unk = model.unk_wide[unit]
-    s = df.select(*keys, toks.alias("_toks")).withColumn("_t", bounded(F.col("_toks")))
-    npos = s.select(*keys, (F.size("_t") - 1).alias("_npos"))
-    grams = s.select(*keys, F.explode(F.concat(F.array(F.lit(BOS)),
-                                               F.transform(_grams_col(N), lambda g: g["gram"]))).alias("gram"))
-    cnt = grams.groupBy(*keys, "gram").agg(F.count(F.lit(1)).cast("double").alias("_w"))
-    dense, sparse = model.contributions()
-    dense = dense.where(F.col("unit") == unit).drop("unit")
-    sparse = sparse.where(F.col("unit") == unit).drop("unit")
-    dsum = (cnt.join(dense, on="gram", how="inner")
-               .groupBy(*keys).agg(Summarizer.sum(F.col("C"), F.col("_w")).alias("_v")))
-    ssum = (cnt.join(sparse, on="gram", how="inner")
-               .groupBy(*keys, "i").agg(F.sum(F.col("_w") * F.col("c")).alias("_s"))
-               .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "_s"))).alias("_sm")))
-    unk_arr = F.array(*[F.lit(float(v)) for v in unk])
-    zero = F.array(*[F.lit(0.0)] * K)
-    vec = F.when(F.col("_v").isNotNull(), vector_to_array(F.col("_v"))).otherwise(zero)
-    out = (npos.join(dsum, on=keys, how="left").join(ssum, on=keys, how="left")
-               .withColumn("_dv", vec))
-    total = F.transform(F.sequence(F.lit(0), F.lit(K - 1)),
-                        lambda i: F.col("_dv")[i] + F.col("_npos") * unk_arr[i]
-                        + F.coalesce(F.try_element_at(F.col("_sm"), i), F.lit(0.0)))
-    return out.select(*keys, total.alias("scores"))
+    Plan: the rows' n-grams (orders 1..N, plus the context "<s>") are dealt
+    into blocks, the distinct n-grams of a block are joined once with the
+    contribution rows, and occurrences are added up inside the block
+    (``additive.block_sums``). What is shuffled class-wide follows the
+    distinct n-grams of the blocks, not the occurrences."""
+    s = df.select(*keys, bounded(toks).alias("_t"))
+    rows = s.select(*keys, (F.size("_t") - 1).alias("_npos"),
+                    F.concat(F.array(F.lit(BOS)), F.transform(_grams_col(model.order), lambda g: g["gram"])).alias("features"))
+    sums = block_sums(rows, [*keys, "_npos"], model.contributions().where(F.col("unit") == unit), len(model.labels))
+    unk = F.array(*[F.lit(float(v)) for v in model.unk_wide[unit]])
+    return sums.select(*keys, F.zip_with("sums", unk, lambda v, u: v + F.col("_npos") * u).alias("scores"))
 
 
 def normalize_exp(scores: Column) -> Column:

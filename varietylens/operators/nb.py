@@ -16,11 +16,11 @@ without ever materialising classes x vocabulary. The posterior of each
 binary estimator is sigmoid(margin); class probabilities are those
 posteriors divided by their sum (two classes: one estimator, [1-p, p]).
 
-Physical shape: one join of the document features with the per-feature
-model row (feature -> ln(T+1) and a dense K-vector of deltas, 0 where the
-class never saw the feature), then one aggregation per document with a
-weighted vector sum (map-side combined). Class-level parameters (K values
-each) are held as literal arrays.
+Physical shape: a model row per feature (the deltas of the classes that have
+it, and ln(T+1)); documents are dealt into blocks, each distinct feature of a
+block is joined with its model row once and the sums are formed inside the
+block (``additive.block_sums``). Class-level parameters (K values each) are
+held as literal arrays.
 """
 
 from __future__ import annotations
@@ -33,12 +33,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from .additive import block_sums
 
 MAX_CLASSES = 100_000
-DENSE_SHARE = 8          # hybrid storage: a feature seen by >= K/8 classes is dense
-DENSE_BUDGET_BYTES = 2 << 30   # all features dense while features x classes x 8 B fits
 
 
 @dataclass
@@ -48,10 +45,8 @@ class NBModel:
     k: list[float]              # k[c]
     n_docs: list[int]           # n_c
     n_features: int             # F
-    feat: DataFrame             # feature, lnT1
+    feat: DataFrame             # feature, idx, val: deltas by class, ln(T+1) at place K
     stats: DataFrame            # label, feature, S (S > 0 only)
-    dense: DataFrame = None     # feature, dvec (class vector of deltas) for common features
-    sparse: DataFrame = None    # feature, i, d for features seen by few classes
 
     def labels_col(self) -> Column:
         return F.array(*[F.lit(x) for x in self.labels])
@@ -81,82 +76,36 @@ def nb_fit(x: DataFrame, docs: DataFrame, label_col: str, n_features: int,
         log_prior.append(math.log(nc / (n - nc)) if n - nc > 0 else float("inf"))
         k.append(math.log(T - r["S_c"] + n_features) - math.log(r["S_c"] + n_features))
     lab_arr = F.array(*[F.lit(v) for v in labels])
-    K = len(labels)
     wf = Window.partitionBy("feature")
     per = (S.withColumn("T_f", F.sum("S").over(wf))
-            .withColumn("_nlab", F.count(F.lit(1)).over(wf))
             .withColumn("delta", F.ln(F.col("S") + 1) - F.ln(F.col("T_f") - F.col("S") + 1)
                         + F.ln(F.col("T_f") + 1))
             .withColumn("i", (F.array_position(lab_arr, F.col(label_col)) - 1).cast("int")))
+    # one row per feature: the deltas of the classes that have it, ln(T+1) at place K
+    feat = (per.groupBy("feature")
+               .agg(F.collect_list(F.struct("i", "delta")).alias("_e"), F.ln(F.first("T_f") + 1).alias("_z"))
+               .select("feature", F.concat("_e.i", F.array(F.lit(len(labels)))).alias("idx"),
+                       F.concat("_e.delta", F.array("_z")).alias("val")))
     if materialize_tables:
-        per = materialize(per)
-    # Storage is chosen by size: when a dense class vector for every feature
-    # fits the budget, one table (feature, ln(T+1), vector) and one join at
-    # apply time; otherwise a feature seen by many classes keeps a dense
-    # vector and the others keep (feature, class, delta) rows, so the model
-    # never holds classes x vocabulary.
-    if n_features * K * 8 <= DENSE_BUDGET_BYTES:
-        dm = (per.groupBy("feature")
-                 .agg(F.ln(F.first("T_f") + 1).alias("lnT1"),
-                      F.map_from_entries(F.collect_list(F.struct("i", "delta"))).alias("_m")))
-        vec = F.transform(F.sequence(F.lit(0), F.lit(K - 1)),
-                          lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
-        feat = dm.select("feature", "lnT1", array_to_vector(vec).alias("dvec"))
-        if materialize_tables:
-            feat = materialize(feat)
-        return NBModel(labels, log_prior, k, [r["n_c"] for r in cls], n_features, feat, S, feat, None)
-    feat = per.groupBy("feature").agg(F.ln(F.first("T_f") + 1).alias("lnT1"))
-    thresh = max(1, K // DENSE_SHARE)
-    dm = (per.where(F.col("_nlab") >= thresh).groupBy("feature")
-             .agg(F.map_from_entries(F.collect_list(F.struct("i", "delta"))).alias("_m")))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(K - 1)),
-                      lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
-    dense = dm.select("feature", array_to_vector(vec).alias("dvec"))
-    sparse = per.where(F.col("_nlab") < thresh).select("feature", "i", F.col("delta").alias("d"))
-    if materialize_tables:
-        feat, dense, sparse = materialize(feat), materialize(dense), materialize(sparse)
-    return NBModel(labels, log_prior, k, [r["n_c"] for r in cls], n_features, feat, S, dense, sparse)
+        feat = materialize(feat)
+    return NBModel(labels, log_prior, k, [r["n_c"] for r in cls], n_features, feat, S)
 
 
 def nb_sums(x: DataFrame, docs: DataFrame, keys: list[str], model: NBModel) -> DataFrame:
     """(keys, _X, _Z, _D array<double>) for every row of ``docs``; x holds the
     (normalised) feature values of those documents.
 
-    Per document: X = sum x, Z = sum x ln(T+1) (join with the feature
-    table), D = sum x * dvec over dense features (a weighted vector sum,
-    combined map-side) plus sum x * delta over sparse (feature, class) rows
-    -- no (document, class) row explosion for common features. All three are
-    sums over features: those of two feature blocks add up."""
+    Per document: X = sum x, Z = sum x ln(T+1), D = sum x * delta per class.
+    Z and D come from the documents' blocks (``additive.block_sums``): each
+    distinct feature of a block meets the model once. All three are sums over
+    features: those of two feature blocks add up."""
     K = len(model.labels)
-    X = x.groupBy(*keys).agg(F.sum("value").alias("_X"))
-    if model.sparse is None:
-        # all-dense model: one join gives both Z and the vector sum
-        ZD = (x.join(model.feat, on="feature", how="inner")
-               .groupBy(*keys).agg(F.sum(F.col("value") * F.col("lnT1")).alias("_Z"),
-                                   Summarizer.sum(F.col("dvec"), F.col("value")).alias("_D")))
-        Z, Dd = ZD, None
-        Ds = None
-    else:
-        Z = (x.join(model.feat, on="feature", how="inner")
-              .groupBy(*keys).agg(F.sum(F.col("value") * F.col("lnT1")).alias("_Z")))
-        Dd = (x.join(model.dense, on="feature", how="inner")
-               .groupBy(*keys).agg(Summarizer.sum(F.col("dvec"), F.col("value")).alias("_D")))
-        Ds = (x.join(model.sparse, on="feature", how="inner")
-               .groupBy(*keys, "i").agg(F.sum(F.col("value") * F.col("d")).alias("_s"))
-               .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("i", "_s"))).alias("_sm")))
-    d = docs.select(*keys).join(X, on=keys, how="left").join(Z, on=keys, how="left")
-    if Dd is not None:
-        d = d.join(Dd, on=keys, how="left")
-    if Ds is not None:
-        d = d.join(Ds, on=keys, how="left")
-    else:
-        d = d.withColumn("_sm", F.lit(None).cast("map<int,double>"))
-    d = d.withColumn("_Da", F.when(F.col("_D").isNotNull(), vector_to_array(F.col("_D")))
-                             .otherwise(F.array(*[F.lit(0.0)] * K)))
-    D = F.transform(F.sequence(F.lit(0), F.lit(K - 1)),
-                    lambda i: F.col("_Da")[i] + F.coalesce(F.try_element_at(F.col("_sm"), i), F.lit(0.0)))
-    return d.select(*keys, F.coalesce(F.col("_X"), F.lit(0.0)).alias("_X"), F.coalesce(F.col("_Z"), F.lit(0.0)).alias("_Z"),
-                    D.alias("_D"))
+    rows = (x.groupBy(*keys).agg(F.collect_list(F.struct("feature", "value")).alias("_f"), F.sum("value").alias("_X"))
+             .select(*keys, "_X", F.col("_f.feature").alias("features"), F.col("_f.value").alias("weights")))
+    sums = block_sums(rows, [*keys, "_X"], model.feat, K + 1)
+    d = docs.select(*keys).join(sums, on=keys, how="left")
+    got = F.coalesce(F.col("sums"), F.array_repeat(F.lit(0.0), K + 1))
+    return d.select(*keys, F.coalesce(F.col("_X"), F.lit(0.0)).alias("_X"), got[K].alias("_Z"), F.slice(got, 1, K).alias("_D"))
 
 
 def _margins(log_prior: list[float], k: list[float], X: Column, Z: Column, D) -> Column:
