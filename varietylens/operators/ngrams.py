@@ -6,10 +6,14 @@ Character n-grams use one ``split`` of the string and index arithmetic
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..functions.text import collapse_double_space
+from ..session import ship
+from .rowgrams import row_terms
 
 
 def _c(c) -> Column:
@@ -118,9 +122,25 @@ def decode_char_gram(code: Column) -> Column:
 
 
 def char_term_counts(df: DataFrame, keys: list[str], text_col: str, lo: int, hi: int) -> DataFrame:
-    """(keys, term, tf) of character n-grams lo..hi, counted on integer
-    codes and decoded after the aggregation."""
-    codes = df.select(*keys, char_codes(text_col).alias("_cp"))
-    counted = (codes.select(*keys, F.explode(code_grams_of("_cp", lo, hi)).alias("_code"))
-                    .groupBy(*keys, "_code").agg(F.count(F.lit(1)).alias("tf")))
-    return counted.select(*keys, decode_char_gram(F.col("_code")).alias("term"), "tf")
+    """(keys, term, tf) of character n-grams lo..hi, counted row by row in Arrow
+    batches (``rowgrams``); rows of equal keys are counted together."""
+    return _counted(df, keys, text_col, "c", lo, hi)
+
+
+def word_term_counts(df: DataFrame, keys: list[str], text_col: str, lo: int, hi: int) -> DataFrame:
+    """(keys, term, tf) of the n-grams lo..hi of ``word_units``."""
+    return _counted(df, keys, text_col, "w", lo, hi)
+
+
+def _counted(df: DataFrame, keys: list[str], text_col: str, unit: str, lo: int, hi: int) -> DataFrame:
+    ship(df.sparkSession)
+    rows = df.groupBy(*keys).agg(F.collect_list(text_col).alias("_texts"))
+
+    def run(batches):
+        for batch in batches:
+            for _, _, row, term, tf, names in row_terms(batch.column(len(keys)), unit, lo, hi):
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i).take(pa.array(row)) for i in range(len(keys))),
+                     names.take(pa.array(term)).cast(pa.string()), pa.array(tf)], names=[*keys, "term", "tf"])
+    schema = StructType([*(rows.schema[k] for k in keys), StructField("term", StringType()), StructField("tf", LongType())])
+    return rows.mapInArrow(run, schema)
