@@ -90,18 +90,30 @@ class Table:
         return self.__dict__ | {"hashes": None, "logs": None}
 
     def load(self) -> None:
-        hashes, logs = [np.zeros(0, np.uint64)], [np.zeros((0, len(self.totals)), np.float32)]
-        for uri in self.files:
-            fs, path = open_store(uri)
+        stores = [open_store(uri) for uri in self.files]
+        n = 0
+        for fs, path in stores:
+            with fs.open_input_file(path) as f:
+                n += pq.ParquetFile(f).metadata.num_rows
+        # filled and ordered in place: a worker never holds the model twice
+        hashes, logs, end = np.empty(n, np.uint64), np.empty((n, len(self.totals)), np.float32), 0
+        for fs, path in stores:
             with fs.open_input_file(path) as f:
                 for batch in pq.ParquetFile(f).iter_batches():
                     counts = batch.column(1).flatten().to_numpy().reshape(-1, len(self.totals))
-                    hashes.append(_hashes(batch.column(0)))
+                    here = slice(end, end := end + len(batch))
+                    hashes[here] = _hashes(batch.column(0))
                     # never met: half a count of the language of most, so that a rare word of a large
                     # language is no evidence for a small one
-                    logs.append(np.log(counts / self.totals + 0.5 / self.totals.max()).astype(np.float32))
-        self.hashes, first = np.unique(np.concatenate(hashes), return_index=True)
-        self.logs = np.concatenate(logs)[first]
+                    logs[here] = np.log(counts / self.totals + 0.5 / self.totals.max())
+        # stable: of keys with one hash the first is found
+        order = np.argsort(hashes, kind="stable")
+        self.hashes = hashes[order]
+        del hashes
+        for column in logs.T:
+            column[:] = column[order]
+        self.logs = logs
+        pa.default_memory_pool().release_unused()
 
     def at(self, keys: list[str]) -> np.ndarray:
         """Row of ``logs`` of each key, -1 if it was never counted."""
