@@ -144,3 +144,24 @@ def test_sparse_contributions_match_brute_force(spark):
     got = {r["id"]: r["scores"][m.labels.index("x")] for r in sc.collect()}
     for i, s in enumerate(tests):
         assert abs(got[i] - brute_score(p, bo, V, s, N)) < 1e-9
+
+
+def test_units_apart_match_brute_force(spark):
+    """Written tables, two units: contributions of one unit alone, order by order."""
+    N = 4
+    sents = _sents(spark).unionByName(_sents(spark).withColumn("unit", F.lit("char")))
+    m = L.fit_lm(sents, N)
+    p, bo, V = brute_kn(CORPUS, N)
+    for unit in ("word", "char"):
+        got = {tuple(r["gram"].split(" ")): r for r in m.probs.where((F.col("label") == "x") & (F.col("unit") == unit)).collect()}
+        assert set(got) == set(p)
+        for g, r in got.items():
+            assert abs(10 ** r["logp"] - p[g]) < 1e-12
+            assert len(g) == 1 or abs(10 ** r["logp_suffix"] - p[g[1:]]) < 1e-12
+        assert {r["unit"] for r in m.contributions(unit).select("unit").distinct().collect()} == {unit}
+    tests = ["a b c", "c c c a", "a z b", "z", "b a b c a b"]
+    df = spark.createDataFrame(list(enumerate(tests)), "id long, t string")
+    sc = L.score(m, df, ["id"], "word", L.unit_tokens(F.col("t"), "word"))
+    got = {r["id"]: r["scores"][m.labels.index("x")] for r in sc.collect()}
+    for i, s in enumerate(tests):
+        assert abs(got[i] - brute_score(p, bo, V, s, N)) < 1e-9
