@@ -165,3 +165,10 @@ def test_units_apart_match_brute_force(spark):
     got = {r["id"]: r["scores"][m.labels.index("x")] for r in sc.collect()}
     for i, s in enumerate(tests):
         assert abs(got[i] - brute_score(p, bo, V, s, N)) < 1e-9
+
+
+def test_lines_of_common_length_share_a_block(spark):
+    rows = spark.createDataFrame([(i, ["a"] * n) for i, n in enumerate([400, 2000, 30, 3000, 900])],
+                                 "id long, _toks array<string>").coalesce(1)
+    got = {r["id"]: r["_block"] for r in L.sequence_blocks(rows, 80).collect()}
+    assert got[0] == got[1] == got[2] == got[4] != got[3]
