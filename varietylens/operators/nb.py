@@ -29,10 +29,14 @@ from dataclasses import dataclass
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
 
-from ..session import materialize
+from ..session import materialize, ship
 from .additive import block_sums
 from .tfidf import known, model_values
 
@@ -76,22 +80,57 @@ def nb_fit(x: DataFrame, docs: DataFrame, label_col: str, n_features: int,
         nc = r["n_c"]
         log_prior.append(math.log(nc / (n - nc)) if n - nc > 0 else float("inf"))
         k.append(math.log(T - r["S_c"] + n_features) - math.log(r["S_c"] + n_features))
-    lab_arr = F.array(*[F.lit(v) for v in labels])
-    wf = Window.partitionBy("feature")
-    per = (S.withColumn("T_f", F.sum("S").over(wf))
-            .withColumn("delta", F.ln(F.col("S") + 1) - F.ln(F.col("T_f") - F.col("S") + 1)
-                        + F.ln(F.col("T_f") + 1))
-            .withColumn("i", (F.array_position(lab_arr, F.col(label_col)) - 1).cast("int")))
-    # one row per feature: the deltas of the classes that have it, ln(T+1) at place K
-    feat = (per.groupBy("feature")
-               .agg(F.collect_list(F.struct("i", "delta")).alias("_e"), F.ln(F.first("T_f") + 1).alias("_z"))
-               .select("feature", F.concat("_e.i", F.array(F.lit(len(labels)))).alias("idx"),
-                       F.concat("_e.delta", F.array("_z")).alias("val")))
+    feat = model_rows(S, label_col, labels)
     if materialize_tables:
         feat = materialize(feat)
     return NBModel(labels, log_prior, k, [r["n_c"] for r in cls], n_features, feat, S)
 
 
+def model_rows(S: DataFrame, label_col: str, labels: list[str]) -> DataFrame:
+    """(feature, idx, val): one row per feature, the deltas of the classes that
+    have it, ln(T+1) at place K. The sums of a feature are sorted together, then
+    rows are formed batch by batch."""
+    ship(S.sparkSession)
+    K, names = len(labels), pa.array(labels, pa.string())
+    width = int(S.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = S.select("feature", F.col(label_col).alias("label"), "S").repartition(width, "feature").sortWithinPartitions("feature")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = now if held is None else pa.concat_tables([held, now])
+            if not len(now):
+                continue
+            # the last feature may go on in the next batch
+            last = now["feature"][-1].as_py()
+            ends = pc.index(now["feature"], last).as_py()
+            held = now.slice(ends)
+            if ends:
+                yield made(now.slice(0, ends))
+        if held is not None and len(held):
+            yield made(held)
+
+    def made(part: pa.Table) -> pa.RecordBatch:
+        part = part.combine_chunks()
+        feature, s = part["feature"].combine_chunks(), part["S"].to_numpy()
+        i = pc.index_in(part["label"].combine_chunks(), names).to_numpy(zero_copy_only=False).astype(np.int32)
+        coded = feature.dictionary_encode()
+        first = np.flatnonzero(np.diff(coded.indices.to_numpy(), prepend=-1))
+        size = np.diff(np.append(first, len(s)))
+        T = np.add.reduceat(s, first)
+        t = np.repeat(T, size)
+        delta = np.log(s + 1) - np.log(t - s + 1) + np.log(t + 1)
+        ends = np.cumsum(size)
+        offsets = pa.array(np.append(0, ends + np.arange(1, len(first) + 1)), pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [feature.take(pa.array(first)), pa.ListArray.from_arrays(offsets, pa.array(np.insert(i, ends, K), pa.int32())),
+             pa.ListArray.from_arrays(offsets, pa.array(np.insert(delta, ends, np.log(T + 1))))], names=["feature", "idx", "val"])
+    schema = StructType([StructField("feature", StringType()), StructField("idx", ArrayType(IntegerType())),
+                         StructField("val", ArrayType(DoubleType()))])
+    return rows.mapInArrow(run, schema)
+
+
 def nb_sums(x: DataFrame, docs: DataFrame, keys: list[str], model: NBModel) -> DataFrame:
     """(keys, _X, _Z, _D array<double>) for every row of ``docs``; x holds the
     (normalised) feature values of those documents.
@@ -106,7 +145,7 @@ def nb_sums(x: DataFrame, docs: DataFrame, keys: list[str], model: NBModel) -> D
 def sums_of(docs: DataFrame, sums: DataFrame, keys: list[str], K: int) -> DataFrame:
     """(keys, _X, _Z, _D) of ``docs`` from (keys, _X, sums); no features: zeros."""
     d = docs.select(*keys).join(sums, on=keys, how="left")
-    got = F.coalesce(F.col("sums"), F.array_repeat(F.lit(0.0), K + 1))
+    got = F.coalesce(F.col("sums"), F.array(*[F.lit(0.0)] * (K + 1)))
     return d.select(*keys, F.coalesce(F.col("_X"), F.lit(0.0)).alias("_X"), got[K].alias("_Z"), F.slice(got, 1, K).alias("_D"))
 
 
@@ -125,6 +164,17 @@ def long_model_sums(x: DataFrame, keys: list[str], model: NBModel) -> DataFrame:
     return block_sums(rows, [*keys, "_X"], model.feat, len(model.labels) + 1)
 
 
+def wide_model_sums(wide: DataFrame, names: list[str], keys: list[str], model: NBModel) -> DataFrame:
+    """(keys, _X, sums) of rows (keys, probas) that hold a value for each of the
+    features ``names``; rows of equal keys add up, null values as in the long table."""
+    weights = F.flatten("_p")
+    rows = (wide.groupBy(*keys).agg(F.collect_list("probas").alias("_p"))
+                .select(*keys, F.aggregate(weights, F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0))).alias("_X"),
+                        F.flatten(F.array_repeat(F.array(*[F.lit(n) for n in names]), F.size("_p"))).alias("features"),
+                        weights.alias("weights")))
+    return block_sums(rows, [*keys, "_X"], model.feat, len(model.labels) + 1)
+
+
 def add_sums(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, _X, sums) of two groups of features over rows with unique keys."""
     b = b.select(*keys, F.col("_X").alias("_X2"), F.col("sums").alias("sums2"))
@@ -133,6 +183,12 @@ def add_sums(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
         F.when(F.col("sums2").isNull(), F.col("sums")).otherwise(F.zip_with("sums", "sums2", lambda u, v: u + v)).alias("sums"))
 
 
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` formed once: what a lambda names is formed
+    again for every element otherwise (a row of K classes would cost K squared)."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _margins(log_prior: list[float], k: list[float], X: Column, Z: Column, D) -> Column:
     """Margins from the sums of a document; D gives that of class i."""
     b = F.array(*[F.lit(float(v)) for v in log_prior])
@@ -147,7 +203,8 @@ def nb_margins(x: DataFrame, docs: DataFrame, keys: list[str], model: NBModel) -
 
 def margins_of(d: DataFrame, keys: list[str], model: NBModel) -> DataFrame:
     """(keys, margins) from (keys, _X, _Z, _D)."""
-    return d.select(*keys, _margins(model.log_prior, model.k, F.col("_X"), F.col("_Z"), lambda i: F.col("_D")[i]).alias("margins"))
+    return d.select(*keys, _let(F.struct("_X", "_Z", "_D"), lambda s: _margins(
+        model.log_prior, model.k, s["_X"], s["_Z"], lambda i: s["_D"][i])).alias("margins"))
 
 
 def class_sums(model: NBModel) -> list[float]:
@@ -190,9 +247,10 @@ def nb_predict(margins: DataFrame, keys: list[str], model: NBModel,
     if len(model.labels) == 2:
         pred = F.when(~F.isnan(post[1]), F.when(post[1] > 0.5, labels[1]).otherwise(labels[0]))
     else:
-        rev = F.reverse(post)
-        last_pos = F.size(post) - F.array_position(rev, _largest(rev))
-        pred = F.when(_largest(rev).isNotNull(), F.get(labels, last_pos.cast("int")))
+        def last(s):
+            at = F.size(s["rev"]) - F.array_position(s["rev"], s["top"])
+            return F.when(s["top"].isNotNull(), F.get(labels, at.cast("int")))
+        pred = _let(F.reverse(post), lambda rev: _let(F.struct(rev.alias("rev"), _largest(rev).alias("top")), last))
     return margins.select(*keys, pred.alias(pred_col))
 
 
@@ -206,27 +264,32 @@ def _posteriors(model: NBModel) -> Column:
     post = F.transform(F.col("margins"), lambda m: sigmoid(m))
     if len(model.labels) == 2:
         post = F.array(F.lit(1.0) - post[1], post[1])
-    tot = F.aggregate(post, F.lit(0.0), lambda acc, v: acc + v)
-    return F.transform(post, lambda v: F.try_divide(v, tot))
+    return _let(post, lambda p: _let(F.aggregate(p, F.lit(0.0), lambda acc, v: acc + v), lambda tot: F.transform(
+        p, lambda v: F.try_divide(v, tot))))
 
 
 def nb_proba(margins: DataFrame, keys: list[str], model: NBModel,
              label_out: str = "label") -> DataFrame:
     """Long (keys, label, proba): posteriors normalised to sum 1."""
     labels = model.labels_col()
-    return (margins.select(*keys, F.posexplode(_posteriors(model)).alias("_i", "proba"))
+    return (nb_probas(margins, keys, model).select(*keys, F.posexplode("probas").alias("_i", "proba"))
                    .select(*keys, labels[F.col("_i")].alias(label_out), "proba"))
 
 
+def nb_probas(margins: DataFrame, keys: list[str], model: NBModel) -> DataFrame:
+    """(keys, probas array<double>): the probabilities in label order."""
+    return margins.select(*keys, _posteriors(model).alias("probas"))
+
+
 def nb_top(margins: DataFrame, keys: list[str], model: NBModel) -> DataFrame:
     """Prediction-API arg-max over the normalised probabilities: the first
     label in sorted order wins ties (strictly-greater scan). Without a
     probability that is a number there is no top label (NULL)."""
     labels = model.labels_col()
-    p = _posteriors(model)
+    p = _let(_posteriors(model), lambda p: F.struct(p.alias("p"), _largest(p).alias("top")))
     return (margins.select(*keys, p.alias("_p"))
                    .select(*keys,
-                           F.when(_largest(F.col("_p")).isNotNull(), F.get(
-                               labels, (F.array_position("_p", _largest(F.col("_p"))) - 1).cast("int"))).alias("top"),
-                           _largest(F.col("_p")).alias("score"),
-                           F.map_from_arrays(labels, F.col("_p")).alias("scores")))
+                           F.when(F.col("_p.top").isNotNull(), F.get(
+                               labels, (F.array_position("_p.p", F.col("_p.top")) - 1).cast("int"))).alias("top"),
+                           F.col("_p.top").alias("score"),
+                           F.map_from_arrays(labels, F.col("_p.p")).alias("scores")))

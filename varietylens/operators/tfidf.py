@@ -76,7 +76,7 @@ def text_blocks(df: DataFrame, keys: list[str], text_col: str, width: int = 1, n
 
 def _terms_of(rows: pa.Table, kinds: dict):
     """(first and last + 1 row, row, feature number, tf, feature names) by slices
-    that hold whole rows, all orders of a kind together."""
+    that hold whole rows, all orders of a kind together; rows come once for each order."""
     texts = rows["texts"].combine_chunks()
     for name, (lo, hi) in kinds.items():
         part, span = [], None
@@ -93,8 +93,7 @@ def _terms_of(rows: pa.Table, kinds: dict):
 def _joined(part: list):
     sizes = np.cumsum([0, *(len(p[3]) for p in part)])
     row, term, tf = (np.concatenate(x) for x in ([p[0] for p in part], [p[1] + s for p, s in zip(part, sizes)], [p[2] for p in part]))
-    order = np.argsort(row, kind="stable")
-    return row[order], term[order], tf[order], pa.concat_arrays([p[3] for p in part])
+    return row, term, tf, pa.concat_arrays([p[3] for p in part])
 
 
 def _prefixed(kind: str, names: pa.Array) -> pa.Array:
@@ -111,7 +110,7 @@ def block_terms(blocked: DataFrame, kinds: dict) -> DataFrame:
             names.append(_prefixed(kind, found))
             df.append(np.bincount(term, minlength=len(found)))
         got = pa.table([pa.concat_arrays(names), pa.array(np.concatenate(df))], ["feature", "df"])
-        got = got.group_by("feature").aggregate([("df", "sum")])
+        got = got.group_by("feature", use_threads=False).aggregate([("df", "sum")])
         return pa.table([pa.array(np.full(len(got), rows["_block"][0].as_py())), got["feature"].cast(pa.string()), got["df_sum"]],
                         ["_by", "feature", "df"])
     schema = StructType([StructField("_by", LongType()), StructField("feature", StringType()), StructField("df", LongType())])
@@ -188,6 +187,8 @@ def model_values(blocked: DataFrame, found: DataFrame, keys: list[str], kinds: d
         total, x = np.zeros((n, width)), np.zeros(n)
         for row, at, w in _values(rows, found, kinds):
             x += np.bincount(row, w, n)
+            order = np.argsort(row.astype(np.uint16) if n <= 1 << 16 else row, kind="stable")
+            row, at, w = row[order], at[order], w[order]
             total += add_up(np.bincount(row, minlength=n), at, w, lengths, index, value, width)
         offsets = pa.array(np.arange(n + 1) * width, pa.int32())
         return pa.table([*(rows[k] for k in keys), pa.array(x), pa.ListArray.from_arrays(offsets, pa.array(total.ravel()))],
