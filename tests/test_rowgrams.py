@@ -41,6 +41,14 @@ def test_row_terms(monkeypatch, size, unit, lo, hi):
     assert got == [plain(r, unit, lo, hi) for r in rows]
 
 
+def test_a_slice_is_sorted_once(monkeypatch):
+    """Shorter n-grams are the beginnings of the longest ones."""
+    calls, tally = [], rowgrams.tally
+    monkeypatch.setattr(rowgrams, "tally", lambda *a: calls.append(1) or tally(*a))
+    assert len(list(rowgrams.row_terms(pa.array([[t] for t in TEXTS]), "c", 1, 3))) == 3
+    assert len(calls) == 1
+
+
 def test_compact():
     key = np.array([5, 2, 5, 9])
     for space in (10, 1 << 40):

@@ -12,6 +12,23 @@ def test_word_tokens_split_punctuation(spark):
     assert one(spark, T.word_tokens("s"), "Hello, world! it's 3.5") == "Hello , world ! it ' s 3 . 5"
 
 
+def test_word_tokens_odd_text(spark):
+    """Rows as runs of a pattern, without an array of tokens (odd blanks, marks alone, no text)."""
+    texts = [None, "", " \t ", "\u00a0a\u00a0", "a\t\x0bb\r c", "!\u064e!", "..a$0\\1", "e\u0301 \U0001d11e\U0001f600x\u0663", "\x1fa\u2003b\x00", "x_y-z"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string").select(
+        T.word_tokens("s").alias("got"), F.array_join(F.regexp_extract_all("s", F.lit(T.TOKEN_PATTERN), 1), " ").alias("want"),
+        T.strip_marks("s").alias("bare"), F.regexp_replace("s", T.ARABIC_MARKS, "").alias("bare_want"))
+    for r in df.collect():
+        assert r["got"] == r["want"] and r["bare"] == r["bare_want"]
+    assert "regexp_extract_all" not in str(T.word_tokens("s"))
+
+
+def test_mark_ranges_are_the_marks(spark):
+    every = spark.range(0x5f0, 0x700).select(F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')").alias("s"))
+    assert every.where(F.col("s").rlike(T.MARK_RANGES) != F.col("s").rlike(T.ARABIC_MARKS)).count() == 0
+    assert every.where(F.col("s").rlike(T.MARK_RANGES)).count() == 10
+
+
 def test_word_tokens_arabic(spark):
     assert one(spark, T.word_tokens("s"), "مرحبا، كيف الحال؟") == "مرحبا ، كيف الحال ؟"
 
