@@ -172,3 +172,15 @@ def test_lines_of_common_length_share_a_block(spark):
                                  "id long, _toks array<string>").coalesce(1)
     got = {r["id"]: r["_block"] for r in L.sequence_blocks(rows, 80).collect()}
     assert got[0] == got[1] == got[2] == got[4] != got[3]
+
+
+def test_grams_lie_with_their_last_but_one_token(spark):
+    """Placed where they are counted: a gram, its suffix and the grams of its context together."""
+    rows = [("word", lab, t.split()) for lab, t in (("x", "a b c a b d"), ("y", "a b c"), (None, "b b"), ("x", ""))]
+    got = L._batch_counts(spark.createDataFrame(rows, "unit string, label string, toks array<string>"), 3, place=True).collect()
+    places = {}
+    for r in got:
+        toks = r["gram"].split(" ")
+        places.setdefault((r["unit"], r["label"], toks[max(r["n"] - 2, 0)]), set()).add(r["_k"])
+    assert all(len(p) == 1 for p in places.values())
+    assert len({min(p) for p in places.values()}) == len(places)
