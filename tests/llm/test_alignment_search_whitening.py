@@ -5,6 +5,8 @@ from collections import Counter
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,38 @@ def test_alignment_matches_plain_reading(spark):
     assert sum(p is None for _, p in plain) > 3
 
 
+def test_alignment_rows_stay_small_whatever_the_block(monkeypatch):
+    """A block's arrays are written as bounded rows, and put together again in order."""
+    monkeypatch.setattr(alignment, "CODES", 7)
+    monkeypatch.setattr(alignment, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    texts = ["same words here", "other words here and there", None, "don't stop.\tNow .5 5.", "漢字 é same", "a b c d e f g h i j"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    rows = pa.Table.from_batches(alignment._block_rows(A, B, False)([batch]))
+    assert alignment._PARTS.count(",") + 1 == rows.num_columns
+    kinds = rows["kind"].to_pylist()
+    sizes = [len(b) // 8 for k, b in zip(kinds, rows["body"].to_pylist()) if k == 0]
+    assert len(sizes) > 2 and max(sizes) == 7
+    whole, (links, at, often) = alignment.align_block(alignment.Pair(A, B), batch.column(1), False)
+    counted = Counter()
+    for piece, n in enumerate(often.tolist()):
+        for x in links[at[piece]:at[piece + 1]].tolist():
+            counted[x] += n
+    pairs = pa.Table.from_batches(alignment._pair_rows(rows.filter(pc.equal(rows["kind"], 0)).select(["block", "body", "ends"]).to_batches()))
+    assert dict(zip(pairs["pair"].to_pylist(), pairs["n"].to_pylist())) == {x: n for x, n in counted.items() if n}
+    n, none = len(pairs), [None] * len(pairs)
+    said = [c.split()[0] for c in alignment._PARTS.split(", ")]
+    first = pa.table([pairs["block"], pa.array([0] * n, pa.int32()), pa.array(none, pa.int32()), pairs["pair"], pairs["n"], pa.array([True] * n),
+                      *[pa.array(none, rows[c].type) for c in said[3:]]], ["block", "kind", "part", "pair", "n", "best", *said[3:]])
+    kept = rows.filter(pc.greater(rows["kind"], 0))
+    m = [None] * len(kept)
+    rest = pa.table([kept["block"], kept["kind"], kept["part"], pa.array(m, pa.int64()), pa.array(m, pa.int64()), pa.array(m, pa.bool_()),
+                     *[kept[c] for c in said[3:]]], first.column_names)
+    got = pa.Table.from_batches(alignment._document_rows(pa.concat_tables([first, rest]).combine_chunks().to_batches(max_chunksize=5)))
+    words = [x.tolist() for x in whole[5]]
+    assert got["n_best"].to_pylist() == whole[3].tolist()
+    assert got["count_sum"].to_pylist() == [sum(counted[x] for w in ws for x in links[at[w]:at[w + 1]].tolist()) for ws in words]
+
+
 def test_registered_alignment_digests_groups(spark):
     got = queries.QUERIES["op11_token_alignment"](spark, SF)
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]

@@ -18,7 +18,9 @@ Neither tokenizer joins bytes across a single blank between other characters,
 so such texts fall into pieces at their blanks; a block of texts (up to
 ``BLOCK`` bytes, or one longer text) encodes and aligns its distinct pieces
 once. Texts with other blanks are one piece. What is shuffled are a block's
-distinct id pairs, and per text the numbers of its pieces.
+distinct id pairs, and per text the numbers of its pieces. A block's arrays are
+written as rows of at most ``CODES`` codes: Parquet and Arrow hold back a number
+of rows, whatever their size, so what a task holds must not grow with its blocks.
 
 Null and empty texts, and texts whose bytes one tokenizer does not give back,
 have no tokens: zeros and an empty string. Rows are documents of their own,
@@ -40,11 +42,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import coded, in_arrow, materialize, partitions, text_slices
+from .common import coded, give_back, in_arrow, materialize, partitions, text_slices
 from ..session import ensure_checkpoint_dir
 
-BLOCK, CALL = 8 << 20, 50_000
-_PARTS = ("block long, kind int, body binary, ends binary, doc_id long, n_a long, n_b long, n_groups long, n_links long, "
+BLOCK, CALL, CODES = 8 << 20, 50_000, 1 << 15
+_ROW_GROUP = 16 << 20  # bytes that a writer holds
+_PARTS = ("block long, kind int, part int, body binary, ends binary, doc_id long, n_a long, n_b long, n_groups long, n_links long, "
           "groups string")
 _NONE = np.zeros(0, np.int64)
 
@@ -244,9 +247,19 @@ def _raw(x: np.ndarray, kind: type) -> bytes:
     return np.ascontiguousarray(x, kind).tobytes()
 
 
+def _pieces(at: np.ndarray):
+    """(first, last + 1) piece of runs of at most ``CODES`` codes (or one piece)."""
+    lo = 0
+    while lo < len(at) - 1:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + CODES, "right")) - 1)
+        yield lo, min(hi, lo + CODES)
+        lo = min(hi, lo + CODES)
+
+
 def _block_rows(a_path: str, b_path: str, digest: bool):
     """Rows of _PARTS: of kind 0 a block's distinct link codes and counts, of
-    kind 1 its pieces' codes, of kind 2 its texts with their piece numbers."""
+    kind 1 its pieces' codes, both a part at a time, of kind 2 its texts with their
+    piece numbers."""
     def run(batches):
         pair, n = _pair(a_path, b_path), 0
         task = TaskContext.get().partitionId()
@@ -257,63 +270,71 @@ def _block_rows(a_path: str, b_path: str, digest: bool):
                 codes, where = np.unique(links, return_inverse=True)
                 counts = np.bincount(where, np.repeat(often, np.diff(at)), len(codes)).astype(np.int64)
                 codes, counts = codes[counts > 0], counts[counts > 0]  # a text without tokens may hold other pieces
-                cols = [[block] * (rows + 2), [0, 1] + [2] * rows,
-                        [_raw(codes, "<i8"), _raw(links, "<i8"), *(_raw(x, "<u4") for x in docs[5])],
-                        [_raw(counts, "<i8"), _raw(at, "<i8")] + [None] * rows,
-                        [None, None, *part.column(0).to_pylist()]]
-                cols += [[None, None, *x.tolist()] for x in docs[:4]] + [[None, None, *docs[4]]]
-                types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 5, pa.string()]
+                arrays = [(0, k, codes[lo:lo + CODES], counts[lo:lo + CODES]) for k, lo in enumerate(range(0, len(codes), CODES))]
+                arrays += [(1, k, links[at[lo]:at[hi]], at[lo:hi + 1] - at[lo]) for k, (lo, hi) in enumerate(_pieces(at))]
+                cols = [[block] * (len(arrays) + rows), [x[0] for x in arrays] + [2] * rows, [x[1] for x in arrays] + [None] * rows,
+                        [_raw(x[2], "<i8") for x in arrays] + [_raw(x, "<u4") for x in docs[5]],
+                        [_raw(x[3], "<i8") for x in arrays] + [None] * rows]
+                none = [None] * len(arrays)
+                cols += [none + list(x) for x in (part.column(0).to_pylist(), *(x.tolist() for x in docs[:4]), docs[4])]
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 5, pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)],
                                                  names=[c.split()[0] for c in _PARTS.split(", ")])
+                del docs, links, at, often, codes, where, counts, arrays, cols
+                give_back()  # else a task of many blocks keeps what each of them left
     return run
 
 
 def _pair_rows(batches):
     """(block, pair, n) from rows of kind 0."""
     for batch in batches:
-        for block, body, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for i in range(batch.num_rows):
+            block, body, ends = (c[i].as_py() for c in batch.columns)
             codes = np.frombuffer(body, "<i8")
-            for at in range(0, len(codes), 1 << 17):
-                part = codes[at:at + (1 << 17)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), block)), pa.array(part), pa.array(np.frombuffer(ends, "<i8")[at:at + len(part)])],
-                    names=["block", "pair", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(codes), block)), pa.array(codes), pa.array(np.frombuffer(ends, "<i8"))], names=["block", "pair", "n"])
 
 
 def _document_rows(batches):
     """Per text the number of its best links and the sum of its links' counts,
-    from rows in order of block and kind: first the block's counted pairs, then
+    from rows in order of block, kind and part: first the block's counted pairs, then
     its pieces, then its texts."""
-    now, pairs, best, total = None, [], _NONE, _NONE
+    now, pairs, table, best, total = None, [], None, [], []
     for batch in batches:
         blocks = batch.column(0).to_numpy()
         edges = np.append(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1, len(blocks))
         out = []
         for lo, hi in pairwise([0, *edges.tolist()] if len(blocks) else []):
             if blocks[lo] != now:
-                now, pairs = blocks[lo], []
+                now, pairs, table, best, total = blocks[lo], [], None, [_NONE], [_NONE]
             part = batch.slice(lo, hi - lo)
             kind = part.column(1).to_numpy()
             counted = part.slice(0, int((kind == 0).sum()))
             if counted.num_rows:
-                pairs.append([counted.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4)])
+                pairs.append([counted.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 5)])
             for i in np.flatnonzero(kind == 1).tolist():
-                code, n, high = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (_NONE, _NONE, np.zeros(0, bool))
-                order, pairs = np.argsort(code), []
-                links, at = (np.frombuffer(part.column(c)[i].as_py(), "<i8") for c in (5, 6))
+                if table is None:
+                    code, n, high = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (_NONE, _NONE, np.zeros(0, bool))
+                    order, pairs = np.argsort(code), []
+                    table = code[order], n[order], high[order]
+                links, at = (np.frombuffer(part.column(c)[i].as_py(), "<i8") for c in (6, 7))
+                code, n, high = table
                 if not len(code):  # no text has tokens
-                    best = total = np.zeros(len(at) - 1, np.int64)
+                    best.append(np.zeros(len(at) - 1, np.int64))
+                    total.append(best[-1])
                     continue
-                place = order[np.minimum(np.searchsorted(code[order], links), len(code) - 1)]
-                best, total = _sums(high[place].astype(np.int64), at), _sums(n[place], at)
+                place = np.minimum(np.searchsorted(code, links), len(code) - 1)
+                best.append(_sums(high[place].astype(np.int64), at))
+                total.append(_sums(n[place], at))
             texts = part.slice(int((kind < 2).sum()))
             if texts.num_rows:
-                words = [np.frombuffer(x, "<u4") for x in texts.column(5).to_pylist()]
+                best, total = [np.concatenate(best)], [np.concatenate(total)]
+                words = [np.frombuffer(x, "<u4") for x in texts.column(6).to_pylist()]
                 first = np.append(0, np.cumsum([len(x) for x in words])).astype(np.int64)
                 words = np.concatenate(words)
-                out.append((texts, _sums(best[words], first), _sums(total[words], first)))
+                out.append((texts, _sums(best[0][words], first), _sums(total[0][words], first)))
         for texts, high, n in out:
-            yield pa.RecordBatch.from_arrays([*texts.columns[7:12], pa.array(high), pa.array(n), texts.column(12)],
+            yield pa.RecordBatch.from_arrays([*texts.columns[8:13], pa.array(high), pa.array(n), texts.column(13)],
                                              names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
 
 
@@ -324,7 +345,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", tex
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
-    in_arrow(rows, _block_rows(a_path, b_path, digest), _PARTS).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    in_arrow(rows, _block_rows(a_path, b_path, digest), _PARTS).write.partitionBy("kind") \
+        .option("compression", "zstd").option("parquet.block.size", str(_ROW_GROUP)).parquet(path)
     parts = spark.read.schema(_PARTS).parquet(path)
     n_b = _pair(a_path, b_path).n_b
     pairs = in_arrow(parts.where("kind = 0").select("block", "body", "ends"), _pair_rows, "block long, pair long, n long")
@@ -333,11 +355,12 @@ def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", tex
     b_id = F.col("pair") % n_b
     best = counts.groupBy(b_id.alias("m_b")).agg(F.max("n").alias("m_n"))
     counts = counts.join(F.broadcast(best), b_id == F.col("m_b")).select("pair", "n", (F.col("n") == F.col("m_n")).alias("best"))
-    empty = [F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in _PARTS.split(", ")[2:])]
-    back = pairs.select("block", "pair").join(counts, "pair").select("block", F.lit(0).alias("kind"), "pair", "n", "best", *empty)
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in _PARTS.split(", ")[3:])]
+    part = F.lit(None).cast("int").alias("part")
+    back = pairs.select("block", "pair").join(counts, "pair").select("block", F.lit(0).alias("kind"), part, "pair", "n", "best", *empty)
     no = [F.lit(None).cast(t).alias(c) for c, t in (("pair", "long"), ("n", "long"), ("best", "boolean"))]
-    kept = parts.where("kind > 0").select("block", "kind", *no, *(c.split()[0] for c in _PARTS.split(", ")[2:]))
-    ordered = back.union(kept).repartition(partitions(spark), "block").sortWithinPartitions("block", "kind")
+    kept = parts.where("kind > 0").select("block", "kind", "part", *no, *(c.split()[0] for c in _PARTS.split(", ")[3:]))
+    ordered = back.union(kept).repartition(partitions(spark), "block").sortWithinPartitions("block", "kind", "part")
     documents = in_arrow(ordered, _document_rows, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, "
                                                   "count_sum long, groups string")
     return Aligned(documents, counts.select((F.col("pair") / n_b).cast("long").alias("a_id"), b_id.alias("b_id"), "n", "best"))
