@@ -3,6 +3,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from varietylens.functions.labels import compose_label
 from varietylens.operators import nb as nbo
 from varietylens.plans import layers as Y
 from varietylens.plans import model
@@ -82,3 +83,22 @@ def test_subset_margins_are_those_of_whole_fits(spark):
         whole = nbo.nb_fit(x.join(docs, KEYS), docs, "label", 9 * len(blocks))
         for r in nbo.nb_margins(x, docs, KEYS, whole).collect():
             assert np.allclose(got[name, r["doc_id"]], r["margins"], atol=1e-9)
+
+
+def test_coarser_fit_adds_up_the_finer_sums(spark, monkeypatch):
+    """A layer of the main model's rows reads no text; ambiguous labels are fitted anew."""
+    rows = [(i, 0, f"{w} {v} x", c, lang, reg) for i, (w, v, c, lang, reg) in enumerate(
+        [("a", "b", "c1", "en", "g"), ("b", "c", "c1", "en", "g"), ("a", "d", "c2", "de", "g"), ("e", "f", "c3", "fr", "r"), ("f", "a", None, "fr", "r")])]
+    df = spark.createDataFrame(rows, "doc_id long, line_no int, original_sentence string, dialect_city_id string, "
+                                     "dialect_country_id string, dialect_region_id string")
+    main = model.fit(model.ModelSpec(), df.withColumn("label", compose_label("city")), KEYS)
+    plain = {lv: Y.fit_layer(Y.LayerSpec(lv), df, KEYS) for lv in ("country", "region")}
+    odd = df.withColumn("_fine", F.lit("same")).withColumn("label", compose_label("region"))
+    assert model.coarser_sums(main, "_fine", odd, model.ModelSpec(level="region")) is None
+    monkeypatch.setattr(model, "text_blocks", None)
+    for lv, want in plain.items():
+        got = Y.fit_layer(Y.LayerSpec(lv), df, KEYS, main)
+        assert got.labels == want.labels and got.nb.n_features == want.nb.n_features
+        assert np.allclose(got.nb.k, want.nb.k) and np.allclose(got.nb.log_prior, want.nb.log_prior)
+        a, b = ({(r["label"], r["feature"]): r["S"] for r in m.nb.stats.collect()} for m in (got, want))
+        assert set(a) == set(b) and all(abs(a[k] - b[k]) < 1e-9 for k in a)
